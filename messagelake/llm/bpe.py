@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that are encoded in one go; longer texts are halved.
 LEAF = 4096
@@ -119,8 +120,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """(id_col, text, ids array<int>) of every whole text; path names the vocabulary file on each executor.
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, text, ids array<int>, columns to carry) of every whole text; path names the vocabulary file on each executor.
 
     Texts longer than a leaf are halved down to leaves, which are encoded apart, and pairs of neighbours are
     joined upwards. Null and empty texts have no ids. Repeated rows are kept; other columns are ignored.
@@ -132,10 +133,11 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = [own.encode(t, leaf).astype(np.int32) if t else np.zeros(0, np.int32) for t in batch["text"].to_pylist()]
             places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], column], ["id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], batch["rest"], column], ["id", "text", "rest", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, text string, ids array<int>").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is scanned in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -16,7 +17,7 @@ BLOCK_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
-_OUT = "id long, text string, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+_NO_SPANS = "cast(array() as array<struct<first:int,last:int>>)"
 
 
 class NgramSet:
@@ -83,16 +84,20 @@ def _scan(docs: DataFrame, block: list, n: int) -> DataFrame:
                 spans.append([{"first": a, "last": b} for a, b in runs])
                 items.append(sorted(names))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+            columns = {"id": batch["id"], "text": batch["text"], "rest": batch["rest"], "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, kind), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, _OUT)
+    rows = docs.select("id", "text", "rest")
+    span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of documents that lie inside a window of n words of a benchmark item.
 
-    Returns (id_col, text, n_words, n_hit, spans of hit words, items as strings, contaminated), one row for each
-    row. The benchmark's size is summed first: up to block_bytes it is one broadcast set of n-grams, beyond that
+    Returns (id_col, text, n_words, n_hit, spans of hit words, items as strings, contaminated, columns to carry), one
+    row for each row. The benchmark's size is summed first: up to block_bytes it is one broadcast set of n-grams, beyond that
     it is dealt into blocks by a hash of its items, each scanned over all documents, and the runs are merged.
     Every candidate window is verified word by word, since the set holds the words' numbers and not a hash.
 
@@ -100,7 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     or empty documents have no words. Rows that repeat an id or an item are kept as they are; equal item ids count
     once. Rows of an empty benchmark hit nothing. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
@@ -108,18 +113,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         found = _scan(rows, [tuple(r) for r in items.collect()], n)
     else:
         dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-        rows = rows.withColumn("th", F.xxhash64("text"))
         parts = None
         for k in range(blocks):
             part = _scan(rows, [tuple(r) for r in dealt.where(F.col("block") == k).select("item", "text").collect()], n).withColumn("th", F.xxhash64("text"))
-            part = part.distinct() if k else part
-            parts = part if parts is None else parts.join(part.select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("spans").alias("s"), F.col("items").alias("m")), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("id", "text", "n_words", F.concat("spans", F.coalesce("s", F.expr("cast(array() as array<struct<first:int,last:int>>)"))).alias("spans"), F.array_distinct(F.concat("items", F.coalesce("m", F.expr("cast(array() as array<string>)")))).alias("items"), "th")
+            if parts is None:
+                parts = part
+                continue
+            more = part.where(F.size("spans") > 0).select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("spans").alias("s"), F.col("items").alias("m")).distinct()
+            met = parts.join(more, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+            spans = F.concat("spans", F.coalesce("s", F.expr(_NO_SPANS)))
+            items_ = F.array_distinct(F.concat("items", F.coalesce("m", F.expr("cast(array() as array<string>)"))))
+            parts = met.select("id", "text", "rest", "n_words", spans.alias("spans"), items_.alias("items"), "th")
         found = parts.drop("th")
         merged = F.aggregate(
             F.array_sort("spans"),
-            F.expr("cast(array() as array<struct<first:int,last:int>>)"),
+            F.expr(_NO_SPANS),
             lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["last"] >= x["first"] - 1), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(out, F.array(x))),
         )
         found = found.withColumn("spans", merged)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"] + 1)
-    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", hit.alias("n_hit"), "spans", F.array_sort("items").alias("items"), (hit > 0).alias("contaminated"))
+    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", hit.alias("n_hit"), "spans", F.array_sort("items").alias("items"), (hit > 0).alias("contaminated"), *(F.col("rest")[c].alias(c) for c in carry))

@@ -10,10 +10,10 @@ from .common import ascii_lower
 SPACE = " \t\n\x0b\f\r"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines found in many documents, except from the largest id that holds them.
 
-    Returns (id_col, lines array, dropped array of positions, kept string), one row for each input row, with
+    Returns (id_col, lines array, dropped array of positions, kept string, columns to carry), one row for each input row, with
     DataFrame functions alone. A key is the line without white space at its ends, A-Z lower-cased; two 64-bit
     hashes of it stand for it. Only hashes are shuffled for the count, and the count is taken over (key, document)
     pairs made distinct first, so a line that a third of the documents hold is summed before it meets in one task.
@@ -21,7 +21,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty texts are one empty line. Rows that repeat an id count as one document, and each is treated by
     its own text. A row without an id counts as one document and never loses a line. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest")).withColumn("th", F.xxhash64("text"))
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("id", "th", "pos", F.btrim("line", F.lit(SPACE)).alias("key")).where(F.char_length("key") >= min_chars)
     keys = keys.withColumn("key", ascii_lower(F.col("key")))
@@ -38,4 +38,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "lines",
         F.coalesce(F.array_sort("dropped"), F.array().cast("array<int>")).alias("dropped"),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(text).alias("kept"),
+        *(F.col("rest")[c].alias(c) for c in carry),
     )

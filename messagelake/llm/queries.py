@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, secrets
+from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, quotes, secrets, suffix_dedup, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def fold(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learn = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(5) != 0)
+    out = quality.score_quality(docs, quality.train_quality(docs, learn))
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
@@ -91,3 +103,34 @@ FROM dw LEFT JOIN hn ON hn.doc_id = dw.doc_id LEFT JOIN hi ON hi.doc_id = dw.doc
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learn = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(3) != 1)
+    out = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, learn))
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+
+
+@query("op2_quotes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "turn", "role", "position", "depth", "parent_turn", "n_quotes", "n_linked", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["high"] - s["low"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op10_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
