@@ -18,17 +18,20 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 3500, 40_000
 #: Words in a window, and from one window to the next: each word is in two.
 WINDOW, STRIDE = 96, 48
 
-WORD_BUCKETS, GRAM_BUCKETS, EMBED, HIDDEN = 1 << 15, 1 << 13, 8, 8
+GRAM_BUCKETS, EMBED, HIDDEN = 1 << 11, 8, 8
+#: So many words, of those in three or more of the texts fitted on, have inputs of their own: the ones whose presence
+#: goes with a label most (chi-square). All others are one word, and known by their characters.
+KNOWN_WORDS = 300
 _PER_STEP = 2 << 20
 
 
 def word_inputs(data: np.ndarray, at: np.ndarray) -> tuple:
-    """The words of some texts: (text of each word, distinct word of each word, word bucket of each distinct word,
+    """The words of some texts: (text of each word, distinct word of each word, hash of each distinct word,
     character trigram buckets of the distinct words end to end, where each one's begin)."""
     data = FOLD[data]
     first, last, text = runs(data, at, LETTERS)
     if not len(first):
-        return text, text, text, text, np.zeros(1, np.int64)
+        return text, text, np.zeros(0, np.uint64), text, np.zeros(1, np.int64)
     hashes = stretch(prefix(data), first, last)
     own, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
     low, size = first[one], last[one] - first[one]
@@ -42,7 +45,7 @@ def word_inputs(data: np.ndarray, at: np.ndarray) -> tuple:
     left = np.where(start, 0, np.roll(chars, 1))
     right = np.where(end, 0, np.roll(chars, -1))
     grams = ((left * 65_537 + chars * 257 + right) * 40_503 >> 4) % GRAM_BUCKETS
-    return text, kind, (own >> np.uint64(64 - 15)).astype(np.int64), grams, begin
+    return text, kind, own, grams, begin
 
 
 def windows_of(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,6 +58,15 @@ def windows_of(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return begin[owner] + turn * STRIDE, np.minimum(WINDOW, count[owner] - turn * STRIDE), owner
 
 
+def _summed(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by owner."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(owner, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
+    out[owner[order][first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -62,15 +74,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiGRU:
     """The network. A step's gates take a word's input, projected once for each distinct word, and the state before."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, known: np.ndarray, seed: int = 7):
         r = np.random.default_rng(seed)
         new = lambda *shape, s=0.3: r.normal(0, s, shape).astype(np.float32)
-        self.p = {"word": new(WORD_BUCKETS, EMBED, s=0.1), "gram": new(GRAM_BUCKETS, EMBED, s=0.1)}
+        self.known = known  # hashes of words, ascending
+        self.p = {"word": new(len(known) + 1, EMBED, s=0.1), "gram": new(GRAM_BUCKETS, EMBED, s=0.1)}
         for d in "fb":
             self.p |= {f"in_{d}": new(2 * EMBED, 3 * HIDDEN), f"bias_{d}": np.zeros(3 * HIDDEN, np.float32), f"state_{d}": new(HIDDEN, 3 * HIDDEN)}
         self.p |= {"look": new(2 * HIDDEN, HIDDEN), "look_bias": np.zeros(HIDDEN, np.float32), "ask": new(HIDDEN), "out": new(2 * HIDDEN), "out_bias": np.zeros(1, np.float32)}
         self.scale = np.array([1.0, 0.0])
 
+    def buckets(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for a word that isn't known, else its number."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[place] == hashes, place + 1, 0)
+
     def inputs(self, buckets: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
         size = np.diff(begin).astype(np.float32)[:, None]
         return np.concatenate([self.p["word"][buckets], np.add.reduceat(self.p["gram"][grams], begin[:-1]) / size], 1)
@@ -122,7 +142,7 @@ class BiGRU:
         for d in "fb":
             u, at = p[f"state_{d}"], slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
             d_u, d_h = np.zeros_like(u), np.zeros((len(y), HIDDEN), np.float32)
-            d_proj = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            d_steps = np.zeros((kinds.shape[1], len(y), 3 * HIDDEN), np.float32)
             for t, h, z, r, c in reversed(trace[d]):
                 m = mask[:, t : t + 1]
                 d_h = d_h + d_states[t, :, at]
@@ -131,8 +151,9 @@ class BiGRU:
                 d_zr = np.concatenate([d_h * m * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
                 d_u[:, : 2 * HIDDEN] += h.T @ d_zr
                 d_u[:, 2 * HIDDEN :] += (r * h).T @ d_c
-                np.add.at(d_proj, kinds[:, t], np.concatenate([d_zr, d_c], 1) * m)
+                d_steps[t, :, : 2 * HIDDEN], d_steps[t, :, 2 * HIDDEN :] = d_zr * m, d_c * m
                 d_h = d_h * (1 - m * z) + d_rh * r + d_zr @ u[:, : 2 * HIDDEN].T
+            d_proj = _summed(kinds.T.ravel(), d_steps.reshape(-1, 3 * HIDDEN), len(x))
             g[f"state_{d}"], g[f"in_{d}"], g[f"bias_{d}"] = d_u, x.T @ d_proj, d_proj.sum(0)
             d_x += d_proj @ p[f"in_{d}"].T
         return g, d_x
@@ -151,7 +172,8 @@ class BiGRU:
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each text: its worst window's score; 0 without words."""
-        text, kind, buckets, grams, begin = word_inputs(data, at)
+        text, kind, hashes, grams, begin = word_inputs(data, at)
+        buckets = self.buckets(hashes)
         first, size, owner = windows_of(text, len(at) - 1)
         worst = np.full(len(at) - 1, -np.inf)
         np.maximum.at(worst, owner, self.window_logits(kind, buckets, grams, begin, first, size))
@@ -165,28 +187,37 @@ def gathered(kind: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return kind[np.where(mask, first[:, None] + turn, first[:, None])], mask.astype(np.float32)
 
 
-def fit_network(texts: list[str], y: np.ndarray, true_rate: float, epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 7) -> BiGRU:
-    """Trains on one window of each text and epoch: any at first, then the one that scores worst, as the score takes the worst."""
-    net, r = BiGRU(seed), np.random.default_rng(seed)
+def fit_network(texts: list[str], y: np.ndarray, true_rate: float, epochs: int = 12, batch: int = 256, rate: float = 0.02, decay: float = 0.3, blind: float = 0.2, seed: int = 7) -> BiGRU:
+    """Trains on one window of each text and epoch: any at first, then mostly the one that scores worst, as the score
+    takes the worst. Some words go unknown at random, a fifth of the texts only tells when to stop, and the
+    weights of the best epoch stay."""
+    r = np.random.default_rng(seed)
     data = "".join(texts).encode()
     at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    text, kind, buckets, grams, begin = word_inputs(np.frombuffer(data, np.uint8), at)
+    text, kind, hashes, grams, begin = word_inputs(np.frombuffer(data, np.uint8), at)
     first, size, owner = windows_of(text, len(texts))
     if not len(first) or len(set(y.tolist())) < 2:
+        net = BiGRU(np.zeros(0, np.uint64), seed)
         net.scale = np.array([0.0, np.log((true_rate + 1e-6) / (1 - true_rate + 1e-6))])
         return net
+    pairs = np.unique(text * len(hashes) + kind)
+    net = BiGRU(np.sort(hashes[_telling(pairs % len(hashes), y[pairs // len(hashes)], y, len(hashes))]), seed)
+    buckets = net.buckets(hashes)
     weight_of = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    held = r.random(len(texts)) < 0.2
     memory = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     epochs = max(epochs, min(60, 20_000 // max(1, len(texts))))  # few texts: more rounds
-    turn = 0
+    turn, best, kept, since = 0, np.inf, {k: v.copy() for k, v in net.p.items()}, 0
     for epoch in range(epochs):
-        if epoch < 2:
-            noise = r.random(len(first))
-        elif epoch % 2 == 0:
-            noise = net.window_logits(kind, buckets, grams, begin, first, size)
+        noise = r.random(len(first))
+        if epoch >= 2 and epoch % 2:  # the worst of a few windows of each text
+            tried = np.flatnonzero((_turn(owner[np.argsort(noise)])[np.argsort(np.argsort(noise))] < 6) & ~held[owner])
+            noise[:] = -np.inf
+            noise[tried] = net.window_logits(kind, buckets, grams, begin, first[tried], size[tried])
         order = np.lexsort((noise, owner))
         picked = order[np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))]
         picked = picked[r.permutation(len(picked))]
+        picked = picked[~held[owner[picked]]]
         for low in range(0, len(picked), batch):
             own = picked[low : low + batch]
             all_kinds, mask = gathered(kind, first[own], size[own])
@@ -195,26 +226,60 @@ def fit_network(texts: list[str], y: np.ndarray, true_rate: float, epochs: int =
             length = (begin[used + 1] - begin[used]).astype(np.int64)
             sub = np.concatenate([[0], np.cumsum(length)])
             sub_grams = grams[np.repeat(begin[used] - sub[:-1], length) + np.arange(sub[-1])]
-            x = net.inputs(buckets[used], sub_grams, sub)
+            word = np.where(r.random(len(used)) < blind, 0, buckets[used])
+            x = net.inputs(word, sub_grams, sub)
             g, d_x = net.slopes(x, net.project(x), local, mask, y[owner[own]].astype(np.float32), weight_of[owner[own]].astype(np.float32))
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], buckets[used], d_x[:, :EMBED])
-            np.add.at(g["gram"], sub_grams, np.repeat(d_x[:, EMBED:] / length[:, None], length, 0))
+            g["word"] = _summed(word, d_x[:, :EMBED], len(net.p["word"]))
+            g["gram"] = _summed(sub_grams, np.repeat(d_x[:, EMBED:] / length[:, None], length, 0), GRAM_BUCKETS)
             turn += 1
-            for k, v in g.items():  # Adam
+            for k, v in g.items():  # Adam, with weights that decay
                 m1, m2 = memory[k]
                 m1 *= 0.9
                 m1 += 0.1 * v
                 m2 *= 0.99
                 m2 += 0.01 * v * v
+                net.p[k] *= np.float32(1 - rate * decay * (k != "out_bias"))
                 net.p[k] -= (rate * (1 - 0.7 * epoch / epochs) * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, owner, net.window_logits(kind, buckets, grams, begin, first, size))
-    seen = np.isfinite(worst)
-    net.scale = _calibrated(worst[seen], y[seen], true_rate)
+        judges = np.flatnonzero(held[owner]) if held.any() else np.arange(len(first))
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, owner[judges], net.window_logits(kind, buckets, grams, begin, first[judges], size[judges]))
+        told = np.isfinite(worst)
+        scale = _calibrated(worst[told], y[told], true_rate)
+        loss = _loss(worst[told] * scale[0] + scale[1], y[told])
+        if loss < best - 1e-4:
+            best, kept, net.scale, since = loss, {k: v.copy() for k, v in net.p.items()}, scale, 0
+        else:
+            since += 1
+            if since >= max(4, epochs // 5):
+                break
+    net.p = kept
     return net
 
 
+def _telling(words: np.ndarray, labels: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The words whose presence in a text goes with its label most. words, labels: a pair for each text and word in it."""
+    having = np.bincount(words, minlength=n).astype(float)
+    toxic = np.bincount(words, labels, n)
+    rate = y.mean()
+    chi = (toxic - having * rate) ** 2 / np.maximum(having * rate * (1 - rate), 1e-9) / np.maximum(1 - having / len(y), 1e-9)
+    chi[having < 3] = 0
+    best = np.argsort(-chi, kind="stable")[:KNOWN_WORDS]
+    return best[chi[best] > 0]
+
+
+def _turn(owner: np.ndarray) -> np.ndarray:
+    """How many of the same owner come before."""
+    order = np.argsort(owner, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]])) if len(owner) else np.zeros(0, np.int64)
+    out = np.empty(len(owner), np.int64)
+    out[order] = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    return out
+
+
+def _loss(logit: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -logit, logit)))) if len(y) else 0.0
+
+
 def _calibrated(logit: np.ndarray, y: np.ndarray, true_rate: float) -> np.ndarray:
     """A slope and an offset that make logits of the sample chances at the true rate of label 1."""
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
