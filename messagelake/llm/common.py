@@ -87,25 +87,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node that it reaches.
 
     Alternates large-star and small-star steps: each makes nodes point to smaller neighbours, and the work of a
-    round is in proportion to the edges. Nodes without an edge have no row. Stops when a round changes nothing.
+    round is in proportion to the edges. Nodes without an edge have no row. Stops when all edges lead to roots.
     """
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
     now = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    before = mark(now)
     for _ in range(rounds):
-        if not before[0]:
-            break
+        uses = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        uses = uses.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        if uses.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up")))).isEmpty():
+            break  # every node points to a root, once
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).where("a != b")
-        now = kept(small.distinct())
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
+        now = kept(small.where("a != b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
