@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import steps, text_buffers, whole_groups
 from .textscan import mix, prefix, stretch
 
-#: Bytes of a string that may not occur twice; the anchor of such a string is its smallest gram of half the length.
+#: Bytes of a string that may not occur twice; the anchor of such a string is its smallest gram of a third of the length.
 LENGTH = 100
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -21,10 +21,14 @@ _PLACE = np.uint64((1 << 24) - 1)
 # --- anchors: equal strings of `length` bytes have equal anchors, so they meet under the anchor's hash
 
 
+def gram_of(length: int) -> int:
+    return max(4, length // 3)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows with one anchor: (hash of the anchor, text, first window, anchor, windows), places
     counted from the text's start. A window's anchor is the leftmost of its grams with the smallest hash."""
-    gram = length // 2
+    gram = gram_of(length)
     span = length - gram + 1  # grams in a window
     n = len(data)
     if n < length:
@@ -82,11 +86,12 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             if not found:
                 continue
             h, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            h = h >> np.uint64(16)  # 48 bits: a chance meeting costs a look and changes nothing
             order = np.argsort(h)
             h, doc, place = h[order], doc[order], place[order]
             new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
             lone = new & np.append(new[1:], True) if len(h) else new
-            spread = mix(h ^ mix(place.astype(np.uint64) ^ doc.view(np.uint64)))
+            spread = mix(h ^ mix(place.astype(np.uint64) ^ doc.view(np.uint64))) >> np.uint64(16)
             tell = new & ~lone
             key = np.concatenate([np.where(lone, h, spread), h[tell]]).view(np.int64)
             kind = np.concatenate([np.where(lone, 0, 1), np.full(tell.sum(), 2)]).astype(np.int8)
@@ -256,7 +261,7 @@ def _slices(rows: DataFrame, length: int) -> DataFrame:
     a batch are sent once, by the earliest; the others are removed at once, and come as rows without content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = length // 2
+        gram = gram_of(length)
         for batch in batches:
             data, at = text_buffers(batch["text"])
             if not len(data):
@@ -379,7 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts = rows.select("id", "doc", "text", "th", "body")
     is_first = F.coalesce(F.array_contains("bodies", F.col("body")), F.lit(False))
     first = texts.join(facts, F.col("doc") == F.col("f_doc"), "left").where(is_first & F.col("places").isNotNull())
-    marks = _removed(_slices(first.select("doc", "text", "th", "places"), length), length)
+    marks = _removed(_slices(first.select("id", "doc", "text", "th", "body", "places"), length), length)
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("th", "low", "high")).alias("marks"))
     facts = firsts.join(marks, "doc", "left").select(F.col("doc").alias("f_doc"), "bodies", "marks")
     out = texts.join(facts, F.col("doc") == F.col("f_doc"), "left").select("id", "text", "th", is_first.alias("is_first"), "marks")
