@@ -49,9 +49,9 @@ def fit_coder(x: np.ndarray, longest: float, top: int, target: float = TARGET, r
     mean = full.mean(0)
     centred = full - mean
     bits = -(-max(64, x.shape[1]) // SUBSTRING) * SUBSTRING
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]  # directions, largest spread first
     r = np.random.default_rng(11)
-    base = axes.T[:, : min(bits, full.shape[1])]
+    base = axes[:, : min(bits, full.shape[1])]
     if base.shape[1] < bits:  # fewer directions than bits: further ones at random
         base = np.concatenate([base, np.linalg.qr(r.normal(size=(full.shape[1], full.shape[1])))[0][:, : bits - base.shape[1]]], 1) if bits <= 2 * full.shape[1] else r.normal(size=(full.shape[1], bits)) / np.sqrt(full.shape[1])
     turned = centred @ base
@@ -62,7 +62,7 @@ def fit_coder(x: np.ndarray, longest: float, top: int, target: float = TARGET, r
     coder = Coder(mean, base @ rotation, longest, bits)
     q = np.arange(0, len(x), max(1, len(x) // probes))
     codes = coder.encode(x)
-    far = _BITS[coder.encode_queries(x[q])[:, None] ^ codes].sum(2, dtype=np.int64)
+    far = np.stack([_BITS[code ^ codes].sum(1, dtype=np.int64) for code in coder.encode_queries(x[q])]) if len(q) else np.zeros((0, 0), np.int64)
     near = x[q] @ x.T
     near[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-near, 1)[:, : min(top, max(1, len(x) - 1))]
