@@ -6,3 +6,18 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of (session, folder) and the SQL that says the same."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import q_archive, q_curation, q_extract, q_intervals, q_keys, q_reads, q_routing, q_store, q_streams  # noqa: E402, F401
