@@ -66,7 +66,7 @@ def x6(spark, sf):
 
 
 @query("x7_parts", f"""WITH {A_SQL}, p AS (SELECT n, unnest(list_filter([CASE WHEN text <> '' THEN 'text' END, CASE WHEN role <> 'system' AND turn % 7 = 5 THEN 'attachment' END, CASE WHEN role <> 'system' AND turn % 7 = 5 THEN 'opaque' END,
-  CASE WHEN n * 2 % 10 = 0 THEN 'link' END], lambda x: x IS NOT NULL)) AS type FROM t WHERE {GOOD}) SELECT type, count(*) AS n FROM p GROUP BY type""")
+  CASE WHEN n > 0 AND n * 2 % 10 = 0 THEN 'link' END], lambda x: x IS NOT NULL)) AS type FROM t WHERE {GOOD}) SELECT type, count(*) AS n FROM p GROUP BY type""")
 def x7(spark, sf):
     return A.messages(native_a(spark, sf), SCOPE)["parts"].groupBy("type").agg(F.count("*").alias("n"))
 

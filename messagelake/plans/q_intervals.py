@@ -44,10 +44,10 @@ def e4(spark, sf):
     return I.intersect_spans(spans(spark, sf, "= 0"), b, ["k"], 64)
 
 
-STAMPED = """WITH s AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi, event_id % 50 AS at, CAST(event_id % 4 AS VARCHAR) AS run, event_id AS arrival FROM events WHERE event_id % 3 = 0),
-  c AS (SELECT k, unnest(range(lo, hi + 1)) AS x, at, run, arrival FROM s), b AS (SELECT k, x, max(struct_pack(at := at, arrival := arrival, run := run)) AS m FROM c GROUP BY k, x),
-  g AS (SELECT k, x, m.at AS at, m.run AS run, x - row_number() OVER (PARTITION BY k, m.at, m.run ORDER BY x) AS g FROM b)
-  SELECT k, min(x) AS lo, max(x) AS hi, at, run FROM g GROUP BY k, at, run, g"""
+STAMPED = """WITH s AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi, event_id % 50 AS "at", CAST(event_id % 4 AS VARCHAR) AS run, event_id AS arrival FROM events WHERE event_id % 3 = 0),
+  c AS (SELECT k, unnest(range(lo, hi + 1)) AS x, "at", run, arrival FROM s), b AS (SELECT k, x, max(struct_pack("at" := "at", arrival := arrival, run := run)) AS m FROM c GROUP BY k, x),
+  g AS (SELECT k, x, m."at" AS "at", m.run AS run, x - row_number() OVER (PARTITION BY k, m."at", m.run ORDER BY x) AS g FROM b)
+  SELECT k, min(x) AS lo, max(x) AS hi, "at", run FROM g GROUP BY k, "at", run, g"""
 
 
 @query("c6_stamp", STAMPED)
