@@ -71,13 +71,31 @@ def fit_coder(x: np.ndarray, longest: float, top: int, target: float = TARGET, r
     return coder
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words, for quick distances."""
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    padded[:, : codes.shape[1]] = codes
+    return padded.view(np.uint64)
+
+
 class MultiIndex:
-    """The codes of a block, by the value of each substring."""
+    """The codes of a block, by the value of each substring. What a value's probes have found is kept for the next query."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.words = codes, _words(codes)
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.begin = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        self.probed: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def probe(self, j: int, value: int, reach: int) -> np.ndarray:
+        """Which members have a substring within reach of a value: the buckets of all such values."""
+        found = self.probed.get((j, value, reach))
+        if found is None:
+            found = np.zeros(len(self.codes), bool)
+            for v in np.flatnonzero(_BITS[np.arange(256) ^ value] <= reach).tolist():
+                found[self.order[j][self.begin[j][v] : self.begin[j][v + 1]]] = True
+            self.probed[j, value, reach] = found
+        return found
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every member within the radius. Radius m * r + a: of m substrings one of the first a + 1 is within r, or one
@@ -85,20 +103,12 @@ class MultiIndex:
         m = len(code)
         r, a = divmod(min(radius, 8 * m), m)
         seen = np.zeros(len(self.codes), bool)
-        for j in range(m):
+        for j, value in enumerate(code.tolist()):
             reach = r if j <= a else r - 1
-            if reach < 0:
-                continue
-            values = np.flatnonzero(_BITS[np.arange(256) ^ int(code[j])] <= reach)
-            if len(values) == 256:
-                seen[:] = True
-                break
-            begin, end = self.begin[j][values], self.begin[j][values + 1]
-            count = end - begin
-            place = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            seen[self.order[j][place]] = True
+            if reach >= 0:
+                seen |= self.probe(j, value, reach)
         found = np.flatnonzero(seen)
-        return found[_BITS[self.codes[found] ^ code].sum(1, dtype=np.int64) <= radius]
+        return found[np.bitwise_count(self.words[found] ^ _words(code[None])).sum(1, dtype=np.int64) <= radius]
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, coder: Coder, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
