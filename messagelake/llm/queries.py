@@ -30,7 +30,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_secret_scan")
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, 'assign' AS kind, 0 AS ord, string_split_regex(t, '{ASSIGN}') AS ps, regexp_extract_all(t, '{ASSIGN}') AS ms, list_transform(regexp_extract_all(t, '{ASSIGN}', 2), lambda x: length(x) >= 12) AS ok FROM d
+  UNION ALL SELECT doc_id, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), list_transform(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18) FROM d
+  UNION ALL SELECT doc_id, 'hex', 2, string_split_regex(t, '[0-9a-f]{{16,}}'), regexp_extract_all(t, '[0-9a-f]{{16,}}'), list_transform(regexp_extract_all(t, '[0-9a-f]{{16,}}'), lambda x: true) FROM d),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+s AS (SELECT doc_id, kind, ord, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(ms[i]) AS n FROM i WHERE ok[i]),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, ord) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+@query("op1_secret_scan", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     kinds = [rule.kind for rule in secrets.RULES]
