@@ -14,7 +14,7 @@ from .textscan import FOLD, LETTERS, prefix, runs, stretch
 
 #: Labelled rows that a model is fitted on, at most, of either label, by the smallest hashes of their ids; and the
 #: bytes of a text beyond which it isn't used for fitting. Scoring has no bounds.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 3500, 40_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2800, 12_000
 #: Words in a window, and from one window to the next: each word is in two.
 WINDOW, STRIDE = 96, 48
 
@@ -162,11 +162,15 @@ class BiGRU:
         out = np.zeros(len(first), np.float32)
         if not len(first):
             return out
-        proj = self.project(self.inputs(buckets, grams, begin))
+        whole = self.project(self.inputs(buckets, grams, begin)) if begin[-1] <= 2 * _PER_STEP else None
         order = np.argsort(-size, kind="stable")
         for low in range(0, len(order), 2048):
             own = order[low : low + 2048]
             kinds, mask = gathered(kind, first[own], size[own])
+            proj = whole
+            if proj is None:  # many distinct words: only those of these windows
+                used, kinds, sub_grams, sub = _used(kinds, grams, begin)
+                proj = self.project(self.inputs(buckets[used], sub_grams, sub))
             out[own] = self.run(proj, kinds, mask)[0]
         return out
 
@@ -180,6 +184,39 @@ class BiGRU:
         return np.where(np.isfinite(worst), _sigmoid(np.where(np.isfinite(worst), worst, 0) * self.scale[0] + self.scale[1]), 0.0)
 
 
+def _used(kinds: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> tuple:
+    """The distinct words of some windows, the windows in their numbers, and these words' trigrams."""
+    used, local = np.unique(kinds, return_inverse=True)
+    length = begin[used + 1] - begin[used]
+    sub = np.concatenate([[0], np.cumsum(length)])
+    return used, local.reshape(kinds.shape), grams[np.repeat(begin[used] - sub[:-1], length) + np.arange(sub[-1])], sub
+
+
+def _all_words(texts: list[str]) -> tuple:
+    """word_inputs() of many texts, in steps of bounded memory."""
+    parts, n, step, size = [], 0, [], 0
+    for k, t in enumerate(texts):
+        step.append(t.encode())
+        size += len(step[-1])
+        if size >= _PER_STEP or k == len(texts) - 1:
+            at = np.concatenate([[0], np.cumsum([len(b) for b in step])]).astype(np.int64)
+            text, kind, hashes, grams, begin = word_inputs(np.frombuffer(b"".join(step), np.uint8), at)
+            parts.append((text + n, kind, hashes, grams, begin))
+            n, step, size = k + 1, [], 0
+    if not parts:
+        return word_inputs(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    own, one, number = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
+    base = np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])])
+    kind = np.concatenate([number[b + p[1]] if len(p[1]) else p[1] for b, p in zip(base[:-1], parts, strict=True)])
+    grams = np.concatenate([p[3] for p in parts]).astype(np.int16)
+    chars = np.concatenate([[0], np.cumsum([len(p[3]) for p in parts])])
+    low = np.concatenate([c + p[4][:-1] for c, p in zip(chars[:-1], parts, strict=True)])
+    length = np.concatenate([np.diff(p[4]) for p in parts])
+    begin = np.concatenate([[0], np.cumsum(length[one])]).astype(np.int64)
+    place = np.repeat(low[one] - begin[:-1], length[one]) + np.arange(begin[-1])
+    return np.concatenate([p[0] for p in parts]), kind.astype(np.int64), own, grams[place.astype(np.int64)], begin
+
+
 def gathered(kind: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows as rows of distinct words, as wide as the longest, and which places hold a word."""
     turn = np.arange(size.max())
@@ -192,9 +229,7 @@ def fit_network(texts: list[str], y: np.ndarray, true_rate: float, epochs: int =
     takes the worst. Some words go unknown at random, a fifth of the texts only tells when to stop, and the
     weights of the best epoch stay."""
     r = np.random.default_rng(seed)
-    data = "".join(texts).encode()
-    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    text, kind, hashes, grams, begin = word_inputs(np.frombuffer(data, np.uint8), at)
+    text, kind, hashes, grams, begin = _all_words(texts)
     first, size, owner = windows_of(text, len(texts))
     if not len(first) or len(set(y.tolist())) < 2:
         net = BiGRU(np.zeros(0, np.uint64), seed)
@@ -221,11 +256,8 @@ def fit_network(texts: list[str], y: np.ndarray, true_rate: float, epochs: int =
         for low in range(0, len(picked), batch):
             own = picked[low : low + batch]
             all_kinds, mask = gathered(kind, first[own], size[own])
-            used, local = np.unique(all_kinds, return_inverse=True)
-            local = local.reshape(all_kinds.shape)
-            length = (begin[used + 1] - begin[used]).astype(np.int64)
-            sub = np.concatenate([[0], np.cumsum(length)])
-            sub_grams = grams[np.repeat(begin[used] - sub[:-1], length) + np.arange(sub[-1])]
+            used, local, sub_grams, sub = _used(all_kinds, grams, begin)
+            length = np.diff(sub)
             word = np.where(r.random(len(used)) < blind, 0, buckets[used])
             x = net.inputs(word, sub_grams, sub)
             g, d_x = net.slopes(x, net.project(x), local, mask, y[owner[own]].astype(np.float32), weight_of[owner[own]].astype(np.float32))
