@@ -272,3 +272,59 @@ def render(sender: Column, ms: Column, text: Column, zone: str = "UTC") -> Colum
     """A message as a line: [time] sender: text."""
     at = F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone), "yyyy-MM-dd HH:mm")
     return F.concat(F.lit("["), F.coalesce(at, F.lit("?")), F.lit("] "), F.coalesce(sender, F.lit("?")), F.lit(": "), F.coalesce(text, F.lit("")))
+
+
+# --- history, people, status
+
+
+def search_history(revisions: DataFrame, messages: DataFrame, query: str) -> DataFrame:
+    """Every retained revision that says it, with whether it is the current one. revisions: (urn, digest, text);
+    messages: (urn, digest as the head's, ...)."""
+    heads = messages.withColumnRenamed("digest", "head_digest").drop("text")
+    hits = revisions.where(literal("text", query)).select("urn", "digest", "text").join(heads, "urn")
+    return hits.withColumn("revision_status", F.when(F.col("digest") == F.col("head_digest"), "current").otherwise("revision_superseded"))
+
+
+def labels(wanted: DataFrame, identities: DataFrame, chats: DataFrame, people: DataFrame, counterparts: DataFrame) -> DataFrame:
+    """(urn, label) of identities, chats and people. An unnamed chat is called after its only counterpart, then after its
+    handle. identities: (urn, label); chats: (urn, observed_name, native_key); people: (urn, label); counterparts: (chat, label)."""
+    named = chats.join(counterparts.select(F.col("chat").alias("urn"), F.col("label").alias("_c")), "urn", "left")
+    named = named.select("urn", F.coalesce(F.when(F.col("observed_name") != "", F.col("observed_name")), "_c", S.handle_of("native_key")).alias("label"))
+    known = identities.select("urn", "label").unionByName(named).unionByName(people.select("urn", "label"))
+    return wanted.select("urn").distinct().join(known, "urn", "left").select("urn", "label")
+
+
+def list_people(people: DataFrame, links: DataFrame, identities: DataFrame) -> DataFrame:
+    """People with their links: state, urn and label of each identity, in order."""
+    i = identities.select(F.col("urn").alias("identity_urn"), F.col("label").alias("identity_label"))
+    own = links.join(i, "identity_urn", "left").groupBy(F.col("person_urn").alias("urn")).agg(F.array_sort(F.collect_list(F.struct("identity_urn", "state", "identity_label"))).alias("identities"))
+    return people.join(own, "urn", "left")
+
+
+def freshness(scopes: DataFrame, runs: DataFrame) -> DataFrame:
+    """Scopes with their latest run; scopes without one have nulls."""
+    return scopes.join(latest_runs(runs, ["source", "scope"]), ["source", "scope"], "left")
+
+
+def status(scopes: DataFrame, runs: DataFrame, heads: DataFrame, messages: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(part, name, value): records by kind, messages by source, open conflicts and latest runs as one table."""
+    line = lambda df, part, name, value: df.select(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+    kinds = heads.groupBy("kind").agg(F.count("*").alias("n"))
+    seen = coverage(messages, ["source"])
+    unsettled = conflicts.agg(F.count_if(F.col("resolved_at").isNull()).alias("n"))
+    fresh = freshness(scopes, runs)
+    return line(kinds, "records", F.col("kind"), F.col("n")).unionByName(line(seen, "messages", F.col("source"), F.col("n"))).unionByName(line(unsettled, "conflicts", F.lit("open"), F.col("n"))).unionByName(line(fresh, "run", F.concat_ws("/", "source", "scope"), F.coalesce("status", F.lit("never"))))
+
+
+def add_iso(df: DataFrame) -> DataFrame:
+    """Adds an ISO text for every timestamp struct at the top level."""
+    stamps = [f.name for f in df.schema.fields if getattr(f.dataType, "names", None) == ["raw", "unit", "epoch", "utc_ms"]]
+    return df.withColumns({f"{c}_iso": S.iso_utc(f"{c}.utc_ms") for c in stamps}) if stamps else df
+
+
+def budget_remaining(df: DataFrame, chars: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """Cuts texts to what is left of a budget, which a cut text uses up."""
+    before = F.coalesce(F.sum(F.char_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.greatest(F.lit(chars) - F.col("_before"), F.lit(0))
+    out = df.withColumn("_before", before).withColumn("truncated", F.char_length(F.coalesce("text", F.lit(""))) > left)
+    return out.withColumn("text", F.when(F.col("truncated"), S.clip("text", left)).otherwise(F.col("text"))).drop("_before")

@@ -207,3 +207,51 @@ def advance_delivery(exports: DataFrame, confirmed: DataFrame) -> DataFrame:
     order = Window.partitionBy("consumer").orderBy("through")
     breaks = F.sum(F.when(F.col("after") == F.coalesce(F.lag("through").over(order), F.lit(0)), 0).otherwise(1)).over(order)
     return mine.withColumn("_b", breaks).where("_b = 0").groupBy("consumer").agg(F.max("through").alias("checkpoint"))
+
+
+# --- small tables that jobs read and write whole: a row for each source, consumer or conflict
+
+
+def put_checkpoint(stored: DataFrame, new: DataFrame, by: Sequence[str] = ("source", "scope", "key")) -> DataFrame:
+    """Checkpoints with some set; a null value clears one."""
+    old = stored.join(new.select(*by), list(by), "left_anti")
+    return old.unionByName(new.where("value is not null"))
+
+
+def advance_consumer(consumers: DataFrame, consumer: str, policy: str, through: int, last: int) -> DataFrame:
+    """Consumers (consumer, policy, sequence) after a batch. A consumer keeps the policy that it began with."""
+    mine = consumers.where((F.col("consumer") == consumer) & (F.col("policy") != policy))
+    if not mine.isEmpty():
+        raise ValueError("a consumer's policy can't change")
+    row = consumers.sparkSession.createDataFrame([(consumer, policy, through)], "consumer string, policy string, sequence long")
+    return consumers.where(F.col("consumer") != consumer).unionByName(row).withColumn("has_more", F.col("sequence") < last)
+
+
+def check_parent(batch: DataFrame, head: DataFrame) -> DataFrame:
+    """(problem) rows where a feed batch doesn't follow the last one applied: both tables have one row for each producer."""
+    h = head.select("producer", F.col("sequence").alias("h_seq"), F.col("archive_id").alias("h_id"), F.col("sha256").alias("h_sha"))
+    t = batch.join(h, "producer", "left")
+    problem = F.when(F.col("h_seq").isNull() & (F.col("after") != 0), "no earlier batch").when(F.col("after") != F.coalesce("h_seq", F.lit(0)), "gap").when(~F.col("parent_id").eqNullSafe(F.col("h_id")), "other parent").when(~F.col("parent_sha256").eqNullSafe(F.col("h_sha")), "other content")
+    return t.select("producer", problem.alias("problem")).where("problem is not null")
+
+
+def resolve_conflicts(ledger: DataFrame, decided: DataFrame, at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, heads to set, branches to accept). decided: (conflict_id, keep): a content conflict keeps a digest, a
+    branch conflict is accepted, any other is acknowledged."""
+    t = ledger.join(decided, "conflict_id", "left")
+    now = t.withColumn("resolved_at", F.when(F.col("resolved_at").isNull() & F.col("keep").isNotNull(), F.lit(at)).otherwise(F.col("resolved_at")))
+    chosen = t.where("resolved_at is null and keep is not null")
+    return now.select(*ledger.columns), chosen.where("kind = 'content'").select("urn", F.col("keep").alias("digest")), chosen.where("kind = 'branch'").select(F.col("urn").alias("archive_id"))
+
+
+def identity_event(last: DataFrame, current: DataFrame) -> DataFrame:
+    """The identity event, only if what it says has changed. Both: (data) of one row."""
+    return current.join(last.select(F.col("data").alias("_l")), F.col("data") == F.col("_l"), "left_anti")
+
+
+def revisions_of(revisions: DataFrame, urns: DataFrame) -> DataFrame:
+    return revisions.join(urns.select("urn"), "urn", "left_semi").orderBy("urn", F.desc("observed_at"), "digest")
+
+
+def identities_of_person(links: DataFrame, people: DataFrame, states: Sequence[str] = ("confirmed", "suggested")) -> DataFrame:
+    return links.where(F.col("state").isin(*states)).join(people.select(F.col("urn").alias("person_urn")), "person_urn", "left_semi").select("person_urn", "identity_urn").distinct()
