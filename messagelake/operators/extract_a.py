@@ -161,7 +161,7 @@ def group_change_events(changes: DataFrame) -> DataFrame:
     distinct list an extended one, and equal lists are one event."""
     t = changes.select("Z_PK", S.group_event_key("ZGROUPJID", F.col("ZCHANGEDATE").cast("string"), F.col("ZCHANGETYPE").cast("string")).alias("base"), S.member_list("ZMEMBERJIDS").alias("members"))
     lists = t.groupBy("base", "members").agg(F.min("Z_PK").alias("first"), F.sort_array(F.collect_list("Z_PK")).alias("row_ids"))
-    holder = F.first("members").over(Window.partitionBy("base").orderBy(F.col("first").asc_nulls_last()))
+    holder = F.first("members").over(Window.partitionBy("base").orderBy(F.col("first").asc_nulls_last(), "members"))
     return lists.withColumn("holder", holder).select(F.when(F.col("members") == F.col("holder"), F.col("base")).otherwise(S.extended_key(F.col("base"), F.col("members"))).alias("key"), "row_ids", "members")
 
 

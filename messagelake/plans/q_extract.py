@@ -77,7 +77,7 @@ def x8(spark, sf):
 
 
 @query("x12_group_change_events", """WITH c AS (SELECT 'g' || l_suppkey % 20 || '@g.us' AS g, l_linenumber AS d, l_orderkey * 10 + l_linenumber AS pk, CASE WHEN l_quantity > 25 THEN 'a@lid,b@lid' ELSE 'c@lid' END AS m FROM lineitem),
-  u AS (SELECT g, d, m, min(pk) AS first, count(*) AS n FROM c GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY g, d ORDER BY first) AS r FROM u)
+  u AS (SELECT g, d, m, min(pk) AS first, count(*) AS n FROM c GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY g, d ORDER BY first, m) AS r FROM u)
   SELECT '["groupchange","' || g || '","' || d || '","2"' || CASE WHEN r = 1 THEN ']' ELSE ',"' || m || '"]' END AS key, n FROM h""")
 def x12(spark, sf):
     t = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Z_PK"), F.lit("2").alias("ZCHANGETYPE"), F.col("l_linenumber").cast("string").alias("ZCHANGEDATE"), F.concat(F.lit("G"), F.col("l_suppkey") % 20, F.lit("@g.us")).alias("ZGROUPJID"), F.when(F.col("l_quantity") > 25, "A@lid; b@lid").otherwise(",C@lid").alias("ZMEMBERJIDS"))
