@@ -133,7 +133,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
 
-@query("op2_quotes")
+OP2_SQL = r"""
+WITH RECURSIVE base AS (SELECT conv_id AS conv, turn, role, coalesce(text, '') AS text FROM conversations),
+ln AS (SELECT conv, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT conv, turn, string_split_regex(text, '\r?\n') AS ls FROM base)),
+lv AS (SELECT *, length(m) - length(replace(m, '>', '')) AS level, trim(regexp_replace(lower(substr(line, length(m) + 1)), '\s+', ' ', 'g')) AS said,
+  regexp_matches(line, '(?i)^\s*(on\b.*\bwrote|.*\b(schrieb|a écrit|escribió)\b.*)\s*:\s*$') AS intro FROM (SELECT *, regexp_extract(line, '^[ \t]?(?:>[ \t]?)+') AS m FROM ln)),
+rn AS (SELECT *, sum(step) OVER (PARTITION BY conv, turn ORDER BY pos) AS run FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv, turn ORDER BY pos) THEN 0 ELSE 1 END AS step FROM lv WHERE said <> '' AND NOT intro)),
+ps AS (SELECT conv, turn, level, run, min(pos) AS lo, string_agg(said, ' ' ORDER BY pos) AS said FROM rn WHERE level > 0 GROUP BY conv, turn, level, run),
+own AS (SELECT conv, turn, string_agg(line, chr(10) ORDER BY pos) AS body FROM lv WHERE level = 0 AND NOT intro GROUP BY conv, turn),
+un AS (SELECT DISTINCT conv, turn, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS unit FROM (SELECT conv, turn, unnest(list_concat(string_split(body, chr(10)), list_concat(string_split_regex(body, '\n[ \t]*\n'), [body]))) AS raw FROM own)),
+sr AS (SELECT ps.conv, ps.turn, ps.level, ps.lo, max(un.turn) AS source FROM ps LEFT JOIN un ON un.conv = ps.conv AND un.turn < ps.turn AND un.unit = ps.said GROUP BY ps.conv, ps.turn, ps.level, ps.run, ps.lo),
+q AS (SELECT conv, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, lo) FILTER (level = 1 AND source IS NOT NULL) AS parent_turn FROM sr GROUP BY conv, turn),
+pt AS (SELECT b.conv, b.turn, [b.turn] AS path FROM base b LEFT JOIN q ON q.conv = b.conv AND q.turn = b.turn WHERE parent_turn IS NULL
+  UNION ALL SELECT q.conv, q.turn, list_append(pt.path, q.turn) FROM pt JOIN q ON q.conv = pt.conv AND q.parent_turn = pt.turn)
+SELECT b.conv AS conv_id, b.turn, b.role, row_number() OVER (PARTITION BY b.conv ORDER BY path) AS position, CAST(len(path) - 1 AS INTEGER) AS depth, parent_turn,
+  coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, sha256(regexp_replace(coalesce(body, ''), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g')) AS body_sha256
+FROM base b JOIN pt ON pt.conv = b.conv AND pt.turn = b.turn LEFT JOIN q ON q.conv = b.conv AND q.turn = b.turn LEFT JOIN own ON own.conv = b.conv AND own.turn = b.turn
+"""
+
+
+@query("op2_quotes", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return out.select("conv_id", "turn", "role", "position", "depth", "parent_turn", "n_quotes", "n_linked", F.sha2("body", 256).alias("body_sha256"))

@@ -10,7 +10,7 @@ import pytest
 pytest.importorskip("messagelake.llm.common")
 from pyspark.sql import functions as F  # noqa: E402
 
-from messagelake.llm import near_dedup, neighbours, quotes, suffix_dedup  # noqa: E402
+from messagelake.llm import near_dedup, neighbours, queries, quotes, suffix_dedup  # noqa: E402
 from messagelake.llm.common import components  # noqa: E402
 
 COLUMNS = "doc_id long, text string, id long, doc long, body string, tokens string"
@@ -187,3 +187,10 @@ def test_quotes(spark):
     two = sorted((r.turn, r.position, r.body) for r in rows if r.conv_id == 2)
     assert two == [(0, 1, "Where is the station?"), (1, 2, ""), (1, 3, "")]
     assert quotes.link_quotes(df.limit(0)).count() == 0
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("conversations", df.where("conv_id is not null").dropDuplicates().select("conv_id", "turn", "role", "text").toPandas())
+    want = con.sql(f"SELECT conv_id, turn, position, depth, coalesce(parent_turn, -1), n_quotes, n_linked, body_sha256 FROM ({queries.OP2_SQL})").fetchall()
+    own = quotes.link_quotes(df.where("conv_id is not null").dropDuplicates()).withColumn("sha", F.sha2("body", 256))
+    assert sorted(want) == sorted((r.conv_id, r.turn, r.position, r.depth, -1 if r.parent_turn is None else r.parent_turn, r.n_quotes, r.n_linked, r.sha) for r in own.collect())
