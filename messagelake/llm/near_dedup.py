@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ from .textscan import FOLD, NOT_SPACE, mix, powers, prefix, runs, stretch
 
 #: Minwise tokens of a set, each of 16 bits: the low bytes serve to compare, both to branch.
 TOKENS = 128
-#: Independent trees. Two sets of similarity 0.8 meet in one tree with a chance of at least 0.37, so 24 miss 1 in 60,000.
-TREES = 24
-#: Sets that a node compares exhaustively, at most; larger nodes branch, down to DEPTH levels.
+#: Independent trees. Two sets of similarity 0.8 are together at level 3 of one tree with a chance of 0.375, so 24 miss 1 in
+#: 60,000 there; the chance falls to 0.12 at level 12, and sets that are dealt further than SURE levels get more trees.
+TREES, SURE, MISS = 24, 3, 1 / 60_000
+#: Sets that a node compares exhaustively, at most; larger nodes branch, down to DEPTH levels, or are gathered whole.
 SMALL, DEPTH = 2048, 12
 #: Share of equal tokens from which two sets are taken for a family: five standard deviations below the threshold.
 ALIKE = 0.62
@@ -129,9 +131,8 @@ class Union:
         return True
 
 
-def _alike(nodes: DataFrame, small: int) -> DataFrame:
-    """(a, b): for each node edges that connect what its pairs of alike sets connect. A node above `small`, which DEPTH levels
-    couldn't part, is compared in chunks of sets sorted by their tokens, each chunk with the node's first set."""
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b): for each node edges that connect what its pairs of alike sets connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "path", 20_000):
@@ -141,16 +142,12 @@ def _alike(nodes: DataFrame, small: int) -> DataFrame:
             end = np.append(begin[1:], len(path))
             pairs = []
             size = end - begin
-            for own in np.unique(size[(size > 1) & (size <= small)]).tolist():
+            for own in np.unique(size[size > 1]).tolist():
                 i, j = np.triu_indices(own, 1)
                 blocks = begin[size == own]
                 for k in range(0, len(blocks), max(1, 100_000 // len(i))):
                     low = blocks[k : k + max(1, 100_000 // len(i)), None]
                     pairs.append(_likely((low + i).ravel(), (low + j).ravel(), tokens))
-            for k in np.flatnonzero(size > small).tolist():
-                for chunk in _chunks(np.arange(begin[k], end[k]), tokens, small):
-                    i, j = np.triu_indices(len(chunk), 1)
-                    pairs.append(_likely(chunk[i], chunk[j], tokens))
             found = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
             label = clusters(len(path), found[0], found[1])
             moved = np.flatnonzero(label != np.arange(len(path)))
@@ -159,6 +156,33 @@ def _alike(nodes: DataFrame, small: int) -> DataFrame:
     return nodes.mapInArrow(run, "a binary, b binary")
 
 
+def _near_first(nodes: DataFrame) -> DataFrame:
+    """(path, sid, first, alike): each set of a node beside the node's smallest, and whether the two are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alike = (_bytes(batch["tokens"]) == _bytes(batch["first_tokens"])).sum(1, dtype=np.uint8) >= ALIKE * TOKENS
+                yield pa.RecordBatch.from_arrays([batch["path"], batch["sid"], batch["first"], pa.array(alike)], ["path", "sid", "first", "alike"])
+
+    first = nodes.groupBy("path").agg(F.min(F.struct("sid", "tokens")).alias("low"))
+    first = first.select("path", F.col("low.sid").alias("first"), F.col("low.tokens").alias("first_tokens"))
+    return nodes.join(first, "path").select("path", "sid", "tokens", "first", "first_tokens").mapInArrow(run, "path long, sid binary, first binary, alike boolean")
+
+
+def _more_roots(sets: DataFrame, begin: int, end: int) -> DataFrame:
+    """(path, sid) under which the trees begin to end - 1 start, each with one token of 16 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = np.arange(begin, end, dtype=np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                path = mix(mix(tree + np.uint64(0x6A09)) ^ _tokens(batch)[:, np.arange(begin, end) % TOKENS])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64).ravel()), batch["sid"].take(pa.array(np.repeat(np.arange(batch.num_rows), end - begin)))], ["path", "sid"])
+
+    return sets.mapInArrow(run, "path long, sid binary")
+
+
 def _likely(a: np.ndarray, b: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     good = [np.flatnonzero((tokens[a[k : k + 50_000]] == tokens[b[k : k + 50_000]]).sum(1, dtype=np.uint8) >= ALIKE * TOKENS) + k for k in range(0, len(a), 50_000)]
     good = np.concatenate(good) if good else np.zeros(0, np.int64)
@@ -177,26 +201,54 @@ def clusters(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _chunks(rows: np.ndarray, tokens: np.ndarray, small: int) -> list[np.ndarray]:
-    rows = rows[np.lexsort(tokens[rows][:, :8].T)]
-    return [np.unique(np.append(rows[k : k + small], rows[0])) for k in range(0, len(rows), small - 1)]
+def meeting(depth: int, threshold: float) -> float:
+    """The chance that two sets of the threshold's similarity are still together at a level of one tree."""
+    equal, chance = round(threshold * TOKENS), 1.0
+    for _ in range(depth - 1):
+        chance = 1 - (1 - chance / (threshold * TOKENS)) ** equal
+    return threshold * chance
+
+
+def trees_for(depth: int, threshold: float) -> int:
+    """Trees of so many levels that miss two sets of the threshold's similarity with a chance below MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - meeting(depth, threshold)))
 
 
 def _candidates(sets: DataFrame, threshold: float, trees: int, small: int) -> DataFrame:
-    """Edges (a, b) between sets that pairs of alike sets in a small node of a tree connect."""
-    found = None
-    level = sets.select(F.explode("roots").alias("path"), "sid")
-    for depth in range(1, DEPTH + 1):
+    """Edges (a, b) between sets that pairs of alike sets in a node of a tree connect. Sets that the trees deal further
+    than SURE levels get as many trees more as the levels reached need."""
+    found, deep, depth = _grown(sets.select(F.explode("roots").alias("path"), "sid"), sets, threshold, small, DEPTH)
+    if deep is not None:
+        more = _more_roots(deep.join(sets.select("sid", "tokens", "high"), "sid"), trees, trees + trees_for(depth, threshold))
+        found = found.union(_grown(more, sets, threshold, small, depth)[0])
+    return found
+
+
+def _grown(level: DataFrame, sets: DataFrame, threshold: float, small: int, most: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(edges, sets dealt further than SURE levels, levels): small nodes are compared exhaustively. A large node is one
+    family at once if half of its sets are alike its first, or if it is left at the last level: a family is confirmed
+    on full sets, so what is gathered too much costs time and no link. Other large nodes branch."""
+    found, deep = None, None
+    for depth in range(1, most + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         nodes = kept(level.join(sizes, "path"))
-        leaf = nodes if depth == DEPTH else nodes.where(F.col("size") <= small)
-        pairs = _alike(leaf.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens").repartition("path").sortWithinPartitions("path"), small).distinct()
+        leaf = nodes.where(F.col("size") <= small)
+        pairs = _alike(leaf.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens").repartition("path").sortWithinPartitions("path")).distinct()
         found = pairs if found is None else found.union(pairs)
         large = nodes.where(F.col("size") > small)
-        if depth == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
-        level = _branches(large.join(sets.select("sid", "tokens", "high"), "sid").select("path", "sid", "tokens", "high"), depth, 1 / (threshold * TOKENS)).distinct()
-    return found
+        near = kept(_near_first(large.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens")))
+        share = near.groupBy("path").agg(F.avg(F.col("alike").cast("int")).alias("share"))
+        near = near.join(share, "path").withColumn("family", F.lit(depth == most) | (F.col("share") >= 0.5))
+        found = found.union(near.where("(family or alike) and sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct())
+        rest = near.where("not family").select("path", "sid")
+        if depth == most or rest.isEmpty():
+            break
+        if depth == SURE:
+            deep = rest.select("sid").distinct()
+        level = _branches(rest.join(sets.select("sid", "tokens", "high"), "sid").select("path", "sid", "tokens", "high"), depth, 1 / (threshold * TOKENS)).distinct()
+    return found, deep, depth
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:

@@ -80,6 +80,28 @@ def test_near_duplicates_equal_brute_force(spark, k, small, family):
         assert row.kept == (row.doc_id == row.component_id)
 
 
+def test_a_node_left_large_loses_no_pair(spark, monkeypatch):
+    r = random.Random(5)
+    common, texts = [f"c{k}" for k in range(150)], []
+    for pair in range(40):
+        own = [f"p{pair}w{k}" for k in range(150)]
+        texts += [" ".join([*common, *edited(r, own, 3)]) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = near_dedup._profiles(rows, 4, 1).withColumn("roots", F.array(F.lit(0).cast("long"))).cache()
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    name = {bytes(x.sid): x.id for x in sets.select("id", "sid").collect()}
+    up = near_dedup.Union(len(texts))
+    for edge in near_dedup._candidates(sets, 0.8, 1, 6).collect():
+        up.join(name[bytes(edge.a)], name[bytes(edge.b)])
+    assert [k for k in range(0, len(texts), 2) if up.find(k) != up.find(k + 1)] == []
+
+
+def test_trees_follow_the_depth_reached():
+    assert near_dedup.trees_for(near_dedup.SURE, 0.8) <= near_dedup.TREES
+    for depth in range(near_dedup.SURE, near_dedup.DEPTH + 1):
+        assert (1 - near_dedup.meeting(depth, 0.8)) ** near_dedup.trees_for(depth, 0.8) <= near_dedup.MISS
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
