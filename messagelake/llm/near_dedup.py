@@ -22,7 +22,7 @@ TREES, SURE, MISS = 24, 3, 1 / 60_000
 SMALL, DEPTH = 2048, 12
 #: Share of equal tokens from which two sets are taken for a family: five standard deviations below the threshold.
 ALIKE = 0.62
-#: Distinct sets of a family that one task confirms; larger families are cut by further tokens.
+#: Distinct sets of a family that are confirmed together; larger families are dealt into blocks that meet in pairs.
 FAMILY = 4000
 
 
@@ -253,6 +253,7 @@ def _grown(level: DataFrame, sets: DataFrame, threshold: float, small: int, most
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) links of families, b the smallest id that links of the family reach: members are (family, id, tokens, content), complete families together.
+    With (side, label) also: only sets of different sides meet, and those of one label are linked already.
 
     Pairs are tried in the order of their likeness and confirmed on their full sets, unless links found before
     connect them already; so every link between two sets joins them, and no family is written out as pairs.
@@ -264,12 +265,13 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
             ids = table["id"].to_numpy()
             tokens = _bytes(table["tokens"])
             sets = [np.frombuffer(x, np.uint64) for x in table["content"].to_pylist()]
+            met = [table[c].to_numpy() for c in ("side", "label")] if "label" in table.column_names else None
             begin = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]]))
             out_a, out_b = [], []
             for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(family)], strict=True):
                 order = low + np.argsort(ids[low:high], kind="stable")
-                for i, root in enumerate(_linked(tokens[order], [sets[k] for k in order.tolist()], percent)):
-                    if i != root:
+                for i, root in enumerate(_linked(tokens[order], [sets[k] for k in order.tolist()], percent, met and [x[order] for x in met])):
+                    if ids[order[i]] != ids[order[root]]:
                         out_a.append(ids[order[i]])
                         out_b.append(ids[order[root]])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -277,16 +279,20 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def _linked(tokens: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Of each set the first that confirmed links lead to."""
+def _linked(tokens: np.ndarray, sets: list[np.ndarray], percent: int, met: list[np.ndarray] | None = None) -> list[int]:
+    """Of each set the first that confirmed links lead to; met are the sets' sides and labels."""
     n, union = len(sets), Union(len(sets))
+    if met:
+        for i, first in enumerate(np.unique(met[1], return_index=True)[1][np.unique(met[1], return_inverse=True)[1]].tolist()):
+            union.join(first, i)
     size = np.array([len(s) for s in sets])
     at, likeness = [], []
     for i in range(n - 1):
         rest = tokens[i + 1 :]
         same = np.concatenate([(rest[k : k + 20_000] == tokens[i]).mean(1, dtype=np.float32) for k in range(0, len(rest), 20_000)])
         small, large = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-        good = np.flatnonzero((same >= ALIKE) & (100 * small >= percent * large))
+        good = (same >= ALIKE) & (100 * small >= percent * large)
+        good = np.flatnonzero(good & (met[0][i + 1 :] != met[0][i]) & (met[1][i + 1 :] != met[1][i]) if met else good)
         at.append(np.stack([np.full(len(good), i), good + i + 1], 1))
         likeness.append(same[good])
     if at:
@@ -306,9 +312,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     1. Equal sets are one set. 2. Each tree deals the sets out by one minwise token, and goes on dealing large
     nodes by tokens that each node chooses with a chance of 1 / (threshold * tokens), so alike sets stay together
     in some branch and others part. Small nodes are compared exhaustively on their tokens. 3. What is alike is
-    gathered to families by connected components. 4. In each family links are confirmed on the full sets. Nodes
-    and families have bounded sizes, and each passes on a spanning forest and not its pairs. A family of more than
-    `family` sets is dealt out again, in as many ways as there are trees, by its sets' tokens.
+    gathered to families by connected components. 4. In each family links are confirmed on the full sets. Each
+    node and family passes on a spanning forest and not its pairs. A family of more than `family` sets is dealt into
+    blocks of half as many, and no task holds more than two of its blocks together.
 
     Null texts and texts without words have an empty set, no links and themselves as component. Rows that repeat
     an id share its smallest component's links by their own texts. A null id is never a representative if another
@@ -332,8 +338,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     columns = ["family", "id", "tokens", "content"]
     links = _confirmed(whole.select(columns).repartition("family").sortWithinPartitions("family"), percent)
     if not members.where(F.col("size") > family).isEmpty():
-        parts = _recut(full.where(F.col("size") > family), trees, family)
-        links = components(links.union(_confirmed(parts.repartition("family").sortWithinPartitions("family"), percent))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = components(links.union(_by_blocks(full.where(F.col("size") > family), family, percent))).select(F.col("node").alias("a"), F.col("root").alias("b"))
     linked = links.select(F.col("a").alias("n_id"), F.col("b").alias("n_root"))
     named = sets.select("sid", "id").join(linked, F.col("id") == F.col("n_id"), "left").select(F.col("sid").alias("s_sid"), F.coalesce("n_root", "id").alias("component_id"))
     out = profiles.select("id", "n_shingles", "sid").join(named, F.col("sid") == F.col("s_sid"), "left")
@@ -341,26 +346,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _recut(full: DataFrame, trees: int, most: int) -> DataFrame:
-    """Large families by pairs of tokens instead: each set is in as many parts as there are trees, and so meets what is
-    linked to it in one of them; sets of a part are split by ranges of further tokens where it is still too large."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                t = _bytes(batch["tokens"]).astype(np.uint64)
-                n = batch.num_rows
-                salt = np.clip(np.log2(np.maximum(1, batch["size"].to_numpy() / most)).astype(int) + 1, 1, 4)
-                ways = trees * 4
-                part = np.zeros((n, ways), np.uint64) + mix(batch["family"].to_numpy().astype(np.int64).view(np.uint64))[:, None]
-                for k in range(4):
-                    more = mix(t[:, (np.arange(ways) * 5 + k * 31) % TOKENS] + np.uint64(k))
-                    part = np.where((salt > k)[:, None], mix(part ^ more), part)
-                part = mix(part + np.arange(ways, dtype=np.uint64))
-                take = pa.array(np.repeat(np.arange(n), ways))
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64).ravel()), *(batch[c].take(take) for c in ("id", "tokens", "content"))], ["family", "id", "tokens", "content"])
-
-    return full.mapInArrow(run, "family long, id long, tokens binary, content binary")
+def _by_blocks(full: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links of large families, dealt by hash into blocks of about most / 2 sets: each block is confirmed by itself and
+    then with the family's first block. What is not yet in the family's largest component is dealt into blocks of its
+    own, and each of them meets every block of the family. So all pairs have met that were not linked already."""
+    half = max(1, most // 2)
+    cut = full.withColumn("blocks", F.ceil(F.col("size") / half)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    cut = kept(cut.select("family", "id", "tokens", "content", "blocks", "block"))
+
+    def confirmed(parts: DataFrame, *by: str) -> DataFrame:
+        others = [c for c in ("side", "label") if c in parts.columns]
+        parts = parts.select(F.xxhash64("family", *by).alias("family"), "id", "tokens", "content", *others)
+        return kept(_confirmed(parts.repartition("family").sortWithinPartitions("family"), percent))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("r_id"), "root")
+        return cut.join(roots, F.col("id") == F.col("r_id"), "left").withColumn("label", F.coalesce("root", "id")).drop("r_id", "root")
+
+    links = confirmed(cut, "block")
+    sides = labelled(links).withColumn("side", (F.col("block") == 0).cast("int"))
+    parts = F.when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    links = links.union(confirmed(sides.withColumn("part", F.explode(parts)), "part"))
+
+    now = labelled(links)
+    sizes = now.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    main = main.where("rest > 0").withColumn("groups", F.ceil(F.col("rest") / half))
+    now = now.join(main, "family")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = now.where("label != main").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), "groups")).withColumn("part", upto("blocks")).withColumn("side", F.lit(0))
+    every = now.withColumn("group", upto("groups")).withColumn("part", F.col("block")).withColumn("side", F.lit(1))
+    return links.union(confirmed(rest.unionByName(every), "group", "part"))
 
 
 def _contents(texts: DataFrame, k: int) -> DataFrame:

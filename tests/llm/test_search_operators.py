@@ -102,6 +102,22 @@ def test_trees_follow_the_depth_reached():
         assert (1 - near_dedup.meeting(depth, 0.8)) ** near_dedup.trees_for(depth, 0.8) <= near_dedup.MISS
 
 
+def test_parts_of_a_large_family_are_bounded(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"b{k}" for k in range(200)]
+    texts = [" ".join(edited(r, words, 1)) for _ in range(400)] + [" ".join(edited(r, words, 9)) for _ in range(60)]
+    sets, largest, confirmed = sets_of(texts, 4), [], near_dedup._confirmed
+
+    def seen(members, percent):
+        largest.append(members.groupBy("family").count().agg(F.max("count")).first()[0] or 0)
+        return confirmed(members, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", seen)
+    rows = near_dedup.near_duplicates(frame(spark, texts), shingle_words=4, family=100).collect()
+    assert {x.doc_id: x.component_id for x in rows} == brute_components(list(range(len(texts))), sets, 80)
+    assert 0 < max(largest) <= 2 * 50 * 1.5
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
