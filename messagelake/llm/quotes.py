@@ -18,7 +18,8 @@ def _level(line: Column) -> Column:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, th, level, lo, hash1, hash2): runs of lines of one quote level, their text normalised and hashed.
+    """(conv, turn, th, level, lo, h1, h2, n, start): runs of lines of one quote level, their text normalised and hashed;
+    n counts the lines, start is the hash of the first.
 
     Normalised: without marks, white space as single spaces, lower-cased. Blank lines neither cut a run nor count;
     an introduction above a quote belongs to no run.
@@ -31,7 +32,7 @@ def _passages(messages: DataFrame) -> DataFrame:
     lines = lines.withColumn("run", F.sum(F.when(F.col("level") == F.lag("level").over(order), 0).otherwise(1)).over(order))
     runs = lines.groupBy("conv", "turn", "th", "run", "level").agg(F.min("pos").alias("lo"), F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("said"))
     text = F.array_join(F.transform("said", lambda x: x["said"]), " ")
-    return runs.select("conv", "turn", "th", "level", "lo", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    return runs.select("conv", "turn", "th", "level", "lo", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.size("said").alias("n"), F.xxhash64(F.col("said")[0]["said"]).alias("start"))
 
 
 def _own_units(messages: DataFrame) -> DataFrame:
@@ -44,6 +45,20 @@ def _own_units(messages: DataFrame) -> DataFrame:
     return found.select("conv", "turn", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2")).distinct()
 
 
+def _own_spans(messages: DataFrame, starts: DataFrame) -> DataFrame:
+    """(conv, turn, h1, h2): runs of a message's own lines without the blank ones, hashed as passages are; of so many
+    lines and from such first lines as the starts (conv, start, n) name."""
+    own = F.filter(F.split("text", "\r?\n", -1), lambda x: (_level(x) == 0) & ~x.rlike(INTRODUCTION))
+    said = F.filter(F.transform(own, lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
+    lines = messages.select("conv", "turn", "th", F.posexplode(said).alias("pos", "line"))
+    found = lines.select("conv", "turn", "th", "pos", F.xxhash64("line").alias("start")).join(starts, ["conv", "start"])
+    found = found.groupBy("conv", "turn", "th").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+    whole = messages.select("conv", "turn", "th", said.alias("said")).join(found, ["conv", "turn", "th"])
+    whole = whole.select("conv", "turn", "said", F.explode("spans").alias("span")).where(F.col("span.pos") + F.col("span.n") <= F.size("said"))
+    text = F.array_join(F.slice("said", F.col("span.pos") + 1, F.col("span.n")), " ")
+    return whole.select("conv", "turn", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
 def without_quotes(text: Column) -> Column:
     """What a message says itself: no quoted lines, no introductions, no blank lines at the ends."""
     own = F.filter(F.split(text, "\r?\n", -1), lambda x: (_level(x) == 0) & ~x.rlike(INTRODUCTION))
@@ -55,7 +70,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     Returns (conv_id, turn, role, text, body, n_quotes, n_linked, parent_turn, depth, position), one row per message.
     A quoted passage of level 1 is looked up among what earlier messages of the conversation say themselves, as a
-    line, a paragraph or a whole; the latest that says it is meant, and the last of a message's linked passages
+    line, a paragraph, a whole or any lines that follow each other, blank ones apart; the latest that says it is meant, and the last of a message's linked passages
     names its parent. Deeper levels count as linked if some earlier message of the conversation says them. Messages
     without a parent are roots; each is followed by its replies, depth first, by turn.
 
@@ -71,7 +86,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quoting = base.where(F.col("text").rlike("(?m)" + MARKS))
     quotes = kept(_passages(quoting).where("level > 0"))
     wanted = quotes.select("conv", "h1", "h2").distinct()
-    units = _own_units(base).join(wanted, ["conv", "h1", "h2"], "left_semi")
+    units = _own_units(base)
+    starts = quotes.where("n > 1").select("conv", "start", "n").distinct()
+    if not starts.isEmpty():
+        units = units.union(_own_spans(base, starts))
+    units = units.join(wanted, ["conv", "h1", "h2"], "left_semi")
     key = ["conv", "h1", "h2"]
     told = units.groupBy(*key).agg(F.sort_array(F.collect_set("turn")).alias("turns"))
     earlier = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))

@@ -232,3 +232,28 @@ def test_quotes(spark):
     want = con.sql(f"SELECT conv_id, turn, position, depth, coalesce(parent_turn, -1), n_quotes, n_linked, body_sha256 FROM ({queries.OP2_SQL})").fetchall()
     own = quotes.link_quotes(df.where("conv_id is not null").dropDuplicates()).withColumn("sha", F.sha2("body", 256))
     assert sorted(want) == sorted((r.conv_id, r.turn, r.position, r.depth, -1 if r.parent_turn is None else r.parent_turn, r.n_quotes, r.n_linked, r.sha) for r in own.collect())
+
+
+def test_quotes_of_parts_equal_brute_force(spark):
+    r = random.Random(21)
+    talk, own = [], {}
+    for conv in range(16):
+        for turn in range(12):
+            lines = [r.choice(["One line.", "Another  line", "Last line", f"Said in {conv} at {turn}", ""]) for _ in range(r.randrange(1, 7))]
+            own[conv, turn] = [" ".join(x.lower().split()) for x in lines if x]
+            quote = []
+            if turn and r.random() < 0.8:
+                told = own[conv, r.randrange(turn)]
+                low = r.randrange(len(told) + 1)
+                quote = told[low : low + r.randrange(1, 5)]
+                quote += ["nobody said so"] if r.random() < 0.1 else []
+            talk.append((conv, turn, "user", "\n".join([*(f"> {x}" + r.choice(["", "\n>"]) for x in quote), *lines]), quote))
+    want, parts = {}, 0
+    for conv, turn, _, _, quote in talk:
+        holds = [t for t in range(turn) if any(own[conv, t][k : k + len(quote)] == quote for k in range(len(own[conv, t])))] if quote else []
+        want[conv, turn] = max(holds, default=None)
+        parts += len(holds) > 0 and len(quote) > 1
+    assert parts > 10
+    rows = quotes.link_quotes(spark.createDataFrame([t[:4] for t in talk], "conv_id long, turn long, role string, text string")).collect()
+    assert {(x.conv_id, x.turn): x.parent_turn for x in rows} == want
+    assert all(x.n_linked == (want[x.conv_id, x.turn] is not None) for x in rows)
