@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that the rotation and the radius are fitted on, at most; those with the smallest hashes of their ids.
-FIT_ROWS = 10_000
-#: Share of true neighbours, within the fitted sample, that the radius must reach.
-TARGET = 0.97
-#: Vectors of an index block and queries of a query block, about: both are dealt out by a hash.
-INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
-SUBSTRING = 8
+from .common import kept
 
-_BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Vectors that the rotations and the radius are fitted on, at most; those with the smallest hashes of their ids.
+FIT_ROWS = 10_000
+#: Share of true neighbours, within the fitted sample, that the probes must reach.
+TARGET = 0.95
+#: Bits of a code and of a substring; an index has a table of 2**16 values for each substring.
+BITS, SUBSTRING = 384, 16
+#: Numbers (rows times dimensions) of an index block, at most, and blocks that a small table is dealt into for its tasks.
+BLOCK_FLOATS, LEAST_BLOCKS, LEAST_ROWS = 1 << 22, 16, 8192
 
 
 @dataclass
@@ -30,8 +33,8 @@ class Coder:
     radius: int
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes as bytes, one for each substring. Inner products order as angles once all items have one length; the
-        query is the same vector with nothing added, so its bits compare with the items'."""
+        """Codes as 16-bit substrings. Inner products order as angles once all items have one length; the query is the
+        same vector with nothing added, so its bits compare with the items'."""
         extra = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return self._bits(np.concatenate([x, extra[:, None]], 1))
 
@@ -39,107 +42,150 @@ class Coder:
         return self._bits(np.concatenate([x, np.zeros((len(x), 1))], 1) * (self.longest / np.maximum(np.linalg.norm(x, axis=1), 1e-300))[:, None])
 
     def _bits(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1)
+        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1).view(np.uint16)
+
+    def reach(self) -> list[int]:
+        """How far each substring is probed. Radius m * r + a: of m substrings one of the first a + 1 is within r of the
+        query's, or one of the others within r - 1; so these probes retrieve every code within the radius."""
+        m = self.rotation.shape[1] // SUBSTRING
+        r, a = divmod(min(self.radius, SUBSTRING * m), m)
+        return [min(r if j <= a else r - 1, SUBSTRING) for j in range(m)]
 
 
-def fit_coder(x: np.ndarray, longest: float, top: int, target: float = TARGET, rounds: int = 25, probes: int = 200) -> Coder:
-    """Principal directions, turned until their signs lose least (iterative quantisation), to whole bytes of bits; then
-    the smallest radius with which the sample's own nearest are retrieved to the target share."""
+def learned_rotation(centred: np.ndarray, bits: int, rounds: int, r: np.random.Generator) -> np.ndarray:
+    """Principal directions turned until their signs lose least (iterative quantisation); as many turns, each from a start
+    of its own, as give so many bits."""
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]  # directions, largest spread first
+    base = axes[:, : min(bits, axes.shape[1])]
+    turned, parts = centred @ base, []
+    while sum(p.shape[1] for p in parts) < bits:
+        rotation = np.linalg.qr(r.normal(size=(base.shape[1], base.shape[1])))[0]
+        for _ in range(rounds):
+            u, _, v = np.linalg.svd(np.sign(turned @ rotation).T @ turned)
+            rotation = (u @ v).T
+        parts.append(base @ rotation)
+    return np.concatenate(parts, 1)[:, :bits]
+
+
+def fit_coder(x: np.ndarray, longest: float, top: int, target: float = TARGET, bits: int = BITS, rounds: int = 15, probes: int = 200) -> Coder:
+    """Rotations learned on a sample, and the smallest radius whose probes retrieve the target share of the sample's own
+    nearest. A table larger than the sample has nearer neighbours, so they are found more often."""
     full = np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))[:, None]], 1)
     mean = full.mean(0)
-    centred = full - mean
-    bits = -(-max(64, x.shape[1]) // SUBSTRING) * SUBSTRING
-    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]  # directions, largest spread first
-    r = np.random.default_rng(11)
-    base = axes[:, : min(bits, full.shape[1])]
-    if base.shape[1] < bits:  # fewer directions than bits: further ones at random
-        base = np.concatenate([base, np.linalg.qr(r.normal(size=(full.shape[1], full.shape[1])))[0][:, : bits - base.shape[1]]], 1) if bits <= 2 * full.shape[1] else r.normal(size=(full.shape[1], bits)) / np.sqrt(full.shape[1])
-    turned = centred @ base
-    rotation = np.linalg.qr(r.normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, v = np.linalg.svd(np.sign(turned @ rotation).T @ turned)
-        rotation = (u @ v).T
-    coder = Coder(mean, base @ rotation, longest, bits)
+    rotation = learned_rotation(full - mean, bits, rounds, np.random.default_rng(11))
+    coder = Coder(mean, rotation, longest, bits)
+    m = bits // SUBSTRING
     q = np.arange(0, len(x), max(1, len(x) // probes))
-    codes = coder.encode(x)
-    far = np.stack([_BITS[code ^ codes].sum(1, dtype=np.int64) for code in coder.encode_queries(x[q])]) if len(q) else np.zeros((0, 0), np.int64)
+    codes, asked = coder.encode(x), coder.encode_queries(x[q])
     near = x[q] @ x.T
     near[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-near, 1)[:, : min(top, max(1, len(x) - 1))]
-    wanted = np.sort(np.take_along_axis(far, best, 1).ravel())
-    coder.radius = int(wanted[min(len(wanted) - 1, int(np.ceil(target * len(wanted))))]) if len(wanted) else bits
+    far = np.bitwise_count(asked[:, None, :] ^ codes[best]).astype(np.int64)  # query, neighbour, substring
+    needed = (far * m + np.arange(m)).min(2).ravel()  # the smallest radius whose probes retrieve it
+    coder.radius = int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) if len(needed) else bits
     return coder
 
 
-def _words(codes: np.ndarray) -> np.ndarray:
-    """Codes as 64-bit words, for quick distances."""
-    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
-    padded[:, : codes.shape[1]] = codes
-    return padded.view(np.uint64)
+@functools.cache
+def _masks(reach: int) -> np.ndarray:
+    """The 16-bit numbers with so many ones at most."""
+    every = np.arange(1 << SUBSTRING, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= reach]
 
 
 class MultiIndex:
-    """The codes of a block, by the value of each substring. What a value's probes have found is kept for the next query."""
+    """The codes of a block, by the value of each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.words = codes, _words(codes)
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.begin = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-        self.probed: dict[tuple[int, int, int], np.ndarray] = {}
-
-    def probe(self, j: int, value: int, reach: int) -> np.ndarray:
-        """Which members have a substring within reach of a value: the buckets of all such values."""
-        found = self.probed.get((j, value, reach))
-        if found is None:
-            found = np.zeros(len(self.codes), bool)
-            for v in np.flatnonzero(_BITS[np.arange(256) ^ value] <= reach).tolist():
-                found[self.order[j][self.begin[j][v] : self.begin[j][v + 1]]] = True
-            self.probed[j, value, reach] = found
-        return found
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every member within the radius. Radius m * r + a: of m substrings one of the first a + 1 is within r, or one
-        of the others within r - 1; so the buckets of those values hold all, and full distances verify them."""
-        m = len(code)
-        r, a = divmod(min(radius, 8 * m), m)
-        seen = np.zeros(len(self.codes), bool)
-        for j, value in enumerate(code.tolist()):
-            reach = r if j <= a else r - 1
-            if reach >= 0:
-                seen |= self.probe(j, value, reach)
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.words[found] ^ _words(code[None])).sum(1, dtype=np.int64) <= radius]
-
-
-def nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, coder: Coder, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's nearest among a block's members in the radius, largest inner product first."""
-    index = MultiIndex(coder.encode(x))
-    out = []
-    for q, own, code in zip(queries, ids, coder.encode_queries(queries), strict=True):
-        found = index.within(code, coder.radius)
-        found = found[x_ids[found] != own]
-        rough = x[found] @ q
-        if len(found) > top:
-            edge = np.partition(rough, len(found) - top)[len(found) - top]
-            found = found[rough >= edge - 1e-9 * (1 + abs(edge))]
-        score = np.add.reduce(x[found] * q, axis=1)  # one order of adding for all, so equal vectors tie
-        order = np.lexsort((x_ids[found], -score))[:top]
-        out.append((x_ids[found[order]], score[order]))
-    return out
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.chunked_array([c.flatten() for c in column.chunks], pa.float64())
-    return flat.to_numpy().reshape(len(column), -1)
-
-
-def nearest_neighbours(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, target: float = TARGET, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's nearest by inner product in double precision, found in a radius.
-
-    Every vector is coded and indexed; only rotation and radius are fitted on a sample. The index is dealt into blocks
-    by a hash and meets the queries block by block, so a vector that a third of the rows share is spread evenly; a
-    block sends on its best for each query, no pairs. A query that has fewer than `top` in the radius is searched
-    once more with the radius of all codes.
+        self.n = len(codes)
+        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(codes.shape[1])]
+        self.begin = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING))]).astype(np.int32) for j in range(codes.shape[1])]
+
+    def probe(self, asked: np.ndarray, reach: list[int]) -> np.ndarray:
+        """Queries x members: which members some probe of a query finds. A probe looks up every value within reach of a
+        substring's."""
+        seen = np.zeros((len(asked), self.n), bool)
+        for j, r in enumerate(reach):
+            if r >= SUBSTRING:
+                seen[:] = True
+            elif r >= 0:
+                value = asked[:, j, None] ^ _masks(r)
+                low = self.begin[j][value]
+                size = self.begin[j][value.astype(np.int32) + 1] - low
+                query, at = np.nonzero(size)
+                low, size = low[query, at], size[query, at]
+                place = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                seen[np.repeat(query, size), self.order[j][place]] = True
+        return seen
+
+
+class Block:
+    """Members of the index with their codes, ids and vectors; unit-scaled copies in single precision rank roughly."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, coder: Coder):
+        self.x, self.ids, self.coder = x, ids, coder
+        self.index = MultiIndex(coder.encode(x))
+        self.rough = (x / coder.longest).astype(np.float32)
+
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, ids, scores) of each query's best among the members that its probes find. Only what single precision
+        can't rule out is scored in double."""
+        reach, slack = self.coder.reach(), np.float32(4e-7 * (queries.shape[1] + 8))
+        for low in range(0, len(queries), 64):
+            q, own = queries[low : low + 64], ids[low : low + 64]
+            seen = self.index.probe(self.coder.encode_queries(q), reach)
+            seen &= own[:, None] != self.ids
+            unit = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32)
+            for k in range(len(q)):
+                found = np.flatnonzero(seen[k])
+                if len(found) > top:
+                    near = self.rough[found] @ unit[k]
+                    found = found[near >= np.partition(near, len(found) - top)[len(found) - top] - slack]
+                score = np.add.reduce(self.x[found] * q[k], axis=1)  # one order of adding for all, so equal vectors tie
+                order = np.lexsort((self.ids[found], -score))[:top]
+                yield np.full(len(order), own[k]), self.ids[found[order]], score[order]
+
+
+def _matrix(batches: list[pa.RecordBatch]) -> np.ndarray:
+    """Vectors of one length as rows."""
+    rows = sum(b.num_rows for b in batches)
+    return np.concatenate([b["v"].flatten().to_numpy() for b in batches]).reshape(rows, -1)
+
+
+def _searched(rows: DataFrame, queries: DataFrame, coder: Coder, blocks: int, top: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each index block for each query. A task holds one block: its members come
+    first and are indexed once, then the queries pass by in batches."""
+    sent = rows.sparkSession.sparkContext.broadcast(coder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, block = [], None
+        for batch in batches:
+            asked = batch["asked"].to_numpy(zero_copy_only=False)
+            first = int(asked.argmax()) if asked.any() else len(asked)
+            if first:
+                members.append(batch.slice(0, first))
+            batch = batch.slice(first)
+            if not batch.num_rows or not members:
+                continue
+            if block is None:
+                block = Block(_matrix(members), np.concatenate([b["id"].to_numpy() for b in members]), sent.value)
+            found = list(block.nearest(_matrix([batch]), batch["id"].to_numpy(), top))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+    members = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asked"), "id", "v")
+    dealt = members.union(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "asked")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, target: float = TARGET, block_floats: int = BLOCK_FLOATS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's nearest by inner product in double precision, among those probed.
+
+    Every vector is coded and indexed; only rotations and radius are fitted on a sample. The index is dealt into blocks
+    by a hash, so a vector that a third of the rows share is spread evenly. Members are sent once, queries once to
+    each block, and a block sends on its best for each query, no pairs; the best of all blocks are ranked with partial
+    limits. The probes retrieve every code within the fitted Hamming radius, and all that they retrieve is reranked on
+    the vectors. A query that has fewer than `top` that way is searched once more with the radius of all codes.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is
     not the most frequent one. Of rows that repeat an id one vector stays, that with the smallest hash; an id is not
@@ -158,28 +204,15 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, top: int = 20, id_c
     rows = rows.where(F.size("v") == shape["n"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toPandas()
     coder = fit_coder(np.array(sample.v.tolist(), float).reshape(-1, shape["n"]), float(np.sqrt(shape["square"])) * (1 + 1e-12), top, target)
-    index_blocks, query_blocks = max(1, -(-shape["rows"] // index_block)), max(1, -(-shape["queries"] // query_block))
-
-    def search(queries: DataFrame, own: Coder) -> DataFrame:
-        sent = spark.sparkContext.broadcast(own)
-        each = F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)"))
-        items = rows.select(F.pmod(F.xxhash64("id"), F.lit(index_blocks)).cast("long").alias("ib"), each.alias("qb"), "id", "v")
-        each = F.explode(F.expr(f"sequence(0L, {index_blocks - 1}L)"))
-        asked = queries.select(each.alias("asked_ib"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(query_blocks)).cast("long").alias("asked_qb"), F.col("id").alias("query_id"), F.col("v").alias("asked"))
-
-        def block(left: pa.Table, right: pa.Table) -> pa.Table:
-            found = nearest(_matrix(right["asked"]), right["query_id"].to_numpy(), _matrix(left["v"]), left["id"].to_numpy(), sent.value, top) if left.num_rows and right.num_rows else []
-            return pa.table({"query_id": right["query_id"].combine_chunks() if found else pa.array([], pa.int64()), "ids": pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), "scores": pa.array([s.tolist() for _, s in found], pa.list_(pa.float64()))})
-
-        met = items.groupBy("ib", "qb").cogroup(asked.groupBy("asked_ib", "asked_qb")).applyInArrow(block, "query_id long, ids array<long>, scores array<double>")
-        best = F.flatten(F.collect_list(F.arrays_zip(F.transform("scores", lambda s: -s).alias("less"), F.col("ids").alias("vec_id"))))
-        return met.groupBy("query_id").agg(F.slice(F.array_sort(best), 1, top).alias("best"))
-
-    queries = rows.where("query")
-    found = search(queries, coder)
-    full = min(top, shape["rows"] - 1)
-    few = found.where(F.size("best") < full).select(F.col("query_id").alias("id"))
-    more = search(queries.join(few, "id", "left_semi"), Coder(coder.mean, coder.rotation, coder.longest, 1 << 30))
-    both = found.where(F.size("best") >= full).union(more)
-    flat = both.select("query_id", F.posexplode("best").alias("at", "x"))
-    return flat.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
+    blocks = max(1, -(-shape["rows"] * shape["n"] // block_floats), min(LEAST_BLOCKS, shape["rows"] // LEAST_ROWS))
+
+    queries = rows.where("query").select("id", "v")
+    found = kept(_searched(rows, queries, coder, blocks, top))
+    count = queries.select("id").join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    few = kept(count.where(F.coalesce("n", F.lit(0)) < min(top, shape["rows"] - 1)).select("id"))
+    if not few.isEmpty():
+        all_codes = Coder(coder.mean, coder.rotation, coder.longest, 1 << 30)
+        more = _searched(rows, queries.join(few, "id", "left_semi"), all_codes, blocks, top)
+        found = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
