@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
@@ -83,28 +83,68 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: An end of an edge is hot if more than one in so many rows names it; so there are fewer hot ones than this.
+HOT_SHARE = 50_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, total: int, least: int = 1000) -> DataFrame:
+    """rows joined with facts (key, count, ...), one for each key that rows hold; count says how many rows hold it.
+
+    Keys that more than total / HOT_SHARE of the rows hold are fewer than HOT_SHARE, so they are broadcast and their
+    rows stay where they are; only the others meet by a shuffle.
+    """
+    limit = max(least, total // HOT_SHARE)
+    hot = facts.where(F.col(count) > limit).drop(count)
+    cold = facts.where(F.col(count) <= limit).drop(count)
+    there = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(there)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root the smallest node that it reaches.
 
     Alternates large-star and small-star steps: each makes nodes point to smaller neighbours, and the work of a
-    round is in proportion to the edges. Nodes without an edge have no row. Stops when all edges lead to roots.
+    round is in proportion to the edges. Nodes without an edge have no row. Goes on until all edges lead to roots; a
+    node that many edges share is broadcast with its smallest neighbour, so its edges don't meet in one task.
     """
     now = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    for _ in range(rounds):
+    while True:
         uses = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         uses = uses.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
-        if uses.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up")))).isEmpty():
+        open_ = F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up"))))
+        state = uses.agg(open_.alias("open"), F.coalesce(F.sum("all"), F.lit(0)).alias("total")).first()
+        if not state["open"]:
             break  # every node points to a root, once
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
+        large = spread_join(both, low, "a", "n", state["total"]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = kept(large.distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = spread_join(large, low, "a", "n", state["total"])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
         now = kept(small.where("a != b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def before(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the last value that isn't null among the rows before each one, in order, of its key.
+
+    Rows are sorted by ranges; a range looks back over its own rows of a key, and the last values of the ranges before
+    are handed on. So a key that a third of the rows have is dealt over many ranges, and no window holds it whole.
+    """
+    placed = kept(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_range", *by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    ends = placed.groupBy(*by, "_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_place"))).alias("_end"))
+    handed = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(c).alias(f"_e{k}") for k, c in enumerate(by)), F.col("_range").alias("_e_range"), handed.alias("_handed"))
+    same = F.col("_range") == F.col("_e_range")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_e{k}"))
+    met = placed.withColumn("_own", own).join(ends, same)
+    return met.select(*rows.columns, F.coalesce("_own", "_handed").alias(name))
+
+
 def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> Callable:
     """For mapInArrow: applies the work to each batch."""
 

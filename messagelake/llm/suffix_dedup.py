@@ -16,6 +16,8 @@ from .textscan import mix, prefix, stretch
 #: Bytes of a string that may not occur twice; the anchor of such a string is its smallest gram of a third of the length.
 LENGTH = 100
 _PLACE = np.uint64((1 << 24) - 1)
+#: Stretches under one anchor beyond which they meet window by window; and the bits of the filter that names such anchors.
+HOT, FILTER_BITS = 20_000, 1 << 25
 
 
 # --- anchors: equal strings of `length` bytes have equal anchors, so they meet under the anchor's hash
@@ -100,6 +102,29 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc long, place long, kind byte")
 
 
+def _hot_anchors(rows: DataFrame, length: int, most: int) -> np.ndarray | None:
+    """A filter of fixed size, as bits, of anchors that more stretches have than one key should gather; counted over all
+    batches in which an anchor occurs twice. Where the filter admits other anchors too they only go the same way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch["text"])
+            found = [h >> np.uint64(16) for h, *_ in _pieces(data, at, length)]
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    part = F.shiftright(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)), 15)
+    parts = counts.groupBy(part.alias("part")).agg(F.expr(f"bitmap_construct_agg(key & {(1 << 15) - 1})").alias("bits")).collect()  # FILTER_BITS at most
+    if not parts:
+        return None
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in parts:
+        out[r["part"] << 12 : r["part"] + 1 << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _repeated(found: DataFrame) -> DataFrame:
     """(doc, place) of the anchors that occur twice or more."""
 
@@ -256,9 +281,11 @@ def later_occurrences(text: np.ndarray, wanted: np.ndarray, length: int, rank: t
 # --- the job
 
 
-def _slices(rows: DataFrame, length: int) -> DataFrame:
+def _slices(rows: DataFrame, length: int, hot: np.ndarray | None) -> DataFrame:
     """Of first texts, what may repeat: (key, doc, th, first, windows, content) under the anchor's hash. Equal slices of
-    a batch are sent once, by the earliest; the others are removed at once, and come as rows without content."""
+    a batch are sent once, by the earliest; the others are removed at once, and come as rows without content. Under a
+    hot anchor each window is a slice of its own under its own hash, so only equal windows meet."""
+    sent = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = gram_of(length)
@@ -277,17 +304,25 @@ def _slices(rows: DataFrame, length: int) -> DataFrame:
             size = np.diff(at)[text]
             inside = (first + many + length - 1 <= size) & (anchor + gram <= size)  # a repeated id may have another text
             text, first, anchor, many = text[inside], first[inside], anchor[inside], many[inside]
-            low = at[text] + first
-            h = np.zeros(len(text), np.uint64)
-            body, body2 = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
+            parts = []
             for a, b in steps(at, 1 << 20):
                 own = np.flatnonzero((text >= a) & (text < b))
                 piece = data[at[a] : at[b]]
                 sums, sums2 = prefix(piece), prefix(piece ^ 0x55)
-                s = low[own] - at[a]
-                h[own] = stretch(sums, anchor[own] + at[text[own]] - at[a], anchor[own] + at[text[own]] - at[a] + gram)
-                body[own] = stretch(sums, s, s + many[own] + length - 1)
-                body2[own] = stretch(sums2, s, s + many[own] + length - 1)
+                t, f, m = text[own], first[own], many[own]
+                s = anchor[own] + at[t] - at[a]
+                g = stretch(sums, s, s + gram)
+                is_hot = _admits(sent.value, g >> np.uint64(16))
+                if is_hot.any():
+                    one = np.repeat(np.arange(len(t)), np.where(is_hot, m, 1))
+                    turn = np.arange(len(one)) - np.searchsorted(one, one)
+                    t, f, m, g, is_hot = t[one], f[one] + turn, np.where(is_hot, 1, m)[one], g[one], is_hot[one]
+                s = at[t] + f - at[a]
+                body = stretch(sums, s, s + m + length - 1)
+                g = np.where(is_hot, mix(body), g)
+                parts.append((t, f, m, g, body, stretch(sums2, s, s + m + length - 1)))
+            text, first, many, h, body, body2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            low = at[text] + first
             order = np.lexsort((first, th[text], doc[text], many, body2, body, h))
             keys = (h[order], body[order], body2[order], many[order])
             same = np.zeros(len(order), bool)
@@ -307,6 +342,13 @@ def _slices(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc long, th long, first long, windows int, content binary")
 
 
+def _admits(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(key), bool)
+    at = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _removed(slices: DataFrame, length: int) -> DataFrame:
     """(doc, th, low, high): stretches of bytes that an earlier string covers."""
 
@@ -360,31 +402,34 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Removes each byte that lies in a string of `length` bytes which also starts earlier.
 
     Returns (id_col, n_bytes, spans of removed bytes, kept bytes, kept_sha256) for each row. Earlier is a smaller
     id, or an earlier start in the same text; strings never cross texts and are judged on the input.
     1. Each window of `length` bytes has an anchor, the smallest gram in it; only anchors that occur twice can hold
     a repeated window. 2. The stretches around those anchors meet under the anchor's hash, equal ones of a batch
-    as one. 3. Their suffixes are ordered by two-stage sorting, and neighbours with `length` bytes in common are
+    as one. A line that very many texts hold between differing neighbours has an anchor with more than `hot` stretches:
+    their windows meet under their own hashes instead, so no key grows with such texts. 3. Their suffixes are ordered by two-stage sorting, and neighbours with `length` bytes in common are
     one string, of which the earliest occurrence stays. Texts that equal an earlier text are removed whole.
 
-    Null and empty texts have no bytes. A null id comes before all others. Rows with one id and one text count as
-    one document and have one result; texts that share an id are ordered by a hash. Other columns are ignored.
+    Null and empty texts have no bytes. Rows with one id and one text count as one document and have one result;
+    texts that share an id are ordered by a hash. A row without an id comes before ids from -(2 ** 62) on, by its text's
+    hash. Other columns are ignored.
     length is at most 254.
     """
     if not 8 <= length <= 254:
         raise ValueError("length must be from 8 to 254")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), "text", F.xxhash64("text").alias("th"), F.unhex(F.md5("text")).alias("body"))
+    rows = rows.select("id", F.coalesce("id", F.shiftrightunsigned(F.xxhash64("text"), 2) - F.lit(1 << 62) - F.lit(1 << 62)).alias("doc"), "text", F.xxhash64("text").alias("th"), F.unhex(F.md5("text")).alias("body"))
+    hot_anchors = _hot_anchors(rows, length, hot)
     places = _repeated(_anchor_rows(rows.select("doc", "text"), length)).groupBy("doc").agg(F.collect_list("place").alias("places"))
     firsts = rows.select("doc", "body").groupBy("body").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("body").alias("bodies"))
     facts = firsts.join(places, "doc", "left").select(F.col("doc").alias("f_doc"), "bodies", "places")
     texts = rows.select("id", "doc", "text", "th", "body")
     is_first = F.coalesce(F.array_contains("bodies", F.col("body")), F.lit(False))
     first = texts.join(facts, F.col("doc") == F.col("f_doc"), "left").where(is_first & F.col("places").isNotNull())
-    marks = _removed(_slices(first.select("id", "doc", "text", "th", "body", "places"), length), length)
+    marks = _removed(_slices(first.select("id", "doc", "text", "th", "body", "places"), length, hot_anchors), length)
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("th", "low", "high")).alias("marks"))
     facts = firsts.join(marks, "doc", "left").select(F.col("doc").alias("f_doc"), "bodies", "marks")
     out = texts.join(facts, F.col("doc") == F.col("f_doc"), "left").select("id", "text", "th", is_first.alias("is_first"), "marks")
