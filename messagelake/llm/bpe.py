@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept
+
 #: Characters of text that are encoded in one go; longer texts are halved.
 LEAF = 4096
+#: Bytes of a text beyond which its pieces of so many characters are encoded by tasks of their own.
+LONG, PIECE = 4 << 20, 1 << 18
 #: Characters on either side of a join that are re-encoded first.
 WINDOW = 32
 
@@ -59,6 +63,31 @@ class Codec:
         found = [np.array([self.special[p]], np.int64) if k % 2 else self._tree(p, leaf) for k, p in enumerate(parts) if p]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
+    def pieces(self, text: str, size: int) -> list[str]:
+        """A text cut every so many characters, but not inside a special token's string."""
+        cuts, at = [0], size
+        while at < len(text):
+            for special in self.special:
+                found = text.find(special, max(cuts[-1] + 1, at - len(special) + 1), at + len(special) - 1)
+                at = found if 0 <= found < at else at
+            cuts.append(at)
+            at += size
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def join_pieces(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> np.ndarray:
+        """The ids of left + right from the ids of both; special tokens stand apart, so only what is between them joins."""
+        marks = list(self.special.values())
+        i, j = np.flatnonzero(np.isin(a, marks)), np.flatnonzero(np.isin(b, marks))
+        i, j = int(i[-1]) + 1 if len(i) else 0, int(j[0]) if len(j) else len(b)
+        if i:
+            left = list(self.cut.finditer(left))[-1]
+            left = left.string[left.end() :]
+        if j < len(b):
+            right = right[: self.cut.search(right).start()]
+        if not left or not right:
+            return np.concatenate([a, b])
+        return np.concatenate([a[:i], self.join(left, a[i:], right, b[:j]), b[j:]])
+
     def leaf(self, text: str) -> np.ndarray:
         return np.asarray(self.core.encode_ordinary(text), np.int64)
 
@@ -120,23 +149,65 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
+def _ids(found: list[np.ndarray]) -> pa.ListArray:
+    places = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32), pa.int32()))
+
+
+def _dealt(texts: DataFrame, path: str, leaf: int, piece: int) -> DataFrame:
+    """(id, th, ids) of texts (id, th, text), each of which many tasks encode: pieces apart, then neighbours joined level by
+    level, each pair by any task."""
+    kind = "id long, th long, k int, piece string, ids array<int>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch["text"].to_pylist()):
+                parts = codec(path).pieces(text, piece)
+                row = pa.array([i] * len(parts))
+                yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["id", "th", "k", "piece"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids([codec(path).encode(t, leaf) for t in batch["piece"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+
+    def joined(pair: pa.Table) -> pa.Table:
+        rows = sorted(pair.to_pylist(), key=lambda r: r["k"])
+        text, ids = rows[0]["piece"], np.array(rows[0]["ids"], np.int64)
+        for r in rows[1:]:
+            ids = codec(path).join_pieces(text, ids, r["piece"], np.array(r["ids"], np.int64))
+            text += r["piece"]
+        return pa.table({"id": pa.array([rows[0]["id"]], pa.int64()), "th": pa.array([rows[0]["th"]], pa.int64()), "k": pa.array([rows[0]["k"] >> 1], pa.int32()), "piece": pa.array([text], pa.string()), "ids": _ids([ids])})
+
+    parts = kept(texts.mapInArrow(cut, "id long, th long, k int, piece string"))
+    size = parts.agg(F.max("k").alias("last"), F.count("*").alias("n")).first()
+    now = kept(parts.repartition(max(1, size["n"] // 16), "id", "th", "k").mapInArrow(encoded, kind))
+    for _ in range(int(size["last"] or 0).bit_length()):
+        now = kept(now.groupBy("id", "th", F.shiftright("k", 1)).applyInArrow(joined, kind))
+    return now.select("id", "th", "ids")
+
+
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, carry: tuple[str, ...] = (), long: int = LONG, piece: int = PIECE) -> DataFrame:
     """(id_col, text, ids array<int>, columns to carry) of every whole text; path names the vocabulary file on each executor.
 
     Texts longer than a leaf are halved down to leaves, which are encoded apart, and pairs of neighbours are
-    joined upwards. Null and empty texts have no ids. Repeated rows are kept; other columns are ignored.
+    joined upwards. Within a task that goes on in turn, as tasks already share the texts; a text of more than `long`
+    bytes is cut into pieces that are encoded in parallel by tasks of their own, and joined in parallel level by level.
+    Null and empty texts have no ids. Repeated rows are kept; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
         for batch in batches:
-            ids = [own.encode(t, leaf).astype(np.int32) if t else np.zeros(0, np.int32) for t in batch["text"].to_pylist()]
-            places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], batch["rest"], column], ["id", "text", "rest", "ids"])
+            ids = _ids([codec(path).encode(t, leaf) if t else np.zeros(0, np.int64) for t in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
-    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long
+    found = rows.where(~is_long).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    large = rows.where(is_long).withColumn("th", F.xxhash64("text"))
+    if not large.isEmpty():
+        dealt = _dealt(large.select("id", "th", "text").dropDuplicates(["id", "th"]), path, leaf, piece).select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "ids")
+        found = found.union(large.join(dealt, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th"))).select(*rows.columns, "ids"))
     return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids", *(F.col("rest")[c].alias(c) for c in carry))
 
 
