@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import before, kept
 
 #: A line's quote marks, and a line that only says who wrote what is quoted next.
 MARKS = r"^[ \t]?(?:>[ \t]?)+"
@@ -74,9 +74,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     names its parent. Deeper levels count as linked if some earlier message of the conversation says them. Messages
     without a parent are roots; each is followed by its replies, depth first, by turn.
 
-    Only hashes are joined, and only hashes that some message quotes leave the originals, so a passage that a third
-    of the messages repeat is sent on only where it is quoted. Positions come from a sort by ranges, not from a
-    window over a conversation, so one very long conversation is dealt over many tasks.
+    Only hashes meet, and only hashes that some message quotes leave the originals, so a passage that a third
+    of the messages repeat is sent on only where it is quoted; the latest message that says it is handed on in a sort by
+    ranges. Positions come from a tour of the trees and a sort by ranges, so one very long conversation, chain of
+    replies or crowd of replies to one message is dealt over many tasks.
 
     Null texts are empty and have no quotes. Null conversation ids or turns are values of their own and come first.
     Repeated rows each stay; rows that share a conversation and a turn are ordered by their texts' hash. Other
@@ -91,41 +92,52 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     if not starts.isEmpty():
         units = units.union(_own_spans(base, starts))
     units = units.join(wanted, ["conv", "h1", "h2"], "left_semi")
-    key = ["conv", "h1", "h2"]
-    told = units.groupBy(*key).agg(F.sort_array(F.collect_set("turn")).alias("turns"))
-    earlier = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
-    linked = quotes.join(told, key, "left").select("conv", "turn", "th", "level", "lo", earlier.alias("source"))
+    said = units.select("conv", "h1", "h2", "turn", F.lit(1).alias("kind"), F.col("turn").alias("told"))
+    asked = quotes.select("conv", "h1", "h2", "turn", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("told"), "th", "level", "lo")
+    met = before(asked.unionByName(said, allowMissingColumns=True), ["conv", "h1", "h2"], ["turn", "kind"], "told", "source")
+    linked = met.where("kind = 0").withColumn("source", F.when(F.col("conv").isNotNull(), F.col("source")))
     own = linked.groupBy("conv", "turn", "th").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), F.max_by("source", F.when((F.col("level") == 1) & F.col("source").isNotNull(), F.col("lo"))).alias("parent_turn"))
     own = own.select(*(F.col(c).alias(f"q_{c}") for c in ("conv", "turn", "th")), "n_quotes", "n_linked", "parent_turn")
     rows = base.join(own, (F.col("conv") == F.col("q_conv")) & (F.col("turn") == F.col("q_turn")) & (F.col("th") == F.col("q_th")), "left").drop("q_conv", "q_turn", "q_th")
     rows = rows.withColumn("body", without_quotes(F.col("text")))
 
-    paths = _paths(own.where("parent_turn is not null").groupBy(F.col("q_conv").alias("conv"), F.col("q_turn").alias("turn")).agg(F.max("parent_turn").alias("parent")))
-    paths = paths.select(F.col("conv").alias("p_conv"), F.col("turn").alias("p_turn"), "path")
-    rows = rows.join(paths, (F.col("conv") == F.col("p_conv")) & (F.col("turn") == F.col("p_turn")), "left")
-    rows = rows.withColumn("path", F.coalesce("path", F.array("turn"))).drop("p_conv", "p_turn")
-    rows = rows.withColumn("depth", F.size("path") - 1)
+    links = own.where("parent_turn is not null").groupBy(F.col("q_conv").alias("conv"), F.col("q_turn").alias("turn")).agg(F.max("parent_turn").alias("parent"))
+    places = _toured(links).select(F.col("conv").alias("p_conv"), F.col("turn").alias("p_turn"), "root", "place", "depth")
+    rows = rows.join(places, (F.col("conv") == F.col("p_conv")) & (F.col("turn") == F.col("p_turn")), "left").drop("p_conv", "p_turn")
+    rows = rows.withColumns({"root": F.coalesce("root", "turn"), "place": F.coalesce("place", F.lit(-1)), "depth": F.coalesce("depth", F.lit(0)).cast("int")})
     return _numbered(rows).select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "body", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn", "depth", "position")
 
 
-def _paths(links: DataFrame) -> DataFrame:
-    """(conv, turn, path of turns from the root) of every message with a parent; parents are earlier turns. Each round
-    doubles the stretch that a path covers."""
-    now = kept(links.select("conv", "turn", F.col("parent").alias("top"), F.array("turn").alias("path")))
-    while not now.isEmpty():
-        upper = now.select(F.col("conv").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("top").alias("u_top"), F.col("path").alias("u_path"))
-        met = now.join(upper, (F.col("conv") == F.col("u_conv")) & (F.col("top") == F.col("u_turn")), "left")
-        new = kept(met.select("conv", "turn", F.when(F.col("u_turn").isNull(), F.col("top")).otherwise(F.col("u_top")).alias("top"), F.when(F.col("u_turn").isNull(), F.col("path")).otherwise(F.concat("u_path", "path")).alias("path"), F.col("u_turn").isNotNull().alias("moved")))
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    return now.select("conv", "turn", F.concat(F.array("top"), "path").alias("path"))
+def _toured(links: DataFrame) -> DataFrame:
+    """(conv, turn, root, place, depth) of all messages of trees (conv, turn, parent); parents are earlier turns.
+
+    A tour enters each message, its replies in order, and leaves it; element 2t enters turn t and 2t + 1 leaves it. Each
+    element knows the next one, and rounds of doubling add up how many messages are entered and left from it to the
+    tour's end: that is the order, negative in place, and the depth. A row stays small however long the chain of replies.
+    """
+    links = kept(links)
+    child = links.select("conv", "turn", "parent", (-F.col("turn")).alias("late"))
+    child = before(child, ["conv", "parent"], ["late"], "turn", "sibling")  # the next one, as later ones come first
+    roots = links.select("conv", F.col("parent").alias("turn")).distinct().join(links.select("conv", "turn"), ["conv", "turn"], "left_anti")
+    nodes = child.select("conv", "turn", F.coalesce(F.col("sibling") * 2, F.col("parent") * 2 + 1).alias("after"))
+    nodes = nodes.unionByName(roots.withColumn("after", F.lit(None).cast("long")))
+    first = links.groupBy(F.col("conv").alias("c_conv"), F.col("parent").alias("c_turn")).agg(F.min("turn").alias("first"))
+    nodes = nodes.join(first, (F.col("conv") == F.col("c_conv")) & (F.col("turn") == F.col("c_turn")), "left")
+    enter = F.struct((F.col("turn") * 2).alias("at"), F.coalesce(F.col("first") * 2, F.col("turn") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(0).cast("long").alias("left"), F.col("turn").alias("last"))
+    leave = F.struct((F.col("turn") * 2 + 1).alias("at"), F.col("after").alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(1).cast("long").alias("left"), F.col("turn").alias("last"))
+    now = kept(nodes.select("conv", F.explode(F.array(enter, leave)).alias("e")).select("conv", "e.*"))
+    while not now.where("next is not null").isEmpty():
+        ahead = now.select(F.col("conv").alias("a_conv"), F.col("at").alias("a_at"), F.col("next").alias("a_next"), F.col("entered").alias("a_entered"), F.col("left").alias("a_left"), F.col("last").alias("a_last"))
+        met = now.join(ahead, (F.col("conv") == F.col("a_conv")) & (F.col("next") == F.col("a_at")), "left")
+        more = lambda c: (F.col(c) + F.coalesce(f"a_{c}", F.lit(0))).alias(c)
+        now = kept(met.select("conv", "at", F.col("a_next").alias("next"), more("entered"), more("left"), F.coalesce("a_last", "last").alias("last")))
+    return now.where("at % 2 = 0").select("conv", (F.col("at") / 2).cast("long").alias("turn"), F.col("last").alias("root"), (-F.col("entered")).alias("place"), (F.col("left") - F.col("entered")).cast("int").alias("depth"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds position, from 1 in each conversation by path. Sorted by ranges; each range counts its own rows of a
+    """Adds position, from 1 in each conversation by root and place. Sorted by ranges; each range counts its own rows of a
     conversation, and the counts of the ranges before are added."""
-    placed = kept(rows.repartitionByRange("conv", "path", "th").sortWithinPartitions("conv", "path", "th").withColumn("place", F.monotonically_increasing_id()))
+    placed = kept(rows.repartitionByRange("conv", "root", "place", "turn", "th").sortWithinPartitions("conv", "root", "place", "turn", "th").withColumn("place", F.monotonically_increasing_id()))
     placed = placed.withColumn("range", F.shiftright("place", 33))
     counts = placed.groupBy("conv", "range").agg(F.min("place").alias("low"), F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
