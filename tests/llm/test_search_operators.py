@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, neighbours and quotes against plain versions, with nulls, ties and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 pytest.importorskip("messagelake.llm.common")
 from pyspark.sql import functions as F  # noqa: E402
 
-from messagelake.llm import near_dedup, neighbours, queries, quotes, suffix_dedup  # noqa: E402
+from messagelake.llm import common, near_dedup, neighbours, queries, quotes, suffix_dedup  # noqa: E402
 from messagelake.llm.common import components  # noqa: E402
 
 COLUMNS = "doc_id long, text string, id long, doc long, body string, tokens string"
@@ -118,6 +119,19 @@ def test_parts_of_a_large_family_are_bounded(spark, monkeypatch):
     assert 0 < max(largest) <= 2 * 50 * 1.5
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    spread = common.spread_join
+    monkeypatch.setattr(common, "spread_join", lambda *x: spread(*x, least=4))
+    r = random.Random(2)
+    pairs = [(0, k) for k in range(1, 60)] + [(100 + r.randrange(90), 100 + r.randrange(90)) for _ in range(70)] + [(59, 120)]
+    up = near_dedup.Union(200)
+    for a, b in pairs:
+        up.join(a, b)
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: up.find(k) for k in {x for p in pairs if p[0] != p[1] for x in p}}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
@@ -139,8 +153,8 @@ def brute_repeats(texts, ids, length):
     return out
 
 
-@pytest.mark.parametrize("length", [8, 30, 100])
-def test_repeats_equal_brute_force(spark, length):
+@pytest.mark.parametrize("length,hot", [(8, 20_000), (30, 3), (100, 20_000), (100, 2)])
+def test_repeats_equal_brute_force(spark, length, hot):
     r = random.Random(length)
     passages = ["".join(r.choice("abcdé \n") for _ in range(r.randrange(length // 2, 3 * length))) for _ in range(12)] + ["a" * (4 * length), "ab" * (2 * length), "\0" * (2 * length)]
     texts = [None, "", "x" * (length - 1), "x" * (length - 1), "y" * length, "y" * length]
@@ -150,7 +164,7 @@ def test_repeats_equal_brute_force(spark, length):
     ids = list(range(len(texts)))
     r.shuffle(ids)
     want = brute_repeats(texts, ids, length)
-    rows = suffix_dedup.remove_repeats(frame(spark, texts, ids).repartition(5), length).collect()
+    rows = suffix_dedup.remove_repeats(frame(spark, texts, ids).repartition(5), length, hot=hot).collect()
     assert len(rows) == len(texts)
     for row in rows:
         assert (row.n_bytes, sum(s.high - s.low for s in row.spans), len(row.spans), row.kept_sha256) == want[row.doc_id]
@@ -174,7 +188,7 @@ def test_neighbours_against_brute_force(spark):
     rows += [(900, None, 1, 2), (901, [0.0] * 24, 1, 2), (902, [float("nan")] * 24, 1, 2), (903, [1.0, None] + [0.0] * 22, 1, 2), (904, [1.0], 1, 2), (20, rows[20][1], 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, query int")
     got = {}
-    for row in neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, index_block=300, query_block=20).collect():
+    for row in neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, block_floats=300 * 24).collect():
         got.setdefault(row.query_id, {})[row.rank] = (row.vec_id, row.score)
     assert sorted(got) == list(range(0, 900, 20))
     hits = 0
@@ -192,13 +206,49 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest_neighbours(df.where("vec_id > 899"), F.lit(True)).count() == 0
 
 
-def test_multi_index_finds_all_within_a_radius():
+def test_probes_retrieve_all_within_a_radius():
     r = np.random.default_rng(8)
-    codes = r.integers(0, 256, (500, 8), dtype=np.uint8)
+    codes = r.integers(0, 1 << 16, (400, 4), dtype=np.uint16)
+    codes[200:] = codes[3] ^ np.where(r.random((200, 4, 16)) < 0.2, 1 << np.arange(16), 0).sum(2).astype(np.uint16)
     index = neighbours.MultiIndex(codes)
-    far = np.array([[bin(int(b)).count("1") for b in row] for row in codes ^ codes[3]]).sum(1)
+    far = np.bitwise_count(codes ^ codes[3])
     for radius in (0, 5, 8, 13, 21, 26, 40, 64, 1000):
-        assert index.within(codes[3], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+        reach = neighbours.Coder(np.zeros(1), np.zeros((1, 64)), 1.0, radius).reach()
+        seen = index.probe(codes[[3, 7]], reach)
+        assert np.array_equal(seen[0], (far <= np.array(reach)).any(1))
+        assert seen[0][far.sum(1) <= radius].all()
+
+
+def test_a_vector_that_many_rows_share(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 8))
+    x[::3] = x[0] / np.linalg.norm(x[0]) * 9
+    rows = [(k, [float(v) for v in x[k]]) for k in range(300)]
+    got = {}
+    for row in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 60 == 0, block_floats=400).collect():
+        got.setdefault(row.query_id, {})[row.rank] = row.vec_id
+    for q in (0, 60, 120):
+        assert [got[q][k] for k in range(1, 21)] == [k for k in range(0, 300, 3) if k != q][:20]
+
+
+def test_reply_chains_and_crowds(spark):
+    """Positions and depths of trees of any shape, by a walk."""
+    r = random.Random(31)
+    shapes = {0: {k: k - 1 for k in range(1, 70)}, 1: {k: 0 for k in range(1, 50)}, 2: {k: r.randrange(k) for k in range(1, 60) if r.random() < 0.8}}
+    talk = []
+    for conv, parent in shapes.items():
+        for turn in range(1 + max(parent)):
+            quote = [f"> line {parent[turn]} of {conv}"] if turn in parent else []
+            talk.append((conv, turn, "user", "\n".join([*quote, f"line {turn} of {conv}"])))
+    rows = quotes.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    got = {(x.conv_id, x.turn): (x.position, x.depth) for x in rows}
+    for conv, parent in shapes.items():
+        want, stack = [], [(k, 0) for k in range(max(parent), -1, -1) if k not in parent]
+        while stack:
+            k, depth = stack.pop()
+            want.append((k, depth))
+            stack += [(c, depth + 1) for c in sorted(parent, reverse=True) if parent[c] == k]
+        assert [(k, *got[conv, k]) for k, _ in want] == [(k, n + 1, d) for n, (k, d) in enumerate(want)]
 
 
 def test_quotes(spark):
@@ -257,3 +307,48 @@ def test_quotes_of_parts_equal_brute_force(spark):
     rows = quotes.link_quotes(spark.createDataFrame([t[:4] for t in talk], "conv_id long, turn long, role string, text string")).collect()
     assert {(x.conv_id, x.turn): x.parent_turn for x in rows} == want
     assert all(x.n_linked == (want[x.conv_id, x.turn] is not None) for x in rows)
+
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@needs_data
+def test_registered_queries_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    ids, texts = [d.doc_id for d in docs], [d.text for d in docs]
+    sets = sets_of(texts, 4)
+    want = brute_components(ids, sets, 80)
+    rows = queries.QUERIES["op3_near_duplicates"](spark, DATA).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == sorted((i, len(s), want[i], want[i] == i) for i, s in zip(ids, sets, strict=True))
+
+    want = brute_repeats(texts, ids, 100)
+    rows = queries.QUERIES["op5_suffix_dedup"](spark, DATA).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want and len(rows) == len(docs)
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for i, t in zip(ids, texts, strict=True):
+        own = library.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(own), sha(",".join(map(str, own))), sha(library.decode(own, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op7_bpe"](spark, DATA).collect()} == want
+
+
+@needs_data
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_registered_neighbours_reach_the_recall(spark, folder):
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
+    got = queries.QUERIES["op10_neighbours"](spark, folder).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    asked = np.flatnonzero(ids % 20 == 0)
+    for k in asked:
+        score = x @ x[k]
+        score[k] = -np.inf
+        own = got[got.query_id == ids[k]]
+        assert own["rank"].tolist() == list(range(1, 21))
+        hits += len(set(own.vec_id) & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits / (20 * len(asked)) >= 0.9

@@ -6,7 +6,7 @@ import re
 import pytest
 
 pytest.importorskip("messagelake.llm.common")
-from messagelake.llm import bpe, decontaminate, line_dedup, secrets  # noqa: E402
+from messagelake.llm import bpe, common, decontaminate, line_dedup, secrets  # noqa: E402
 from messagelake.llm.queries import vocabulary  # noqa: E402
 
 COLUMNS = "doc_id long, text string, id long, th string, lines string"
@@ -63,6 +63,18 @@ def test_line_dedup(spark):
     assert got[4] == (1, [], "") and got[5] == (1, [], "")
 
 
+def test_a_line_that_many_rows_hold_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    monkeypatch.setattr(line_dedup, "spread_join", lambda *x: common.spread_join(*x, least=5))
+    r = random.Random(7)
+    lines = ["This line is nearly everywhere", *(f"Line {k} is in a few documents" for k in range(30))]
+    texts = ["\n".join([lines[0], *(r.choice(lines) for _ in range(4))]) for _ in range(80)]
+    last = {line: max(k for k, t in enumerate(texts) if line in t.split("\n")) for line in lines if any(line in t.split("\n") for t in texts)}
+    many = {line for line in last if sum(line in t.split("\n") for t in texts) >= 3}
+    for row in line_dedup.line_dedup(frame(spark, texts)).collect():
+        assert row.kept == "\n".join(x for x in texts[row.doc_id].split("\n") if x not in many or last[x] == row.doc_id)
+
+
 def brute_hits(text, items, n):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     words, hit, names = split(text), set(), set()
@@ -77,7 +89,7 @@ def brute_hits(text, items, n):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
+@pytest.mark.parametrize("block", [1 << 20, 0])
 def test_decontamination_equals_brute_force(spark, block):
     r = random.Random(3)
     vocab = ["a", "b", "C", "é", "d1", "E"]
@@ -89,9 +101,16 @@ def test_decontamination_equals_brute_force(spark, block):
     for row in rows:
         words, hit, names = brute_hits(texts[row.doc_id], [(str(k), t) for k, t in items], 5)
         assert (row.n_words, row.n_hit, row["items"], row.contaminated) == (words, hit, names, hit > 0)
-        if row.text:
-            clean = decontaminate.without_spans(row.text, [(s.first, s.last) for s in row.spans])
-            assert len(decontaminate.words(clean)) == words - hit
+        assert (row.cleaned is None) == (hit == 0) and (hit == 0 or brute_hits(row.cleaned, [], 5)[0] == words - hit)
+    again = decontaminate.decontaminate(frame(spark, [texts[5]] * 3 + ["c"], [1, 1, None, None]), bench, n=5, block_bytes=block).collect()
+    assert len(again) == 4 and len({r.n_hit for r in again if r.text == texts[5]}) == 1
+
+
+def test_a_set_of_windows_is_compact():
+    r = random.Random(9)
+    items = [(str(k), " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(1500))) for k in range(250)]
+    size = sum(len(t) for _, t in items)
+    assert size > 2_000_000 and decontaminate.NgramSet(items, 10).nbytes() < 10 * size
 
 
 def test_bpe_equals_the_library(spark):
@@ -110,6 +129,23 @@ def test_bpe_equals_the_library(spark):
             assert row.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_texts_are_encoded_by_many_tasks(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    library = Tokenizer.from_file(path)
+    r = random.Random(6)
+    bits = ["a", "the ", " the", "  ", "\n", "'s", "!!", "é", "漢字", "1234", "<|endoftext|>", "<|endo", "don't"]
+    texts = [None, "short", "".join(r.choice(bits) for _ in range(9000)), "<|endoftext|>" * 400, "x" * 9000, "the cat " * 900, "the cat " * 900]
+    ids = [0, 1, 2, 3, 4, 5, None]
+    rows = bpe.bpe_encode(frame(spark, texts, ids), path, leaf=64, long=2000, piece=700).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert row.ids == library.encode(row.text or "", add_special_tokens=False).ids, (row.text or "")[:60]
+    cut = bpe.codec(path).pieces(texts[3], 700)
+    assert "".join(cut) == texts[3] and len(cut) > 6 and all(len(c) % 13 == 0 for c in cut)
+
+
 def test_every_character_is_split_as_by_the_library():
     from tokenizers import Tokenizer
 
