@@ -45,14 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of benchmark items; one that held nothing else goes, clean ones are unchanged."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=OTHERS)
-
-    @F.pandas_udf("string")
-    def cleaned(frame):
-        return frame.apply(lambda r: decontaminate.without_spans(r["text"], [(s["first"], s["last"]) for s in r["spans"]]), axis=1)
-
-    text = F.when(F.col("contaminated"), cleaned(F.struct("text", "spans"))).otherwise(F.col("text"))
     left = found.where(~F.col("contaminated") | (F.col("n_hit") < F.col("n_words")))
-    return _as_documents(left.withColumn("text", text))
+    return _as_documents(left.withColumn("text", F.coalesce("cleaned", "text")))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
