@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+from collections.abc import Sequence
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,42 +96,72 @@ def _lower_escapes(json: Column) -> Column:
     return F.when(json.contains("\\u00"), out).otherwise(json)
 
 
-def composite_key(*parts: Column | str) -> Column:
-    """A compact JSON array of strings; null if a part is null."""
-    made = _lower_escapes(F.to_json(F.array(*(nfc(column(p).cast("string")) for p in parts))))
+def _key(parts: list[Column]) -> Column:
     missing = F.lit(False)
     for p in parts:
-        missing = missing | column(p).isNull()
-    return F.when(~missing, made)
+        missing = missing | p.isNull()
+    return F.when(~missing, _lower_escapes(F.to_json(F.array(*parts))))
+
+
+def composite_key(*parts: Column | str) -> Column:
+    """A compact JSON array of strings; null if a part is null. Readers have put texts in NFC (in_nfc)."""
+    return _key([column(p).cast("string") for p in parts])
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """Compact JSON with keys in order and nulls written."""
-    made = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
+def in_order(value: Column, kind: T.DataType) -> Column:
+    """A value with the fields of its structs in the order of their names, at any depth."""
+    if isinstance(kind, T.StructType):
+        made = F.struct(*(in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(value, lambda x: in_order(x, kind.elementType))
+    return value
+
+
+def canonical_json(fields: dict[str, Column], kinds: T.StructType | None = None) -> Column:
+    """Compact JSON with keys in order and nulls written; with the fields' types nested keys are in order too."""
+    known = {f.name: f.dataType for f in kinds.fields} if kinds else {}
+    made = F.struct(*((in_order(fields[k], known[k]) if k in known else fields[k]).alias(k) for k in sorted(fields)))
     return _lower_escapes(F.to_json(made, {"ignoreNullFields": "false"}))
 
 
+@functools.cache
+def _accents() -> tuple[str, str]:
+    """Letters that are a letter with marks, and those letters without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x3100))]
+    pairs = [(c, apart[0]) for c, apart in pairs if len(apart) > 1 and all(unicodedata.category(x) == "Mn" for x in apart[1:])]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts):
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf(T.StringType())
-def _stripped(texts):
-    return texts.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+def nfc(text: Column | str) -> Column:
+    """NFC. Python, for which Spark has no function of its own; it is sent only texts that aren't ASCII."""
+    text = column(text)
+    wide = F.octet_length(text) != F.char_length(text)
+    return F.when(wide, _nfc(F.when(wide, text))).otherwise(text)
 
 
-#: Python sees a text only if it has other than ASCII characters and the caller asks for it.
-def nfc(text: Column | str, exact: bool = False) -> Column:
-    """NFC; without `exact` texts count as normalised already, as the driver's and most sources' are."""
-    text = column(text)
-    return F.when(F.octet_length(text) != F.char_length(text), _nfc(text)).otherwise(text) if exact else text
+def in_nfc(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """A table with its text columns, or those named, in NFC: for readers, so that keys made of them are too."""
+    own = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (names is None or f.name in names)]
+    return df.withColumns({c: nfc(F.col(f"`{c}`")) for c in own}) if own else df
 
 
-def fold(text: Column | str, exact: bool = False) -> Column:
-    """Lower case; with `exact` also without accents."""
+def fold(text: Column | str) -> Column:
+    """Lower case without accents, as search compares it."""
     text = F.lower(column(text))
-    return F.when(F.octet_length(text) != F.char_length(text), _stripped(text)).otherwise(text) if exact else text
+    plain = F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) != F.char_length(text), plain).otherwise(text)
+
+
+def fold_text(text: str) -> str:
+    """fold() of a query."""
+    apart = "".join(unicodedata.normalize("NFD", c) if unicodedata.category(c)[0] != "L" or ord(c) < 0x3100 else c for c in text.lower())
+    return "".join(c for c in apart if unicodedata.category(c) != "Mn")
 
 
 def _uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
@@ -141,22 +173,22 @@ def _uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
 def urn(source: Column | str, scope: Column | str, entity: str, native_key: Column, version: str = ID_VERSION) -> Column:
     """urn:uuid of a record: UUIDv5 over version, source, scope, entity type and native key."""
     text = lambda c: c if isinstance(c, Column) else F.lit(c)
-    name = composite_key(F.lit(version), text(source), text(scope), F.lit(entity), native_key)
+    name = _key([F.lit(version), text(source), text(scope), F.lit(entity), native_key])
     return F.when(native_key.isNotNull(), F.concat(F.lit("urn:uuid:"), _uuid5(name)))
 
 
 def link_urn(person: Column | str, identity: Column | str, version: str = ID_VERSION) -> Column:
     """The identifier of a person's link with an identity, a function of both."""
-    return F.concat(F.lit("urn:uuid:"), _uuid5(composite_key(F.lit(version), F.lit("link"), column(person), column(identity))))
+    return F.concat(F.lit("urn:uuid:"), _uuid5(_key([F.lit(version), F.lit("link"), column(person), column(identity)])))
 
 
-def revision_digest(fields: dict[str, Column]) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(canonical_json({k: v for k, v in fields.items() if k not in VOLATILE}), 256))
+def revision_digest(fields: dict[str, Column], kinds: T.StructType | None = None) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json({k: v for k, v in fields.items() if k not in VOLATILE}, kinds), 256))
 
 
-def fingerprint(*values: Column | str) -> Column:
-    """A digest of native values; bytes count by their hash and size."""
-    parts = [F.to_json(F.struct(F.sha2(column(v), 256).alias("sha256"), F.length(column(v)).alias("size"))) if getattr(v, "is_bytes", False) else column(v).cast("string") for v in values]
+def fingerprint(*values: Column | str, binary: tuple[int, ...] = ()) -> Column:
+    """A digest of native values; those whose places are named as binary count by their hash and size."""
+    parts = [F.when(column(v).isNotNull(), F.to_json(F.struct(F.sha2(column(v), 256).alias("sha256"), F.length(column(v)).alias("size")))) if k in binary else column(v).cast("string") for k, v in enumerate(values)]
     return F.sha2(_lower_escapes(F.to_json(F.struct(*(p.alias(f"v{k:03d}") for k, p in enumerate(parts))), {"ignoreNullFields": "false"})), 256)
 
 
@@ -176,7 +208,8 @@ def json_get(c: Column | str, path: str) -> Column:
 
 
 def jid(c: Column | str) -> Column:
-    return F.lower(nfc(c))
+    """An address in lower case; NFC comes with the key that it becomes part of."""
+    return F.lower(column(c))
 
 
 def jid_suffix(c: Column | str) -> Column:
@@ -250,12 +283,23 @@ def chat_label(name: Column | str, key: Column | str) -> Column:
     return F.coalesce(F.when(column(name) != "", column(name)), handle_of(key))
 
 
+# The kind of an attachment by how its MIME type begins and what its uniform type identifier holds. The
+# first kind that either names counts; any other type is a document, and none is other.
+MIME_KINDS = (("image/", "image"), ("video/", "video"), ("audio/", "audio"), ("text/vcard", "contact"))
+UTI_KINDS = (("image", "image"), ("movie", "video"), ("video", "video"), ("audio", "audio"), ("vcard", "contact"))
+
+
 def attachment_kind(mime: Column | str, uti: Column | str) -> Column:
     mime, uti = F.lower(F.coalesce(column(mime), F.lit(""))), F.lower(F.coalesce(column(uti), F.lit("")))
-    return (
-        F.when(mime.startswith("image/") | uti.contains("image"), "image").when(mime.startswith("video/") | uti.contains("movie") | uti.contains("video"), "video").when(mime.startswith("audio/") | uti.contains("audio"), "audio")
-        .when((mime == "text/vcard") | uti.contains("vcard"), "contact").when((mime != "") | (uti != ""), "document").otherwise("other")
-    )
+    named = F.when((mime != "") | (uti != ""), "document").otherwise("other")
+    for kind in ("contact", "audio", "video", "image"):
+        test = F.lit(False)
+        for text, own in MIME_KINDS:
+            test = test | ((mime == text if kind == "contact" else mime.startswith(text)) if own == kind else F.lit(False))
+        for text, own in UTI_KINDS:
+            test = test | (uti.contains(text) if own == kind else F.lit(False))
+        named = F.when(test, kind).otherwise(named)
+    return named
 
 
 # --- text
@@ -269,13 +313,13 @@ def phrases(query: str) -> list[str]:
 TOKEN = r"[\p{L}\p{N}\p{Co}\p{So}\p{Sk}\p{Mn}]+"
 
 
-def tokens(text: Column | str, exact: bool = False) -> Column:
-    return F.regexp_extract_all(fold(F.coalesce(column(text), F.lit("")), exact), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column | str) -> Column:
+    return F.regexp_extract_all(fold(F.coalesce(column(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def token_line(text: Column | str, exact: bool = False) -> Column:
+def token_line(text: Column | str) -> Column:
     """Tokens between single spaces, with one at either end, so that a phrase is a substring."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text, exact), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
 
 
 def clip(text: Column | str, n: Column | int) -> Column:

@@ -62,13 +62,13 @@ def stubs(references: DataFrame, carried: DataFrame, heads: DataFrame) -> DataFr
     return lost.join(heads.select("urn", "kind"), "urn", "left").select("bucket", "urn", F.coalesce("kind", F.lit("unknown")).alias("kind"))
 
 
-def set_digest(records: DataFrame, by: Sequence[str], parts: int = 1024) -> DataFrame:
+def set_digest(records: DataFrame, by: Sequence[str], letters: int = 3) -> DataFrame:
     """(*by, records, digest) of distinct (urn, digest) pairs, in any order.
 
-    Two levels: pairs are dealt into parts by a hash of the urn, each part's sorted pairs are hashed, and the sorted
-    part hashes are hashed, so no group holds a whole bucket.
+    Two levels: pairs are dealt into parts by the first letters of the urn's SHA-256, each part's sorted pairs are hashed,
+    and the part hashes, sorted by part, are hashed, so no group holds a whole bucket.
     """
-    pairs = records.select(*by, "urn", "digest").distinct().withColumn("_part", F.pmod(F.xxhash64("urn"), F.lit(parts)))
+    pairs = records.select(*by, "urn", "digest").distinct().withColumn("_part", F.substring(F.sha2(F.col("urn").cast("string"), 256), 1, letters))
     line = F.concat(F.col("urn").cast("string"), F.lit("\0"), F.col("digest").cast("string"))
     part = pairs.groupBy(*by, "_part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "h"))), lambda x: x["h"]), "\n")
@@ -198,3 +198,80 @@ def bucket_members(records: DataFrame, export_id: str) -> DataFrame:
 def newest_first(ledger: DataFrame) -> DataFrame:
     """The ledger with each bucket's place from its last revision."""
     return ledger.withColumn("age", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("revision"))) - 1)
+
+
+# The kinds in the order in which an import applies them, those that a bucket owns, those of the catalogue.
+ENTITY_ORDER = ("accounts", "identities", "aliases", "chats", "chat_memberships", "messages", "message_parts", "attachments", "events", "people", "identity_links", "sync_runs")
+BUCKETED = ("messages", "message_parts", "events", "attachments")
+CATALOGUED = ("accounts", "identities", "aliases", "chats", "chat_memberships", "people", "identity_links", "sync_runs")
+
+
+def provenance(carried: DataFrame, revisions: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(revisions, observations, runs) of the urns that buckets carry: (bucket, ...) rows, and (bucket, sync_run) of the runs
+    that either names. carried: (bucket, urn); both tables have urn and sync_run."""
+    own = carried.select("bucket", "urn").distinct()
+    r, o = own.join(revisions, "urn"), own.join(observations, "urn")
+    runs = r.select("bucket", "sync_run").union(o.select("bucket", "sync_run")).where("sync_run is not null").distinct()
+    return r, o, runs
+
+
+def catalogue(records: DataFrame) -> DataFrame:
+    """The records that no bucket owns, as the bucket `catalogue`. records: (urn, kind, ...)."""
+    return records.where(F.col("kind").isin(*CATALOGUED)).withColumn("bucket", F.lit(CATALOGUE))
+
+
+def member_digest(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, members, digest): of an archive's members (name, sha256), sorted by name; a few names for each archive."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda m: F.concat(m["name"], F.lit(" "), m["sha256"]))
+    return members.groupBy(*by).agg(F.count("*").alias("members"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256)).alias("digest"))
+
+
+def check_observations(observations: DataFrame, raw: str = "raw") -> DataFrame:
+    """(sha256, problem) of observations in JSON that lack a field, have one of another type, or an unknown state; equal
+    bodies are checked once."""
+    from .store import observation_problem
+
+    once = observations.select(F.col(raw).alias("raw")).distinct()
+    v = F.try_parse_json("raw")
+    problem = F.when(v.isNull(), "no JSON").otherwise(observation_problem(v))
+    return once.select(F.sha2("raw", 256).alias("sha256"), problem.alias("problem")).where("problem is not null")
+
+
+def check_types(records: DataFrame, schema: dict[str, str], enums: dict[str, Sequence[str]] | None = None, patterns: dict[str, str] | None = None, raw: str = "raw") -> DataFrame:
+    """(sha256, problems): JSON records against the JSON types of their fields (`?` for optional, a field may then be null),
+    the values that a field may have and the patterns that it must match. Equal bodies are checked once."""
+    once = records.select(F.col(raw).alias("raw")).distinct().withColumn("sha256", F.sha2("raw", 256)).withColumn("v", F.try_parse_json("raw"))
+    kind = lambda k: F.substring_index(F.schema_of_variant(F.try_variant_get(F.col("v"), f"$.{k}", "variant")), "<", 1)
+    text = lambda k: F.try_variant_get(F.col("v"), f"$.{k}", "string")
+    rules = [("no JSON", F.col("v").isNull())]
+    for k, t in schema.items():
+        there = F.coalesce(kind(k), F.lit("VOID"))
+        rules.append((f"{k} is no {t.rstrip('?').lower()}", F.col("v").isNotNull() & (there != t.rstrip("?")) & (there != "VOID" if t.endswith("?") else F.lit(True))))
+    rules += [(f"{k} has no such value", text(k).isNotNull() & ~text(k).isin(*values)) for k, values in (enums or {}).items()]
+    rules += [(f"{k} has no such form", text(k).isNotNull() & ~text(k).rlike(p)) for k, p in (patterns or {}).items()]
+    return problems(once, rules, ["sha256"])
+
+
+def import_bucket(archive: dict[str, DataFrame], stored: dict[str, DataFrame], export_id: str, created_at: int, supersedes: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The tables after a bucket's import, in its order: revisions, which tell whose heads may give way; heads; observations;
+    then what superseded exports carried and this one doesn't is tombstoned; then the ledger of members.
+
+    archive: records (urn, kind, digest, observed_at), revisions (urn, digest, observed_at), observations. stored: heads
+    (urn, digest, observed_at, tombstoned), revisions, observations, members (export_id, urn). Also gives `outcomes`.
+    """
+    from . import store
+
+    records = archive["records"].withColumn("observed_at", F.coalesce("observed_at", F.lit(created_at)))
+    heads = stored["heads"]
+    after, outcomes = store.upsert_import(records, heads.select("urn", "digest", "observed_at"), archive["revisions"].select("urn", "digest"))
+    members = bucket_members(records.where(F.col("kind").isin(*BUCKETED)), export_id)
+    old = stored["members"].where(F.col("export_id").isin(*supersedes)).select("urn").distinct() if supersedes else stored["members"].select("urn").limit(0)
+    gone = old.join(members, "urn", "left_anti").select("urn", F.lit(True).alias("_gone"))
+    flagged = after.join(heads.select("urn", F.coalesce("tombstoned", F.lit(False)).alias("_t")), "urn", "left").join(outcomes, "urn", "left").join(gone, "urn", "left")
+    dead = F.coalesce("_gone", F.lit(False)) & ~F.coalesce("_t", F.lit(False))
+    kept_dead = F.coalesce("_t", F.lit(False)) & ~F.coalesce(F.col("outcome").isin("inserted", "updated"), F.lit(False))
+    now = flagged.select("urn", "digest", F.when(dead, F.lit(created_at)).otherwise(F.col("observed_at")).alias("observed_at"), (dead | kept_dead).alias("tombstoned"))
+    return {
+        "heads": now, "outcomes": outcomes, "revisions": store.append_revisions(stored["revisions"], archive["revisions"].unionByName(records.select("urn", "digest", "observed_at"))),
+        "observations": store.observe_merge(archive["observations"], stored["observations"]), "members": stored["members"].select("export_id", "urn").unionByName(members).distinct(), "retired": gone.select("urn"),
+    }

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.state import kept
 
 SOURCE = "whatsapp"
 
@@ -208,18 +209,15 @@ def unambiguous_aliases(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.where("_n = 1").drop("_n"), bad
 
 
-def owner_closure(messages: DataFrame, pairs: DataFrame, hops: int = 8) -> DataFrame:
-    """The owner's addresses: recipients of incoming rows, and what alias pairs add, to a fixpoint. Their number is
-    small by nature; the loop stops when it no longer grows."""
+def owner_closure(messages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The owner's addresses: recipients of incoming rows, and what alias pairs add, until it no longer grows."""
     both = pairs.select(F.col("lid").alias("jid"), F.col("phone").alias("to")).union(pairs.select(F.col("phone").alias("jid"), F.col("lid").alias("to")))
-    now = messages.where("ZISFROMME = 0 and ZTOJID is not null").select(S.jid("ZTOJID").alias("jid")).distinct()
-    n = now.count()
-    for _ in range(hops):
-        now = now.union(both.join(now, "jid", "left_semi").select("to")).distinct()
-        before, n = n, now.count()
-        if n == before:
-            break
-    return now
+    now = fresh = kept(messages.where("ZISFROMME = 0 and ZTOJID is not null").select(S.jid("ZTOJID").alias("jid")).distinct())
+    while True:
+        fresh = kept(both.join(fresh, "jid", "left_semi").select(F.col("to").alias("jid")).distinct().join(now, "jid", "left_anti"))
+        if fresh.isEmpty():
+            return now
+        now = now.union(fresh)
 
 
 def identities(native: dict[str, DataFrame], chat_table: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:

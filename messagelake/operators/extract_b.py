@@ -85,7 +85,7 @@ FEED = (
 _EVENT = "struct<kind:string,target_urn:string,target_native:string,date:bigint,payload:string>"
 
 
-def messages(feed: DataFrame, chat_table: DataFrame, handle_urns: DataFrame, scope: str, inferred: DataFrame | None = None, stubs: DataFrame | None = None, owners: DataFrame | None = None) -> dict[str, DataFrame]:
+def messages(feed: DataFrame, chat_table: DataFrame, handle_urns: DataFrame, scope: str, inferred: DataFrame | None = None, stubs: DataFrame | None = None, owners: DataFrame | None = None, files: DataFrame | None = None, root: str = "~") -> dict[str, DataFrame]:
     """messages, parts, attachments, events and rejects of decoded messages (FEED). inferred: (message_id, chat_id);
     stubs: (rowid, stub_urn)."""
     c = chat_table.select("chat_id", F.col("urn").alias("join_urn"))
@@ -120,7 +120,7 @@ def messages(feed: DataFrame, chat_table: DataFrame, handle_urns: DataFrame, sco
     key = F.when(F.col("n") == 0, F.col("guid")).otherwise(S.composite_key("guid", F.lit("event"), F.col("n").cast("string")))
     events = t.select("guid", "date", F.col("urn").alias("carrier_message_urn"), F.col("sender_urn").alias("actor_urn"), F.posexplode("events_").alias("n", "e")).select(S.urn(SOURCE, scope, "event", key).alias("urn"), "e.kind", "e.target_urn", "e.target_native", "actor_urn", S.ts_struct(F.coalesce("e.date", "date"), "ns").alias("at"), "e.payload", "carrier_message_urn")
     bad = t.where(~F.col("me") & F.col("identity_urn").isNull() & (F.coalesce("handle_id", F.lit(0)) != 0)).select(F.lit("unknown_handle_id").alias("code"), F.concat(F.lit("ROWID="), F.col("rowid").cast("string")).alias("sample"), F.col("rowid").alias("order"))
-    return {"messages": records, "parts": parts, "events": events, "attachments": _attachments(t, scope, owners), "rejects": bad}
+    return {"messages": records, "parts": parts, "events": events, "attachments": _attachments(t, scope, owners, files, root), "rejects": bad}
 
 
 def _kind() -> Column:
@@ -170,20 +170,43 @@ def _events(scope: str) -> Column:
         .when((F.col("announcement") == "group_action") & F.col("group_action").isNotNull(), action)
     )
     texts = F.filter("parts", lambda p: (p["kind"] == "text") & (F.size(p["edit_history"]) > 1))
-    edits = F.flatten(F.transform(texts, lambda p: F.transform(F.slice(p["edit_history"], 2, 1 << 20), lambda h: make(F.lit("edit"), F.col("urn"), none, h["date"], F.to_json(F.struct(p["index"].alias("part_index")))))))
+    edits = F.flatten(F.transform(texts, lambda p: F.transform(F.slice(p["edit_history"], F.lit(2), F.size(p["edit_history"])), lambda h: make(F.lit("edit"), F.col("urn"), none, h["date"], F.to_json(F.struct(p["index"].alias("part_index")))))))
     return F.filter(F.concat(first, F.coalesce(edits, F.expr(f"cast(array() as array<{_EVENT}>)"))), lambda e: e.isNotNull())
 
 
-def _attachments(t: DataFrame, scope: str, owners: DataFrame | None) -> DataFrame:
-    """Attachment records: of several messages that share one only the owner gives it; purged ones have placeholders."""
-    a = t.select(F.col("rowid").alias("message_id"), F.col("urn").alias("message_urn"), F.explode("attachments").alias("a")).select("message_id", "message_urn", F.col("a.rowid").alias("attachment_id"), "a.guid", "a.filename", "a.transfer_name", "a.uti", "a.mime_type", "a.total_bytes", "a.is_sticker")
+def _attachments(t: DataFrame, scope: str, owners: DataFrame | None, files: DataFrame | None, root: str) -> DataFrame:
+    """Attachment records: of several messages that share one only the owner gives it; purged ones have placeholders.
+
+    files: (path, sha256, size) of the regular files that there are. One without a name isn't downloaded, one whose name
+    is neither absolute nor under ~ is unknown, one whose file is there is available with its hash and size.
+    """
+    fields = ("guid", "filename", "transfer_name", "uti", "mime_type", "total_bytes", "is_sticker")
+    places = F.filter("parts", lambda p: p["kind"] == "attachment")
+    a = t.select(F.col("rowid").alias("message_id"), F.col("urn").alias("message_urn"), places.alias("places"), F.explode("attachments").alias("a"))
+    first = F.try_element_at(F.filter("places", lambda p: p["attachment_guid"] == F.col("a.guid")), F.lit(1))["index"]
+    a = a.select("message_id", "message_urn", F.col("a.rowid").alias("attachment_id"), first.alias("part_index"), *(f"a.{c}" for c in fields))
     if owners is not None:
         a = a.join(owners, "attachment_id", "left").where(F.coalesce("owner", "message_id") == F.col("message_id")).drop("owner")
+    none = F.lit(None).cast("string")
+    named = F.coalesce("filename", F.lit("")) != ""
+    if files is None:
+        a = a.withColumns({"blob_sha256": none, "size": F.lit(None).cast("long")})
+    else:
+        there = files.where("sha256 is not null").groupBy(F.col("path").alias("filename")).agg(F.min("sha256").alias("blob_sha256"), F.min("size").alias("size"))
+        a = a.join(there, "filename", "left")
+    safe = F.col("filename").startswith("~") | F.col("filename").startswith("/")
+    found = safe & F.col("blob_sha256").isNotNull()
+    availability = F.when(~named, "not_downloaded").when(~safe, "unknown").when(found, "available").otherwise("missing")
+    top = root.rstrip("/") + "/"
+    hint = F.when(named, F.when(F.col("filename").startswith(top), F.substring("filename", F.lit(len(top) + 1), F.length("filename"))).otherwise(S.basename("filename")))
     key = _attachment_key(F.col("guid"), F.col("attachment_id"))
-    name = S.basename(F.coalesce("transfer_name", "filename"))
-    out = a.select(S.urn(SOURCE, scope, "attachment", key).alias("urn"), key.alias("native_key"), "message_urn", name.alias("filename"), "mime_type", "uti", F.col("total_bytes").alias("declared_size"), F.when(F.col("filename").isNull(), "not_downloaded").otherwise("missing").alias("availability"), F.coalesce("is_sticker", F.lit(False)).alias("is_sticker"), S.attachment_kind("mime_type", "uti").alias("kind"))
+    name = F.nullif(S.basename(F.coalesce("transfer_name", "filename")), F.lit(""))
+    out = a.select(
+        S.urn(SOURCE, scope, "attachment", key).alias("urn"), key.alias("native_key"), "message_urn", "part_index", name.alias("filename"), "mime_type", "uti", F.when(found, F.col("size")).otherwise(F.col("total_bytes")).alias("declared_size"),
+        availability.alias("availability"), F.when(found, F.col("blob_sha256")).alias("blob_sha256"), hint.alias("source_path_hint"), F.coalesce("is_sticker", F.lit(False)).alias("is_sticker"), S.attachment_kind("mime_type", "uti").alias("kind"),
+    )
     p = t.select(F.col("urn").alias("message_urn"), F.explode(F.filter("parts", lambda p: (p["kind"] == "attachment") & (p["attachment_guid"] != ""))).alias("p"), F.transform("attachments", lambda x: x["guid"]).alias("known"))
     key = S.composite_key(F.lit("purged"), "p.attachment_guid")
     none = F.lit(None).cast("string")
-    gone = p.where(~F.coalesce(F.array_contains("known", F.col("p.attachment_guid")), F.lit(False))).select(S.urn(SOURCE, scope, "attachment", key).alias("urn"), key.alias("native_key"), "message_urn", F.col("p.attachment_name").alias("filename"), none.alias("mime_type"), none.alias("uti"), F.lit(None).cast("long").alias("declared_size"), F.lit("missing").alias("availability"), F.lit(False).alias("is_sticker"), F.lit("other").alias("kind"))
+    gone = p.where(~F.coalesce(F.array_contains("known", F.col("p.attachment_guid")), F.lit(False))).select(S.urn(SOURCE, scope, "attachment", key).alias("urn"), key.alias("native_key"), "message_urn", F.col("p.index").alias("part_index"), F.col("p.attachment_name").alias("filename"), none.alias("mime_type"), none.alias("uti"), F.lit(None).cast("long").alias("declared_size"), F.lit("missing").alias("availability"), none.alias("blob_sha256"), none.alias("source_path_hint"), F.lit(False).alias("is_sticker"), F.lit("other").alias("kind"))
     return out.unionByName(gone)

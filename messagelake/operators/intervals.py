@@ -1,7 +1,7 @@
 """Algebra of inclusive id intervals per key: islands, merge, subtract, overlay, look-up, overlap, translation.
 
-All windows are partitioned by the keys `by`. A single very large key is cut into blocks of ids first (`block`),
-and neighbouring pieces with equal attributes are put together at the end.
+Windows are over a key and a block of ids, so a key with very many ids is dealt over many tasks. Pieces that touch the
+borders of blocks, two for a block at most, are put together at the end.
 """
 
 from __future__ import annotations
@@ -14,22 +14,35 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
-def islands(ids: DataFrame, by: Sequence[str], value: str = "id") -> DataFrame:
+def islands(ids: DataFrame, by: Sequence[str], value: str = "id", block: int = BLOCK) -> DataFrame:
     """Distinct ids as ranges of consecutive ones: (*by, lo, hi)."""
-    order = Window.partitionBy(*by).orderBy(value)
-    numbered = ids.select(*by, value).distinct().withColumn("_g", F.col(value) - F.row_number().over(order))
-    return numbered.groupBy(*by, "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).drop("_g")
-
-
-def coalesce_runs(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """Adjacent intervals with equal attributes as one. Intervals of a key are disjoint."""
-    order = Window.partitionBy(*by).orderBy("lo")
-    same = (F.lag("hi").over(order) == F.col("lo") - 1)
+    order = Window.partitionBy(*by, "_block").orderBy(value)
+    known = ids.select(*by, value).where(F.col(value).isNotNull()).distinct().withColumn("_block", F.floor(F.col(value) / block))
+    numbered = known.withColumn("_g", F.col(value) - F.row_number().over(order))
+    parts = numbered.groupBy(*by, "_block", "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(*by, "lo", "hi")
+    edge = (F.pmod("lo", F.lit(block)) == 0) | (F.pmod("hi", F.lit(block)) == block - 1)
+    return parts.where(~edge).unionByName(_chained(parts.where(edge), by, [], []))
+
+
+def _chained(intervals: DataFrame, by: Sequence[str], within: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """Adjacent intervals with equal attributes as one, in windows over by and within."""
+    order = Window.partitionBy(*by, *within).orderBy("lo")
+    same = F.lag("hi").over(order) == F.col("lo") - 1
     for a in attributes:
         same = same & F.lag(a).over(order).eqNullSafe(F.col(a))
     marked = intervals.withColumn("_new", F.when(same, 0).otherwise(1))
     marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_run", *attributes).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*by, "lo", "hi", *attributes)
+    runs = marked.groupBy(*by, *within, "_run", *attributes).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.select(*by, "lo", "hi", *attributes, *(["_run"] if within else []), *within)
+
+
+def coalesce_runs(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """Adjacent intervals with equal attributes as one. Intervals of a key are disjoint. First in blocks of ids; then only
+    the first and the last run of each block can go on in another."""
+    runs = _chained(intervals.withColumn("_block", F.floor(F.col("lo") / block)), by, ["_block"], attributes)
+    last = F.max("_run").over(Window.partitionBy(*by, "_block"))
+    runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == last)).drop("_run", "_block")
+    return runs.where(~F.col("_edge")).drop("_edge").unionByName(_chained(runs.where("_edge").drop("_edge"), by, [], attributes))
 
 
 def in_blocks(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -81,30 +94,56 @@ def _with_attributes(holes: DataFrame, intervals: DataFrame, by: Sequence[str],
     return overlap_join(intervals.select(*by, *attributes, "lo", "hi"), holes, by).select(*by, *attributes, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
 
 
-def stamp(intervals: DataFrame, stamps: DataFrame, by: Sequence[str]) -> DataFrame:
+def stamp(intervals: DataFrame, stamps: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Lays stamps (lo, hi, at, run, arrival) over intervals (lo, hi, at, run).
 
     A piece keeps its time only where it is strictly newer than all stamps; of stamps with one time the later arrival
     wins. Gaps are filled and neighbours with equal (at, run) become one.
+
+    In each block of ids an interval is the sum of few dyadic ranges, and the best stamp of each such range is known by a
+    plain aggregation; an elementary cell between two borders takes the best of the ranges that hold it. So the work
+    follows the number of stamps, however many overlap.
     """
     cols = [*by, "lo", "hi", "at", "run", "arrival"]
     both = intervals.withColumn("arrival", F.lit(-1).cast("long")).select(*cols).unionByName(stamps.withColumn("arrival", F.col("arrival").cast("long")).select(*cols))
-    borders = both.select(*by, F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
-    order = Window.partitionBy(*by).orderBy("lo")
-    cells = borders.withColumn("hi", F.lead("lo").over(order) - 1).where("hi is not null")
-    met = overlap_join(cells, both.select(*by, F.col("lo"), F.col("hi"), "at", "run", "arrival"), by)
-    best = met.groupBy(*by, "lo", "hi").agg(F.max(F.struct("at", "arrival", "run")).alias("m"))
-    return coalesce_runs(best.select(*by, "lo", "hi", F.col("m.at").alias("at"), F.col("m.run").alias("run")), by, ["at", "run"])
+    both = in_blocks(both, block)
+    key = [*by, "_block"]
+    borders = both.select(*key, F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
+    cells = borders.withColumn("hi", F.lead("lo").over(Window.partitionBy(*key).orderBy("lo")) - 1).where("hi is not null")
+    levels = F.sequence(F.lit(0), F.lit(block.bit_length()))
+    best = both.select(*key, F.explode(_dyadic("lo", "hi", levels)).alias("d"), F.struct("at", "arrival", "run").alias("m"))
+    best = best.groupBy(*key, "d").agg(F.max("m").alias("m"))
+    asked = cells.select(*key, "lo", "hi", F.explode(levels).alias("level"))
+    asked = asked.select(*key, "lo", "hi", F.struct("level", F.floor(F.col("lo") / F.pow(F.lit(2.0), F.col("level")).cast("long")).alias("node")).alias("d"))
+    met = asked.join(best, [*key, "d"]).groupBy(*key, "lo", "hi").agg(F.max("m").alias("m"))
+    return coalesce_runs(met.select(*by, "lo", "hi", F.col("m.at").alias("at"), F.col("m.run").alias("run")), by, ["at", "run"], block)
+
+
+def _dyadic(lo: str, hi: str, levels: Column) -> Column:
+    """The interval as ranges (level, node): node n of a level k holds the ids from n * 2**k on, 2**k of them; two ranges of
+    a level at most."""
+
+    def at(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k).cast("long")
+        low = F.floor((F.col(lo) + size - 1) / size)
+        end = F.floor((F.col(hi) + 1) / size)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        first = F.when(odd(low) & (low < end), F.struct(k.alias("level"), low.alias("node")))
+        second = F.when(odd(end) & (low + F.when(odd(low), 1).otherwise(0) < end), F.struct(k.alias("level"), (end - 1).alias("node")))
+        return F.array(first, second)
+
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
 
 
-def asof_interval(keys: DataFrame, intervals: DataFrame, by: Sequence[str], key: str, carry: Sequence[str]) -> DataFrame:
-    """Each key with the attributes of the interval that starts last before it, if that reaches it; else nulls.
+def asof_interval(keys: DataFrame, intervals: DataFrame, by: Sequence[str], key: str, carry: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """Each key with the attributes of the interval that holds it; else nulls. Intervals of one `by` are disjoint.
 
-    One sort of keys and interval starts together instead of a range join; intervals of one `by` are disjoint.
+    Intervals are cut at the borders of blocks, and keys and starts of a block are sorted together instead of a range join.
     """
-    left = keys.withColumn("_is", F.lit(1)).withColumn("_at", F.col(key)).withColumn("_iv", F.lit(None).cast(_struct_type(intervals, carry)))
-    right = intervals.select(*by, F.col("lo").alias("_at"), F.lit(0).alias("_is"), F.struct("hi", *carry).alias("_iv"))
-    order = Window.partitionBy(*by).orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    left = keys.withColumn("_is", F.lit(1)).withColumn("_at", F.col(key)).withColumn("_iv", F.lit(None).cast(_struct_type(intervals, carry))).withColumn("_block", F.floor(F.col(key) / block))
+    right = in_blocks(intervals.select(*by, F.struct("hi", *carry).alias("_iv"), "lo", "hi"), block)
+    right = right.select(*by, F.col("lo").alias("_at"), F.lit(0).alias("_is"), "_iv", "_block")
+    order = Window.partitionBy(*by, "_block").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
     seen = left.unionByName(right, allowMissingColumns=True).withColumn("_last", F.last("_iv", ignorenulls=True).over(order))
     hit = F.col("_last.hi") >= F.col(key)
     return seen.where("_is = 1").select(*keys.columns, *(F.when(hit, F.col(f"_last.{c}")).alias(c) for c in carry))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.state import kept
+from .store import sequenced
 
 MAX_PAGE, DEFAULT_PAGE = 500, 50  # fixed values
 
@@ -77,19 +81,13 @@ def decode_cursor(cursor: str) -> tuple:
 # --- text search
 
 
-def literal(text: Column | str, query: str, exact: bool = False) -> Column:
-    """Every white-space separated part of a query occurs as a phrase; a query without tokens matches nothing."""
-    import re
-    import unicodedata
-
-    def folded(part: str) -> str:
-        part = part.lower()
-        return "".join(c for c in unicodedata.normalize("NFD", part) if unicodedata.category(c) != "Mn") if exact else part
-
+def literal(text: Column | str, query: str) -> Column:
+    """Every white-space separated part of a query occurs as a phrase, case and accents apart; a query without tokens
+    matches nothing."""
     keep = lambda part: "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Co", "So", "Sk", "Mn") else " " for c in part)
-    wanted = [re.sub(" +", " ", keep(folded(p))).strip() for p in S.phrases(query)]
+    wanted = [re.sub(" +", " ", keep(S.fold_text(p))).strip() for p in S.phrases(query)]
     wanted = [w for w in wanted if w]
-    line = S.token_line(text, exact)
+    line = S.token_line(text)
     test = F.lit(bool(wanted))
     for w in wanted:
         test = test & line.contains(f" {w} ")
@@ -101,22 +99,22 @@ def search_terms(text: Column | str, all_of: Sequence[str] = (), any_of: Sequenc
     have = S.tokens(text)
     test = F.lit(True)
     for w in all_of:
-        test = test & F.array_contains(have, w.lower())
+        test = test & F.array_contains(have, S.fold_text(w))
     if any_of:
-        test = test & F.arrays_overlap(have, F.array(*(F.lit(w.lower()) for w in any_of)))
+        test = test & F.arrays_overlap(have, F.array(*(F.lit(S.fold_text(w)) for w in any_of)))
     for w in none_of:
-        test = test & ~F.array_contains(have, w.lower())
+        test = test & ~F.array_contains(have, S.fold_text(w))
     if phrase:
-        test = test & S.token_line(text).contains(f" {' '.join(phrase.lower().split())} ")
+        test = test & S.token_line(text).contains(f" {' '.join(S.fold_text(phrase).split())} ")
     if prefix:
-        test = test & F.exists(have, lambda t: t.startswith(prefix.lower()))
+        test = test & F.exists(have, lambda t: t.startswith(S.fold_text(prefix)))
     return test
 
 
 def snippet(text: Column | str, terms: Sequence[str], size: int = 12) -> Column:
     """Tokens around the first hit, hits in brackets; it starts up to a third of its size before the hit."""
     have = S.tokens(text)
-    wanted = F.array(*(F.lit(t.lower()) for t in terms))
+    wanted = F.array(*(F.lit(S.fold_text(t)) for t in terms))
     first = F.array_min(F.filter(F.transform(wanted, lambda w: F.array_position(have, w)), lambda p: p > 0))
     start = F.greatest(F.coalesce(first, F.lit(1)) - size // 3, F.lit(1))
     marked = F.transform(F.slice(have, start.cast("int"), size), lambda t: F.when(F.array_contains(wanted, t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
@@ -137,7 +135,7 @@ def indexed_phrase(index: DataFrame, words: Sequence[str], key: str = "urn") ->
     """Keys whose texts hold the words one after the other, from the inverted table alone."""
     found = None
     for k, w in enumerate(words):
-        at = index.where(F.col("token") == w.lower()).select(key, _shifted("positions", k).alias(f"p{k}"))
+        at = index.where(F.col("token") == S.fold_text(w)).select(key, _shifted("positions", k).alias(f"p{k}"))
         found = at.withColumnRenamed("p0", "at") if found is None else found.join(at, key).withColumn("at", F.array_intersect("at", f"p{k}")).drop(f"p{k}")
         found = found.where(F.size("at") > 0)
     return found.select(key)
@@ -154,14 +152,31 @@ def budget(df: DataFrame, chars: int, order: Sequence[Column], by: Sequence[str]
 
 
 def neighbours(messages: DataFrame, anchors: DataFrame, before: int, after: int, chat: str = "chat_urn") -> DataFrame:
-    """Of many anchors (urn as anchor) the messages up to so many places before and after in their chats, with offset."""
-    order = Window.partitionBy(chat).orderBy(F.col("utc_ms").asc_nulls_first(), "urn")
-    ranked = messages.withColumn("_n", F.row_number().over(order))
+    """Of many anchors (urn as anchor) the messages up to so many places before and after in their chats, with offset.
+
+    Only the anchors' chats are numbered, by one sort in ranges, so a chat with very many messages is no task's alone.
+    """
+    chats = messages.join(anchors.select(F.col("anchor").alias("urn")), "urn", "left_semi").select(chat).distinct()
+    ranked = sequenced(messages.join(chats, chat, "left_semi"), [chat, "utc_ms", "urn"]).withColumnRenamed("seq", "_n")
     at = ranked.join(anchors.select(F.col("anchor").alias("urn")), "urn").select(F.col("urn").alias("anchor"), F.col(chat).alias("_chat"), F.explode(F.sequence(F.col("_n") - before, F.col("_n") + after)).alias("_at"), F.col("_n").alias("_own"))
     met = ranked.join(at, F.col(chat).eqNullSafe(F.col("_chat")) & (F.col("_n") == F.col("_at")))
     return met.withColumn("offset", F.col("_n") - F.col("_own")).drop("_n", "_chat", "_at", "_own")
 
 
+def around(messages: DataFrame, anchor: str | int, before: int, after: int, chat: str = "chat_urn") -> DataFrame:
+    """The messages up to so many places before and after one anchor, with offset: two filtered top lists, no ranking."""
+    own = messages.where(F.col("urn") == anchor).select(F.col(chat).alias("_chat"), F.col("utc_ms").alias("_ms")).first()
+    if own is None:
+        return messages.limit(0).withColumn("offset", F.lit(0))
+    ms = F.coalesce("utc_ms", F.lit(-(1 << 62)))  # undated messages come first
+    here = messages.where(F.col(chat).eqNullSafe(F.lit(own["_chat"]))).withColumn("_ms", ms)
+    place = F.struct("_ms", "urn")
+    at = F.struct(F.lit(-(1 << 62) if own["_ms"] is None else own["_ms"]).cast("long").alias("_ms"), F.lit(anchor).alias("urn"))
+    back = here.where(place < at).orderBy(F.desc("_ms"), F.desc("urn")).limit(before).withColumn("offset", -F.row_number().over(Window.orderBy(F.desc("_ms"), F.desc("urn"))))
+    on = here.where(place >= at).orderBy("_ms", "urn").limit(after + 1).withColumn("offset", F.row_number().over(Window.orderBy("_ms", "urn")) - 1)
+    return back.unionByName(on).drop("_ms")  # both windows hold a page at most
+
+
 # --- chats, people, media
 
 
@@ -240,22 +255,38 @@ def run_status(errors: DataFrame, harmless: str = "ambiguous_alias") -> DataFram
     return errors.agg(F.when(F.coalesce(F.bool_or(F.col("code") != harmless), F.lit(False)), "partial").otherwise("complete").alias("status"), F.coalesce(F.sum("count"), F.lit(0)).alias("errors"))
 
 
-def resolve(citations: DataFrame, heads: DataFrame, revisions: DataFrame, aliases: DataFrame, hops: int = 8) -> DataFrame:
-    """The status of citations (urn, digest or null): current, tombstoned, revision_superseded, unknown_revision,
-    ambiguous, unavailable or unknown; single aliases are followed, several are ambiguous. heads: (urn, digest, tombstoned)."""
-    single = aliases.groupBy(F.col("old_urn").alias("_at")).agg(F.count_distinct("new_urn").alias("_n"), F.min("new_urn").alias("_to"))
-    now = citations.select("urn", "digest", F.col("urn").alias("_at"), F.lit(False).alias("ambiguous"))
-    for _ in range(hops):
-        known = heads.select(F.col("urn").alias("_at"), F.lit(True).alias("_head"))
-        step = now.join(known, "_at", "left").join(single, "_at", "left")
-        follow = F.col("_head").isNull() & F.col("_n").isNotNull()
-        now = step.select("urn", "digest", F.when(follow & (F.col("_n") == 1), F.col("_to")).otherwise(F.col("_at")).alias("_at"), (F.col("ambiguous") | (follow & (F.col("_n") > 1))).alias("ambiguous"))
-    h = heads.select(F.col("urn").alias("_at"), F.col("digest").alias("_d"), F.coalesce("tombstoned", F.lit(False)).alias("_t"))
+def followed(aliases: DataFrame, heads: DataFrame) -> DataFrame:
+    """(urn, to): where chains of single aliases (old_urn, new_urn) lead from urns without a head, however long. `to` is
+    null for a chain that runs in a circle."""
+    lost = aliases.join(heads.select(F.col("urn").alias("old_urn")), "old_urn", "left_anti")
+    single = lost.groupBy(F.col("old_urn").alias("urn")).agg(F.count_distinct("new_urn").alias("n"), F.min("new_urn").alias("to")).where("n = 1")
+    now = kept(single.select("urn", "to"))
+    for _ in range(now.count().bit_length() + 1):  # each round doubles the stretch that a row covers
+        ahead = now.select(F.col("urn").alias("to"), F.col("to").alias("far"), F.lit(True).alias("on"))
+        now = kept(now.join(ahead, "to", "left").select("urn", F.when(F.col("on"), F.col("far")).otherwise(F.col("to")).alias("to"), F.coalesce("on", F.lit(False)).alias("on")))
+        if now.where("on").isEmpty():
+            return now.select("urn", "to")
+        now = now.drop("on")
+    ends = now.join(now.select(F.col("urn").alias("to"), F.lit(True).alias("on")), "to", "left")
+    return ends.select("urn", F.when(F.col("on").isNull(), F.col("to")).alias("to"))
+
+
+def resolve(citations: DataFrame, heads: DataFrame, revisions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The status of citations (urn, digest or null). A urn without a head is followed over single aliases to the end;
+    several aliases are ambiguous, and without any, or in a circle, it is unknown. A cited digest that isn't the head's
+    decides: revision_superseded if it is stored, else unknown_revision. Else the head is tombstoned, unavailable (a stub)
+    or current. heads: (urn, digest, tombstoned, and stub if there are any)."""
+    ends = followed(aliases, heads).select("urn", F.col("to").alias("_to"), F.lit(True).alias("_via"))
+    many = aliases.groupBy(F.col("old_urn").alias("_at")).agg((F.count_distinct("new_urn") > 1).alias("_many"))
+    now = citations.select("urn", "digest").join(ends, "urn", "left").withColumn("_at", F.when(F.col("_via"), F.col("_to")).otherwise(F.col("urn")))
+    stub = F.coalesce("stub", F.lit(False)) if "stub" in heads.columns else F.lit(False)
+    h = heads.select(F.col("urn").alias("_at"), F.col("digest").alias("_d"), F.coalesce("tombstoned", F.lit(False)).alias("_t"), stub.alias("_s"), F.lit(True).alias("_head"))
     r = revisions.select(F.col("urn").alias("_at"), "digest", F.lit(True).alias("_known")).distinct()
-    met = now.join(h, "_at", "left").join(r, ["_at", "digest"], "left")
+    met = now.join(h, "_at", "left").join(r, ["_at", "digest"], "left").join(many, "_at", "left")
     status = (
-        F.when(F.col("ambiguous"), "ambiguous").when(F.col("_d").isNull() & F.col("_known"), "unavailable").when(F.col("_d").isNull(), "unknown").when(F.col("_t"), "tombstoned")
-        .when(F.col("digest").isNull() | (F.col("digest") == F.col("_d")), "current").when(F.col("_known"), "revision_superseded").otherwise("unknown_revision")
+        F.when(F.col("_head").isNull() & F.col("_many"), "ambiguous").when(F.col("_head").isNull(), "unknown")
+        .when((F.col("digest") != F.col("_d")) & F.col("_known"), "revision_superseded").when(F.col("digest") != F.col("_d"), "unknown_revision")
+        .when(F.col("_t"), "tombstoned").when(F.col("_s"), "unavailable").otherwise("current")
     )
     return met.select("urn", "digest", F.col("_at").alias("resolved_urn"), status.alias("status"))
 

@@ -79,9 +79,10 @@ def route_b(changes: dict[str, DataFrame], message: DataFrame, chat_joins: DataF
 
 
 def changed_header_keys(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(key, change) of header keys that appeared, vanished or changed; rows of one key count together, in order.
-    Tables: (key, fingerprint)."""
-    rows = lambda df, name: df.groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("fingerprint")), "\n"), 256).alias(name))
+    """(key, change) of header keys that appeared, vanished or changed; rows of one key count together, in any order: by
+    their number and two sums of hashes, so a key with very many rows is summed where they are. Tables: (key, fingerprint)."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "fingerprint").cast("decimal(38,0)"))
+    rows = lambda df, name: df.groupBy("key").agg(F.struct(F.count("*"), part(1), part(2)).alias(name))
     t = rows(previous, "old").join(rows(current, "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     return t.select("key", F.when(F.col("old").isNull(), "appeared").when(F.col("new").isNull(), "vanished").otherwise("changed").alias("change"))
 

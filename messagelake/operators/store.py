@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
 
-#: The operations of the journal.
-OPERATIONS = ("entity_key", "record", "revision", "observation", "record_refresh", "observation_refresh", "identity")
+# The operations of the journal, the kinds of records, the fields of an observation with their JSON types,
+# and the states in which a row can be.
+OPERATIONS = ("entity_key", "record", "revision", "observation", "record_refresh", "observation_refresh", "identity_metadata")
+KINDS = ("accounts", "identities", "aliases", "chats", "chat_memberships", "messages", "message_parts", "attachments", "events", "people", "identity_links", "sync_runs")
+OBSERVATION = {
+    "entity_urn": "STRING", "source": "STRING", "account_scope": "STRING", "native_table": "STRING", "native_row_ids": "ARRAY",
+    "fingerprint": "STRING", "adapter_version": "STRING", "observed_at": "BIGINT", "minted": "BOOLEAN", "present": "STRING",
+}
+PRESENT = ("present", "absent_from_source", "deleted_evidence")
 
 
 def digest_changes(batch: DataFrame, heads: DataFrame) -> DataFrame:
@@ -73,6 +80,7 @@ def current_heads(heads: DataFrame, fresh: DataFrame) -> DataFrame:
     return seen.withColumn("observed_at", F.greatest("observed_at", "at")).drop("at")
 
 
+# What an observation says, and what it is about.
 EVIDENCE = ("native_row_ids", "native_key", "minted", "fingerprint", "adapter_version", "present")
 OBSERVED = ("urn", "source", "scope", "native_table")
 
@@ -107,7 +115,7 @@ def open_conflicts(ledger: DataFrame) -> DataFrame:
 
 def epochs(changes: DataFrame) -> DataFrame:
     """(source, scope, epoch): how many changes of content there were; refreshes and run rows don't count."""
-    semantic = ~F.col("operation").isin("record_refresh", "observation_refresh", "identity") & (F.col("kind") != "sync_runs")
+    semantic = ~F.col("operation").isin("record_refresh", "observation_refresh", "identity_metadata") & (F.col("kind") != "sync_runs")
     return changes.where(semantic).groupBy("source", "scope").agg(F.count("*").alias("epoch"))
 
 
@@ -164,29 +172,153 @@ def next_batch(journal: DataFrame, after: int, limit: int, max_bytes: int) -> Da
     return out.where((F.col("total") <= max_bytes) | F.when((F.col("total") == F.col("size")) & (F.col("size") > max_bytes), F.raise_error(F.lit("an event is larger than a batch")).isNull()).otherwise(False))
 
 
+def _kind_of(v: Column, path: str) -> Column:
+    """The JSON type at a path: BIGINT, STRING, BOOLEAN, ARRAY, OBJECT, VOID; null where there is nothing."""
+    return F.substring_index(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "<", 1)
+
+
+def observation_problem(v: Column, at: str = "$") -> Column:
+    """What is wrong with an observation in JSON; null if nothing is."""
+    get = lambda k: F.try_variant_get(v, f"{at}.{k}", "string")
+    found = F.lit(None).cast("string")
+    maybe = lambda k: F.coalesce(_kind_of(v, f"{at}.{k}"), F.lit("VOID")).isin("STRING", "VOID")
+    rules = [(f"observation field {k} missing or no {t.lower()}", ~F.coalesce(_kind_of(v, f"{at}.{k}"), F.lit("")).eqNullSafe(t)) for k, t in OBSERVATION.items()]
+    rules += [("observation present unknown", ~get("present").isin(*PRESENT)), ("observation native_key is no string", ~maybe("native_key")), ("observation sync_run is no string", ~maybe("sync_run")), ("observation entity_urn is no urn", ~get("entity_urn").startswith("urn:uuid:"))]
+    for message, broken in reversed(rules):
+        found = F.when(broken, message).otherwise(found)
+    return found
+
+
 def validate_events(events: DataFrame) -> DataFrame:
-    """(seq, problem) of events that no consumer may apply."""
-    problem = (
-        F.when(F.col("seq").isNull() | (F.col("seq") < 1), "bad sequence").when(~F.col("operation").isin(*OPERATIONS) | F.col("operation").isNull(), "unknown operation")
-        .when(F.col("data").isNull() | F.get_json_object("data", "$").isNull(), "bad data")
-        .when(F.col("operation").isin("record", "revision", "observation") & F.col("urn").isNull(), "no urn")
-    )
+    """(seq, problem) of events that no consumer may apply: the rules of their operation on their JSON data."""
+    v = F.try_parse_json("data")
+    kind = lambda path: F.coalesce(_kind_of(v, path), F.lit("VOID"))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    number = lambda path: F.try_variant_get(v, path, "long")
+    op = F.col("operation")
+    is_op = lambda *names: F.coalesce(op.isin(*names), F.lit(False))
+    positive = lambda path: (kind(path) == "BIGINT") & (number(path) >= 1)
+    digest = lambda path: F.coalesce(text(path).rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
+    keyed = is_op("entity_key") | (is_op("record") & _kind_of(v, "$.entity_id").isNotNull())
+    spans = F.from_json(F.get_json_object("data", "$.ranges"), "array<array<bigint>>")
+    wrong = F.exists(spans, lambda x: x.isNull() | (F.size(x) != 2) | F.coalesce((x[0] < 1) | (x[0] > x[1]), F.lit(True)))
+    rules = [
+        ("bad sequence", F.col("seq").isNull() | (F.col("seq") < 1)), ("data is no object", kind("$") != "OBJECT"), ("sync_run is no string", ~kind("$.sync_run").isin("STRING", "VOID")),
+        ("unknown operation", ~is_op(*OPERATIONS)), ("no stable id", keyed & ~positive("$.entity_id")),
+        ("entity key without urn or digest", is_op("entity_key") & ~(F.coalesce(text("$.urn").startswith("urn:uuid:"), F.lit(False)) & digest("$.revision_digest"))),
+        ("entity key time is no number", is_op("entity_key") & _kind_of(v, "$.observed_at").isNotNull() & (kind("$.observed_at") != "BIGINT")),
+        ("identity without scopes and mappings", is_op("identity_metadata") & ~((kind("$.scopes") == "OBJECT") & (kind("$.scope_mappings") == "ARRAY"))),
+        ("revision without urn, digest or record", is_op("revision") & ~(F.coalesce(text("$.entity_urn").startswith("urn:uuid:"), F.lit(False)) & digest("$.revision_digest") & (kind("$.record") == "OBJECT"))),
+        ("record of no known kind", is_op("record") & ~F.coalesce(text("$.record.entity").isin(*KINDS), F.lit(False))),
+        ("record without time", is_op("record") & (kind("$.observed_at") != "BIGINT")),
+        ("previous digest is none", is_op("record") & (kind("$.previous_digest") != "VOID") & ~digest("$.previous_digest")),
+        ("observation without stable id", is_op("observation") & ~positive("$.observation_id")),
+        ("refresh without time or ranges", is_op("observation_refresh", "record_refresh") & ((kind("$.observed_at") != "BIGINT") | (kind("$.ranges") != "ARRAY"))),
+        ("bad ranges", is_op("observation_refresh", "record_refresh") & F.coalesce(wrong, F.lit(True))),
+    ]
+    problem = F.when(is_op("observation"), observation_problem(v))
+    for message, broken in reversed(rules):
+        problem = F.when(F.coalesce(broken, F.lit(False)), message).otherwise(problem)
     return events.select("seq", problem.alias("problem")).where("problem is not null")
 
 
 def apply_changes(batch: DataFrame, applied: DataFrame) -> DataFrame:
-    """(producer, seq, status) of a replay: `new`, `known` for an equal event applied before, `rejected` for another
-    one under the same number. applied: (producer, seq, sha256)."""
+    """(producer, seq, status) of a replay: `new`, `known` for an equal event applied before or earlier in the batch,
+    `rejected` where one number stands for other content. applied: (producer, seq, sha256)."""
     hashed = batch.withColumn("sha256", F.sha2(F.concat_ws("\n", "operation", "urn", "data"), 256))
     before = applied.select("producer", "seq", F.col("sha256").alias("_was"))
-    status = F.when(F.col("_was").isNull(), "new").when(F.col("_was") == F.col("sha256"), "known").otherwise("rejected")
-    return hashed.join(before, ["producer", "seq"], "left").withColumn("status", status).drop("_was")
+    same = Window.partitionBy("producer", "seq")
+    many = F.min("sha256").over(same) != F.max("sha256").over(same)
+    again = F.row_number().over(same.orderBy("sha256")) > 1
+    status = F.when(F.col("_many") | (F.col("_was") != F.col("sha256")), "rejected").when(F.col("_was").isNotNull() | F.col("_again"), "known").otherwise("new")
+    marked = hashed.withColumns({"_many": many, "_again": again})
+    return marked.join(before, ["producer", "seq"], "left").withColumn("status", status).drop("_was", "_many", "_again")
 
 
 def replay_heads(events: DataFrame) -> DataFrame:
-    """Heads after record events applied in the order of seq: the last one counts, unless an older observation."""
-    last = events.where("operation = 'record' and status = 'new'").groupBy("urn").agg(F.max_by(F.struct("data", "seq"), F.struct("observed_at", "seq")).alias("x"))
-    return last.select("urn", "x.data", "x.seq")
+    """Heads after new record events: of each urn the latest by time, then by seq. For feeds of one writer that carry no
+    previous digests; replay_records() is for those that do."""
+    last = events.where("operation = 'record' and status = 'new'").groupBy("urn").agg(F.max_by(F.struct("data", "seq", "observed_at"), F.struct("observed_at", "seq")).alias("x"))
+    return last.select("urn", "x.data", "x.seq", "x.observed_at")
+
+
+def outcome(head: str | None, head_at: int | None, digest: str, previous: str | None, at: int) -> str:
+    """What becomes of a carried record: its previous digest must be the head's, else an unrelated edit stays."""
+    if head is None:
+        return "inserted"
+    if head == digest:
+        return "unchanged"
+    if previous != head:
+        return "conflict"
+    return "updated" if at >= head_at else "older"
+
+
+def replay_records(records: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads after, outcomes (urn, seq, outcome)) of record events (urn, seq, digest, previous, observed_at) in the order of
+    seq. heads: (urn, digest, observed_at). Each step of a urn depends on the one before, so its rows stream through one
+    task in order, and only the head is held."""
+    kind = "urn string, seq long, digest string, previous string, observed_at long"
+    old = heads.select(F.col("urn").cast("string").alias("urn"), F.lit(-1).cast("long").alias("seq"), "digest", F.lit(None).cast("string").alias("previous"), "observed_at")
+    new = records.select(F.col("urn").cast("string").alias("urn"), F.col("seq").cast("long").alias("seq"), "digest", "previous", "observed_at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        urn = head = at = None
+        for batch in batches:
+            out = []
+            for u, seq, digest, previous, time in zip(*(batch[c].to_pylist() for c in ("urn", "seq", "digest", "previous", "observed_at"))):
+                if u != urn:
+                    urn, head, at = u, None, None
+                if seq < 0:
+                    head, at, said = digest, time, "head"
+                else:
+                    said = outcome(head, at, digest, previous, time)
+                    if said in ("inserted", "updated"):
+                        head, at = digest, time
+                    elif said == "unchanged":
+                        at = max(at, time)
+                out.append((u, seq, said, head, at))
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["urn", "seq", "outcome", "digest", "observed_at"])
+
+    from ..plans.state import kept
+
+    dealt = old.unionByName(new).repartition("urn").sortWithinPartitions("urn", "seq")
+    told = kept(dealt.mapInArrow(run, "urn string, seq long, outcome string, digest string, observed_at long"))
+    after = told.groupBy("urn").agg(F.max_by(F.struct("digest", "observed_at"), "seq").alias("h")).select("urn", "h.*")
+    return after, told.where("seq >= 0").select("urn", "seq", "outcome")
+
+
+def replay_operations(events: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after new events (producer, seq, operation, data in JSON) of all seven operations.
+
+    tables: heads (urn, digest, observed_at), revisions (urn, digest, observed_at), observations (OBSERVED, EVIDENCE,
+    observed_at), fresh (kind, lo, hi, at, run), bound (producer, id, local) and identity (seq, data). Records follow the
+    previous digests that they carry; an entity key of the head's digest refreshes its id; refreshes are laid over `fresh`
+    in the order of seq; the last identity event counts. Also gives `outcomes`.
+    """
+    get = lambda path, kind: F.try_variant_get(F.try_parse_json("data"), path, kind)
+    of = lambda *ops: events.where(F.col("operation").isin(*ops))
+    revised = of("revision").select(get("$.entity_urn", "string").alias("urn"), get("$.revision_digest", "string").alias("digest"), get("$.observed_at", "long").alias("observed_at"))
+    carried = of("record").select("producer", get("$.record.urn", "string").alias("urn"), "seq", get("$.record.revision_digest", "string").alias("digest"), get("$.previous_digest", "string").alias("previous"), get("$.observed_at", "long").alias("observed_at"), get("$.entity_id", "long").alias("id"))
+    heads, outcomes = replay_records(carried, tables["heads"])
+    keys = of("entity_key").select("producer", "seq", get("$.entity_id", "long").alias("id"), get("$.urn", "string").alias("urn"), get("$.revision_digest", "string").alias("digest"), get("$.observed_at", "long").alias("at"), get("$.sync_run", "string").alias("run"))
+    bound = tables["bound"].unionByName(carried.where("id is not null").select("producer", "id", F.col("urn").alias("local"))).unionByName(keys.select("producer", "id", F.col("urn").alias("local"))).distinct()
+    met = keys.where("at is not null").join(heads.select("urn", F.col("digest").alias("_d")), "urn").where("digest = _d")
+    ranges = of("observation_refresh", "record_refresh").select("seq", F.regexp_replace("operation", "_refresh", "").alias("kind"), F.explode(F.from_json(F.get_json_object("data", "$.ranges"), "array<array<bigint>>")).alias("r"), get("$.observed_at", "long").alias("at"), get("$.sync_run", "string").alias("run"))
+    stamps = ranges.select("kind", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"), "at", "run", F.col("seq").alias("arrival"))
+    stamps = stamps.unionByName(met.select(F.lit("record").alias("kind"), F.col("id").alias("lo"), F.col("id").alias("hi"), "at", "run", F.col("seq").alias("arrival")))
+    seen = of("observation").select(
+        get("$.entity_urn", "string").alias("urn"), get("$.source", "string").alias("source"), get("$.account_scope", "string").alias("scope"), get("$.native_table", "string").alias("native_table"), F.from_json(F.get_json_object("data", "$.native_row_ids"), "array<string>").alias("native_row_ids"),
+        get("$.native_key", "string").alias("native_key"), get("$.minted", "boolean").alias("minted"), get("$.fingerprint", "string").alias("fingerprint"), get("$.adapter_version", "string").alias("adapter_version"), get("$.present", "string").alias("present"), get("$.observed_at", "long").alias("observed_at"),
+    )
+    said = tables["identity"].unionByName(of("identity_metadata").select("seq", "data"))
+    return {
+        "heads": heads, "outcomes": outcomes, "revisions": append_revisions(tables["revisions"], revised), "observations": observe_merge(seen, tables["observations"]),
+        "fresh": intervals.stamp(tables["fresh"], stamps, ["kind"]), "bound": bound, "identity": said.agg(F.max_by(F.struct("seq", "data"), "seq").alias("x")).where("x is not null").select("x.*"),
+    }
 
 
 def bind_entities(bound: DataFrame, batch: DataFrame) -> DataFrame:

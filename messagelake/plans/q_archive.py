@@ -62,6 +62,8 @@ def a6(spark, sf):
     return A.observation_bounds(o, ["bucket"]).withColumn("runs", F.array_join("runs", "|"))
 
 
+LEVELS_SQL = """pt AS (SELECT bucket, sha256(CAST(urn AS VARCHAR))[1:3] AS part, count(*) AS n, sha256(string_agg(urn || chr(0) || kind, chr(10) ORDER BY urn || chr(0) || kind)) AS h FROM (SELECT DISTINCT bucket, urn, kind FROM bm) GROUP BY ALL),
+dg AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS records, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest FROM pt GROUP BY bucket)"""
 DIGEST_SQL = "dg AS (SELECT bucket, count(DISTINCT (urn, kind)) AS records, sha256(string_agg(DISTINCT urn || chr(0) || kind, chr(10) ORDER BY urn || chr(0) || kind) || chr(10)) AS digest FROM bm GROUP BY bucket)"
 
 
@@ -70,15 +72,15 @@ def g14(spark, sf):
     return A.flat_digest(bucketed(spark, sf).select("bucket", "urn", F.col("kind").alias("digest")), ["bucket"])
 
 
-@query("g14_two_level_digest")
+@query("g14_two_level_digest", with_sql(ORDERS_SQL, BUCKETED_SQL, LEVELS_SQL) + " SELECT * FROM dg")
 def g14_levels(spark, sf):
     return A.set_digest(bucketed(spark, sf).select("bucket", "urn", F.col("kind").alias("digest")), ["bucket"])
 
 
-@query("a8_revise", with_sql(ORDERS_SQL, BUCKETED_SQL, DIGEST_SQL) + """ SELECT bucket, records, digest, CASE WHEN bucket LIKE '%-01' THEN 'unchanged' ELSE 'write' END AS action, CASE WHEN bucket LIKE '%-01' THEN 2 WHEN bucket LIKE '%-02' THEN 3 ELSE 1 END AS revision,
+@query("a8_revise", with_sql(ORDERS_SQL, BUCKETED_SQL, LEVELS_SQL) + """ SELECT bucket, records, digest, CASE WHEN bucket LIKE '%-01' THEN 'unchanged' ELSE 'write' END AS action, CASE WHEN bucket LIKE '%-01' THEN 2 WHEN bucket LIKE '%-02' THEN 3 ELSE 1 END AS revision,
   CASE WHEN bucket LIKE '%-02' THEN 'x2' END AS supersedes FROM dg""")
 def a8(spark, sf):
-    now = A.flat_digest(bucketed(spark, sf).select("bucket", "urn", F.col("kind").alias("digest")), ["bucket"])
+    now = A.set_digest(bucketed(spark, sf).select("bucket", "urn", F.col("kind").alias("digest")), ["bucket"])
     old = now.where("bucket like '%-01' or bucket like '%-02'").select("bucket", F.explode(F.array(F.lit(1), F.lit(2))).alias("revision"), F.when(F.col("bucket").like("%-01"), F.col("digest")).otherwise("other").alias("digest")).withColumn("export_id", F.concat(F.lit("x"), "revision"))
     return A.revise(now, old)
 
@@ -98,10 +100,11 @@ def a11(spark, sf):
     return A.check_manifests(m).join(m.select("archive_id", "n"), "archive_id").select("n", F.array_join("problems", ",").alias("problems"))
 
 
-@query("a13_a14_check_rows", """SELECT problem AS problems, count(*) AS n FROM (SELECT DISTINCT n_regionkey, n_nationkey % 3 AS k, CASE n_nationkey % 3 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'missing name' END AS problem FROM nation) WHERE problem IS NOT NULL GROUP BY 1""")
+@query("a13_a14_check_rows", """SELECT problem AS problems, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey % 3 AS k, CASE o_orderkey % 3 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'missing name' END AS problem FROM orders) WHERE problem IS NOT NULL GROUP BY 1""")
 def a13(spark, sf):
-    t = table(spark, sf, "nation")
-    raw = F.when(F.col("n_nationkey") % 3 == 0, F.to_json(F.struct(F.col("n_regionkey").alias("id"), F.lit("n").alias("name"), F.lit(1).alias("other")))).when(F.col("n_nationkey") % 3 == 1, F.to_json(F.struct(F.col("n_regionkey").alias("id")))).otherwise(F.to_json(F.struct(F.col("n_regionkey").alias("id"), F.lit("n").alias("name"))))
+    t = table(spark, sf, "orders")
+    k, n = F.col("o_orderkey") % 3, F.col("o_custkey").alias("id")
+    raw = F.when(k == 0, F.to_json(F.struct(n, F.lit("n").alias("name"), F.lit(1).alias("other")))).when(k == 1, F.to_json(F.struct(n))).otherwise(F.to_json(F.struct(n, F.lit("n").alias("name"))))
     return A.check_rows(t.select(raw.alias("raw")), {"id": "long", "name": "string", "note": "string?"}).groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("n"))
 
 
@@ -144,3 +147,63 @@ def a23(spark, sf):
 def a24(spark, sf):
     m = order_messages(spark, sf).select("urn", F.col("kind").alias("digest"))
     return A.compare_stores(m.where("urn % 89 != 0"), m.where("urn % 97 != 0").withColumn("digest", F.when(F.col("urn") % 101 == 0, "X").otherwise(F.col("digest"))))
+
+
+@query("a6_a7_provenance", with_sql(ORDERS_SQL, BUCKETED_SQL) + """, r AS (SELECT l_orderkey AS urn, l_linenumber AS digest, CASE WHEN l_linenumber > 1 THEN 'run' || l_suppkey % 5 END AS sync_run FROM lineitem)
+  SELECT bucket, count(*) AS revisions, count(DISTINCT bm.urn) AS urns, (SELECT string_agg(DISTINCT x.sync_run, ',' ORDER BY x.sync_run) FROM r x JOIN bm b ON b.urn = x.urn WHERE b.bucket = bm.bucket) AS runs FROM bm JOIN r ON r.urn = bm.urn GROUP BY bucket
+  UNION ALL SELECT 'catalogue', count(*), count(DISTINCT urn), NULL FROM (SELECT urn FROM om WHERE chat % 3 = 0)""")
+def a6_a7(spark, sf):
+    b = bucketed(spark, sf)
+    rev = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("urn"), F.col("l_linenumber").alias("digest"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("run"), F.col("l_suppkey") % 5)).alias("sync_run"))
+    r, _, runs = A.provenance(b, rev, rev.limit(0))
+    named = runs.groupBy("bucket").agg(F.array_join(F.array_sort(F.collect_list("sync_run")), ",").alias("runs"))
+    out = r.groupBy("bucket").agg(F.count("*").alias("revisions"), F.count_distinct("urn").alias("urns")).join(named, "bucket", "left")
+    c = A.catalogue(b.select("urn", F.when(F.col("chat") % 3 == 0, "chats").otherwise("messages").alias("kind")))
+    return out.unionByName(c.groupBy("bucket").agg(F.count("*").alias("revisions"), F.count_distinct("urn").alias("urns"), F.lit(None).cast("string").alias("runs")))
+
+
+@query("g15_member_digest", """SELECT l_orderkey AS archive, count(*) AS members, 'sha256:' || sha256(string_agg(name || ' ' || h, chr(10) ORDER BY name, h)) AS digest FROM (SELECT l_orderkey, 'records/' || l_linenumber AS name, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem) GROUP BY 1""")
+def g15(spark, sf):
+    m = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("archive"), F.concat(F.lit("records/"), "l_linenumber").alias("name"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"))
+    return A.member_digest(m, ["archive"])
+
+
+def observation_json(spark, sf):
+    k = F.col("o_orderkey") % 6
+    urn = S.urn("x", "x", "event", F.col("o_orderkey").cast("string"))
+    body = F.struct(
+        F.when(k == 0, "nothing").otherwise(urn).alias("entity_urn"), F.lit("s").alias("source"), F.lit("c").alias("account_scope"), F.lit("t").alias("native_table"), F.array(F.col("o_orderkey").cast("string")).alias("native_row_ids"), F.lit("f").alias("fingerprint"), F.when(k != 1, "1").alias("adapter_version"),
+        F.when(k != 2, F.col("o_custkey")).alias("observed_at"), F.lit(False).alias("minted"), F.when(k == 3, "perhaps").otherwise("present").alias("present"), F.lit(None).cast("string").alias("native_key"),
+    )
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(k == 4, "{broken").otherwise(F.to_json(body)).alias("raw"))
+
+
+@query("a15_check_observations", """SELECT CASE o_orderkey % 6 WHEN 0 THEN 'observation entity_urn is no urn' WHEN 1 THEN 'observation field adapter_version missing or no string' WHEN 2 THEN 'observation field observed_at missing or no bigint' WHEN 3 THEN 'observation present unknown' ELSE 'no JSON' END AS problem,
+  CASE WHEN o_orderkey % 6 = 4 THEN 1 ELSE count(*) END AS n FROM orders WHERE o_orderkey % 6 < 5 GROUP BY o_orderkey % 6""")
+def a15(spark, sf):
+    return A.check_observations(observation_json(spark, sf)).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("a12_a13_check_types", """SELECT sha256(raw) AS sha256, problems FROM (SELECT DISTINCT '{"id":' || CASE WHEN o_orderkey % 5 = 0 THEN '"x"' ELSE CAST(o_custkey AS VARCHAR) END || ',"kind":"' || CASE WHEN o_orderkey % 5 = 1 THEN 'odd' ELSE o_orderstatus END || '","at":"' || CASE WHEN o_orderkey % 5 = 2 THEN 'now' ELSE '2024' END || '"}' AS raw,
+  CASE o_orderkey % 5 WHEN 0 THEN 'id is no bigint' WHEN 1 THEN 'kind has no such value' WHEN 2 THEN 'at has no such form' END AS problems FROM orders) WHERE problems IS NOT NULL""")
+def a12(spark, sf):
+    k = F.col("o_orderkey") % 5
+    id_ = F.when(k == 0, '"x"').otherwise(F.col("o_custkey").cast("string"))
+    raw = F.concat(F.lit('{"id":'), id_, F.lit(',"kind":"'), F.when(k == 1, "odd").otherwise(F.col("o_orderstatus")), F.lit('","at":"'), F.when(k == 2, "now").otherwise("2024"), F.lit('"}'))
+    out = A.check_types(table(spark, sf, "orders").select(raw.alias("raw")), {"id": "BIGINT", "kind": "STRING", "at": "STRING", "note": "STRING?"}, {"kind": ["O", "F", "P"]}, {"at": r"^\d{4}$"})
+    return out.select("sha256", F.array_join("problems", ",").alias("problems"))
+
+
+@query("a18_a20_import_bucket", with_sql(ORDERS_SQL) + """, h AS (SELECT urn, CASE WHEN urn % 3 = 0 THEN 'old' ELSE kind END AS digest, utc_ms + CASE WHEN urn % 7 = 0 THEN 1 ELSE 0 END AS observed_at FROM om WHERE urn % 4 <> 0)
+  SELECT coalesce(b.urn, h.urn) AS urn, CASE WHEN h.urn IS NULL THEN 'inserted' WHEN b.urn IS NULL THEN 'none' WHEN h.digest = b.kind THEN 'unchanged' WHEN b.urn % 2 = 0 AND b.utc_ms >= h.observed_at THEN 'updated' WHEN b.urn % 2 = 0 THEN 'older' ELSE 'conflict' END AS outcome,
+  b.urn IS NULL AND h.urn % 6 = 1 AS tombstoned FROM (SELECT * FROM om WHERE urn % 5 <> 0) b FULL JOIN h ON h.urn = b.urn""")
+def a18(spark, sf):
+    m = order_messages(spark, sf)
+    heads = m.where("urn % 4 != 0").select("urn", F.when(F.col("urn") % 3 == 0, "old").otherwise(F.col("kind")).alias("digest"), (F.col("utc_ms") + F.when(F.col("urn") % 7 == 0, 1).otherwise(0)).alias("observed_at"), F.lit(False).alias("tombstoned"))
+    records = m.where("urn % 5 != 0").select("urn", F.lit("messages").alias("kind"), F.col("kind").alias("digest"), F.col("utc_ms").alias("observed_at"))
+    known = m.where("urn % 2 = 0").select("urn", F.lit("old").alias("digest"), F.lit(0).cast("long").alias("observed_at"))
+    none = spark.createDataFrame([], "urn long, source string, scope string, native_table string, native_row_ids array<string>, native_key string, minted boolean, fingerprint string, adapter_version string, present string, observed_at long")
+    members = m.where("urn % 6 = 1").select(F.lit("x1").alias("export_id"), "urn")
+    stored = {"heads": heads, "revisions": heads.select("urn", "digest", "observed_at"), "observations": none, "members": members}
+    out = A.import_bucket({"records": records, "revisions": known, "observations": none}, stored, "x2", 5, ["x1"])
+    return out["heads"].join(out["outcomes"], "urn", "left").select("urn", F.coalesce("outcome", F.lit("none")).alias("outcome"), "tombstoned")

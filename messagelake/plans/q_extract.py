@@ -15,14 +15,14 @@ JID_SQL = "CASE conv_id % 3 WHEN 0 THEN 'g' || conv_id || '@g.us' WHEN 1 THEN co
 
 
 def native_a(spark, sf):
-    t = table(spark, sf, "conversations").where("conv_id % 50 != 49 or turn < 9")
+    t = table(spark, sf, "conversations")
     c = t.select("conv_id").distinct()
     jid = F.concat(F.when(F.col("conv_id") % 3 == 0, "G").otherwise(""), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 == 0, "@G.us").when(F.col("conv_id") % 3 == 1, "@s.whatsapp.net").otherwise("@lid"))
     sessions = c.where("conv_id % 11 != 10").select(F.col("conv_id").alias("Z_PK"), jid.alias("ZCONTACTJID"), F.lit(0).alias("ZSESSIONTYPE"), F.concat(F.lit("Chat "), "conv_id").alias("ZPARTNERNAME"), (F.col("conv_id") % 5 == 0).cast("int").alias("ZARCHIVED"))
     groups = c.where("conv_id % 3 = 0").select(F.col("conv_id").alias("ZCHATSESSION"), F.col("conv_id").cast("double").alias("ZCREATIONDATE"))
     members = t.where("conv_id % 3 = 0").select("conv_id", "role").distinct().select((F.col("conv_id") * 10 + F.length("role") % 10).alias("Z_PK"), (F.col("role") == "user").cast("int").alias("ZISADMIN"), F.lit(1).alias("ZISACTIVE"), F.col("conv_id").alias("ZCHATSESSION"), F.concat("role", F.lit("@lid")).alias("ZMEMBERJID"), F.col("role").alias("ZCONTACTNAME"))
     push = t.select("role").distinct().select(F.concat("role", F.lit("@lid")).alias("ZJID"), F.upper("role").alias("ZPUSHNAME"))
-    n = F.col("conv_id") * 100 + F.col("turn")
+    n = F.col("conv_id") * 1000000 + F.col("turn")
     null = lambda kind: F.lit(None).cast(kind)
     rows = t.select(
         (n * 2).alias("Z_PK"), F.lit(0).alias("ZGROUPEVENTTYPE"), (F.col("role") == "user").cast("int").alias("ZISFROMME"), F.lit(1).alias("ZMESSAGESTATUS"), F.when(F.col("role") == "system", 6).when(F.col("turn") % 7 == 6, 99).when(F.col("turn") % 7 == 5, 1).otherwise(0).alias("ZMESSAGETYPE"),
@@ -35,11 +35,11 @@ def native_a(spark, sf):
     return {"sessions": sessions, "groups": groups, "members": members, "push_names": push, "messages": rows, "media": media, "items": items}
 
 
-A_SQL = f"""t AS (SELECT *, conv_id * 100 + turn AS n, {JID_SQL} AS jid FROM conversations WHERE conv_id % 50 <> 49 OR turn < 9)"""
+A_SQL = f"""t AS (SELECT *, conv_id * 1000000 + turn AS n, {JID_SQL} AS jid FROM conversations)"""
 GOOD = "conv_id % 11 <> 10 AND (role = 'user' OR turn <> 4)"
 
 
-@query("x1_collapse_messages", f"WITH {A_SQL} SELECT conv_id AS chat, CAST(n AS VARCHAR) AS stanza, n * 2 AS rep, CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END AS rows FROM t WHERE n > 0 OR true")
+@query("x1_collapse_messages", f"WITH {A_SQL} SELECT conv_id AS chat, CAST(n AS VARCHAR) AS stanza, n * 2 AS rep, CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END AS rows FROM t")
 def x1(spark, sf):
     out = A.collapse_messages(native_a(spark, sf)["messages"])
     return out.select("chat", "stanza", F.when(F.col("rep.ZSORT") == 0, F.floor(F.col("rep.Z_PK") / 2) * 2).otherwise(F.col("rep.Z_PK")).alias("rep"), "rows")
@@ -57,7 +57,7 @@ def x2(spark, sf):
 def x4(spark, sf):
     m = A.messages(native_a(spark, sf), SCOPE)["messages"]
     n = F.floor(F.element_at("row_ids", 1) / 2)
-    return m.select(F.floor(n / 100).alias("conv_id"), (n % 100).alias("turn"), F.col("reply_to_native").alias("reply_to"))
+    return m.select(F.floor(n / 1000000).alias("conv_id"), (n % 1000000).alias("turn"), F.col("reply_to_native").alias("reply_to"))
 
 
 @query("x6_rejects", f"""WITH {A_SQL} SELECT code, count(*) AS count, 'Z_PK=' || min(n * 2) AS sample FROM (SELECT n, CASE WHEN conv_id % 11 = 10 THEN 'message_without_chat_session' WHEN role <> 'user' AND turn = 4 THEN 'incoming_without_sender' END AS code FROM t) WHERE code IS NOT NULL GROUP BY code""")
@@ -111,10 +111,10 @@ def x16(spark, sf):
     return out.select("address", F.array_join(F.transform("observed_names", lambda x: x["name"]), "|").alias("names"), "is_me")
 
 
-@query("x19_x20_aliases", """WITH p AS (SELECT DISTINCT 'l' || o_custkey % 300 || '@lid' AS lid, o_custkey // 7 * 10 || '@s.whatsapp.net' AS phone FROM orders WHERE o_custkey < 400), c AS (SELECT lid, count(*) AS n FROM p GROUP BY lid)
+@query("x19_x20_aliases", """WITH p AS (SELECT DISTINCT 'l' || o_custkey % 5000 || '@lid' AS lid, o_custkey // 7 * 10 || '@s.whatsapp.net' AS phone FROM orders), c AS (SELECT lid, count(*) AS n FROM p GROUP BY lid)
   SELECT lid, phone, 2 AS evidence FROM p JOIN c USING (lid) WHERE n = 1""")
 def x19(spark, sf):
-    t = table(spark, sf, "orders").where("o_custkey < 400").select(F.concat(F.lit("L"), F.col("o_custkey") % 300, F.lit("@lid")).alias("lid"), F.concat(F.lit("+"), F.floor(F.col("o_custkey") / 7) * 10).alias("phone"))
+    t = table(spark, sf, "orders").select(F.concat(F.lit("L"), F.col("o_custkey") % 5000, F.lit("@lid")).alias("lid"), F.concat(F.lit("+"), F.floor(F.col("o_custkey") / 7) * 10).alias("phone"))
     pairs = A.alias_pairs(t.withColumn("source", F.lit("one")).union(t.withColumn("source", F.lit("two"))))
     return A.unambiguous_aliases(pairs)[0].select("lid", "phone", F.size("evidence").alias("evidence"))
 
@@ -166,7 +166,7 @@ def feed(spark, sf):
         F.when(turn == 2, "tapback").otherwise("normal").alias("variant"), F.when(turn == 2, F.struct(F.lit(0).alias("part_index"), F.lit("added").alias("action"), F.lit("loved").alias("kind"), F.concat_ws("-", F.lit("m"), "conv_id", F.col("turn") - 1).alias("target_guid"))).alias("tapback"), F.when(turn == 1, "Subject").alias("subject"), F.lit("decoded").alias("parser_status"),
         F.array(F.struct(F.lit(0).alias("index"), F.lit("text").alias("kind"), F.col("text"), F.lit(None).cast("string").alias("attachment_guid"), F.when(turn == 0, F.array(F.struct(F.lit(1).alias("date"), F.lit("a").alias("text")), F.struct(F.lit(2).alias("date"), F.lit("b").alias("text")), F.struct(F.lit(3).alias("date"), F.lit("c").alias("text")))).alias("edit_history")),
                 F.struct(F.lit(1).alias("index"), F.when(turn == 5, "attachment").otherwise("none").alias("kind"), F.lit(None).cast("string").alias("text"), F.when(turn == 5, F.concat_ws("-", F.lit("at"), "conv_id", "turn")).alias("attachment_guid"), F.lit(None).cast("array<struct<date:int,text:string>>").alias("edit_history"))).alias("parts"),
-        F.when(turn == 6, F.array(F.struct(F.col("turn").cast("long").alias("rowid"), F.concat_ws("-", F.lit("a"), "conv_id", "turn").alias("guid"), F.lit("f.png").alias("filename"), F.lit("image/png").alias("mime_type")))).otherwise(F.expr("cast(array() as array<struct<rowid:bigint,guid:string,filename:string,mime_type:string>>)")).alias("attachments"),
+        F.when(turn == 6, F.array(F.struct(F.col("turn").cast("long").alias("rowid"), F.concat_ws("-", F.lit("a"), "conv_id", "turn").alias("guid"), F.when(F.col("conv_id") % 4 == 1, "f.png").when(F.col("conv_id") % 4 == 2, "/x/f.png").when(F.col("conv_id") % 4 == 3, F.concat(F.lit("~/in/"), "conv_id", F.lit(".png"))).alias("filename"), F.lit("image/png").alias("mime_type")))).otherwise(F.expr("cast(array() as array<struct<rowid:bigint,guid:string,filename:string,mime_type:string>>)")).alias("attachments"),
     )
     return t.select(F.from_json(F.to_json(doc), B.FEED).alias("m")).select("m.*")
 
@@ -174,7 +174,8 @@ def feed(spark, sf):
 def messages_b(spark, sf):
     chat = table(spark, sf, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("ROWID"), F.concat(F.lit("SMS;-;"), "conv_id").alias("guid"), F.lit(45).alias("style"), F.col("conv_id").cast("string").alias("chat_identifier"), F.lit("SMS").alias("service_name"), F.lit("").alias("display_name"), F.lit(0).alias("is_archived"))
     who = table(spark, sf, "conversations").select("role").distinct().where("role = 'assistant'").select(F.length("role").cast("long").alias("handle_id"), S.urn("messages", SCOPE, "identity", S.handle_key(F.lit("SMS"), F.col("role"))).alias("identity_urn"))
-    return B.messages(feed(spark, sf), B.chats(chat, SCOPE), who, SCOPE)
+    files = chat.select(F.concat(F.lit("~/in/"), "ROWID", F.lit(".png")).alias("path"), F.sha2(F.concat(F.lit("file "), "ROWID"), 256).alias("sha256"), (F.col("ROWID") + 1).alias("size"))
+    return B.messages(feed(spark, sf), B.chats(chat, SCOPE), who, SCOPE, files=files)
 
 
 @query("m8_m13_m15_messages", """SELECT CASE turn % 8 WHEN 2 THEN 'reaction' WHEN 3 THEN 'retraction' WHEN 4 THEN 'system' ELSE 'message' END AS kind, CASE WHEN conv_id % 7 <> 6 THEN 'join_table' ELSE 'none' END AS chat_assignment, CASE WHEN role = 'user' THEN 'sent' ELSE 'unknown' END AS state,
@@ -184,19 +185,32 @@ def m8(spark, sf):
     return m.groupBy("kind", "chat_assignment", "state").agg(F.count("*").alias("n"), F.count("sender_urn").alias("with_sender"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
-@query("m9_m11_parts", """SELECT type, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN turn % 8 = 1 THEN 'text' END, 'text', CASE WHEN turn % 8 IN (5, 6) THEN 'attachment' END], lambda x: x IS NOT NULL)) AS type FROM conversations) GROUP BY type""")
+GONE_KEY = """CAST(to_json(['purged', 'at-' || conv_id || '-' || turn]) AS VARCHAR)"""
+PART_KEY = """CAST(to_json(['part', 'm-' || conv_id || '-' || turn, CAST(k - 1 AS VARCHAR)]) AS VARCHAR)"""
+
+
+@query("m9_m11_parts", f"""WITH p AS (SELECT conv_id, turn, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT *, list_filter([CASE WHEN turn % 8 = 1 THEN {{'type': 'text', 'text': 'Subject'}} END, {{'type': 'text', 'text': text}}, CASE WHEN turn % 8 IN (5, 6) THEN {{'type': 'attachment', 'text': NULL}} END], lambda x: x IS NOT NULL) AS ps FROM conversations))
+  SELECT {urn_sql("messages", "event", PART_KEY)} AS urn, {urn_sql("messages", "message", "'m-' || conv_id || '-' || turn")} AS message_urn, CAST(k - 1 AS INTEGER) AS index, p.type AS type, p.text AS text,
+  CASE WHEN p.type = 'attachment' THEN CASE turn % 8 WHEN 5 THEN {urn_sql("messages", "attachment", GONE_KEY)} ELSE {urn_sql("messages", "attachment", "'a-' || conv_id || '-' || turn")} END END AS attachment_urn FROM p""")
 def m9(spark, sf):
-    return messages_b(spark, sf)["parts"].groupBy("type").agg(F.count("*").alias("n"))
+    return messages_b(spark, sf)["parts"].select("urn", "message_urn", F.col("index").cast("int").alias("index"), "type", "text", "attachment_urn")
 
 
-@query("m10_m18_attachments", "SELECT CASE WHEN turn % 8 = 5 THEN 'other' ELSE 'image' END AS kind, 'missing' AS availability, count(*) AS n FROM conversations WHERE turn % 8 IN (5, 6) GROUP BY 1")
+@query("m10_m18_attachments", f"""SELECT CASE turn % 8 WHEN 5 THEN {urn_sql("messages", "attachment", GONE_KEY)} ELSE {urn_sql("messages", "attachment", "'a-' || conv_id || '-' || turn")} END AS urn, {urn_sql("messages", "message", "'m-' || conv_id || '-' || turn")} AS message_urn,
+  CASE WHEN turn % 8 = 5 THEN 'other' ELSE 'image' END AS kind, CASE WHEN turn % 8 = 5 OR conv_id % 4 = 2 THEN 'missing' WHEN conv_id % 4 = 0 THEN 'not_downloaded' WHEN conv_id % 4 = 1 THEN 'unknown' ELSE 'available' END AS availability,
+  CASE WHEN turn % 8 = 6 AND conv_id % 4 = 3 THEN sha256('file ' || conv_id) END AS blob_sha256, CASE WHEN turn % 8 = 6 AND conv_id % 4 = 3 THEN conv_id + 1 END AS declared_size,
+  CASE WHEN turn % 8 = 5 OR conv_id % 4 = 0 THEN NULL WHEN conv_id % 4 = 3 THEN 'in/' || conv_id || '.png' ELSE 'f.png' END AS source_path_hint, CASE turn % 8 WHEN 5 THEN 1 END AS part_index FROM conversations WHERE turn % 8 IN (5, 6)""")
 def m10(spark, sf):
-    return messages_b(spark, sf)["attachments"].groupBy("kind", "availability").agg(F.count("*").alias("n"))
+    return messages_b(spark, sf)["attachments"].select("urn", "message_urn", "kind", "availability", "blob_sha256", "declared_size", "source_path_hint", F.col("part_index").cast("int").alias("part_index"))
+
+
+EVENT_KEY = """CASE WHEN k = 1 THEN 'm-' || conv_id || '-' || turn ELSE CAST(to_json(['m-' || conv_id || '-' || turn, 'event', CAST(k - 1 AS VARCHAR)]) AS VARCHAR) END"""
 
 
-@query("m12_m16_events", """SELECT kind, count(*) AS n FROM (SELECT unnest(CASE turn % 8 WHEN 0 THEN ['edit', 'edit'] WHEN 2 THEN ['reaction'] WHEN 3 THEN ['retraction'] WHEN 4 THEN ['subject_change'] ELSE [] END) AS kind FROM conversations) GROUP BY kind""")
+@query("m12_m16_events", f"""WITH e AS (SELECT conv_id, turn, unnest(ks) AS kind, generate_subscripts(ks, 1) AS k FROM (SELECT *, CASE turn % 8 WHEN 0 THEN ['edit', 'edit'] WHEN 2 THEN ['reaction'] WHEN 3 THEN ['retraction'] WHEN 4 THEN ['subject_change'] ELSE [] END AS ks FROM conversations))
+  SELECT {urn_sql("messages", "event", EVENT_KEY)} AS urn, kind, CASE kind WHEN 'reaction' THEN 'm-' || conv_id || '-' || (turn - 1) END AS target_native, {urn_sql("messages", "message", "'m-' || conv_id || '-' || turn")} AS carrier_message_urn FROM e""")
 def m12(spark, sf):
-    return messages_b(spark, sf)["events"].groupBy("kind").agg(F.count("*").alias("n"))
+    return messages_b(spark, sf)["events"].select("urn", "kind", "target_native", "carrier_message_urn")
 
 
 @query("m13_rejects", "SELECT 'unknown_handle_id' AS code, count(*) AS count FROM conversations WHERE role = 'system'")

@@ -8,7 +8,7 @@ from .registry import query
 
 ISLANDS = """i AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT user_id, event_id, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g
   FROM (SELECT DISTINCT user_id, event_id // 4 AS event_id FROM events)) GROUP BY user_id, g)"""
-CELLS = """SELECT k, x FROM (SELECT DISTINCT event_type AS k, unnest(range(user_id * 3, user_id * 3 + 1 + event_id % 11)) AS x FROM events WHERE event_id % 3 {a})"""
+CELLS = """SELECT k, x FROM (SELECT DISTINCT event_type AS k, unnest(range(user_id * 3, user_id * 3 + 1 + event_id % 11)) AS x FROM events WHERE event_id % 2 {a})"""
 RUNS = """SELECT k, min(x) AS lo, max(x) AS hi FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM ({cells})) GROUP BY k, g"""
 
 
@@ -16,8 +16,10 @@ def ids(spark, sf):
     return table(spark, sf, "events").select("user_id", F.floor(F.col("event_id") / 4).alias("id"))
 
 
-def spans(spark, sf, part):
-    t = table(spark, sf, "events").where(f"event_id % 3 {part}")
+def spans(spark, sf, part=None):
+    """The spans of all events, or of those with even or odd ids as the two sides of an operator."""
+    t = table(spark, sf, "events")
+    t = t.where(f"event_id % 2 {part}") if part else t
     lo = F.col("user_id") * 3
     return t.select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"))
 
@@ -27,9 +29,9 @@ def w5(spark, sf):
     return I.islands(ids(spark, sf), ["user_id"])
 
 
-@query("c9_merge_spans", RUNS.format(cells=CELLS.format(a="= 0")))
+@query("c9_merge_spans", RUNS.format(cells=CELLS.format(a=">= 0")))
 def c9(spark, sf):
-    return I.merge_spans(spans(spark, sf, "= 0"), ["k"], 64)
+    return I.merge_spans(spans(spark, sf), ["k"], 64)
 
 
 @query("c10_subtract_spans", RUNS.format(cells=CELLS.format(a="= 0") + " EXCEPT " + CELLS.format(a="= 1").replace("user_id * 3", "user_id * 3 * 7")))
@@ -44,18 +46,19 @@ def e4(spark, sf):
     return I.intersect_spans(spans(spark, sf, "= 0"), b, ["k"], 64)
 
 
-STAMPED = """WITH s AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi, event_id % 50 AS "at", CAST(event_id % 4 AS VARCHAR) AS run, event_id AS arrival FROM events WHERE event_id % 3 = 0),
-  c AS (SELECT k, unnest(range(lo, hi + 1)) AS x, "at", run, arrival FROM s), b AS (SELECT k, x, max(struct_pack("at" := "at", arrival := arrival, run := run)) AS m FROM c GROUP BY k, x),
+STAMPED = """WITH s AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi, event_id % 50 AS "at", CAST(event_id % 4 AS VARCHAR) AS run, event_id AS arrival FROM events), o AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + 40 AS hi, 25 AS "at", 'old' AS run, -1 AS arrival FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 14 = 0)),
+  c AS (SELECT k, unnest(range(lo, hi + 1)) AS x, "at", run, arrival FROM (SELECT * FROM s UNION ALL SELECT * FROM o)), b AS (SELECT k, x, max(struct_pack("at" := "at", arrival := arrival, run := run)) AS m FROM c GROUP BY k, x),
   g AS (SELECT k, x, m."at" AS "at", m.run AS run, x - row_number() OVER (PARTITION BY k, m."at", m.run ORDER BY x) AS g FROM b)
   SELECT k, min(x) AS lo, max(x) AS hi, "at", run FROM g GROUP BY k, "at", run, g"""
 
 
 @query("c6_stamp", STAMPED)
 def c6(spark, sf):
-    t = table(spark, sf, "events").where("event_id % 3 = 0")
+    t = table(spark, sf, "events")
     lo = F.col("user_id") * 3
+    old = t.where("user_id % 14 = 0").select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + 40).alias("hi"), F.lit(25).alias("at"), F.lit("old").alias("run")).distinct()
     s = t.select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"), (F.col("event_id") % 50).alias("at"), (F.col("event_id") % 4).cast("string").alias("run"), F.col("event_id").alias("arrival"))
-    return I.stamp(s.select("k", "lo", "hi", "at", "run").limit(0), s, ["k"])
+    return I.stamp(old.withColumn("at", F.lit(25).cast("long")), s, ["k"], 1 << 10)
 
 
 @query("j9_asof_interval", f"""WITH {ISLANDS} SELECT event_id, i.lo AS island_lo FROM (SELECT event_id, user_id, event_id // 4 + event_id % 3 AS key FROM events) e LEFT JOIN i ON i.user_id = e.user_id AND key BETWEEN lo AND hi""")
@@ -65,12 +68,12 @@ def j9(spark, sf):
     return I.asof_interval(keys, i, ["user_id"], "key", ["island_lo"]).select("event_id", "island_lo")
 
 
-@query("j10_overlap_join", """SELECT k, count(*) AS pairs, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1)::BIGINT AS ids FROM (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi FROM events WHERE event_id % 30 = 0) a
-  JOIN (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi FROM events WHERE event_id % 30 = 1) b USING (k) WHERE a.lo <= b.hi AND b.lo <= a.hi GROUP BY k""")
+@query("j10_overlap_join", """SELECT k, count(*) AS pairs, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1)::BIGINT AS ids FROM (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi FROM events WHERE event_id % 2 = 0) a
+  JOIN (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi FROM events WHERE event_id % 2 = 1) b USING (k) WHERE a.lo <= b.hi AND b.lo <= a.hi GROUP BY k""")
 def j10(spark, sf):
     t = table(spark, sf, "events")
     lo = F.col("user_id") * 3
-    part = lambda r: t.where(f"event_id % 30 = {r}").select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"))
+    part = lambda r: t.where(f"event_id % 2 = {r}").select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"))
     met = I.overlap_join(part(0), part(1), ["k"], 32)
     return met.groupBy("k").agg(F.count("*").alias("pairs"), F.sum(F.least("hi", "b_hi") - F.greatest("lo", "b_lo") + 1).alias("ids"))
 
@@ -83,12 +86,12 @@ def c8(spark, sf):
     return I.forget(i, s.where("id % 5 = 0"), ["k"], ["run"]).select("k", "lo", "hi", "run")
 
 
-@query("c18_translate", """WITH x AS (SELECT DISTINCT user_id % 5 AS k, event_id AS p, event_id + 1000 * (event_id // 100 % 3) AS l, event_id % 7 <> 0 AS eligible FROM events), w AS (SELECT k, l AS x FROM x WHERE eligible AND p BETWEEN 100 AND 4000)
+@query("c18_translate", """WITH x AS (SELECT DISTINCT user_id % 5 AS k, event_id AS p, event_id + 1000 * (event_id // 100 % 3) AS l, event_id % 7 <> 0 AS eligible FROM events), w AS (SELECT k, l AS x FROM x WHERE eligible)
   SELECT k, min(x) AS lo, max(x) AS hi FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM (SELECT DISTINCT k, x FROM w)) GROUP BY k, g""")
 def c18(spark, sf):
     t = table(spark, sf, "events")
     pairs = t.select((F.col("user_id") % 5).alias("k"), F.col("event_id").alias("producer_id"), (F.col("event_id") + 1000 * (F.floor(F.col("event_id") / 100) % 3)).alias("local_id"), (F.col("event_id") % 7 != 0).alias("eligible"))
-    asked = I.islands(pairs.where("producer_id between 100 and 4000").select("k", F.col("producer_id").alias("id")), ["k"])
+    asked = I.islands(pairs.select("k", F.col("producer_id").alias("id")), ["k"])
     return I.translate(asked, I.affine_map(pairs, ["k"]), ["k"])[0]
 
 

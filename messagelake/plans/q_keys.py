@@ -57,13 +57,13 @@ def f12(spark, sf):
     return t.select("o_orderkey", key.alias("message_key"), S.handle_key("o_orderpriority", F.concat(F.lit("c"), "o_custkey")).alias("handle_key"))
 
 
-@query("f13_f14_members", """SELECT n_nationkey, array_to_string(list_filter(list_transform(string_split_regex(lower(n_name || ';' || ' ,' || n_regionkey), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS members,
-  '["groupchange","' || lower(n_name) || '","1","2","' || array_to_string(list_filter(list_transform(string_split_regex(lower(n_name || ';' || ' ,' || n_regionkey), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), ',') || '"]' AS key FROM nation""")
+@query("f13_f14_members", """SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex(lower(c_name || ';' || ' ,' || c_nationkey), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS members,
+  '["groupchange","' || lower(c_name) || '","1","2","' || array_to_string(list_filter(list_transform(string_split_regex(lower(c_name || ';' || ' ,' || c_nationkey), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), ',') || '"]' AS key FROM customer""")
 def f13_f14(spark, sf):
-    t = table(spark, sf, "nation")
-    members = S.member_list(F.concat("n_name", F.lit("; ,"), "n_regionkey"))
-    base = S.group_event_key("n_name", F.lit("1"), F.lit("2"))
-    return t.select("n_nationkey", F.array_join(members, "|").alias("members"), S.extended_key(base, members).alias("key"))
+    t = table(spark, sf, "customer")
+    members = S.member_list(F.concat("c_name", F.lit("; ,"), "c_nationkey"))
+    base = S.group_event_key("c_name", F.lit("1"), F.lit("2"))
+    return t.select("c_custkey", F.array_join(members, "|").alias("members"), S.extended_key(base, members).alias("key"))
 
 
 @query("f15_attachment_kind", """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 3 THEN 'contact' WHEN 4 THEN 'document' ELSE 'other' END AS kind FROM part""")
@@ -80,10 +80,11 @@ def f17(spark, sf):
     return a.groupBy(S.month_label("shipped_ms").alias("month")).agg(F.min(S.month_start("shipped_ms")).alias("start_ms"), F.max(S.next_month("shipped_ms")).alias("next_ms"), F.count("*").alias("n"))
 
 
-@query("f21_patterns", with_sql(MESSAGES_SQL) + " SELECT count(*) AS n, count(*) AS urns, 0 AS digests FROM messages")
+@query("f21_patterns", with_sql(MESSAGES_SQL) + " SELECT count(*) AS n, count(*) FILTER (turn % 3 = 0) AS urns, count(*) FILTER (turn % 3 = 1) AS digests FROM messages")
 def f21(spark, sf):
     m = messages(spark, sf)
-    return m.agg(F.count("*").alias("n"), F.count_if(S.is_urn("urn")).alias("urns"), F.count_if(S.is_digest("urn")).cast("int").alias("digests"))
+    x = F.when(F.col("turn") % 3 == 0, F.col("urn")).when(F.col("turn") % 3 == 1, F.concat(F.lit("sha256:"), F.sha2("urn", 256))).otherwise(F.concat("urn", F.lit("0")))
+    return m.agg(F.count("*").alias("n"), F.count_if(S.is_urn(x)).alias("urns"), F.count_if(S.is_digest(x)).alias("digests"))
 
 
 @query("f24_json_get", """SELECT event_id, json_extract_string(props, '$.k') AS k, md5(coalesce(CAST(json_extract(props, '$') AS VARCHAR), '')) <> '' AS parsed FROM events""")
@@ -96,3 +97,8 @@ def f24(spark, sf):
 def f26(spark, sf):
     t = table(spark, sf, "pages")
     return t.select("page_id", S.basename("url").alias("base"), S.unsafe_path("url").alias("unsafe"))
+
+
+@query("f3_f23_fold", "SELECT doc_id, md5(strip_accents(lower(text))) AS folded, md5(nfc_normalize(text)) AS composed FROM documents")
+def f3_f23(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(S.fold("text")).alias("folded"), F.md5(S.nfc("text")).alias("composed"))

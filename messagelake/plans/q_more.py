@@ -23,7 +23,7 @@ def q2(spark, sf):
 
 
 @query("q4_snippet", r"""SELECT conv_id, turn, array_to_string(list_transform(list_slice(tk, greatest(p - 4, 1), greatest(p - 4, 1) + 11), lambda x: CASE WHEN x = 'and' THEN '[and]' ELSE x END), ' ') AS snippet
-  FROM (SELECT conv_id, turn, tk, list_position(tk, 'and') AS p FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{So}\p{Sk}\p{Mn}]+') AS tk FROM conversations) WHERE list_contains(tk, 'and'))""")
+  FROM (SELECT conv_id, turn, tk, list_position(tk, 'and') AS p FROM (SELECT *, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}\p{So}\p{Sk}\p{Mn}]+') AS tk FROM conversations) WHERE list_contains(tk, 'and'))""")
 def q4(spark, sf):
     t = table(spark, sf, "conversations")
     return t.where(R.search_terms("text", all_of=["and"])).select("conv_id", "turn", R.snippet("text", ["and"], 12).alias("snippet"))
@@ -126,17 +126,17 @@ def u11(spark, sf):
     return U.revisions_of(rev, own)
 
 
-@query("u10_checkpoints", "SELECT r_name AS source, 'x' AS scope, 'k' AS key, CASE WHEN r_regionkey = 1 THEN 'new' ELSE 'old' END AS value FROM region WHERE r_regionkey <> 2")
+@query("u10_checkpoints", "SELECT c_name AS source, 'x' AS scope, 'k' AS key, CASE WHEN c_custkey % 5 = 1 THEN 'new' ELSE 'old' END AS value FROM customer WHERE c_custkey % 5 <> 2")
 def u10(spark, sf):
-    t = table(spark, sf, "region").select(F.col("r_name").alias("source"), F.lit("x").alias("scope"), F.lit("k").alias("key"), F.lit("old").alias("value"), "r_regionkey")
-    new = t.where("r_regionkey in (1, 2)").withColumn("value", F.when(F.col("r_regionkey") == 1, "new"))
-    return U.put_checkpoint(t.drop("r_regionkey"), new.drop("r_regionkey"))
+    t = table(spark, sf, "customer").select(F.col("c_name").alias("source"), F.lit("x").alias("scope"), F.lit("k").alias("key"), F.lit("old").alias("value"), (F.col("c_custkey") % 5).alias("part"))
+    new = t.where("part in (1, 2)").withColumn("value", F.when(F.col("part") == 1, "new"))
+    return U.put_checkpoint(t.drop("part"), new.drop("part"))
 
 
-@query("c17_check_parent", "SELECT CAST(n_nationkey AS VARCHAR) AS producer, CASE n_nationkey % 4 WHEN 1 THEN 'gap' WHEN 2 THEN 'other parent' ELSE 'other content' END AS problem FROM nation WHERE n_nationkey % 4 > 0")
+@query("c17_check_parent", "SELECT CAST(o_orderkey AS VARCHAR) AS producer, CASE o_custkey % 4 WHEN 1 THEN 'gap' WHEN 2 THEN 'other parent' ELSE 'other content' END AS problem FROM orders WHERE o_custkey % 4 > 0")
 def c17(spark, sf):
-    k = F.col("n_nationkey") % 4
-    t = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("producer"), k.alias("k"))
+    k = F.col("o_custkey") % 4
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("producer"), k.alias("k"))
     head = t.select("producer", F.lit(10).alias("sequence"), F.lit("a").alias("archive_id"), F.lit("h").alias("sha256"))
     batch = t.select("producer", F.when(F.col("k") == 1, 12).otherwise(10).alias("after"), F.when(F.col("k") == 2, "b").otherwise("a").alias("parent_id"), F.when(F.col("k") == 3, "?").otherwise("h").alias("parent_sha256"))
     return U.check_parent(batch, head)

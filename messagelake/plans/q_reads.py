@@ -9,7 +9,7 @@ from ..session import table
 from .bindings import ATTACHMENTS_SQL, IDENTITIES_SQL, MESSAGES_SQL, OBSERVATIONS_SQL, ORDERS_SQL, attachments, identities, messages, observations, order_messages, with_sql
 from .registry import query
 
-TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{So}\p{Sk}\p{Mn}]+')"
+TOKENS_SQL = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}\p{So}\p{Sk}\p{Mn}]+')"
 LINE_SQL = f"(' ' || array_to_string({TOKENS_SQL}, ' ') || ' ')"
 START = 1704067200000
 
@@ -46,8 +46,7 @@ def q5(spark, sf):
 
 @query("q5_indexed_phrase", f"SELECT doc_id FROM documents WHERE {LINE_SQL} LIKE '% of the %'")
 def q5_phrase(spark, sf):
-    t = table(spark, sf, "documents").where(F.array_contains(S.tokens("text"), "of"))
-    return R.indexed_phrase(R.token_index(t, "doc_id"), ["of", "the"], "doc_id")
+    return R.indexed_phrase(R.token_index(table(spark, sf, "documents"), "doc_id"), ["of", "the"], "doc_id")
 
 
 @query("p1_message_filters", with_sql(MESSAGES_SQL) + f" SELECT urn, sender, utc_ms FROM messages WHERE kind = 'message' AND utc_ms >= {START + 7200000} AND utc_ms < {START + 360000000} AND sender IN ('user')")
@@ -136,17 +135,29 @@ def q14(spark, sf):
     return R.cap_children(t, ["chat"], "s_name", 3).select("chat", "total", F.array_join("children", "|").alias("children"))
 
 
-@query("q16_resolve", with_sql(OBSERVATIONS_SQL) + """, h AS (SELECT urn, arg_max(digest, (observed_at, pos)) AS digest, urn % 7 = 0 AS dead FROM ob WHERE urn % 5 <> 0 GROUP BY urn),
-  rv AS (SELECT DISTINCT urn, digest FROM ob WHERE urn % 5 <> 0), ct AS (SELECT DISTINCT urn, digest FROM ob),
-  r AS (SELECT ct.urn, ct.digest, CASE WHEN ct.urn % 5 = 0 THEN ct.urn + 1 ELSE ct.urn END AS resolved_urn FROM ct)
-  SELECT r.urn, r.digest, r.resolved_urn, CASE WHEN h.urn IS NULL THEN 'unknown' WHEN h.dead THEN 'tombstoned' WHEN h.digest = r.digest THEN 'current' WHEN rv.urn IS NOT NULL THEN 'revision_superseded' ELSE 'unknown_revision' END AS status
+#: Citations of urns with heads (1 to 4 of 5), at the end of a chain of 20 aliases, in a circle, of several aliases, and of none.
+CITED = """SELECT DISTINCT CASE WHEN urn % 10 = 0 THEN urn WHEN urn % 10 = 5 THEN urn WHEN urn % 4 = 1 THEN urn + 20000000 WHEN urn % 4 = 3 AND urn % 3 = 0 THEN urn + 90000000 ELSE urn END AS urn, digest, urn AS own FROM ob"""
+
+
+@query("q16_resolve", with_sql(OBSERVATIONS_SQL) + f""", h AS (SELECT urn, arg_max(digest, (observed_at, pos)) AS digest, urn % 7 = 0 AS dead, urn % 9 = 0 AS stub FROM ob WHERE urn % 5 <> 0 GROUP BY urn),
+  rv AS (SELECT DISTINCT urn, digest FROM ob WHERE urn % 5 <> 0 AND urn % 2 = 0), ct AS ({CITED}),
+  r AS (SELECT ct.*, CASE WHEN ct.urn >= 90000000 THEN NULL ELSE own END AS resolved_urn FROM ct)
+  SELECT r.urn, r.digest, r.resolved_urn, CASE WHEN h.urn IS NULL AND own % 10 = 0 THEN 'ambiguous' WHEN h.urn IS NULL THEN 'unknown' WHEN h.digest <> r.digest AND rv.urn IS NOT NULL THEN 'revision_superseded' WHEN h.digest <> r.digest THEN 'unknown_revision'
+  WHEN h.dead THEN 'tombstoned' WHEN h.stub THEN 'unavailable' ELSE 'current' END AS status
   FROM r LEFT JOIN h ON h.urn = r.resolved_urn LEFT JOIN rv ON rv.urn = r.resolved_urn AND rv.digest = r.digest""")
 def q16(spark, sf):
     o = observations(spark, sf)
     own = o.where("urn % 5 != 0")
-    heads = own.groupBy("urn").agg(F.max_by("digest", F.struct("observed_at", "pos")).alias("digest")).withColumn("tombstoned", F.col("urn") % 7 == 0)
-    aliases = o.where("urn % 5 = 0").select(F.col("urn").alias("old_urn"), (F.col("urn") + 1).alias("new_urn")).distinct()
-    return R.resolve(o.select("urn", "digest").distinct(), heads, own.select("urn", "digest"), aliases, hops=2)
+    heads = own.groupBy("urn").agg(F.max_by("digest", F.struct("observed_at", "pos")).alias("digest")).withColumns({"tombstoned": F.col("urn") % 7 == 0, "stub": F.col("urn") % 9 == 0})
+    users = o.select("urn").distinct()
+    step = lambda df, n, m: df.select((F.col("urn") + n).alias("old_urn"), (F.col("urn") + m).alias("new_urn"))
+    chain = users.where("urn % 5 != 0 and urn % 4 = 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).select((F.col("urn") + F.col("k") * 1000000).alias("old_urn"), (F.col("urn") + (F.col("k") - 1) * 1000000).alias("new_urn"))
+    circle = users.where("urn % 5 != 0 and urn % 4 = 3 and urn % 3 = 0")
+    several = users.where("urn % 10 = 0")
+    aliases = chain.union(step(circle, 90000000, 91000000)).union(step(circle, 91000000, 90000000)).union(step(several, 0, 1)).union(step(several, 0, 2))
+    u = F.col("urn")
+    cited = F.when(u % 5 == 0, u).when(u % 4 == 1, u + 20000000).when((u % 4 == 3) & (u % 3 == 0), u + 90000000).otherwise(u)
+    return R.resolve(o.select(cited.alias("urn"), "digest").distinct(), heads, own.where("urn % 2 = 0").select("urn", "digest"), aliases)
 
 
 @query("q17_media_summary", with_sql(ATTACHMENTS_SQL) + " SELECT source, availability, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM att GROUP BY ALL")

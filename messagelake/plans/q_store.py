@@ -1,5 +1,6 @@
 """Heads, revisions, journal and replay over the event log."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
@@ -117,23 +118,60 @@ def c11(spark, sf):
     return U.next_batch(j, 500, 400, 1500).select("seq", "total")
 
 
-@query("c14_apply_changes", with_sql(OBSERVATIONS_SQL) + " SELECT CASE WHEN pos % 3 = 0 THEN 'known' WHEN pos % 3 = 1 THEN 'rejected' ELSE 'new' END AS status, count(*) AS n FROM ob GROUP BY 1")
+@query("c14_apply_changes", with_sql(OBSERVATIONS_SQL) + " SELECT pos AS seq, CASE WHEN pos % 3 = 0 THEN 'known' WHEN pos % 3 = 1 OR pos % 11 = 0 THEN 'rejected' ELSE 'new' END AS status FROM ob UNION ALL SELECT pos, CASE WHEN pos % 3 = 2 AND pos % 11 = 0 THEN 'rejected' ELSE 'known' END FROM ob WHERE (pos % 7 = 0 AND pos % 3 <> 1 AND pos % 11 <> 0) OR (pos % 11 = 0 AND pos % 3 = 2)")
 def c14(spark, sf):
     o = observations(spark, sf).select(F.lit("p").alias("producer"), F.col("pos").alias("seq"), F.lit("record").alias("operation"), F.col("urn").cast("string").alias("urn"), F.col("digest").alias("data"))
     done = o.where("seq % 3 != 2").select("producer", "seq", F.sha2(F.concat_ws("\n", "operation", "urn", F.when(F.col("seq") % 3 == 0, F.col("data")).otherwise("other")), 256).alias("sha256"))
-    return U.apply_changes(o, done).groupBy("status").agg(F.count("*").alias("n"))
+    again = o.where("seq % 7 = 0 and seq % 3 != 1 and seq % 11 != 0")
+    other = o.where("seq % 11 = 0 and seq % 3 = 2").withColumn("data", F.lit("something else"))
+    return U.apply_changes(o.union(again).union(other), done).select("seq", "status")
+
+
+def operations(spark, sf):
+    """Events of all operations, one for each row of the log, some of them broken."""
+    o = observations(spark, sf).where("pos > 0")
+    k, n = F.col("pos") % 14, F.col("pos")
+    urn = F.concat(F.lit("urn:uuid:"), F.col("urn").cast("string"))
+    digest = F.concat(F.lit("sha256:"), F.sha2("digest", 256))
+    name = F.element_at(F.array(*map(F.lit, U.OPERATIONS)), (k % 7 + 1).cast("int"))
+    broken = k >= 7
+    body = F.struct(
+        F.when(~broken | ~name.isin("entity_key", "observation"), n).alias("entity_id"), urn.alias("urn"), digest.alias("revision_digest"), F.when(~broken | (name != "record_refresh"), F.col("observed_at")).alias("observed_at"),
+        F.struct(F.when(broken, "dragons").otherwise("messages").alias("entity"), urn.alias("urn"), digest.alias("revision_digest")).alias("record"), F.when(~broken | (name != "revision"), urn).alias("entity_urn"), n.alias("observation_id"), F.lit("s").alias("source"), F.lit("c").alias("account_scope"), F.lit("t").alias("native_table"),
+        F.array(n.cast("string")).alias("native_row_ids"), F.lit("f").alias("fingerprint"), F.lit("1").alias("adapter_version"), F.lit(False).alias("minted"), F.when(~broken, "present").otherwise("?").alias("present"), F.array(F.array(n, n + F.when(broken, -1).otherwise(3))).alias("ranges"),
+        F.when(~broken, F.struct(F.lit(1).alias("s"))).alias("scopes"), F.array().cast("array<string>").alias("scope_mappings"),
+    )
+    return o.select(F.lit("p").alias("producer"), n.alias("seq"), name.alias("operation"), urn.alias("urn"), F.to_json(body).alias("data"))
+
+
+@query("c13_validate_events", with_sql(OBSERVATIONS_SQL) + """ SELECT pos AS seq, CASE pos % 14 WHEN 7 THEN 'no stable id' WHEN 8 THEN 'record of no known kind' WHEN 9 THEN 'revision without urn, digest or record' WHEN 10 THEN 'observation present unknown' WHEN 11 THEN 'refresh without time or ranges'
+  WHEN 12 THEN 'bad ranges' WHEN 13 THEN 'identity without scopes and mappings' END AS problem FROM ob WHERE pos > 0 AND pos % 14 >= 7""")
+def c13(spark, sf):
+    return U.validate_events(operations(spark, sf))
 
 
-@query("c13_validate_events", with_sql(OBSERVATIONS_SQL) + " SELECT CASE WHEN pos % 10 = 0 THEN 'unknown operation' ELSE 'no urn' END AS problem, count(*) AS n FROM ob WHERE pos % 10 IN (0, 1) AND pos > 0 GROUP BY 1")
-def c13(spark, sf):
-    o = observations(spark, sf).where("pos > 0").select(F.col("pos").alias("seq"), F.when(F.col("pos") % 10 == 0, "nonsense").otherwise("record").alias("operation"), F.when(F.col("pos") % 10 != 1, F.col("urn")).alias("urn"), F.to_json(F.struct("digest")).alias("data"))
-    return U.validate_events(o).groupBy("problem").agg(F.count("*").alias("n"))
+@query("c15_replay_operations", with_sql(OBSERVATIONS_SQL) + """, r AS (SELECT urn, pos, row_number() OVER (PARTITION BY urn ORDER BY pos) AS n FROM ob), b AS (SELECT urn, min(pos) AS stop FROM r WHERE n > 1 AND pos % 13 = 0 GROUP BY urn),
+  o AS (SELECT r.*, CASE WHEN n = 1 THEN 'inserted' WHEN b.stop IS NULL OR pos < b.stop THEN 'updated' ELSE 'conflict' END AS outcome FROM r LEFT JOIN b ON b.urn = r.urn)
+  SELECT CAST(urn AS VARCHAR) AS urn, 'd' || max(pos) FILTER (outcome <> 'conflict') AS digest, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'conflict') AS conflicts FROM o GROUP BY urn""")
+def c15_operations(spark, sf):
+    o = observations(spark, sf)
+    before = F.lag("pos").over(Window.partitionBy("urn").orderBy("pos"))
+    digest = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    carried = o.withColumn("before", before)
+    body = F.struct(F.struct(F.col("urn").cast("string").alias("urn"), digest(F.col("pos")).alias("revision_digest"), F.lit("messages").alias("entity")).alias("record"), F.when(F.col("pos") % 13 == 0, "dx").otherwise(digest(F.col("before"))).alias("previous_digest"), F.col("pos").alias("observed_at"))
+    events = carried.select(F.lit("p").alias("producer"), F.col("pos").alias("seq"), F.lit("record").alias("operation"), F.to_json(body).alias("data"))
+    none = lambda kind: spark.createDataFrame([], kind)
+    heads = none("urn string, digest string, observed_at long")
+    tables = {"heads": heads, "revisions": heads, "observations": none("urn string, source string, scope string, native_table string, native_row_ids array<string>, native_key string, minted boolean, fingerprint string, adapter_version string, present string, observed_at long"), "fresh": none("kind string, lo long, hi long, at long, run string"), "bound": none("producer string, id long, local string"), "identity": none("seq long, data string")}
+    out = U.replay_operations(events, tables)
+    told = out["outcomes"].groupBy("urn").agg(F.count_if(F.col("outcome") == "updated").alias("updated"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"))
+    return out["heads"].join(told, "urn").select("urn", "digest", "updated", "conflicts")
 
 
 @query("c15_replay_heads", with_sql(OBSERVATIONS_SQL) + " SELECT urn, arg_max(digest, (observed_at, pos)) AS data, arg_max(pos, (observed_at, pos)) AS seq FROM ob GROUP BY urn")
 def c15(spark, sf):
     o = observations(spark, sf).select("urn", F.col("pos").alias("seq"), F.col("digest").alias("data"), "observed_at", F.lit("record").alias("operation"), F.lit("new").alias("status"))
-    return U.replay_heads(o)
+    return U.replay_heads(o).select("urn", "data", "seq")
 
 
 @query("c16_bind_entities", with_sql(ORDERS_SQL) + " SELECT 'p' AS producer, chat % 500 AS id, count(DISTINCT chat) AS locals FROM om GROUP BY 2 HAVING count(DISTINCT chat) > 1")
@@ -142,7 +180,7 @@ def c16(spark, sf):
     return U.bind_entities(m.where("local % 2 = 0"), m.where("local % 2 = 1"))
 
 
-@query("c19_c20_delivery", with_sql(OBSERVATIONS_SQL) + """, e AS (SELECT DISTINCT digest AS consumer, pos // 1000 * 1000 + 1000 AS through FROM ob) SELECT consumer, max(through) AS checkpoint, count(*) FILTER (through > 4000) AS pending FROM e WHERE through <= 5000 OR true GROUP BY consumer""")
+@query("c19_c20_delivery", with_sql(OBSERVATIONS_SQL) + """, e AS (SELECT DISTINCT digest AS consumer, pos // 1000 * 1000 + 1000 AS through FROM ob) SELECT consumer, max(through) AS checkpoint, count(*) FILTER (through > 4000) AS pending FROM e GROUP BY consumer""")
 def c19(spark, sf):
     e = observations(spark, sf).select(F.col("digest").alias("consumer"), (F.floor(F.col("pos") / 1000) * 1000 + 1000).alias("through")).distinct().withColumn("after", F.col("through") - 1000)
     done = U.advance_delivery(e, e.select("consumer", "through"))

@@ -1,26 +1,26 @@
 """Streams over files of the event log, driven to their end by availableNow."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans.state import VersionedTable
+from ..plans.state import VersionedTable, own_folder
 from ..streaming import streams as T
 from .bindings import OBSERVATIONS_SQL, observations, with_sql
 from .registry import query
 
 
 def folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, "stream")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def log(spark, sf, where):
-    """The log as files by day and as a stream of them."""
+def log(spark, sf, where, files=1000):
+    """The log as files of a few days each, the last days first, and as a stream of so many files a batch."""
     o = observations(spark, sf).withColumns({"live": F.lit(True), "producer": F.lit("p"), "seq": F.col("pos"), "operation": F.lit("record"), "data": F.col("digest")})
-    o.write.parquet(f"{where}/log")
-    return T.file_stream(spark, f"{where}/log", o.schema.simpleString()[7:-1].replace(":", " "))
+    for part in range(3):
+        o.where(F.pmod(F.dayofmonth("day"), F.lit(3)) == 2 - part).write.mode("append").parquet(f"{where}/log")
+    return T.file_stream(spark, f"{where}/log", o.schema.simpleString()[7:-1].replace(":", " "), files)
 
 
 @query("t3_stream_heads", with_sql(OBSERVATIONS_SQL) + """ SELECT urn, pos, CASE WHEN p IS NULL THEN 'inserted' WHEN p = digest THEN 'unchanged' ELSE 'updated' END AS outcome FROM (SELECT urn, pos, digest, lag(digest) OVER (PARTITION BY urn ORDER BY pos) AS p FROM ob)""")
@@ -28,7 +28,7 @@ def t3(spark, sf):
     for k, v in T.STATE_STORE.items():
         spark.conf.set(k, v)
     where = folder(spark)
-    out = T.stream_heads(log(spark, sf, where).select("urn", "digest", "observed_at", "pos", "live"))
+    out = T.stream_heads(log(spark, sf, where).select("urn", "digest", F.lit(None).cast("string").alias("previous"), "observed_at", "pos", "live"))
     T.run_available(out, lambda df, i: df.write.mode("overwrite").parquet(f"{where}/out/batch={i}"), f"{where}/checkpoint", "update")
     return spark.read.parquet(f"{where}/out").select("urn", "pos", "outcome")
 
@@ -36,7 +36,7 @@ def t3(spark, sf):
 @query("t4_stream_replay", with_sql(OBSERVATIONS_SQL) + " SELECT urn, arg_max(digest, (observed_at, pos)) AS data FROM ob GROUP BY urn")
 def t4(spark, sf):
     where = folder(spark)
-    feed = log(spark, sf, where).select("producer", "seq", "operation", "urn", "observed_at", "data")
+    feed = log(spark, sf, where, 2).select("producer", "seq", "operation", "urn", "observed_at", "data")
     heads = VersionedTable(spark, f"{where}/heads")
     T.stream_replay(feed, VersionedTable(spark, f"{where}/applied"), heads, f"{where}/checkpoint")
     return heads.read().select("urn", "data")

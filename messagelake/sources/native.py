@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import in_nfc
 from ..operators.extract_b import FEED
 
 # The columns without which a source can't be read.
@@ -32,10 +33,10 @@ def check_required(tables: Mapping[str, DataFrame], required: Mapping[str, Seque
 
 
 def read_native(spark: SparkSession, path: str, required: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
-    """One DataFrame for each native table, from parquet of its name."""
+    """One DataFrame for each native table, from parquet of its name, texts in NFC."""
     tables = {name: spark.read.parquet(f"{path}/{name}.parquet") for name in required}
     check_required(tables, required)
-    return tables
+    return {name: in_nfc(df) for name, df in tables.items()}
 
 
 def read_decoded(spark: SparkSession, path: str, requested: DataFrame | None = None) -> DataFrame:

@@ -46,13 +46,21 @@ def write_bucket(members: dict[str, DataFrame], path: str, bucket: str, revision
 
 def write_feed_batch(journal: DataFrame, path: str, stream: str, after: int, limit: int, max_bytes: int) -> tuple[int, str] | None:
     """The next batch of a stream at a place named by its bounds; None if there is nothing. A batch that is there
-    already, from before a crash, stays."""
+    already, from before a crash, stays if it holds the same events; another one is an error."""
     batch = store.next_batch(journal, after, limit, max_bytes).drop("size", "total")
     through = batch.agg(F.max("seq")).first()[0]
     if through is None:
         return None
     where = f"{path.rstrip('/')}/{stream}-{after}-{through}"
-    batch.orderBy("seq").coalesce(1).write.mode("ignore").json(where)
+    spark = batch.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        line = F.to_json(F.struct(*sorted(batch.columns)))
+        digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(line).cast("decimal(38,0)"))).first()
+        if digest(batch) != digest(read_feed(spark, [where]).select(*batch.columns)):
+            raise ValueError(f"another batch is at {where}")
+    else:
+        batch.orderBy("seq").coalesce(1).write.mode("overwrite").json(where)
     return through, where
 
 

@@ -11,14 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import store
-from ..plans.state import VersionedTable
+from ..plans.state import VersionedTable, kept
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 class Heads(StatefulProcessor):
-    """The head digest of each urn across batches: live rows always become the head, imported ones only if the head is
-    known to them and isn't newer. Rows of a batch are taken in the order of pos."""
+    """The head digest of each urn across batches: live rows always become the head, imported ones only if they follow it
+    (their previous digest is its) and it isn't newer; one that doesn't follow is a conflict. Rows of a batch are taken in
+    the order of pos."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "digest string, observed_at long")
@@ -28,14 +29,7 @@ class Heads(StatefulProcessor):
         digest, at = self.head.get() if self.head.exists() else (None, None)
         out = []
         for r in batch.itertuples():
-            if digest is None:
-                outcome = "inserted"
-            elif digest == r.digest:
-                outcome = "unchanged"
-            elif not r.live and r.observed_at < at:
-                outcome = "older"
-            else:
-                outcome = "updated"
+            outcome = store.outcome(digest, at, r.digest, digest if r.live else r.previous, at if r.live and at is not None else int(r.observed_at))
             if outcome in ("inserted", "updated"):
                 digest, at = r.digest, int(r.observed_at)
             elif outcome == "unchanged":
@@ -49,7 +43,7 @@ class Heads(StatefulProcessor):
 
 
 def stream_heads(records: DataFrame) -> DataFrame:
-    """(urn, pos, outcome) of a stream of records (urn, digest, observed_at, pos, live)."""
+    """(urn, pos, outcome) of a stream of records (urn, digest, previous, observed_at, pos, live)."""
     return records.groupBy("urn").transformWithStateInPandas(Heads(), "urn long, pos long, outcome string", "update", "none")
 
 
@@ -65,26 +59,31 @@ def run_available(df: DataFrame, batch: Callable[[DataFrame, int], None], checkp
     return q
 
 
-def stream_replay(feed: DataFrame, applied: VersionedTable, heads: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Applies an ordered feed once: a batch that comes again finds its events in the ledger and changes nothing; the
-    ledger's pointer moves last."""
+LEDGER = "producer string, seq long, sha256 string"
+
+
+def stream_replay(feed: DataFrame, applied: VersionedTable, heads: VersionedTable, checkpoint: str, consumer: str = "replay") -> StreamingQuery:
+    """Applies an ordered feed once: a batch that comes again finds its events in the ledger and changes nothing. Heads
+    keep their times, so a late row moves none back. The ledger grows by the new events of each batch, written last, and is
+    read only between the batch's numbers. Each consumer has a checkpoint of its own under its name."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        done = applied.read()
-        done = spark.createDataFrame([], "producer string, seq long, sha256 string") if done is None else done
-        status = store.apply_changes(df, done)
+        df = kept(df)
+        bounds = df.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+        if bounds["lo"] is None:
+            return
+        done = applied.appended(LEDGER).where(F.col("seq").between(bounds["lo"], bounds["hi"]))
+        status = kept(store.apply_changes(df, done))
         if not status.where("status = 'rejected'").isEmpty():
             raise ValueError("an event came again with other content")
         now = store.replay_heads(status)
         before = heads.read()
         if before is not None:
-            now = now.unionByName(before.join(now.select("urn"), "urn", "left_anti"))
+            now = now.unionByName(before).groupBy("urn").agg(F.max_by(F.struct("data", "seq", "observed_at"), F.struct("observed_at", "seq")).alias("x")).select("urn", "x.*")
         heads.write(now)
-        new = status.where("status = 'new'").select("producer", "seq", "sha256")
-        applied.write(done.unionByName(new))
+        applied.append(status.where("status = 'new'").select("producer", "seq", "sha256"))
 
-    return run_available(feed, batch, checkpoint)
+    return run_available(feed, batch, f"{checkpoint.rstrip('/')}/{consumer}")
 
 
 def stream_changes(versions: DataFrame, state: VersionedTable, out: Callable[[DataFrame, int], None], key: str, values: list[str], checkpoint: str) -> StreamingQuery:

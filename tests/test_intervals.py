@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from messagelake.operators import intervals as I
 
@@ -76,6 +77,31 @@ def test_asof_and_overlap(spark, seed):
     assert rows(met, "b_lo", "b_hi") == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_a_key_of_many_blocks(spark, seed):
+    """One key, blocks of 8 ids: nothing is lost or left apart at their borders."""
+    r = random.Random(seed)
+    ids = {("a", r.randrange(300)) for _ in range(220)} | {("b", x) for x in range(5, 120)}
+    got = I.islands(spark.createDataFrame(sorted(ids), "k string, id long"), ["k"], block=8)
+    assert rows(got) == ranges(ids)
+    pieces = [(k, x, x, x % 50 < 25) for k, x in sorted(ids)]
+    runs = I.coalesce_runs(spark.createDataFrame(pieces, "k string, lo long, hi long, flag boolean"), ["k"], ["flag"], block=8)
+    want = sorted((k, lo, hi, f) for f in (True, False) for k, lo, hi in ranges({(k, x) for k, x in ids if (x % 50 < 25) == f}))
+    assert rows(runs, "flag") == want
+    keys = [("a", x) for x in range(0, 310, 3)] + [("b", 60), ("c", 1), ("a", None)]
+    at = I.asof_interval(spark.createDataFrame(keys, "k string, key long"), got.withColumn("first", F.col("lo")), ["k"], "key", ["first"], block=8)
+    assert {(t.k, t.key): t.first for t in at.collect()} == {(k, x): next((lo for q, lo, hi in ranges(ids) if q == k and x is not None and lo <= x <= hi), None) for k, x in keys}
+    stamps = [("a", lo, lo + r.randrange(60), r.randrange(9), f"n{n}", n) for n, lo in enumerate(r.randrange(250) for _ in range(40))]
+    old = [(k, lo, hi, 4, "o") for k, lo, hi in ranges(ids)]
+    best = {(k, x): (4, -1, "o") for k, x in ids}
+    for k, lo, hi, t, run, n in stamps:
+        for x in range(lo, hi + 1):
+            best[k, x] = max(best.get((k, x), (-1, -1, "")), (t, n, run))
+    out = I.stamp(spark.createDataFrame(old, "k string, lo long, hi long, at int, run string"), spark.createDataFrame(stamps, "k string, lo long, hi long, at int, run string, arrival long"), ["k"], 8)
+    found = {(t.k, x): (t.at, t.run) for t in out.collect() for x in range(t.lo, t.hi + 1)}
+    assert found == {c: (t, run) for c, (t, _, run) in best.items()}
+
+
 def test_forget_keeps_attributes(spark):
     df = spark.createDataFrame([("a", 1, 9, "r"), ("a", 10, 12, "s"), ("b", 1, 3, "r")], "k string, lo long, hi long, run string")
     ids = spark.createDataFrame([("a", 4), ("a", 5), ("a", 10), ("a", 99)], "k string, id long")

@@ -1,11 +1,13 @@
 """Merge rules, journal, sources and streams on small tables."""
 
 import os
+import unicodedata
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from messagelake.functions import scalars
 from messagelake.operators import reads, store
 from messagelake.plans.state import VersionedTable
 from messagelake.sources import native, records
@@ -65,10 +67,47 @@ def test_cursor_and_page(spark):
         reads.decode_cursor("!")
 
 
-def test_literal_search_folds_accents_only_on_request(spark):
+def test_literal_search_folds_case_and_accents(spark):
     df = spark.createDataFrame([(1, "Über-den Fluß!"), (2, "uber den"), (3, None)], "id long, text string")
-    ids = lambda q, exact=False: sorted(r.id for r in df.where(reads.literal("text", q, exact)).collect())
-    assert ids("über") == [1] and ids("uber", True) == [1, 2] and ids("über-den") == [1] and ids("  ") == [] and ids("!") == []
+    ids = lambda q: sorted(r.id for r in df.where(reads.literal("text", q)).collect())
+    assert ids("über") == ids("U\u0308BER") == ids("uber") == [1, 2] and ids("über-den") == [1, 2] and ids("fluß") == [1] and ids("  ") == [] and ids("!") == []
+
+
+def test_keys_are_composed_and_nested_keys_in_order(spark):
+    texts = ["cafe\u0301", "café", "e\u0302\u0301x", "plain", "漢字", "a\u0323\u0302"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.u, r.c) for r in scalars.in_nfc(df).select("id", scalars.urn("s", "c", "message", F.col("text")).alias("u"), F.col("text").alias("c")).collect()}
+    assert got[0][0] == got[1][0] and all(got[k][1] == unicodedata.normalize("NFC", t) for k, t in enumerate(texts))
+    nested = spark.sql("SELECT named_struct('b', named_struct('z', 1, 'a', array(named_struct('y', 2, 'c', null))), 'a', 3) AS s").select("s.*")
+    assert nested.select(scalars.canonical_json({c: F.col(c) for c in nested.columns}, nested.schema).alias("j")).first().j == '{"a":3,"b":{"a":[{"c":null,"y":2}],"z":1}}'
+    raw = spark.createDataFrame([(b"x",)], "b binary").select(scalars.fingerprint("b", binary=(0,)).alias("f"), scalars.fingerprint("b").alias("g")).first()
+    assert raw.f != raw.g
+
+
+def test_resolve_decides_by_digest_first(spark):
+    heads = spark.createDataFrame([("a", "d2", True, False), ("s", "d1", False, True), ("h", "d1", False, False)], "urn string, digest string, tombstoned boolean, stub boolean")
+    revisions = spark.createDataFrame([("a", "d1"), ("a", "d2")], "urn string, digest string")
+    aliases = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(30)] + [("c30", "h"), ("x", "y"), ("y", "x"), ("m", "a"), ("m", "h"), ("h", "a")], "old_urn string, new_urn string")
+    asked = [("a", None), ("a", "d2"), ("a", "d1"), ("a", "d9"), ("s", None), ("h", "d1"), ("c0", "d1"), ("c7", "d3"), ("x", None), ("m", None), ("?", None)]
+    got = {(r.urn, r.digest): (r.status, r.resolved_urn) for r in reads.resolve(spark.createDataFrame(asked, "urn string, digest string"), heads, revisions, aliases).collect()}
+    want = ["tombstoned", "tombstoned", "revision_superseded", "unknown_revision", "unavailable", "current", "current", "unknown_revision", "unknown", "ambiguous", "unknown"]
+    assert [got[k][0] for k in asked] == want and got["c0", "d1"][1] == "h"
+
+
+def test_replay_follows_previous_digests(spark):
+    heads = spark.createDataFrame([("u", "A", 5), ("v", "A", 5)], "urn string, digest string, observed_at long")
+    records = spark.createDataFrame([("u", 1, "B", "A", 6), ("u", 2, "C", "A", 7), ("u", 3, "B", None, 9), ("u", 4, "D", "B", 8), ("v", 5, "B", "A", 4), ("w", 6, "A", None, 1)], "urn string, seq long, digest string, previous string, observed_at long")
+    after, told = store.replay_records(records, heads)
+    assert [r.outcome for r in told.orderBy("seq").collect()] == ["updated", "conflict", "unchanged", "older", "older", "inserted"]
+    assert {r.urn: (r.digest, r.observed_at) for r in after.collect()} == {"u": ("B", 9), "v": ("A", 5), "w": ("A", 1)}
+
+
+def test_context_around_one_message(spark):
+    df = spark.createDataFrame([("c", f"m{k}", None if k < 2 else k) for k in range(9)] + [("d", "x", 3)], "chat_urn string, urn string, utc_ms long")
+    got = {(r.urn, r.offset) for r in reads.around(df, "m4", 2, 3).collect()}
+    assert got == {("m2", -2), ("m3", -1), ("m4", 0), ("m5", 1), ("m6", 2), ("m7", 3)}
+    many = {(r.urn, r.offset) for r in reads.neighbours(df, spark.createDataFrame([("m4",), ("x",)], "anchor string"), 2, 3).collect()}
+    assert many == got | {("x", 0)} and reads.around(df, "none", 1, 1).count() == 0
 
 
 def test_required_columns_and_framing(spark):
@@ -117,7 +156,30 @@ def test_feed_batches_survive_a_crash_and_replay_once(spark, tmp_path):
     for run in range(2):
         streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/in/*", schema), applied, heads, f"{tmp_path}/c{run}")
         assert {r.urn: r.data for r in heads.read().collect()} == {"u0": "d6", "u1": "d7", "u2": "d5"}
-        assert applied.read().count() == 7
+        assert applied.appended(streams.LEDGER).count() == 7
+
+
+def test_late_rows_move_no_head_and_conflicts_stay(spark, tmp_path):
+    kind = "producer string, seq long, operation string, urn string, observed_at long, data string"
+    put = lambda rows: spark.createDataFrame([("p", n, "record", u, at, d) for n, u, at, d in rows], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    heads, applied = VersionedTable(spark, f"{tmp_path}/heads"), VersionedTable(spark, f"{tmp_path}/applied")
+    run = lambda: streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/feed", kind), applied, heads, f"{tmp_path}/c")
+    put([(1, "u", 100, "newer"), (2, "v", 5, "first")])
+    run()
+    put([(3, "u", 5, "late"), (4, "v", 6, "second"), (4, "v", 6, "second")])
+    run()
+    assert {r.urn: r.data for r in heads.read().collect()} == {"u": "newer", "v": "second"} and applied.appended(streams.LEDGER).count() == 4
+    put([(2, "v", 5, "other")])
+    with pytest.raises(Exception, match="other content"):
+        run()
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
+    rows = [("a", "A", None, 1, 0, False), ("a", "B", "A", 2, 1, False), ("a", "C", "A", 3, 2, False), ("a", "C", "B", 1, 3, False), ("a", "D", None, 0, 4, True)]
+    schema = "urn string, digest string, previous string, observed_at long, pos long, live boolean"
+    spark.createDataFrame([(1, *r[1:]) for r in rows], "urn long, " + schema.split(", ", 1)[1]).coalesce(1).write.parquet(f"{tmp_path}/h")
+    stream = streams.stream_heads(streams.file_stream(spark, f"{tmp_path}/h", "urn long, " + schema.split(", ", 1)[1]))
+    streams.run_available(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{i}"), f"{tmp_path}/hc", "update")
+    assert [r.outcome for r in spark.read.parquet(f"{tmp_path}/out/*").orderBy("pos").collect()] == ["inserted", "updated", "conflict", "older", "updated"]
 
 
 def test_stream_of_table_versions(spark, tmp_path):
