@@ -16,8 +16,8 @@ from .textscan import mix, prefix, stretch
 #: Bytes of a string that may not occur twice; the anchor of such a string is its smallest gram of a third of the length.
 LENGTH = 100
 _PLACE = np.uint64((1 << 24) - 1)
-#: Stretches under one anchor beyond which they meet window by window; and the bits of the filter that names such anchors.
-HOT, FILTER_BITS = 20_000, 1 << 25
+#: Bits of the filter that names anchors whose stretches meet window by window.
+FILTER_BITS = 1 << 25
 
 
 # --- anchors: equal strings of `length` bytes have equal anchors, so they meet under the anchor's hash
@@ -402,15 +402,16 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """Removes each byte that lies in a string of `length` bytes which also starts earlier.
 
     Returns (id_col, n_bytes, spans of removed bytes, kept bytes, kept_sha256) for each row. Earlier is a smaller
     id, or an earlier start in the same text; strings never cross texts and are judged on the input.
     1. Each window of `length` bytes has an anchor, the smallest gram in it; only anchors that occur twice can hold
     a repeated window. 2. The stretches around those anchors meet under the anchor's hash, equal ones of a batch
-    as one. A line that very many texts hold between differing neighbours has an anchor with more than `hot` stretches:
-    their windows meet under their own hashes instead, so no key grows with such texts. 3. Their suffixes are ordered by two-stage sorting, and neighbours with `length` bytes in common are
+    as one. A line that very many texts hold between differing neighbours gathers its stretches under one anchor. With `hot`
+    the windows of anchors with more stretches than that meet under their own hashes instead, so no key grows with such
+    texts; that takes one more pass over the texts and a row for each such window. 3. Their suffixes are ordered by two-stage sorting, and neighbours with `length` bytes in common are
     one string, of which the earliest occurrence stays. Texts that equal an earlier text are removed whole.
 
     Null and empty texts have no bytes. Rows with one id and one text count as one document and have one result;
@@ -422,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("length must be from 8 to 254")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.coalesce("id", F.shiftrightunsigned(F.xxhash64("text"), 2) - F.lit(1 << 62) - F.lit(1 << 62)).alias("doc"), "text", F.xxhash64("text").alias("th"), F.unhex(F.md5("text")).alias("body"))
-    hot_anchors = _hot_anchors(rows, length, hot)
+    hot_anchors = _hot_anchors(rows, length, hot) if hot is not None else None
     places = _repeated(_anchor_rows(rows.select("doc", "text"), length)).groupBy("doc").agg(F.collect_list("place").alias("places"))
     firsts = rows.select("doc", "body").groupBy("body").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("body").alias("bodies"))
     facts = firsts.join(places, "doc", "left").select(F.col("doc").alias("f_doc"), "bodies", "places")

@@ -153,7 +153,7 @@ def brute_repeats(texts, ids, length):
     return out
 
 
-@pytest.mark.parametrize("length,hot", [(8, 20_000), (30, 3), (100, 20_000), (100, 2)])
+@pytest.mark.parametrize("length,hot", [(8, None), (30, 3), (100, None), (100, 2)])
 def test_repeats_equal_brute_force(spark, length, hot):
     r = random.Random(length)
     passages = ["".join(r.choice("abcdé \n") for _ in range(r.randrange(length // 2, 3 * length))) for _ in range(12)] + ["a" * (4 * length), "ab" * (2 * length), "\0" * (2 * length)]
