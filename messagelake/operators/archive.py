@@ -221,9 +221,10 @@ def catalogue(records: DataFrame) -> DataFrame:
 
 
 def member_digest(members: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(*by, members, digest): of an archive's members (name, sha256), sorted by name; a few names for each archive."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda m: F.concat(m["name"], F.lit(" "), m["sha256"]))
-    return members.groupBy(*by).agg(F.count("*").alias("members"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256)).alias("digest"))
+    """(*by, members, digest): SHA-256 over the lines name, zero byte, checksum of an archive's members (name, sha256) in the
+    order of their names; a few names for each archive."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda m: F.concat(m["name"], F.lit("\0"), m["sha256"], F.lit("\n")))
+    return members.groupBy(*by).agg(F.count("*").alias("members"), F.sha2(F.array_join(lines, ""), 256).alias("digest"))
 
 
 def check_observations(observations: DataFrame, raw: str = "raw") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import intervals
 
 
 def link(pairs: DataFrame, people: DataFrame, identities: DataFrame) -> DataFrame:
@@ -59,3 +60,14 @@ def children(chosen: DataFrame, messages: DataFrame, dependants: Sequence[DataFr
 def purge(tables: dict[str, DataFrame], gone: DataFrame, key: str = "urn") -> dict[str, DataFrame]:
     """Every table without the records that go."""
     return {name: df.join(gone.select(F.col("urn").alias(key)), key, "left_anti") for name, df in tables.items()}
+
+
+def purge_source(tables: dict[str, DataFrame], records: DataFrame, fresh: DataFrame, checkpoints: DataFrame, source: str, scope: str | None = None) -> dict[str, DataFrame]:
+    """All tables without the records of a source, or of a scope of it; their freshness is forgotten and the source's
+    checkpoints go. records: (urn, id, source, scope); fresh: (kind, lo, hi, at, run); checkpoints: (source, scope, ...)."""
+    mine = F.coalesce(F.col("source") == source, F.lit(False))
+    mine = mine & F.coalesce(F.col("scope") == scope, F.lit(False)) if scope else mine
+    gone = records.where(mine)
+    ids = gone.select(F.lit("record").alias("kind"), "id")
+    left = intervals.forget(fresh, ids, ["kind"], ["at", "run"])
+    return purge(tables | {"records": records}, gone.select("urn")) | {"fresh": left.select("kind", "lo", "hi", "at", "run"), "checkpoints": checkpoints.where(~mine)}

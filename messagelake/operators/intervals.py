@@ -53,18 +53,18 @@ def in_blocks(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _sweep(events: DataFrame, by: Sequence[str], wanted: Column) -> DataFrame:
-    """Elementary segments between borders (at, keep, cut) where the running counts fulfil a condition, coalesced."""
+    """Elementary segments between borders (_at, keep, cut) where the running counts fulfil a condition, coalesced."""
     key = [*by, "_block"]
-    summed = events.groupBy(*key, "at").agg(F.sum("keep").alias("keep"), F.sum("cut").alias("cut"))
-    order = Window.partitionBy(*key).orderBy("at")
+    summed = events.groupBy(*key, "_at").agg(F.sum("keep").alias("keep"), F.sum("cut").alias("cut"))
+    order = Window.partitionBy(*key).orderBy("_at")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    segments = summed.select(*key, F.col("at").alias("lo"), (F.lead("at").over(order) - 1).alias("hi"), F.sum("keep").over(run).alias("_keep"), F.sum("cut").over(run).alias("_cut"))
+    segments = summed.select(*key, F.col("_at").alias("lo"), (F.lead("_at").over(order) - 1).alias("hi"), F.sum("keep").over(run).alias("_keep"), F.sum("cut").over(run).alias("_cut"))
     return coalesce_runs(segments.where(wanted & F.col("hi").isNotNull()).select(*by, "lo", "hi"), by, [])
 
 
 def _events(spans: DataFrame, by: Sequence[str], keep: int, cut: int, block: int) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("s")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("s"))))
-    return in_blocks(spans.select(*by, "lo", "hi"), block).select(*by, "_block", ends.alias("e")).select(*by, "_block", "e.at", (F.col("e.s") * keep).alias("keep"), (F.col("e.s") * cut).alias("cut"))
+    return in_blocks(spans.select(*by, "lo", "hi"), block).select(*by, "_block", ends.alias("e")).select(*by, "_block", F.col("e.at").alias("_at"), (F.col("e.s") * keep).alias("keep"), (F.col("e.s") * cut).alias("cut"))
 
 
 def merge_spans(spans: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:

@@ -16,6 +16,7 @@ from ..plans.state import kept
 from .store import sequenced
 
 MAX_PAGE, DEFAULT_PAGE = 500, 50  # fixed values
+HARMLESS = "ambiguous_lid_phone_pair"  # fixed value: the error that leaves a run complete
 
 
 def message_filters(df: DataFrame, since: int | None = None, until: int | None = None, source: str | None = None, scope: str | None = None, chat: str | None = None, senders: Sequence[str] | None = None, transport: str | None = None, kinds: Sequence[str] | None = ("message",), has_attachment: bool | None = None) -> DataFrame:
@@ -193,6 +194,29 @@ def by_label(chats: DataFrame, needle: str) -> DataFrame:
     return chats.where(F.lower("label").contains(n) | F.exists("participants", lambda p: F.lower(p).contains(n)))
 
 
+def list_chats(
+    chats: DataFrame, messages: DataFrame, members: DataFrame, since: int | None = None, source: str | None = None, label: str | None = None,
+    participants: Sequence[str] | None = None, limit: int = DEFAULT_PAGE, after: tuple | None = None,
+) -> DataFrame:
+    """A page of chats, the latest activity first and chats without any last, one row more than asked for if others follow.
+
+    chats: (urn, source, label); messages: (chat_urn, kind, utc_ms); members: (chat_urn, identity_urn, label). A label is
+    looked for in that of the chat and of its participants; participants keeps chats of any of these identities.
+    """
+    t = chats.where(F.col("source") == source) if source else chats
+    if participants is not None:
+        t = t.join(members.where(F.col("identity_urn").isin(*participants)).select(F.col("chat_urn").alias("urn")), "urn", "left_semi")
+    seen = messages.where("kind = 'message'").groupBy(F.col("chat_urn").alias("urn")).agg(F.count("*").alias("n"), F.max("utc_ms").alias("last_ms"))
+    t = t.join(seen, "urn", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if since is not None:
+        t = t.where(F.col("last_ms") >= since)
+    if label:
+        n = label.lower()
+        hit = members.where(F.lower("label").contains(n)).select(F.col("chat_urn").alias("urn"), F.lit(True).alias("_hit")).distinct()
+        t = t.join(hit, "urn", "left").where(F.coalesce(F.lower("label").contains(n), F.lit(False)) | F.col("_hit")).drop("_hit")
+    return page(t, [("last_ms", True), ("urn", False)], limit, after)
+
+
 def cap_children(df: DataFrame, by: Sequence[str], child: str, n: int = 50) -> DataFrame:
     """The first n children of a parent by name, and how many there are; ranks first, so no parent is collected whole."""
     order = Window.partitionBy(*by).orderBy(child)
@@ -225,6 +249,12 @@ def availability_summary(attachments: DataFrame, by: Sequence[str]) -> DataFrame
     return attachments.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
+def media_summary(attachments: DataFrame) -> DataFrame:
+    """(source, availability, local_state): number, declared bytes and how many have a hash."""
+    measures = [F.count("*").alias("n"), F.coalesce(F.sum("declared_size"), F.lit(0)).alias("declared_bytes"), F.count("blob_sha256").alias("hashed")]
+    return attachments.groupBy("source", "availability", "local_state").agg(*measures)
+
+
 def unavailable_by_chat(attachments: DataFrame, messages: DataFrame, n: int) -> DataFrame:
     """The chats with most attachments that aren't at hand; ties by chat. The source is that of the latest one."""
     met = attachments.join(messages, attachments["message"] == messages["urn"]).select("chat", "availability", "bytes", attachments["source"], "utc_ms", attachments["urn"])
@@ -250,11 +280,30 @@ def tally_errors(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("code").agg(F.count("*").alias("count"), F.min_by("sample", "order").alias("sample"))
 
 
-def run_status(errors: DataFrame, harmless: str = "ambiguous_alias") -> DataFrame:
+def run_status(errors: DataFrame, harmless: str = HARMLESS) -> DataFrame:
     """`partial` if any error counts, else `complete`; one row."""
     return errors.agg(F.when(F.coalesce(F.bool_or(F.col("code") != harmless), F.lit(False)), "partial").otherwise("complete").alias("status"), F.coalesce(F.sum("count"), F.lit(0)).alias("errors"))
 
 
+def tally(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of what an adapter met and doesn't know; rows without a key don't count."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+
+
+def run_rows(runs: DataFrame, outcomes: DataFrame, unsupported: DataFrame, seen: DataFrame, errors: DataFrame, by: Sequence[str] = ("run",), harmless: str = HARMLESS) -> DataFrame:
+    """The rows of finished runs: status, counts of outcomes and of unsupported kinds as maps, coverage, errors.
+
+    outcomes and unsupported: (*by, name, n); seen: (*by, n, first_ms, last_ms); errors: (*by, code, count, sample).
+    """
+    keys = list(by)
+    as_map = lambda df, name: df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias(name))
+    told = errors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("code", "count", "sample"))).alias("errors"))
+    t = runs.join(as_map(outcomes, "written"), keys, "left").join(as_map(unsupported, "unsupported"), keys, "left").join(told, keys, "left")
+    t = t.join(seen.select(*keys, F.struct("n", "first_ms", "last_ms").alias("coverage")), keys, "left")
+    bad = F.exists("errors", lambda e: e["code"] != harmless)
+    return t.withColumn("status", F.when(F.coalesce(bad, F.lit(False)), "partial").otherwise("complete"))
+
+
 def followed(aliases: DataFrame, heads: DataFrame) -> DataFrame:
     """(urn, to): where chains of single aliases (old_urn, new_urn) lead from urns without a head, however long. `to` is
     null for a chain that runs in a circle."""

@@ -129,10 +129,65 @@ def withdraw(units: DataFrame, memo: DataFrame, members: DataFrame, ranges: Data
     return I.merge_spans(good, ["kind"]), refused
 
 
-def finish_coverage(prior: DataFrame, withdrawn: DataFrame, staged: DataFrame) -> dict[str, DataFrame]:
-    """absent: what was withdrawn and not seen again; retained: what wasn't withdrawn; coverage: retained and staged."""
-    retained = I.subtract_spans(prior, withdrawn, ["kind"])
-    return {"absent": I.subtract_spans(withdrawn, staged, ["kind"]), "retained": retained, "coverage": I.merge_spans(retained.unionByName(staged), ["kind"])}
+def changed_event_keys(owned: DataFrame, current: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys touched, rows of those keys, ownership after) of changed native rows: a key is touched that a changed row had
+    before or has now, and all rows that have it now are selected again. Tables: (row_id, event_key); changed: (row_id)."""
+    rows = changed.select("row_id").distinct()
+    now = current.select("row_id", "event_key").join(rows, "row_id", "left_semi")
+    before = owned.select("row_id", "event_key")
+    touched = before.join(rows, "row_id", "left_semi").select("event_key").union(now.select("event_key")).distinct()
+    after = before.join(rows, "row_id", "left_anti").unionByName(now)
+    return touched, after.join(touched, "event_key", "left_semi").select("row_id", "event_key"), after
+
+
+def withdraw_headers(observations: DataFrame, entities: DataFrame, complete: Sequence[str], keyed: DataFrame) -> DataFrame:
+    """(kind, lo, hi) of records and observations that headers give up: present ones of whole tables, and those of the
+    given keys. observations: (id, urn, native_table, native_key, present); entities: (urn, id); keyed: (native_table, native_key)."""
+    there = observations.where("present = 'present'").select("id", "urn", "native_table", "native_key")
+    whole = F.col("native_table").isin(*complete) if complete else F.lit(False)
+    chosen = there.where(whole).unionByName(there.where(~whole).join(keyed.select("native_table", "native_key").distinct(), ["native_table", "native_key"], "left_semi"))
+    met = chosen.join(entities.select("urn", F.col("id").alias("_entity")), "urn")
+    ids = met.select(F.explode(F.array(F.struct(F.lit("observation").alias("kind"), "id"), F.struct(F.lit("record").alias("kind"), F.col("_entity").alias("id")))).alias("x"))
+    return I.islands(ids.select("x.*"), ["kind"])
+
+
+def outside(prior: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """What is withdrawn and wasn't covered before; it must be empty, see retained()."""
+    return I.subtract_spans(withdrawn, prior, ["kind"])
+
+
+def retained(prior: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """Prior coverage without what is withdrawn, which must lie inside it."""
+    if not outside(prior, withdrawn).isEmpty():
+        raise ValueError("withdrawn ranges lie outside the prior coverage")
+    return I.subtract_spans(prior, withdrawn, ["kind"])
+
+
+def finish_coverage(prior: DataFrame, withdrawn: DataFrame, staged: DataFrame, fresh: DataFrame | None = None, at: int | None = None, run: str | None = None) -> dict[str, DataFrame]:
+    """absent: what was withdrawn and not seen again; retained: what wasn't withdrawn; coverage: retained and staged. With
+    `fresh` (kind, lo, hi, at, run) also fresh: what is retained counts as seen by this run, at its time."""
+    kept = I.subtract_spans(prior, withdrawn, ["kind"])
+    covered = I.merge_spans(kept.unionByName(staged), ["kind"])
+    out = {"absent": I.subtract_spans(withdrawn, covered, ["kind"]), "retained": kept, "coverage": covered}
+    return out if fresh is None else out | {"fresh": resight(kept, fresh, at, run)[0]}
+
+
+def resight(prior: DataFrame, fresh: DataFrame, at: int, run: str) -> tuple[DataFrame, DataFrame]:
+    """(fresh after, refresh events) where nothing changed: prior ranges count as seen again, without an extraction. An event
+    (kind, operation, ranges, ids) for each kind, with how many ids it covers."""
+    stamps = prior.select("kind", "lo", "hi", F.lit(at).cast("long").alias("at"), F.lit(run).alias("run"), F.lit(0).cast("long").alias("arrival"))
+    merged = I.merge_spans(prior.select("kind", "lo", "hi"), ["kind"])
+    events = merged.groupBy("kind").agg(F.count("*").alias("ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("ids"))
+    return I.stamp(fresh, stamps, ["kind"]), events.select("kind", F.concat("kind", F.lit("_refresh")).alias("operation"), "ranges", "ids")
+
+
+def mark_withdrawn(observations: DataFrame, absent: DataFrame, at: int, run: str) -> DataFrame:
+    """Observations (id, present, observed_at, sync_run, ...) with present ones in the absent ranges (lo, hi) marked."""
+    spans = absent.select(F.lit(0).alias("_k"), "lo", "hi", F.lit(True).alias("_gone"))
+    met = I.asof_interval(observations.withColumn("_k", F.lit(0)), spans, ["_k"], "id", ["_gone"])
+    gone = F.coalesce("_gone", F.lit(False)) & F.coalesce(F.col("present") == "present", F.lit(False))
+    new = {"present": F.lit("absent_from_source"), "observed_at": F.lit(at).cast("long"), "sync_run": F.lit(run)}
+    return met.withColumns({c: F.when(gone, v).otherwise(F.col(c)) for c, v in new.items()}).select(*observations.columns)
 
 
 def dirty_media(previous: DataFrame, current: DataFrame, racy_ms: int, now_ms: int) -> DataFrame:

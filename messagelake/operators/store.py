@@ -387,3 +387,42 @@ def revisions_of(revisions: DataFrame, urns: DataFrame) -> DataFrame:
 
 def identities_of_person(links: DataFrame, people: DataFrame, states: Sequence[str] = ("confirmed", "suggested")) -> DataFrame:
     return links.where(F.col("state").isin(*states)).join(people.select(F.col("urn").alias("person_urn")), "person_urn", "left_semi").select("person_urn", "identity_urn").distinct()
+
+
+def observations_of(observations: DataFrame, urns: DataFrame) -> DataFrame:
+    """The observations of some urns, whatever their state."""
+    return observations.join(urns.select("urn").distinct(), "urn", "left_semi")
+
+
+def alias_links(aliases: DataFrame, urns: DataFrame) -> DataFrame:
+    """(urn, direction, other): what an urn became (`to`) and what became it (`from`). aliases: (old_urn, new_urn)."""
+    wanted = urns.select("urn").distinct()
+    became = aliases.select(F.col("old_urn").alias("urn"), F.lit("to").alias("direction"), F.col("new_urn").alias("other"))
+    was = aliases.select(F.col("new_urn").alias("urn"), F.lit("from").alias("direction"), F.col("old_urn").alias("other"))
+    return became.unionByName(was).join(wanted, "urn", "left_semi").distinct()
+
+
+def capture_events(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """(operation, urn, data in JSON) between two states of a store, for sequenced(): a `record` where digest or body differs,
+    with the previous digest where there was one; a `revision` that is new or whose time, predecessor or body differs; an
+    `observation` whose evidence differs. What went is no event.
+
+    records: (urn, digest, record, observed_at, sync_run); revisions: these and supersedes; observations: OBSERVED, EVIDENCE,
+    observed_at, sync_run.
+    """
+
+    def between(table: str, key: Sequence[str], watched: Sequence[str]) -> DataFrame:
+        before = old[table].select(*key, F.struct(*watched).alias("_old"))
+        both = new[table].join(before, list(key), "left")
+        return both.where(F.col("_old").isNull() | ~F.struct(*watched).eqNullSafe(F.col("_old")))
+
+    told = lambda df, operation, *fields: df.select(F.lit(operation).alias("operation"), "urn", F.to_json(F.struct(*fields)).alias("data"))
+    r = between("records", ["urn"], ["digest", "record"])
+    v = between("revisions", ["urn", "digest"], ["observed_at", "supersedes", "record"])
+    o = between("observations", OBSERVED, EVIDENCE)
+    parts = [
+        told(v, "revision", "urn", "digest", "observed_at", "sync_run", "supersedes", "record"),
+        told(r, "record", "digest", "record", "observed_at", "sync_run", F.col("_old.digest").alias("previous_digest")),
+        told(o, "observation", *OBSERVED, *EVIDENCE, "observed_at", "sync_run"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -162,7 +162,7 @@ def a6_a7(spark, sf):
     return out.unionByName(c.groupBy("bucket").agg(F.count("*").alias("revisions"), F.count_distinct("urn").alias("urns"), F.lit(None).cast("string").alias("runs")))
 
 
-@query("g15_member_digest", """SELECT l_orderkey AS archive, count(*) AS members, 'sha256:' || sha256(string_agg(name || ' ' || h, chr(10) ORDER BY name, h)) AS digest FROM (SELECT l_orderkey, 'records/' || l_linenumber AS name, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem) GROUP BY 1""")
+@query("g15_member_digest", """SELECT l_orderkey AS archive, count(*) AS members, sha256(string_agg(name || chr(0) || h || chr(10), '' ORDER BY name, h)) AS digest FROM (SELECT l_orderkey, 'records/' || l_linenumber AS name, sha256(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem) GROUP BY 1""")
 def g15(spark, sf):
     m = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("archive"), F.concat(F.lit("records/"), "l_linenumber").alias("name"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"))
     return A.member_digest(m, ["archive"])

@@ -18,8 +18,8 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 class Heads(StatefulProcessor):
     """The head digest of each urn across batches: live rows always become the head, imported ones only if they follow it
-    (their previous digest is its) and it isn't newer; one that doesn't follow is a conflict. Rows of a batch are taken in
-    the order of pos."""
+    (their previous digest is its) and it isn't newer; one that doesn't follow is a conflict. A row without a digest purges
+    the urn: nothing of it stays. Rows of a batch are taken in the order of pos."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "digest string, observed_at long")
@@ -29,13 +29,20 @@ class Heads(StatefulProcessor):
         digest, at = self.head.get() if self.head.exists() else (None, None)
         out = []
         for r in batch.itertuples():
+            if r.digest is None or r.digest != r.digest:
+                digest, at = None, None
+                out.append((key[0], int(r.pos), "purged"))
+                continue
             outcome = store.outcome(digest, at, r.digest, digest if r.live else r.previous, at if r.live and at is not None else int(r.observed_at))
             if outcome in ("inserted", "updated"):
                 digest, at = r.digest, int(r.observed_at)
             elif outcome == "unchanged":
                 at = max(at, int(r.observed_at))
             out.append((key[0], int(r.pos), outcome))
-        self.head.update((digest, at))
+        if digest is None:
+            self.head.clear()
+        else:
+            self.head.update((digest, at))
         yield pd.DataFrame(out, columns=["urn", "pos", "outcome"])
 
     def close(self) -> None:
@@ -108,3 +115,34 @@ def stream_polls(source: DataFrame, poll: Callable[[DataFrame, int], None], chec
 
 def file_stream(spark: SparkSession, path: str, schema: str, files: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def purge_heads(heads: VersionedTable, gone: DataFrame) -> None:
+    """Heads without purged urns, as a new version; the ledger of applied events stays, so none comes back by a replay."""
+    now = heads.read()
+    if now is not None:
+        heads.write(now.join(gone.select("urn").distinct(), "urn", "left_anti"))
+
+
+RUNS = "run string, status string, at long, checkpoint string"
+
+
+def run_once(runs: VersionedTable, run: str, at: int, work: Callable[[str | None], str]) -> str:
+    """One run: a running row first, then the work, which gets the last complete run's checkpoint and gives the next one,
+    then the row that commits it. If the work fails the run is failed and the old checkpoint stays."""
+    say = lambda status, mark: runs.append(runs.spark.createDataFrame([(run, status, at, mark)], RUNS))
+    before = last_checkpoint(runs)
+    say("running", None)
+    try:
+        mark = work(before)
+    except Exception:
+        say("failed", None)
+        raise
+    say("complete", mark)
+    return mark
+
+
+def last_checkpoint(runs: VersionedTable) -> str | None:
+    """The checkpoint of the latest complete run."""
+    done = runs.appended(RUNS).where("status = 'complete'").agg(F.max_by("checkpoint", F.struct("at", "run")).alias("c"))
+    return done.first()["c"]
