@@ -46,16 +46,18 @@ def steps(at: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of rows sorted by key in which no group is cut; for use after repartition and sortWithinPartitions."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000, most_bytes: int = 64 << 20) -> Iterator[pa.Table]:
+    """Tables of rows sorted by key in which no group is cut; for use after repartition and sortWithinPartitions. A table
+    goes out once so many rows or bytes are there."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        size += batch.nbytes
+        if rows < least and size < most_bytes:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         k = t[key].chunk(0)
@@ -67,6 +69,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_00
             yield t.slice(0, lo).combine_chunks()
         held = t.slice(lo).to_batches()
         rows = t.num_rows - lo
+        size = sum(b.nbytes for b in held) if lo else 0  # a group that is larger waits for as much again
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -74,6 +77,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_00
 def shared(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the cluster names; only where it names none (tests) to a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 

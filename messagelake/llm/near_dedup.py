@@ -22,8 +22,9 @@ TREES, SURE, MISS = 24, 3, 1 / 60_000
 SMALL, DEPTH = 2048, 12
 #: Share of equal tokens from which two sets are taken for a family: five standard deviations below the threshold.
 ALIKE = 0.62
-#: Distinct sets of a family that are confirmed together; larger families are dealt into blocks that meet in pairs.
-FAMILY = 4000
+#: Distinct sets of a family that are confirmed together; larger families are dealt into blocks that meet in pairs. A set of
+#: more than LONG shingles counts as several, so long texts don't pile up in a task.
+FAMILY, LONG = 4000, 4096
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +314,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     nodes by tokens that each node chooses with a chance of 1 / (threshold * tokens), so alike sets stay together
     in some branch and others part. Small nodes are compared exhaustively on their tokens. 3. What is alike is
     gathered to families by connected components. 4. In each family links are confirmed on the full sets. Each
-    node and family passes on a spanning forest and not its pairs. A family of more than `family` sets is dealt into
-    blocks of half as many, and no task holds more than two of its blocks together.
+    node and family passes on a spanning forest and not its pairs. A family of more than `family` sets, or of as many
+    times LONG shingles, is dealt into blocks of half as many, and no task holds more than two of its blocks together.
 
     Null texts and texts without words have an empty set, no links and themselves as component. Rows that repeat
     an id share its smallest component's links by their own texts. A null id is never a representative if another
@@ -322,18 +323,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = kept(_profiles(rows, shingle_words, trees))
-    sets = profiles.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("high").alias("high"), F.first("roots").alias("roots"))
+    sets = profiles.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("high").alias("high"), F.first("roots").alias("roots"), F.ceil(F.first("n_shingles") / LONG).alias("weight"))
     sets = kept(sets.where("id is not null"))
     pairs = _candidates(sets, percent / 100, trees, small)
     families = components(pairs)
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    members = families.join(sizes, "root").select(F.col("node").alias("sid"), F.xxhash64("root").alias("family"), "size").join(sets.select("sid", "id", "tokens"), "sid")
+    found = families.withColumnRenamed("node", "sid").join(sets.select("sid", "id", "tokens", "weight"), "sid")
+    sizes = found.groupBy("root").agg(F.sum("weight").alias("size"))
+    members = found.join(sizes, "root").select("sid", F.xxhash64("root").alias("family"), "size", "id", "tokens", "weight")
     members = kept(members)
 
     wanted = members.select(F.col("id").alias("m_id"), F.col("sid").alias("m_sid"))
     texts = rows.join(wanted, F.col("id") == F.col("m_id")).select("id", "text", "m_sid")
     content = _contents(texts, shingle_words).select(F.col("id").alias("c_id"), "content").dropDuplicates(["c_id"])
-    full = members.join(content, F.col("id") == F.col("c_id")).select("family", "id", "tokens", "content", "size")
+    full = members.join(content, F.col("id") == F.col("c_id")).select("family", "id", "tokens", "content", "size", "weight")
     whole = full.where(F.col("size") <= family)
     columns = ["family", "id", "tokens", "content"]
     links = _confirmed(whole.select(columns).repartition("family").sortWithinPartitions("family"), percent)
@@ -352,7 +354,7 @@ def _by_blocks(full: DataFrame, most: int, percent: int) -> DataFrame:
     own, and each of them meets every block of the family. So all pairs have met that were not linked already."""
     half = max(1, most // 2)
     cut = full.withColumn("blocks", F.ceil(F.col("size") / half)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    cut = kept(cut.select("family", "id", "tokens", "content", "blocks", "block"))
+    cut = kept(cut.select("family", "id", "tokens", "content", "weight", "blocks", "block"))
 
     def confirmed(parts: DataFrame, *by: str) -> DataFrame:
         others = [c for c in ("side", "label") if c in parts.columns]
@@ -369,7 +371,7 @@ def _by_blocks(full: DataFrame, most: int, percent: int) -> DataFrame:
     links = links.union(confirmed(sides.withColumn("part", F.explode(parts)), "part"))
 
     now = labelled(links)
-    sizes = now.groupBy("family", "label").agg(F.count("*").alias("n"))
+    sizes = now.groupBy("family", "label").agg(F.sum("weight").alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
     main = main.where("rest > 0").withColumn("groups", F.ceil(F.col("rest") / half))
     now = now.join(main, "family")

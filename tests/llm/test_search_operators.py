@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("messagelake.llm.common")
@@ -119,6 +120,33 @@ def test_parts_of_a_large_family_are_bounded(spark, monkeypatch):
     assert 0 < max(largest) <= 2 * 50 * 1.5
 
 
+def test_long_texts_of_a_family_are_dealt_by_their_shingles(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"b{k}" for k in range(900)]
+    texts = [" ".join(edited(r, words, k % 30)) for k in range(60)] + ["a b c d", "a b c d e"]
+    sets, heaviest, confirmed = sets_of(texts, 4), [], near_dedup._confirmed
+
+    def seen(members, percent):
+        heaviest.append(members.groupBy("family").agg(F.sum(F.octet_length("content")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return confirmed(members, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", seen)
+    monkeypatch.setattr(near_dedup, "LONG", 100)
+    rows = near_dedup.near_duplicates(frame(spark, texts), shingle_words=4, family=100).collect()
+    assert {x.doc_id: x.component_id for x in rows} == brute_components(list(range(len(texts))), sets, 80)
+    assert 0 < max(heaviest) < sum(8 * len(x) for x in sets) / 2
+
+
+def test_whole_groups_go_out_by_bytes():
+    t = pa.table({"key": [k // 3 for k in range(30)], "x": ["y" * 1000] * 30})
+    got = list(common.whole_groups(iter(t.to_batches(max_chunksize=4)), "key", 1_000_000, 5_000))
+    assert len(got) > 2 and pa.concat_tables(got).equals(t)
+    seen = [set(g["key"].to_pylist()) for g in got]
+    assert all(not a & b for i, a in enumerate(seen) for b in seen[:i])
+    one = pa.table({"key": [1] * 30, "x": ["y" * 1000] * 30})
+    assert [g.num_rows for g in common.whole_groups(iter(one.to_batches(max_chunksize=4)), "key", 1_000_000, 5_000)] == [30]
+
+
 def test_components_with_a_hub(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_SHARE", 3)
     spread = common.spread_join
