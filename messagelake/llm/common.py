@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,12 +83,32 @@ def shared(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares, for tables that a job writes and reads again."""
+    shared(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that scratch gave."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder: a lost executor takes nothing with it."""
     shared(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in a new shared folder: computed once, where a checkpoint's last stage runs twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: An end of an edge is hot if more than one in so many rows names it; so there are fewer hot ones than this.
 HOT_SHARE = 50_000
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, quotes, secrets, suffix_dedup, toxicity
-from .common import documents
+from . import bpe, centroids, decontaminate, line_dedup, merkle, near_dedup, neighbours, quality, quotes, secrets, suffix_dedup, topk, toxicity
+from .common import LOWER, UPPER, ascii_lower, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,95 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+#: Levels that the SQL of the trees goes up: 8**9 leaves of a language, 8**3 languages.
+SQL_LEVELS, SQL_TOP_LEVELS = 9, 3
+
+
+def _merkle_sql() -> str:
+    """The trees level by level; a level changes trees of more than one node only."""
+
+    def levels(n: str, first: str, count: int) -> list[str]:
+        out = [f"{n}0 AS ({first})"]
+        for k in range(count):
+            out.append(f"{n}{k + 1} AS (SELECT t, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {n}{k} WHERE n > 1 GROUP BY t, pos // 8, n UNION ALL SELECT t, pos, n, h FROM {n}{k} WHERE n = 1)")
+            out.append(f"{n}s{k} AS (SELECT a.t, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM {n}{k} a JOIN {n}{k} b ON a.t = b.t AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.t, a.pos)")
+        return out
+
+    value = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    step = lambda c: f"xor({c} >> 1, ({c} & 1) * 3988292384)"  # noqa: E731  # the polynomial of CRC-32
+    parts = [
+        "crc AS (SELECT list(c8 ORDER BY i) AS t FROM (SELECT i, " + ", ".join(f"{step(f'c{k}')} AS c{k + 1}" for k in range(8)) + " FROM (SELECT i, i AS c0 FROM range(256) r(i))))",
+        f"d AS (SELECT doc_id, coalesce(':' || lang, '-') AS t, {leaf('text')} AS leaf, CASE WHEN xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS forged FROM documents, crc)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY t) AS n FROM d)",
+        *levels("a", "SELECT t, pos, n, leaf AS h FROM p", SQL_LEVELS),
+        f"subs AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS pos FROM a{SQL_LEVELS})",
+        *levels("b", "SELECT 1 AS t, pos, count(*) OVER () AS n, h FROM subs", SQL_TOP_LEVELS),
+    ]
+    joins, folds, proof = "", ["p.forged AS f0"], []
+    for k in range(SQL_LEVELS + SQL_TOP_LEVELS):
+        j, name = (k, "a") if k < SQL_LEVELS else (k - SQL_LEVELS, "b")
+        here = f"{name}s{j}"
+        joins += f" LEFT JOIN {here} ON {here}.pos = {'p' if name == 'a' else 'subs'}.pos // {8**j}" + (f" AND {here}.t = p.t" if name == "a" else "")
+        folds.append(f"CASE WHEN {here}.l IS NULL THEN f{k} ELSE sha256({here}.l || f{k} || {here}.r) END AS f{k + 1}")
+        proof.append(f"coalesce({here}.l || {here}.r, '')")
+    last = f"f{SQL_LEVELS + SQL_TOP_LEVELS}"
+    parts.append(f"o AS (SELECT p.doc_id, p.leaf, subs.h AS subroot, (SELECT h FROM b{SQL_TOP_LEVELS}) AS root, sha256({' || '.join(proof)}) AS proof_sha256, {', '.join(folds)} FROM p JOIN subs ON subs.t = p.t{joins})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, {last} AS folded_root, {last} = root AS verified FROM o"
+
+
+OP11_SQL = _merkle_sql()
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    forged = merkle.leaf_digest(*(F.col(c) for c in fields[:-1]), ascii_lower(F.col("text")))
+    docs = docs.withColumn("forged", F.when(fold(3) == 0, F.unhex(forged)))
+    out = merkle.merkle_manifest(docs, fields, "lang", "doc_id", carry=("forged",))
+    end = merkle.folded(F.coalesce(F.lower(F.hex("forged")), F.col("leaf")), F.col("proof"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), end.alias("folded_root"), (end == F.col("root")).alias("verified"))
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    far = "list_sum(list_transform(range(1, {d} + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT".format(d=dims)
+    parts = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT v.r, c.j, {far} AS d FROM v, c{n} c) GROUP BY r)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (SELECT a.j, i, sum(v.x[i]) AS s, count(*) AS n FROM v JOIN a{n} a USING (r), range(1, {dims + 1}) t(i) GROUP BY a.j, i) GROUP BY j)")
+            parts.append(f"c{n + 1} AS (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (j))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.j AS INTEGER) AS "cluster", a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.j = a.j"""
+
+
+OP12_SQL = _centroid_sql()
+
+
+@query("op12_centroid_clusters", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_exact_top_k", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
