@@ -1,122 +1,195 @@
 """Algebra of inclusive id intervals per key: islands, merge, subtract, overlay, look-up, overlap, translation.
 
-Windows are over a key and a block of ids, so a key with very many ids is dealt over many tasks. Pieces that touch the
-borders of blocks, two for a block at most, are put together at the end.
+The work follows the number of intervals, whatever their width: a sweep sees two borders of each. Its windows are over a key
+and a block of 2**bits ids; what a block hands on (running counts, the last value seen, runs that touch its ends) goes through
+windows over blocks of 2**(2 * bits) ids and then through one over the key, so none holds more than 2**bits blocks or twice as
+many distinct ids, and a key with a third of all rows is dealt over many tasks. Ids are longs below 2**62 in size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BITS = 21
 
 
-def islands(ids: DataFrame, by: Sequence[str], value: str = "id", block: int = BLOCK) -> DataFrame:
-    """Distinct ids as ranges of consecutive ones: (*by, lo, hi)."""
-    order = Window.partitionBy(*by, "_block").orderBy(value)
-    known = ids.select(*by, value).where(F.col(value).isNotNull()).distinct().withColumn("_block", F.floor(F.col(value) / block))
-    numbered = known.withColumn("_g", F.col(value) - F.row_number().over(order))
-    parts = numbered.groupBy(*by, "_block", "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(*by, "lo", "hi")
-    edge = (F.pmod("lo", F.lit(block)) == 0) | (F.pmod("hi", F.lit(block)) == block - 1)
-    return parts.where(~edge).unionByName(_chained(parts.where(edge), by, [], []))
-
-
-def _chained(intervals: DataFrame, by: Sequence[str], within: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """Adjacent intervals with equal attributes as one, in windows over by and within."""
-    order = Window.partitionBy(*by, *within).orderBy("lo")
-    same = F.lag("hi").over(order) == F.col("lo") - 1
-    for a in attributes:
-        same = same & F.lag(a).over(order).eqNullSafe(F.col(a))
-    marked = intervals.withColumn("_new", F.when(same, 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy(*by, *within, "_run", *attributes).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return runs.select(*by, "lo", "hi", *attributes, *(["_run"] if within else []), *within)
+def _block(value: Column, bits: int) -> Column:
+    return F.shiftright(value, bits)
 
 
-def coalesce_runs(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """Adjacent intervals with equal attributes as one. Intervals of a key are disjoint. First in blocks of ids; then only
-    the first and the last run of each block can go on in another."""
-    runs = _chained(intervals.withColumn("_block", F.floor(F.col("lo") / block)), by, ["_block"], attributes)
-    last = F.max("_run").over(Window.partitionBy(*by, "_block"))
-    runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == last)).drop("_run", "_block")
-    return runs.where(~F.col("_edge")).drop("_edge").unionByName(_chained(runs.where("_edge").drop("_edge"), by, [], attributes))
+def _met(rows: DataFrame, facts: DataFrame, by: Sequence[str], kind: str = "inner") -> DataFrame:
+    """A join on keys that may be null."""
+    facts = facts.withColumnsRenamed({c: f"_f_{c}" for c in by})
+    test = F.lit(True)
+    for c in by:
+        test = test & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    return rows.join(facts, test, kind).drop(*(f"_f_{c}" for c in by))
 
 
-def in_blocks(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Cuts intervals at block borders and adds `_block`."""
-    first, last = F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)
-    cut = intervals.withColumn("_block", F.explode(F.sequence(first, last)))
-    return cut.withColumn("lo", F.greatest("lo", F.col("_block") * block)).withColumn("hi", F.least("hi", (F.col("_block") + 1) * block - 1))
+def _summed(rows: DataFrame, by: Sequence[str], at: str, names: Sequence[str], bits: int) -> DataFrame:
+    """Rows of distinct (*by, at) with `_run_x`, for each of the names, its sum from the key's smallest `at` up to this row."""
+    here, wide = [*by, "_b"], [*by, "_w"]
+    rows = rows.withColumn("_b", _block(F.col(at), bits))
+    blocks = rows.groupBy(*here).agg(*(F.sum(n).alias(n) for n in names)).withColumn("_w", _block(F.col("_b"), bits))
+    wides = blocks.groupBy(*wide).agg(*(F.sum(n).alias(n) for n in names))
+    past = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wides = wides.select(*wide, *(past(Window.partitionBy(*by).orderBy("_w"), n).alias(f"_c_{n}") for n in names))
+    blocks = _met(blocks, wides, wide)
+    blocks = blocks.select(*here, *((past(Window.partitionBy(*wide).orderBy("_b"), n) + F.col(f"_c_{n}")).alias(f"_c_{n}") for n in names))
+    own = Window.partitionBy(*here).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_run_{n}": F.sum(n).over(own) for n in names})
+    return _met(rows, blocks, here).withColumns({f"_run_{n}": F.col(f"_run_{n}") + F.col(f"_c_{n}") for n in names}).drop("_b", *(f"_c_{n}" for n in names))
 
 
-def _sweep(events: DataFrame, by: Sequence[str], wanted: Column) -> DataFrame:
-    """Elementary segments between borders (_at, keep, cut) where the running counts fulfil a condition, coalesced."""
-    key = [*by, "_block"]
-    summed = events.groupBy(*key, "_at").agg(F.sum("keep").alias("keep"), F.sum("cut").alias("cut"))
-    order = Window.partitionBy(*key).orderBy("_at")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    segments = summed.select(*key, F.col("_at").alias("lo"), (F.lead("_at").over(order) - 1).alias("hi"), F.sum("keep").over(run).alias("_keep"), F.sum("cut").over(run).alias("_cut"))
-    return coalesce_runs(segments.where(wanted & F.col("hi").isNotNull()).select(*by, "lo", "hi"), by, [])
+def _handed(rows: DataFrame, by: Sequence[str], at: Column, order: Sequence[Column], value: str, bits: int, upto: int = 0) -> DataFrame:
+    """Rows with `_last`, the last value that isn't null among those of the key from the start up to this row (or, with
+    upto=-1, the row before it), in the order of `at` and then of `order`."""
+    here, wide = [*by, "_b"], [*by, "_w"]
+    rows = rows.withColumn("_at", at).withColumn("_b", _block(F.col("_at"), bits))
+    blocks = rows.groupBy(*here).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_v")).withColumn("_w", _block(F.col("_b"), bits))
+    wides = blocks.groupBy(*wide).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_b"))).alias("_v"))
+    last = lambda w, n, x: F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, n))
+    wides = wides.select(*wide, last(Window.partitionBy(*by).orderBy("_w"), -1, "_v").alias("_c"))
+    blocks = _met(blocks, wides, wide).select(*here, F.coalesce(last(Window.partitionBy(*wide).orderBy("_b"), -1, "_v"), "_c").alias("_c"))
+    rows = rows.withColumn("_last", last(Window.partitionBy(*here).orderBy("_at", *order), upto, value))
+    return _met(rows, blocks, here).withColumn("_last", F.coalesce("_last", "_c")).drop("_at", "_b", "_c")
 
 
-def _events(spans: DataFrame, by: Sequence[str], keep: int, cut: int, block: int) -> DataFrame:
+def islands(ids: DataFrame, by: Sequence[str], value: str = "id", bits: int = BITS) -> DataFrame:
+    """Distinct ids as ranges of consecutive ones: (*by, lo, hi)."""
+    order = Window.partitionBy(*by, "_block").orderBy(value)
+    known = ids.select(*by, value).where(F.col(value).isNotNull()).distinct().withColumn("_block", _block(F.col(value), bits))
+    numbered = known.withColumn("_g", F.col(value) - F.row_number().over(order))
+    parts = numbered.groupBy(*by, "_block", "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(*by, "lo", "hi")
+    edge = (F.col("lo") == F.shiftleft(_block(F.col("lo"), bits), bits)) | (F.col("hi") + 1 == F.shiftleft(_block(F.col("hi") + 1, bits), bits))
+    return parts.where(~edge).unionByName(_chained(parts.where(edge), by, [], [2 * bits, None]))
+
+
+def _chained(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], shifts: Sequence[int | None]) -> DataFrame:
+    """Adjacent disjoint intervals with equal attributes as one. First in blocks of ids; only the first and the last run of a
+    block can go on in another, and these are put together in larger blocks, at the end in the key."""
+    done = None
+    for shift in shifts:
+        within = [] if shift is None else ["_block"]
+        if within:
+            intervals = intervals.withColumn("_block", F.shiftright("lo", shift))
+        order = Window.partitionBy(*by, *within).orderBy("lo")
+        same = F.lag("hi").over(order) == F.col("lo") - 1
+        for a in attributes:
+            same = same & F.lag(a).over(order).eqNullSafe(F.col(a))
+        marked = intervals.withColumn("_new", F.when(same, 0).otherwise(1))
+        marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = marked.groupBy(*by, *within, "_run", *attributes).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        if within:
+            last = F.max("_run").over(Window.partitionBy(*by, *within))
+            runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == last))
+            inner = runs.where(~F.col("_edge")).select(*by, "lo", "hi", *attributes)
+            done = inner if done is None else done.unionByName(inner)
+            runs = runs.where("_edge")
+        intervals = runs.select(*by, "lo", "hi", *attributes)
+    return intervals if done is None else done.unionByName(intervals)
+
+
+def coalesce_runs(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], bits: int = BITS) -> DataFrame:
+    """Adjacent intervals with equal attributes as one. Intervals of a key are disjoint."""
+    return _chained(intervals, by, attributes, [bits, 2 * bits, None])
+
+
+def _borders(spans: DataFrame, by: Sequence[str], keep: int, cut: int) -> DataFrame:
+    """(*by, _at, keep, cut, keeps, cuts): +1 where a span starts, -1 after its end; and the starts alone."""
     ends = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("s")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("s"))))
-    return in_blocks(spans.select(*by, "lo", "hi"), block).select(*by, "_block", ends.alias("e")).select(*by, "_block", F.col("e.at").alias("_at"), (F.col("e.s") * keep).alias("keep"), (F.col("e.s") * cut).alias("cut"))
-
-
-def merge_spans(spans: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
+    e = spans.select(*by, ends.alias("e")).select(*by, F.col("e.at").alias("_at"), F.col("e.s").alias("_s"))
+    start = F.greatest("_s", F.lit(0))
+    return e.select(*by, "_at", *((c * n).cast("long").alias(name) for name, c, n in (("keep", F.col("_s"), keep), ("cut", F.col("_s"), cut), ("keeps", start, keep), ("cuts", start, cut))))
+
+
+def _counted(events: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
+    """A row for each border, with how many spans of each side hold the ids from it on."""
+    names = ("keep", "cut", "keeps", "cuts")
+    summed = events.groupBy(*by, "_at").agg(*(F.sum(n).alias(n) for n in names))
+    return _summed(summed, by, "_at", ("keep", "cut"), bits)
+
+
+def _sweep(events: DataFrame, by: Sequence[str], wanted: Callable[[Column, Column], Column], bits: int) -> DataFrame:
+    """Maximal ranges of ids where the counts of both sides fulfil a condition."""
+    borders = _counted(events, by, bits)
+    now = wanted(F.col("_run_keep"), F.col("_run_cut"))
+    was = wanted(F.col("_run_keep") - F.col("keep"), F.col("_run_cut") - F.col("cut"))
+    turns = borders.where(now != was).select(*by, F.col("_at").alias("lo"), now.alias("_starts"))
+    done = None
+    for shift in (bits, 2 * bits, None):  # starts and ends take turns; one start of a block may end in a later one
+        within = [] if shift is None else [F.shiftright("lo", shift)]
+        order = Window.partitionBy(*by, *within).orderBy("lo")
+        turns = turns.withColumn("_next", F.lead("lo").over(order)).withColumn("_first", F.lag("lo").over(order).isNull())
+        whole = turns.where("_starts and _next is not null").select(*by, "lo", (F.col("_next") - 1).alias("hi"))
+        done = whole if done is None else done.unionByName(whole)
+        turns = turns.where("(_starts and _next is null) or (not _starts and _first)").select(*by, "lo", "_starts")
+    return done
+
+
+def merge_spans(spans: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """Overlapping and adjacent spans as one: (*by, lo, hi)."""
-    return _sweep(_events(spans, by, 1, 0, block), by, F.col("_keep") > 0)
+    return _sweep(_borders(spans, by, 1, 0), by, lambda keep, cut: keep > 0, bits)
 
 
-def subtract_spans(a: DataFrame, b: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
+def subtract_spans(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """What of the spans of a no span of b covers."""
-    events = _events(a, by, 1, 0, block).unionByName(_events(b, by, 0, 1, block))
-    return _sweep(events, by, (F.col("_keep") > 0) & (F.col("_cut") == 0))
+    return _sweep(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, lambda keep, cut: (keep > 0) & (cut == 0), bits)
 
 
-def intersect_spans(a: DataFrame, b: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
-    events = _events(a, by, 1, 0, block).unionByName(_events(b, by, 0, 1, block))
-    return _sweep(events, by, (F.col("_keep") > 0) & (F.col("_cut") > 0))
+def intersect_spans(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
+    return _sweep(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, lambda keep, cut: (keep > 0) & (cut > 0), bits)
 
 
-def forget(intervals: DataFrame, ids: DataFrame, by: Sequence[str], attributes: Sequence[str], value: str = "id") -> DataFrame:
-    """Intervals without some ids, attributes kept."""
-    holes = islands(ids, by, value)
-    return subtract_spans(intervals.select(*by, *attributes, "lo", "hi"), _with_attributes(holes, intervals, by, attributes), [*by, *attributes])
+def overlap_totals(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
+    """(*by, pairs, ids): how many pairs of intervals overlap and in how many ids, from one sweep and without any pair. Where
+    a border is, all pairs of intervals that hold it are new but those that held the id before."""
+    borders = _counted(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, bits)
+    big = lambda x: x.cast("decimal(19,0)")
+    now = big(F.col("_run_keep")) * big(F.col("_run_cut"))
+    old = big(F.col("_run_keep") - F.col("keeps")) * big(F.col("_run_cut") - F.col("cuts"))
+    before = big(F.col("_run_keep") - F.col("keep")) * big(F.col("_run_cut") - F.col("cut"))
+    turned = F.sum(((before - now).cast("decimal(19,0)") * big(F.col("_at"))).cast("decimal(38,0)"))
+    return borders.groupBy(*by).agg(F.sum(now - old).cast("long").alias("pairs"), turned.cast("long").alias("ids"))
 
 
-def _with_attributes(holes: DataFrame, intervals: DataFrame, by: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """Holes repeated for each combination of attributes that they touch."""
-    return overlap_join(intervals.select(*by, *attributes, "lo", "hi"), holes, by).select(*by, *attributes, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
+def forget(intervals: DataFrame, ids: DataFrame, by: Sequence[str], attributes: Sequence[str], value: str = "id", bits: int = BITS) -> DataFrame:
+    """Disjoint intervals without some ids, attributes kept: each hole takes from the interval that holds it, found by its
+    start, its own ids; what lies between holes stays."""
+    holes = ids.select(*by, F.col(value).alias("_id")).where("_id is not null").distinct()
+    held = asof_interval(holes, intervals.withColumn("_hi", F.col("hi")), by, "_id", ["_hi", *attributes], bits).where("_hi is not null")
+    cuts = held.select(*by, F.col("_hi").alias("hi"), *attributes, F.col("_id").alias("_place"), F.lit(1).alias("_kind"), F.col("_id").alias("_next"))
+    starts = intervals.select(*by, "hi", *attributes, (F.col("lo") - 1).alias("_place"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_next"))
+    pieces = _handed(cuts.unionByName(starts), by, -F.col("_place"), [F.col("_kind")], "_next", bits, -1)  # with the next hole
+    rest = pieces.select(*by, (F.col("_place") + 1).alias("lo"), F.least("hi", F.col("_last") - 1).alias("hi"), *attributes)
+    return rest.where("lo <= hi")
 
 
-def stamp(intervals: DataFrame, stamps: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
+def stamp(intervals: DataFrame, stamps: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """Lays stamps (lo, hi, at, run, arrival) over intervals (lo, hi, at, run).
 
     A piece keeps its time only where it is strictly newer than all stamps; of stamps with one time the later arrival
     wins. Gaps are filled and neighbours with equal (at, run) become one.
 
-    In each block of ids an interval is the sum of few dyadic ranges, and the best stamp of each such range is known by a
-    plain aggregation; an elementary cell between two borders takes the best of the ranges that hold it. So the work
-    follows the number of stamps, however many overlap.
+    An interval is the sum of few dyadic ranges, two of a level at most, and the best stamp of each such range is known by
+    a plain aggregation; an elementary cell between two borders takes the best of the ranges that hold it, on those levels
+    that occur. So the work follows the number of stamps and the logarithm of their width, however many overlap.
     """
     cols = [*by, "lo", "hi", "at", "run", "arrival"]
     both = intervals.withColumn("arrival", F.lit(-1).cast("long")).select(*cols).unionByName(stamps.withColumn("arrival", F.col("arrival").cast("long")).select(*cols))
-    both = in_blocks(both, block)
-    key = [*by, "_block"]
-    borders = both.select(*key, F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
-    cells = borders.withColumn("hi", F.lead("lo").over(Window.partitionBy(*key).orderBy("lo")) - 1).where("hi is not null")
-    levels = F.sequence(F.lit(0), F.lit(block.bit_length()))
-    best = both.select(*key, F.explode(_dyadic("lo", "hi", levels)).alias("d"), F.struct("at", "arrival", "run").alias("m"))
-    best = best.groupBy(*key, "d").agg(F.max("m").alias("m"))
-    asked = cells.select(*key, "lo", "hi", F.explode(levels).alias("level"))
-    asked = asked.select(*key, "lo", "hi", F.struct("level", F.floor(F.col("lo") / F.pow(F.lit(2.0), F.col("level")).cast("long")).alias("node")).alias("d"))
-    met = asked.join(best, [*key, "d"]).groupBy(*key, "lo", "hi").agg(F.max("m").alias("m"))
-    return coalesce_runs(met.select(*by, "lo", "hi", F.col("m.at").alias("at"), F.col("m.run").alias("run")), by, ["at", "run"], block)
+    borders = both.select(*by, F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
+    cells = _handed(borders, by, -F.col("lo"), [], "lo", bits, -1).where("_last is not null").select(*by, "lo", (F.col("_last") - 1).alias("hi"))
+    width = F.length(F.bin(F.col("hi") - F.col("lo") + 1)).cast("int")
+    best = both.select(*by, F.explode(_dyadic("lo", "hi", F.sequence(F.lit(0), width))).alias("d"), F.struct("at", "arrival", "run").alias("m"))
+    best = best.groupBy(*by, "d").agg(F.max("m").alias("m"))
+    levels = best.agg(F.collect_set("d.level").alias("levels"))  # one row
+    asked = cells.crossJoin(F.broadcast(levels)).select(*by, "lo", "hi", F.explode("levels").alias("level"))
+    asked = asked.select(*by, "lo", "hi", F.struct("level", F.expr("shiftright(lo, level)").alias("node")).alias("d"))
+    met = _met(asked, best, [*by, "d"]).groupBy(*by, "lo", "hi").agg(F.max("m").alias("m"))
+    return coalesce_runs(met.select(*by, "lo", "hi", F.col("m.at").alias("at"), F.col("m.run").alias("run")), by, ["at", "run"], bits)
 
 
 def _dyadic(lo: str, hi: str, levels: Column) -> Column:
@@ -124,9 +197,8 @@ def _dyadic(lo: str, hi: str, levels: Column) -> Column:
     a level at most."""
 
     def at(k: Column) -> Column:
-        size = F.pow(F.lit(2.0), k).cast("long")
-        low = F.floor((F.col(lo) + size - 1) / size)
-        end = F.floor((F.col(hi) + 1) / size)
+        low = F.call_function("shiftright", F.col(lo) - 1, k) + 1
+        end = F.call_function("shiftright", F.col(hi) + 1, k)
         odd = lambda x: F.pmod(x, F.lit(2)) == 1
         first = F.when(odd(low) & (low < end), F.struct(k.alias("level"), low.alias("node")))
         second = F.when(odd(end) & (low + F.when(odd(low), 1).otherwise(0) < end), F.struct(k.alias("level"), (end - 1).alias("node")))
@@ -135,32 +207,39 @@ def _dyadic(lo: str, hi: str, levels: Column) -> Column:
     return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
 
 
-def asof_interval(keys: DataFrame, intervals: DataFrame, by: Sequence[str], key: str, carry: Sequence[str], block: int = BLOCK) -> DataFrame:
+def asof_interval(keys: DataFrame, intervals: DataFrame, by: Sequence[str], key: str, carry: Sequence[str], bits: int = BITS) -> DataFrame:
     """Each key with the attributes of the interval that holds it; else nulls. Intervals of one `by` are disjoint.
 
-    Intervals are cut at the borders of blocks, and keys and starts of a block are sorted together instead of a range join.
+    Distinct keys and starts of intervals are sorted together instead of a range join, and rows take what their key found;
+    a key that very many rows have is one row in the sort.
     """
-    left = keys.withColumn("_is", F.lit(1)).withColumn("_at", F.col(key)).withColumn("_iv", F.lit(None).cast(_struct_type(intervals, carry))).withColumn("_block", F.floor(F.col(key) / block))
-    right = in_blocks(intervals.select(*by, F.struct("hi", *carry).alias("_iv"), "lo", "hi"), block)
-    right = right.select(*by, F.col("lo").alias("_at"), F.lit(0).alias("_is"), "_iv", "_block")
-    order = Window.partitionBy(*by, "_block").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right, allowMissingColumns=True).withColumn("_last", F.last("_iv", ignorenulls=True).over(order))
-    hit = F.col("_last.hi") >= F.col(key)
-    return seen.where("_is = 1").select(*keys.columns, *(F.when(hit, F.col(f"_last.{c}")).alias(c) for c in carry))
-
-
-def _struct_type(df: DataFrame, carry: Sequence[str]) -> str:
-    return df.select(F.struct("hi", *carry).alias("s")).schema["s"].dataType.simpleString()
-
-
-def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """Pairs of intervals that overlap, b's columns as b_lo, b_hi and its others: an equi join on (by, id block) in
-    which a pair counts only in the block where its overlap starts."""
-    span = lambda df, lo, hi: df.withColumn("_block", F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))))
-    left = span(a, "lo", "hi")
-    right = span(b.withColumnsRenamed({"lo": "b_lo", "hi": "b_hi"}), "b_lo", "b_hi")
-    met = left.join(right, [*by, "_block"]).where("lo <= b_hi and b_lo <= hi")
-    return met.where(F.floor(F.greatest("lo", "b_lo") / block) == F.col("_block")).drop("_block")
+    left = keys.select(*by, F.col(key).alias("_asked"), F.lit(1).alias("_is")).where("_asked is not null").distinct()
+    right = intervals.select(*by, F.col("lo").alias("_asked"), F.lit(0).alias("_is"), F.struct("hi", *carry).alias("_iv"))
+    seen = _handed(left.unionByName(right, allowMissingColumns=True), by, F.col("_asked"), [F.col("_is")], "_iv", bits)
+    found = seen.where((F.col("_is") == 1) & (F.col("_last.hi") >= F.col("_asked"))).select(*by, "_asked", F.col("_last").alias("_iv"))
+    rows = keys.select(*keys.columns, F.col(key).alias("_asked"))
+    return _met(rows, found, [*by, "_asked"], "left").select(*keys.columns, *(F.col(f"_iv.{c}").alias(c) for c in carry))
+
+
+def _holding(points: DataFrame, spans: DataFrame, by: Sequence[str], point: str, lo: str, hi: str, test: str) -> DataFrame:
+    """Points joined with the spans that hold them: a span is sought at the two dyadic ranges of its own size that it touches,
+    a point at its range of each size that occurs. A pair meets once; hot ranges are split by the skew join."""
+    level = F.when(F.col(lo) == F.col(hi), F.lit(0)).otherwise(F.length(F.bin(F.col(hi) - F.col(lo)))).cast("int")
+    sized = spans.withColumn("_level", level)
+    node = lambda c: F.expr(f"shiftright({c}, _level)")
+    ranged = sized.withColumn("_node", F.explode(F.array_distinct(F.array(node(lo), node(hi)))))
+    levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row
+    asked = points.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_node", node(point))
+    return _met(asked, ranged, [*by, "_level", "_node"]).where(test).drop("_level", "_node")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs of intervals that overlap, b's columns as b_lo, b_hi and its others: the start of one lies in the other. For
+    counts of pairs take overlap_totals, which makes none."""
+    right = b.withColumnsRenamed({"lo": "b_lo", "hi": "b_hi"})
+    first = _holding(a, right, by, "lo", "b_lo", "b_hi", "lo between b_lo and b_hi")
+    second = _holding(right, a, by, "b_lo", "lo", "hi", "b_lo > lo and b_lo <= hi")
+    return first.unionByName(second)
 
 
 def affine_map(pairs: DataFrame, by: Sequence[str]) -> DataFrame:

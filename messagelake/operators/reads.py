@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -82,12 +81,16 @@ def decode_cursor(cursor: str) -> tuple:
 # --- text search
 
 
+def query_phrases(query: str) -> list[list[str]]:
+    """The tokens of each white-space separated part of a query, case and accents apart; parts without tokens don't count."""
+    keep = lambda part: "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Co", "So", "Sk", "Mn") else " " for c in part)
+    return [words for p in S.phrases(query) if (words := keep(S.fold_text(p)).split())]
+
+
 def literal(text: Column | str, query: str) -> Column:
     """Every white-space separated part of a query occurs as a phrase, case and accents apart; a query without tokens
     matches nothing."""
-    keep = lambda part: "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Co", "So", "Sk", "Mn") else " " for c in part)
-    wanted = [re.sub(" +", " ", keep(S.fold_text(p))).strip() for p in S.phrases(query)]
-    wanted = [w for w in wanted if w]
+    wanted = [" ".join(words) for words in query_phrases(query)]
     line = S.token_line(text)
     test = F.lit(bool(wanted))
     for w in wanted:

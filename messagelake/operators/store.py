@@ -60,6 +60,29 @@ def upsert_import(batch: DataFrame, heads: DataFrame, prior: DataFrame) -> tuple
     return after, seen.select("urn", "outcome")
 
 
+def _merged(table, batch: DataFrame, upsert, consumer: str | None, number: int | None) -> DataFrame:
+    from ..plans.state import kept
+
+    batch = kept(batch)
+    stored = kept(table.read(buckets=table.touched(batch)).join(batch.select("urn").distinct(), "urn", "left_semi").select("urn", "digest", "observed_at"))
+    after, outcomes = upsert(batch, stored)
+    outcomes = kept(outcomes)
+    moved = after.join(stored.select("urn", F.struct("digest", "observed_at").alias("_was")), "urn", "left").where(~F.struct("digest", "observed_at").eqNullSafe(F.col("_was")))
+    table.merge(moved.select("urn", "digest", "observed_at"), None, consumer, number)
+    return outcomes
+
+
+def merge_live(table, batch: DataFrame, consumer: str | None = None, number: int | None = None) -> DataFrame:
+    """upsert_live into a MergeTable of heads (urn, digest, observed_at): reads the buckets of the batch, writes the heads that
+    moved. Returns the outcomes."""
+    return _merged(table, batch.select("urn", "digest", "observed_at", "pos"), upsert_live, consumer, number)
+
+
+def merge_import(table, batch: DataFrame, prior: DataFrame, consumer: str | None = None, number: int | None = None) -> DataFrame:
+    """upsert_import into a MergeTable of heads, in the same way."""
+    return _merged(table, batch.select("urn", "digest", "observed_at"), lambda b, h: upsert_import(b, h, prior), consumer, number)
+
+
 def append_revisions(revisions: DataFrame, batch: DataFrame) -> DataFrame:
     """Revisions with the digests of a batch: new ones are added; one that became the head again moves to the newer
     time only if it was strictly older. (urn, digest, observed_at), one row for each urn and digest."""
@@ -254,9 +277,38 @@ def outcome(head: str | None, head_at: int | None, digest: str, previous: str |
 
 
 def replay_records(records: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(heads after, outcomes (urn, seq, outcome)) of record events (urn, seq, digest, previous, observed_at) in the order of
-    seq. heads: (urn, digest, observed_at). Each step of a urn depends on the one before, so its rows stream through one
-    task in order, and only the head is held."""
+    """(heads after, outcomes (urn, seq, outcome)) of record events, as replay_steps has them."""
+    after, steps = replay_steps(records, heads)
+    return after, steps.where("seq >= 0").select("urn", "seq", "outcome")
+
+
+def replay_steps(records: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads after, steps (urn, seq, outcome, digest, observed_at): what each event made of the head) of record events
+    (urn, seq, digest, previous, observed_at) in the order of seq. heads: (urn, digest, observed_at).
+
+    An urn with one event, as nearly all have in a batch, is decided by a join and an expression. Where there are more each
+    step depends on the one before: such an urn's rows stream through one task in order, and only the head is held. Steps
+    of urns with events begin with the head before, if there was one, as seq -1.
+    """
+    from ..plans.state import kept
+
+    new = kept(records.select(F.col("urn").cast("string").alias("urn"), F.col("seq").cast("long").alias("seq"), "digest", "previous", F.col("observed_at").cast("long").alias("observed_at")))
+    stored = heads.select(F.col("urn").cast("string").alias("urn"), "digest", "observed_at")
+    often = new.groupBy("urn").agg(F.count("*").alias("n")).where("n > 1").select("urn")
+    once = new.join(often, "urn", "left_anti").join(stored.select("urn", F.col("digest").alias("h"), F.col("observed_at").alias("t")), "urn", "left")
+    said = F.when(F.col("h").isNull(), "inserted").when(F.col("h") == F.col("digest"), "unchanged").when(~F.col("previous").eqNullSafe(F.col("h")), "conflict").when(F.col("observed_at") >= F.col("t"), "updated").otherwise("older")
+    once = once.withColumn("outcome", said)
+    taken = F.col("outcome").isin("inserted", "updated")
+    step = once.select("urn", "seq", "outcome", F.when(taken, F.col("digest")).otherwise(F.col("h")).alias("digest"), F.when(taken, F.col("observed_at")).when(F.col("outcome") == "unchanged", F.greatest("observed_at", "t")).otherwise(F.col("t")).alias("observed_at"))
+    first = once.where("h is not null").select("urn", F.lit(-1).cast("long").alias("seq"), F.lit("head").alias("outcome"), F.col("h").alias("digest"), F.col("t").alias("observed_at"))
+    many = _streamed(new.join(often, "urn", "left_semi"), stored.join(often, "urn", "left_semi"))
+    steps = kept(step.unionByName(first).unionByName(many))
+    after = steps.groupBy("urn").agg(F.max_by(F.struct("digest", "observed_at"), "seq").alias("h")).select("urn", "h.*")
+    return stored.join(after.select("urn"), "urn", "left_anti").unionByName(after), steps
+
+
+def _streamed(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """The steps of urns with several events, one after the other."""
     kind = "urn string, seq long, digest string, previous string, observed_at long"
     old = heads.select(F.col("urn").cast("string").alias("urn"), F.lit(-1).cast("long").alias("seq"), "digest", F.lit(None).cast("string").alias("previous"), "observed_at")
     new = records.select(F.col("urn").cast("string").alias("urn"), F.col("seq").cast("long").alias("seq"), "digest", "previous", "observed_at")
@@ -283,42 +335,10 @@ def replay_records(records: DataFrame, heads: DataFrame) -> tuple[DataFrame, Dat
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["urn", "seq", "outcome", "digest", "observed_at"])
 
-    from ..plans.state import kept
-
-    dealt = old.unionByName(new).repartition("urn").sortWithinPartitions("urn", "seq")
-    told = kept(dealt.mapInArrow(run, "urn string, seq long, outcome string, digest string, observed_at long"))
-    after = told.groupBy("urn").agg(F.max_by(F.struct("digest", "observed_at"), "seq").alias("h")).select("urn", "h.*")
-    return after, told.where("seq >= 0").select("urn", "seq", "outcome")
-
-
-def replay_operations(events: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables after new events (producer, seq, operation, data in JSON) of all seven operations.
-
-    tables: heads (urn, digest, observed_at), revisions (urn, digest, observed_at), observations (OBSERVED, EVIDENCE,
-    observed_at), fresh (kind, lo, hi, at, run), bound (producer, id, local) and identity (seq, data). Records follow the
-    previous digests that they carry; an entity key of the head's digest refreshes its id; refreshes are laid over `fresh`
-    in the order of seq; the last identity event counts. Also gives `outcomes`.
-    """
-    get = lambda path, kind: F.try_variant_get(F.try_parse_json("data"), path, kind)
-    of = lambda *ops: events.where(F.col("operation").isin(*ops))
-    revised = of("revision").select(get("$.entity_urn", "string").alias("urn"), get("$.revision_digest", "string").alias("digest"), get("$.observed_at", "long").alias("observed_at"))
-    carried = of("record").select("producer", get("$.record.urn", "string").alias("urn"), "seq", get("$.record.revision_digest", "string").alias("digest"), get("$.previous_digest", "string").alias("previous"), get("$.observed_at", "long").alias("observed_at"), get("$.entity_id", "long").alias("id"))
-    heads, outcomes = replay_records(carried, tables["heads"])
-    keys = of("entity_key").select("producer", "seq", get("$.entity_id", "long").alias("id"), get("$.urn", "string").alias("urn"), get("$.revision_digest", "string").alias("digest"), get("$.observed_at", "long").alias("at"), get("$.sync_run", "string").alias("run"))
-    bound = tables["bound"].unionByName(carried.where("id is not null").select("producer", "id", F.col("urn").alias("local"))).unionByName(keys.select("producer", "id", F.col("urn").alias("local"))).distinct()
-    met = keys.where("at is not null").join(heads.select("urn", F.col("digest").alias("_d")), "urn").where("digest = _d")
-    ranges = of("observation_refresh", "record_refresh").select("seq", F.regexp_replace("operation", "_refresh", "").alias("kind"), F.explode(F.from_json(F.get_json_object("data", "$.ranges"), "array<array<bigint>>")).alias("r"), get("$.observed_at", "long").alias("at"), get("$.sync_run", "string").alias("run"))
-    stamps = ranges.select("kind", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"), "at", "run", F.col("seq").alias("arrival"))
-    stamps = stamps.unionByName(met.select(F.lit("record").alias("kind"), F.col("id").alias("lo"), F.col("id").alias("hi"), "at", "run", F.col("seq").alias("arrival")))
-    seen = of("observation").select(
-        get("$.entity_urn", "string").alias("urn"), get("$.source", "string").alias("source"), get("$.account_scope", "string").alias("scope"), get("$.native_table", "string").alias("native_table"), F.from_json(F.get_json_object("data", "$.native_row_ids"), "array<string>").alias("native_row_ids"),
-        get("$.native_key", "string").alias("native_key"), get("$.minted", "boolean").alias("minted"), get("$.fingerprint", "string").alias("fingerprint"), get("$.adapter_version", "string").alias("adapter_version"), get("$.present", "string").alias("present"), get("$.observed_at", "long").alias("observed_at"),
-    )
-    said = tables["identity"].unionByName(of("identity_metadata").select("seq", "data"))
-    return {
-        "heads": heads, "outcomes": outcomes, "revisions": append_revisions(tables["revisions"], revised), "observations": observe_merge(seen, tables["observations"]),
-        "fresh": intervals.stamp(tables["fresh"], stamps, ["kind"]), "bound": bound, "identity": said.agg(F.max_by(F.struct("seq", "data"), "seq").alias("x")).where("x is not null").select("x.*"),
-    }
+    # by a hash of the urn: by the urn itself the shuffle is left out where joins have dealt rows so, and adaptive plans may then
+    # read those joins' shuffles in place, which parts an urn's rows
+    dealt = old.unionByName(new).repartition(F.xxhash64("urn")).sortWithinPartitions("urn", "seq")
+    return dealt.mapInArrow(run, "urn string, seq long, outcome string, digest string, observed_at long")
 
 
 def bind_entities(bound: DataFrame, batch: DataFrame) -> DataFrame:
@@ -403,12 +423,14 @@ def alias_links(aliases: DataFrame, urns: DataFrame) -> DataFrame:
 
 
 def capture_events(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
-    """(operation, urn, data in JSON) between two states of a store, for sequenced(): a `record` where digest or body differs,
-    with the previous digest where there was one; a `revision` that is new or whose time, predecessor or body differs; an
-    `observation` whose evidence differs. What went is no event.
-
-    records: (urn, digest, record, observed_at, sync_run); revisions: these and supersedes; observations: OBSERVED, EVIDENCE,
-    observed_at, sync_run.
+    """(operation, urn, data in JSON) between two states of a store, for sequenced(), in the form that validate_events accepts
+    and feed.replay reads: a `record` where digest or body differs, with the previous digest where there was one; a
+    `revision` that is new or whose time, predecessor or body differs; an `observation` whose evidence differs. What went is
+    no event; what was only seen again is one for feed.refresh_events.
+
+    records: (urn, id, digest, record, observed_at, sync_run); revisions: (urn, digest, record, observed_at, sync_run,
+    supersedes); observations: (id, OBSERVED, EVIDENCE, observed_at, sync_run). record is the canonical record in JSON; ids
+    are the store's stable ones.
     """
 
     def between(table: str, key: Sequence[str], watched: Sequence[str]) -> DataFrame:
@@ -417,12 +439,14 @@ def capture_events(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> Data
         return both.where(F.col("_old").isNull() | ~F.struct(*watched).eqNullSafe(F.col("_old")))
 
     told = lambda df, operation, *fields: df.select(F.lit(operation).alias("operation"), "urn", F.to_json(F.struct(*fields)).alias("data"))
+    body = F.parse_json("record").alias("record")
     r = between("records", ["urn"], ["digest", "record"])
     v = between("revisions", ["urn", "digest"], ["observed_at", "supersedes", "record"])
     o = between("observations", OBSERVED, EVIDENCE)
+    about = [F.col("urn").alias("entity_urn"), "source", F.col("scope").alias("account_scope"), "native_table"]
     parts = [
-        told(v, "revision", "urn", "digest", "observed_at", "sync_run", "supersedes", "record"),
-        told(r, "record", "digest", "record", "observed_at", "sync_run", F.col("_old.digest").alias("previous_digest")),
-        told(o, "observation", *OBSERVED, *EVIDENCE, "observed_at", "sync_run"),
+        told(v, "revision", F.col("urn").alias("entity_urn"), F.col("digest").alias("revision_digest"), "observed_at", "sync_run", "supersedes", body),
+        told(r, "record", F.col("id").alias("entity_id"), body, "observed_at", "sync_run", F.col("_old.digest").alias("previous_digest")),
+        told(o, "observation", F.col("id").alias("observation_id"), *about, *EVIDENCE, "observed_at", "sync_run"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

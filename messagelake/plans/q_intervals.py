@@ -31,19 +31,19 @@ def w5(spark, sf):
 
 @query("c9_merge_spans", RUNS.format(cells=CELLS.format(a=">= 0")))
 def c9(spark, sf):
-    return I.merge_spans(spans(spark, sf), ["k"], 64)
+    return I.merge_spans(spans(spark, sf), ["k"], 6)
 
 
 @query("c10_subtract_spans", RUNS.format(cells=CELLS.format(a="= 0") + " EXCEPT " + CELLS.format(a="= 1").replace("user_id * 3", "user_id * 3 * 7")))
 def c10(spark, sf):
     b = spans(spark, sf, "= 1").select("k", (F.col("lo") * 7).alias("lo"), (F.col("hi") - F.col("lo") + F.col("lo") * 7).alias("hi"))
-    return I.subtract_spans(spans(spark, sf, "= 0"), b, ["k"], 64)
+    return I.subtract_spans(spans(spark, sf, "= 0"), b, ["k"], 6)
 
 
 @query("e4_intersect_spans", RUNS.format(cells=CELLS.format(a="= 0") + " INTERSECT " + CELLS.format(a="= 1").replace("user_id * 3", "user_id * 3 * 7")))
 def e4(spark, sf):
     b = spans(spark, sf, "= 1").select("k", (F.col("lo") * 7).alias("lo"), (F.col("hi") - F.col("lo") + F.col("lo") * 7).alias("hi"))
-    return I.intersect_spans(spans(spark, sf, "= 0"), b, ["k"], 64)
+    return I.intersect_spans(spans(spark, sf, "= 0"), b, ["k"], 6)
 
 
 STAMPED = """WITH s AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + event_id % 11 AS hi, event_id % 50 AS "at", CAST(event_id % 4 AS VARCHAR) AS run, event_id AS arrival FROM events), o AS (SELECT event_type AS k, user_id * 3 AS lo, user_id * 3 + 40 AS hi, 25 AS "at", 'old' AS run, -1 AS arrival FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 14 = 0)),
@@ -58,7 +58,7 @@ def c6(spark, sf):
     lo = F.col("user_id") * 3
     old = t.where("user_id % 14 = 0").select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + 40).alias("hi"), F.lit(25).alias("at"), F.lit("old").alias("run")).distinct()
     s = t.select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"), (F.col("event_id") % 50).alias("at"), (F.col("event_id") % 4).cast("string").alias("run"), F.col("event_id").alias("arrival"))
-    return I.stamp(old.withColumn("at", F.lit(25).cast("long")), s, ["k"], 1 << 10)
+    return I.stamp(old.withColumn("at", F.lit(25).cast("long")), s, ["k"], 10)
 
 
 @query("j9_asof_interval", f"""WITH {ISLANDS} SELECT event_id, i.lo AS island_lo FROM (SELECT event_id, user_id, event_id // 4 + event_id % 3 AS key FROM events) e LEFT JOIN i ON i.user_id = e.user_id AND key BETWEEN lo AND hi""")
@@ -74,8 +74,29 @@ def j10(spark, sf):
     t = table(spark, sf, "events")
     lo = F.col("user_id") * 3
     part = lambda r: t.where(f"event_id % 2 = {r}").select(F.col("event_type").alias("k"), lo.alias("lo"), (lo + F.col("event_id") % 11).alias("hi"))
-    met = I.overlap_join(part(0), part(1), ["k"], 32)
-    return met.groupBy("k").agg(F.count("*").alias("pairs"), F.sum(F.least("hi", "b_hi") - F.greatest("lo", "b_lo") + 1).alias("ids"))
+    return I.overlap_totals(part(0), part(1), ["k"])
+
+
+WIDE = """w AS (SELECT o_custkey % 7 AS k, o_orderkey * 4194304 AS lo, o_orderkey * 4194304 + (1::BIGINT << (o_orderkey % 40)) AS hi, o_orderkey AS id FROM orders)"""
+
+
+def wide(spark, sf):
+    """Orders as spans of 2 to 2**39 ids."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("k"), (key * 4194304).alias("lo"), (key * 4194304 + F.pow(F.lit(2.0), key % 40).cast("long")).alias("hi"), key.alias("id"))
+
+
+@query("j10_overlap_pairs", f"WITH {WIDE} SELECT a.id, b.o_orderkey AS held, b.at - a.lo AS offset FROM w a JOIN (SELECT o_orderkey, o_custkey % 7 AS k, o_orderkey * 4194304 + 5 AS at FROM orders WHERE o_orderkey % 16 = 0) b ON a.k = b.k AND b.at BETWEEN a.lo AND a.hi WHERE a.id % 40 < 30")
+def j10_pairs(spark, sf):
+    w = wide(spark, sf)
+    points = w.where("id % 16 = 0").select("k", (F.col("lo") + 5).alias("lo"), (F.col("lo") + 5).alias("hi"), F.col("id").alias("held"))
+    return I.overlap_join(w.where("id % 40 < 30"), points, ["k"]).select("id", "held", (F.col("b_lo") - F.col("lo")).alias("offset"))
+
+
+@query("c9_wide_spans", f"""WITH {WIDE}, s AS (SELECT k, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM w),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT k, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY k, g""")
+def c9_wide(spark, sf):
+    return I.merge_spans(wide(spark, sf), ["k"])
 
 
 @query("c8_forget", """WITH s AS (SELECT DISTINCT event_type AS k, event_id // 2 AS x FROM events), d AS (SELECT k, x FROM s WHERE x % 5 <> 0), g AS (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM d)

@@ -221,3 +221,31 @@ def q23(spark, sf):
 @query("g13_suggestion_groups", with_sql(IDENTITIES_SQL) + " SELECT link, count(DISTINCT source) AS sources, count(*) AS n FROM ids GROUP BY link HAVING count(DISTINCT source) > 1")
 def g13(spark, sf):
     return identities(spark, sf).groupBy("link").agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n")).where("sources > 1")
+
+
+CHANGED_SQL = """now AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN (conv_id + turn) % 4 = 1 THEN 'edited on the ' || coalesce(text, '') WHEN (conv_id + turn) % 4 = 2 THEN 'other words' ELSE text END AS text FROM conversations WHERE (conv_id + turn) % 5 <> 3)"""
+
+
+def stored_index(spark, sf):
+    """The turns in an index: all as they are, then half of them edited and a fifth removed, then compacted."""
+    from ..operators.textindex import TextIndex
+    from .q_streams import folder
+
+    t = table(spark, sf, "conversations").withColumns({"key": F.col("conv_id") * 1000 + F.col("turn"), "n": F.col("conv_id") + F.col("turn")})
+    edited = F.when(F.col("n") % 4 == 1, F.concat(F.lit("edited on the "), F.coalesce("text", F.lit("")))).otherwise("other words")
+    index = TextIndex(spark, folder(spark), key_type="long", groups=4, spread=2)
+    index.update(t.select("key", "text"), number=0)
+    index.update(t.where("n % 4 in (1, 2) and n % 5 != 3").select("key", edited.alias("text")), t.where("n % 5 = 3").select("key"), number=1)
+    index.compact(0)
+    return index
+
+
+@query("q5_stored_index", with_sql(CHANGED_SQL) + f""", w AS (SELECT key, {TOKENS_SQL} AS tk, {LINE_SQL} AS line FROM now)
+  SELECT 'literal' AS search, key FROM w WHERE line LIKE '% on the %' AND line LIKE '% edited %'
+  UNION ALL SELECT 'terms', key FROM w WHERE list_contains(tk, 'the') AND list_has_any(tk, ['and', 'with']) AND NOT list_contains(tk, 'edited') AND len(list_filter(tk, lambda x: starts_with(x, 'th'))) > 0
+  UNION ALL SELECT 'prefix', key FROM w WHERE len(list_filter(tk, lambda x: starts_with(x, 'oth'))) > 0""")
+def q5_stored(spark, sf):
+    index = stored_index(spark, sf)
+    found = {"literal": index.literal('on-the edited'), "terms": index.terms(all_of=["the"], any_of=["and", "with"], none_of=["edited"], prefix="th"), "prefix": index.terms(prefix="oth")}
+    parts = [df.select(F.lit(name).alias("search"), "key") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -145,12 +145,12 @@ def u11(spark, sf):
 @query("c2_capture_events", with_sql(ORDERS_SQL) + """ SELECT 'record' AS operation, urn, CASE WHEN urn % 5 <> 0 THEN 'd0' END AS previous FROM om WHERE urn % 5 = 0 OR urn % 7 = 0
   UNION ALL SELECT 'revision', urn, NULL FROM om WHERE urn % 5 = 0 OR urn % 7 = 0 OR urn % 11 = 0 UNION ALL SELECT 'observation', urn, NULL FROM om WHERE urn % 13 = 0""")
 def c2(spark, sf):
-    m = order_messages(spark, sf).select("urn", F.col("kind").alias("record"), F.col("utc_ms").alias("observed_at"), F.lit("r").alias("sync_run"), F.lit(None).cast("string").alias("supersedes"))
+    m = order_messages(spark, sf).select("urn", F.col("urn").alias("id"), F.to_json(F.struct("kind")).alias("record"), F.col("utc_ms").alias("observed_at"), F.lit("r").alias("sync_run"), F.lit(None).cast("string").alias("supersedes"))
     n = F.col("urn")
     before = m.where("urn % 5 != 0").withColumn("digest", F.lit("d0"))
     after = m.withColumn("digest", F.when((n % 5 == 0) | (n % 7 == 0), "d1").otherwise("d0"))
     moved = after.withColumn("observed_at", F.col("observed_at") + F.when((n % 11 == 0) & (n % 5 != 0), 1).otherwise(0))
-    seen = lambda present: m.select("urn", *(F.lit("s").alias(c) for c in ("source", "scope", "native_table")), F.array(F.lit("1")).alias("native_row_ids"), *(F.lit("k").alias(c) for c in ("native_key", "fingerprint", "adapter_version")), F.lit(False).alias("minted"), present.alias("present"), "observed_at", "sync_run")
+    seen = lambda present: m.select("urn", "id", *(F.lit("s").alias(c) for c in ("source", "scope", "native_table")), F.array(F.lit("1")).alias("native_row_ids"), *(F.lit("k").alias(c) for c in ("native_key", "fingerprint", "adapter_version")), F.lit(False).alias("minted"), present.alias("present"), "observed_at", "sync_run")
     old = {"records": before, "revisions": before, "observations": seen(F.lit("present"))}
     new = {"records": after, "revisions": moved, "observations": seen(F.when(n % 13 == 0, "absent_from_source").otherwise("present"))}
     return U.capture_events(old, new).select("operation", "urn", F.get_json_object("data", "$.previous_digest").alias("previous"))

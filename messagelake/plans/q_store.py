@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import feed
 from ..operators import intervals as I
 from ..operators import store as U
 from .bindings import OBSERVATIONS_SQL, ORDERS_SQL, observations, order_messages, with_sql
@@ -160,10 +161,7 @@ def c15_operations(spark, sf):
     carried = o.withColumn("before", before)
     body = F.struct(F.struct(F.col("urn").cast("string").alias("urn"), digest(F.col("pos")).alias("revision_digest"), F.lit("messages").alias("entity")).alias("record"), F.when(F.col("pos") % 13 == 0, "dx").otherwise(digest(F.col("before"))).alias("previous_digest"), F.col("pos").alias("observed_at"))
     events = carried.select(F.lit("p").alias("producer"), F.col("pos").alias("seq"), F.lit("record").alias("operation"), F.to_json(body).alias("data"))
-    none = lambda kind: spark.createDataFrame([], kind)
-    heads = none("urn string, digest string, observed_at long")
-    tables = {"heads": heads, "revisions": heads, "observations": none("urn string, source string, scope string, native_table string, native_row_ids array<string>, native_key string, minted boolean, fingerprint string, adapter_version string, present string, observed_at long"), "fresh": none("kind string, lo long, hi long, at long, run string"), "bound": none("producer string, id long, local string"), "identity": none("seq long, data string")}
-    out = U.replay_operations(events, tables)
+    out = feed.replay(events, feed.empty_store(spark), "p")
     told = out["outcomes"].groupBy("urn").agg(F.count_if(F.col("outcome") == "updated").alias("updated"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"))
     return out["heads"].join(told, "urn").select("urn", "digest", "updated", "conflicts")
 

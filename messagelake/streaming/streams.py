@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import store
+from ..plans.mergeable import MergeTable
 from ..plans.state import VersionedTable, kept
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -67,12 +68,18 @@ def run_available(df: DataFrame, batch: Callable[[DataFrame, int], None], checkp
 
 
 LEDGER = "producer string, seq long, sha256 string"
+HEADS = "urn string, digest string, observed_at long, seq long, data string"
 
 
-def stream_replay(feed: DataFrame, applied: VersionedTable, heads: VersionedTable, checkpoint: str, consumer: str = "replay") -> StreamingQuery:
-    """Applies an ordered feed once: a batch that comes again finds its events in the ledger and changes nothing. Heads
-    keep their times, so a late row moves none back. The ledger grows by the new events of each batch, written last, and is
-    read only between the batch's numbers. Each consumer has a checkpoint of its own under its name."""
+def stream_replay(feed: DataFrame, applied: VersionedTable, heads: MergeTable, checkpoint: str, consumer: str = "replay", outcomes: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Applies an ordered feed (producer, seq, operation, urn, digest, previous, observed_at, data) once.
+
+    A record counts if its previous digest is the head's, as store.replay_records has it: an unrelated edit is a conflict and
+    stays. A batch reads the buckets of its own urns and writes the heads that it moved as deltas, so its bytes follow the
+    batch and not the table; the table notes the batch's number with them, and a batch that comes again finds its events in
+    the ledger. The ledger grows by the new events of each batch, written last, and is read only between the batch's
+    numbers. outcomes gets (urn, seq, outcome). Each consumer has a checkpoint of its own under its name.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = kept(df)
@@ -83,27 +90,38 @@ def stream_replay(feed: DataFrame, applied: VersionedTable, heads: VersionedTabl
         status = kept(store.apply_changes(df, done))
         if not status.where("status = 'rejected'").isEmpty():
             raise ValueError("an event came again with other content")
-        now = store.replay_heads(status)
-        before = heads.read()
-        if before is not None:
-            now = now.unionByName(before).groupBy("urn").agg(F.max_by(F.struct("data", "seq", "observed_at"), F.struct("observed_at", "seq")).alias("x")).select("urn", "x.*")
-        heads.write(now)
+        new = status.where("status = 'new' and operation = 'record'")
+        if (heads.done(consumer) if heads.done(consumer) is not None else -1) < batch_id:
+            stored = kept(heads.read(buckets=heads.touched(new)).join(new.select("urn").distinct(), "urn", "left_semi"))
+            after, told = store.replay_records(new, stored)
+            if outcomes is not None:
+                outcomes(told, batch_id)
+            won = told.where("outcome in ('inserted', 'updated')").join(new.select("urn", "seq", "data"), ["urn", "seq"])
+            won = won.groupBy("urn").agg(F.max_by(F.struct("seq", "data"), "seq").alias("w"))
+            now = after.join(won, "urn", "left").join(stored.select("urn", F.struct("digest", "observed_at", "seq", "data").alias("s")), "urn", "left")
+            now = now.where(~F.struct("digest", "observed_at").eqNullSafe(F.struct("s.digest", "s.observed_at")))
+            heads.merge(now.select("urn", "digest", "observed_at", F.coalesce("w.seq", "s.seq").alias("seq"), F.coalesce("w.data", "s.data").alias("data")), None, consumer, batch_id)
         applied.append(status.where("status = 'new'").select("producer", "seq", "sha256"))
 
     return run_available(feed, batch, f"{checkpoint.rstrip('/')}/{consumer}")
 
 
-def stream_changes(versions: DataFrame, state: VersionedTable, out: Callable[[DataFrame, int], None], key: str, values: list[str], checkpoint: str) -> StreamingQuery:
-    """Each version of a native table (rows with their version's number) against the one before, as ordered changes."""
+def stream_changes(versions: DataFrame, state: MergeTable, out: Callable[[DataFrame, int], None], key: str, values: list[str], checkpoint: str) -> StreamingQuery:
+    """Each version of a native table (rows with their version's number) against the one before, as ordered changes. The state
+    takes in only the rows that changed; a version that it has seen gives nothing again."""
     from ..operators.routing import diff
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        df = kept(df)
         for (version,) in df.select("version").distinct().orderBy("version").collect():  # a few numbers
+            if version <= (-1 if state.done("changes") is None else state.done("changes")):
+                continue
             now = df.where(F.col("version") == version).select(key, *values)
-            before = state.read()
-            before = now.limit(0) if before is None else before
-            out(diff(before, now, key, values).withColumn("version", F.lit(version)), batch_id)
-            state.write(now)
+            named = F.when(F.col("before").isNull(), "inserted").when(F.col("after").isNull(), "deleted").otherwise("updated")
+            changes = kept(diff(state.read(), now, key, values).withColumn("change", named))
+            out(changes.withColumn("version", F.lit(version)), batch_id)
+            gone = changes.where("change = 'deleted'").select(key)
+            state.merge(now.join(changes.where("change != 'deleted'").select(key), key, "left_semi"), gone, "changes", int(version))
 
     return run_available(versions, batch, checkpoint)
 
@@ -117,11 +135,11 @@ def file_stream(spark: SparkSession, path: str, schema: str, files: int = 1000)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def purge_heads(heads: VersionedTable, gone: DataFrame) -> None:
-    """Heads without purged urns, as a new version; the ledger of applied events stays, so none comes back by a replay."""
-    now = heads.read()
-    if now is not None:
-        heads.write(now.join(gone.select("urn").distinct(), "urn", "left_anti"))
+def purge_heads(heads: MergeTable, gone: DataFrame) -> None:
+    """Removes purged urns as a new version; the ledger of applied events stays, so none comes back by a replay. Files of
+    older versions hold them until compact() and vacuum()."""
+    heads.merge(heads.read().limit(0), gone.select("urn").distinct())
+    heads.compact()
 
 
 RUNS = "run string, status string, at long, checkpoint string"

@@ -5,10 +5,12 @@ import unicodedata
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from messagelake.functions import scalars
 from messagelake.operators import reads, store
+from messagelake.plans.mergeable import MergeTable
 from messagelake.plans.state import VersionedTable
 from messagelake.sources import native, records
 from messagelake.streaming import streams
@@ -150,28 +152,61 @@ def test_feed_batches_survive_a_crash_and_replay_once(spark, tmp_path):
     assert first == records.write_feed_batch(journal, f"{tmp_path}/feed", "s", 0, 4, 1000)
     second = records.write_feed_batch(journal, f"{tmp_path}/feed", "s", first[0], 4, 1000)
     assert records.write_feed_batch(journal, f"{tmp_path}/feed", "s", second[0], 4, 1000) is None
-    records.read_feed(spark, [first[1], second[1], first[1]]).dropDuplicates(["seq"]).coalesce(1).write.parquet(f"{tmp_path}/in/a")
     schema = "seq long, producer string, operation string, urn string, observed_at long, data string"
-    heads, applied = VersionedTable(spark, f"{tmp_path}/heads"), VersionedTable(spark, f"{tmp_path}/applied")
-    for run in range(2):
-        streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/in/*", schema), applied, heads, f"{tmp_path}/c{run}")
-        assert {r.urn: r.data for r in heads.read().collect()} == {"u0": "d6", "u1": "d7", "u2": "d5"}
+    again = records.read_feed(spark, [first[1], second[1], first[1]])
+    assert sorted(r.seq for r in again.collect()) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7]
+    feed = again.dropDuplicates(["seq"]).select(*(c.split()[0] for c in schema.split(", ")))
+    own = Window.partitionBy("urn").orderBy("seq")
+    feed.withColumn("digest", F.col("data")).withColumn("previous", F.lag("data").over(own)).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    heads, applied = MergeTable(spark, f"{tmp_path}/heads", streams.HEADS, ["urn"]), VersionedTable(spark, f"{tmp_path}/applied")
+    for run in range(2):  # two consumers of one ledger: the second finds all events applied
+        streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/in/*", schema + ", digest string, previous string"), applied, heads, f"{tmp_path}/c{run}", f"consumer{run}")
+        assert {r.urn: (r.data, r.seq) for r in heads.read().collect()} == {"u0": ("d6", 6), "u1": ("d7", 7), "u2": ("d5", 5)}
         assert applied.appended(streams.LEDGER).count() == 7
 
 
-def test_late_rows_move_no_head_and_conflicts_stay(spark, tmp_path):
-    kind = "producer string, seq long, operation string, urn string, observed_at long, data string"
-    put = lambda rows: spark.createDataFrame([("p", n, "record", u, at, d) for n, u, at, d in rows], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
-    heads, applied = VersionedTable(spark, f"{tmp_path}/heads"), VersionedTable(spark, f"{tmp_path}/applied")
-    run = lambda: streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/feed", kind), applied, heads, f"{tmp_path}/c")
-    put([(1, "u", 100, "newer"), (2, "v", 5, "first")])
+KIND = "producer string, seq long, operation string, urn string, observed_at long, data string, digest string, previous string"
+
+
+def fed(spark, path, rows):
+    spark.createDataFrame([("p", n, "record", u, at, d, d, p) for n, u, at, d, p in rows], KIND).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_unrelated_edits_stay_and_old_events_move_nothing(spark, tmp_path):
+    heads, applied = MergeTable(spark, f"{tmp_path}/heads", streams.HEADS, ["urn"], buckets=4), VersionedTable(spark, f"{tmp_path}/applied")
+    run = lambda: streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/feed", KIND), applied, heads, f"{tmp_path}/c", outcomes=lambda df, i: told.update({r.seq: r.outcome for r in df.collect()}))
+    told, now = {}, lambda: {r.urn: r.data for r in heads.read().collect()}
+    fed(spark, f"{tmp_path}/feed", [(1, "u", 100, "A", None), (2, "v", 5, "first", None)])
+    run()
+    store.merge_live(MergeTable(spark, f"{tmp_path}/heads2", "urn string, digest string, observed_at long", ["urn"]), spark.createDataFrame([("u", "x", 1, 1)], "urn string, digest string, observed_at long, pos long"))
+    fed(spark, f"{tmp_path}/feed", [(3, "u", 5, "late", "A"), (4, "v", 6, "second", "first"), (4, "v", 6, "second", "first"), (5, "v", 7, "stray", "first"), (6, "v", 8, "first", "second")])
     run()
-    put([(3, "u", 5, "late"), (4, "v", 6, "second"), (4, "v", 6, "second")])
+    assert now() == {"u": "A", "v": "first"} and told == {1: "inserted", 2: "inserted", 3: "older", 4: "updated", 5: "conflict", 6: "updated"}
+    assert applied.appended(streams.LEDGER).count() == 6
+    before = heads.versions()[-1]
+    fed(spark, f"{tmp_path}/feed", [(7, "v", 9, "third", "first")])
     run()
-    assert {r.urn: r.data for r in heads.read().collect()} == {"u": "newer", "v": "second"} and applied.appended(streams.LEDGER).count() == 4
-    put([(2, "v", 5, "other")])
+    assert now() == {"u": "A", "v": "third"} and {b for b, f in heads.manifest()["files"].items() if f != heads.manifest(before)["files"].get(b)} == {str(heads.touched(spark.createDataFrame([("v",)], "urn string"))[0])}
+    fed(spark, f"{tmp_path}/feed", [(2, "v", 5, "other", None)])
     with pytest.raises(Exception, match="other content"):
         run()
+
+
+def test_a_batch_that_failed_before_the_ledger_comes_again(spark, tmp_path, monkeypatch):
+    heads, applied = MergeTable(spark, f"{tmp_path}/heads", streams.HEADS, ["urn"]), VersionedTable(spark, f"{tmp_path}/applied")
+    run = lambda: streams.stream_replay(streams.file_stream(spark, f"{tmp_path}/feed", KIND), applied, heads, f"{tmp_path}/c")
+    fed(spark, f"{tmp_path}/feed", [(1, "u", 1, "A", None), (2, "u", 2, "B", "A"), (3, "u", 3, "A", "B")])
+    monkeypatch.setattr(applied, "append", lambda df: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.undo()
+    versions = heads.versions()
+    run()
+    assert heads.versions() == versions and applied.appended(streams.LEDGER).count() == 3
+    assert [(r.data, r.seq) for r in heads.read().collect()] == [("A", 3)]
+
+
+def test_kept_heads_of_a_stream(spark, tmp_path):
     for k, v in streams.STATE_STORE.items():
         spark.conf.set(k, v)
     rows = [("a", "A", None, 1, 0, False), ("a", "B", "A", 2, 1, False), ("a", "C", "A", 3, 2, False), ("a", "C", "B", 1, 3, False), ("a", "D", None, 0, 4, True)]
@@ -186,6 +221,6 @@ def test_stream_of_table_versions(spark, tmp_path):
     for v, rows in enumerate([[(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]]):
         spark.createDataFrame([(v, *r) for r in rows], "version int, k int, x string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/v")
     seen = []
-    state = VersionedTable(spark, f"{tmp_path}/state-{uuid.uuid4().hex}")
+    state = MergeTable(spark, f"{tmp_path}/state-{uuid.uuid4().hex}", "k int, x string", ["k"])
     streams.stream_changes(streams.file_stream(spark, f"{tmp_path}/v", "version int, k int, x string"), state, lambda df, i: seen.extend((r.version, r.k) for r in df.collect()), "k", ["x"], f"{tmp_path}/c")
     assert sorted(seen) == [(0, 1), (0, 2), (1, 2), (1, 3)]
