@@ -84,7 +84,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     columns are ignored; an empty table gives none.
     """
     base = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    quoting = base.where(F.col("text").rlike("(?m)" + MARKS))
+    quoting = base.where(F.col("text").rlike("(?m)" + MARKS)).select("conv", "turn", "th", "text").distinct()  # a repeated row quotes once
     quotes = kept(_passages(quoting).where("level > 0"))
     wanted = quotes.select("conv", "h1", "h2").distinct()
     units = _own_units(base)
