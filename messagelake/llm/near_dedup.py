@@ -63,7 +63,7 @@ def minwise(value: np.ndarray, begin: np.ndarray, tokens: int = TOKENS) -> np.nd
 
 
 def _profiles(docs: DataFrame, k: int, trees: int) -> DataFrame:
-    """(id, n_shingles, sid, tokens, high, roots) of each text: sid is a 128-bit hash of its set, null for an empty one;
+    """(id, text_hash, n_shingles, sid, tokens, high, roots) of each text: sid is a 128-bit hash of its set, null for an empty one;
     roots are its whole first tokens, under which the trees begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +82,9 @@ def _profiles(docs: DataFrame, k: int, trees: int) -> DataFrame:
                     for j, i in enumerate(full.tolist()):
                         sid[i], tokens[i], upper[i] = ids[j].tobytes(), found[j].astype(np.uint8).tobytes(), (found[j] >> np.uint64(8)).astype(np.uint8).tobytes()
                         roots[i] = found[j, :trees].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(low, high - low), pa.array(count, pa.int64()), pa.array(sid, pa.binary()), pa.array(tokens, pa.binary()), pa.array(upper, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["id", "n_shingles", "sid", "tokens", "high", "roots"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(low, high - low), batch["text_hash"].slice(low, high - low), pa.array(count, pa.int64()), pa.array(sid, pa.binary()), pa.array(tokens, pa.binary()), pa.array(upper, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["id", "text_hash", "n_shingles", "sid", "tokens", "high", "roots"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, sid binary, tokens binary, high binary, roots array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, n_shingles long, sid binary, tokens binary, high binary, roots array<long>")
 
 
 def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -281,33 +281,37 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(tokens: np.ndarray, sets: list[np.ndarray], percent: int, met: list[np.ndarray] | None = None) -> list[int]:
-    """Of each set the first that confirmed links lead to; met are the sets' sides and labels."""
-    n, union = len(sets), Union(len(sets))
-    if met:
-        for i, first in enumerate(np.unique(met[1], return_index=True)[1][np.unique(met[1], return_inverse=True)[1]].tolist()):
-            union.join(first, i)
-    size = np.array([len(s) for s in sets])
-    at, likeness = [], []
+    """Of each set the first that confirmed links lead to; met are the sets' sides and labels.
+
+    Sets are taken one after the other and tried on what later ones are alike and not yet connected, likest first; it ends
+    when all are connected. So it holds one set's likenesses and no list of pairs.
+    """
+    n = len(sets)
+    group = np.arange(n) if met is None else np.unique(met[1], return_inverse=True)[1].astype(np.int64)
+    parts, size = len(np.unique(group)), np.array([len(s) for s in sets])
     for i in range(n - 1):
-        rest = tokens[i + 1 :]
-        same = np.concatenate([(rest[k : k + 20_000] == tokens[i]).mean(1, dtype=np.float32) for k in range(0, len(rest), 20_000)])
+        if parts == 1:
+            break
         small, large = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-        good = (same >= ALIKE) & (100 * small >= percent * large)
-        good = np.flatnonzero(good & (met[0][i + 1 :] != met[0][i]) & (met[1][i + 1 :] != met[1][i]) if met else good)
-        at.append(np.stack([np.full(len(good), i), good + i + 1], 1))
-        likeness.append(same[good])
-    if at:
-        pairs, likeness = np.concatenate(at), np.concatenate(likeness)
-        for i, j in pairs[np.argsort(-likeness, kind="stable")].tolist():
-            if union.find(i) != union.find(j):
+        good = (100 * small >= percent * large) & (group[i + 1 :] != group[i])
+        good = i + 1 + np.flatnonzero(good & (met[0][i + 1 :] != met[0][i]) if met else good)
+        if not len(good):
+            continue
+        same = np.concatenate([(tokens[good[k : k + 4096]] == tokens[i]).mean(1, dtype=np.float32) for k in range(0, len(good), 4096)])
+        alike = same >= ALIKE
+        for j in good[alike][np.argsort(-same[alike], kind="stable")].tolist():
+            if group[i] != group[j]:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (size[i] + size[j] - both):
-                    union.join(i, j)
-    return [union.find(i) for i in range(n)]
+                    group[group == group[j]] = group[i]
+                    parts -= 1
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    return first[back].tolist()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, small: int = SMALL, family: int = FAMILY) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of each row: component_id is the smallest id that links reach.
+    """(id_col, n_shingles, component_id, kept, text_hash) of each row: component_id is the smallest id that links reach;
+    text_hash is xxhash64 of the text, by which rows that repeat an id are told apart.
 
     Words are what stands between white space, A-Z lower-cased; a set holds the distinct shingles of so many words.
     1. Equal sets are one set. 2. Each tree deals the sets out by one minwise token, and goes on dealing large
@@ -318,10 +322,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     times LONG shingles, is dealt into blocks of half as many, and no task holds more than two of its blocks together.
 
     Null texts and texts without words have an empty set, no links and themselves as component. Rows that repeat
-    an id share its smallest component's links by their own texts. A null id is never a representative if another
-    is there. Other columns are ignored.
+    an id share its smallest component's links by their own texts. A row without id is
+    linked to rows of an equal set alone; it never represents them, and is kept if none of them has an id. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     profiles = kept(_profiles(rows, shingle_words, trees))
     sets = profiles.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("high").alias("high"), F.first("roots").alias("roots"), F.ceil(F.first("n_shingles") / LONG).alias("weight"))
     sets = kept(sets.where("id is not null"))
@@ -343,9 +347,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         links = components(links.union(_by_blocks(full.where(F.col("size") > family), family, percent))).select(F.col("node").alias("a"), F.col("root").alias("b"))
     linked = links.select(F.col("a").alias("n_id"), F.col("b").alias("n_root"))
     named = sets.select("sid", "id").join(linked, F.col("id") == F.col("n_id"), "left").select(F.col("sid").alias("s_sid"), F.coalesce("n_root", "id").alias("component_id"))
-    out = profiles.select("id", "n_shingles", "sid").join(named, F.col("sid") == F.col("s_sid"), "left")
+    out = profiles.select("id", "text_hash", "n_shingles", "sid").join(named, F.col("sid") == F.col("s_sid"), "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def _by_blocks(full: DataFrame, most: int, percent: int) -> DataFrame:

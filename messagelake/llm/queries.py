@@ -130,7 +130,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_near_duplicates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP2_SQL = r"""

@@ -284,6 +284,17 @@ def test_pipeline_equals_plain_stages(spark):
     assert len(rows) == len(want) and {r.doc_id: r.ids for r in rows} == want and all(r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_near_duplicate_stage_drops_rows_and_not_ids(spark):
+    import corpus_pipeline as P
+
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (None, b + " b"), (None, None), (7, ""), (8, None), (None, "another text of its own")]
+    docs = spark.createDataFrame([(k, t, "en", "web", 1, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, text_hash string")
+    left = dict(P.STAGES)["near_duplicates"](spark, docs, DATA).collect()
+    want = [r for r in rows if r != (5, a)]  # a row without id is linked by an equal set alone
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, want))
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline as P

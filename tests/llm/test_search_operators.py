@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ def test_a_node_left_large_loses_no_pair(spark, monkeypatch):
     for pair in range(40):
         own = [f"p{pair}w{k}" for k in range(150)]
         texts += [" ".join([*common, *edited(r, own, 3)]) for _ in range(2)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text_hash", F.xxhash64("text"))
     sets = near_dedup._profiles(rows, 4, 1).withColumn("roots", F.array(F.lit(0).cast("long"))).cache()
     monkeypatch.setattr(near_dedup, "DEPTH", 1)
     name = {bytes(x.sid): x.id for x in sets.select("id", "sid").collect()}
@@ -137,6 +138,24 @@ def test_long_texts_of_a_family_are_dealt_by_their_shingles(spark, monkeypatch):
     assert 0 < max(heaviest) < sum(8 * len(x) for x in sets) / 2
 
 
+def test_a_family_of_thousands_holds_no_list_of_pairs():
+    """4,000 alike sets in two groups that no link connects, and a few apart, within a bound of memory."""
+    r, sets = np.random.default_rng(3), []
+    bases = [np.arange(300, dtype=np.uint64) + np.uint64(10**6), np.concatenate([np.arange(220), np.arange(80) + 10**7]).astype(np.uint64) + np.uint64(10**6)]
+    for k in range(4000):
+        own = bases[k % 2].copy()
+        own[r.integers(0, 300, 5)] = r.integers(10**9, 2**62, 5).astype(np.uint64)
+        sets.append(np.unique(own))
+    tokens = np.stack([near_dedup.minwise(s, np.array([0]))[0].astype(np.uint8) for s in sets])
+    tracemalloc.start()
+    found = near_dedup._linked(tokens, sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [k % 2 for k in range(4000)] and peak < 100 << 20
+    sides, labels = np.arange(4000) // 2 % 2, np.arange(4000) % 4
+    assert len(set(near_dedup._linked(tokens, sets, 80, [sides, labels]))) == 2
+
+
 def test_whole_groups_go_out_by_bytes():
     t = pa.table({"key": [k // 3 for k in range(30)], "x": ["y" * 1000] * 30})
     got = list(common.whole_groups(iter(t.to_batches(max_chunksize=4)), "key", 1_000_000, 5_000))
@@ -206,6 +225,7 @@ def test_repeats_of_empty_tables_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, len(r.kept)) for r in rows) == [(0, 0), (3, len(text)), (3, len(text)), (4, 0)]
     rows = near_dedup.near_duplicates(frame(spark, [text, text, text, None], [3, 3, 4, None])).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (3, 3), (3, 3), (4, 3)]
+    assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, True), (3, True), (3, True), (4, False)]
 
 
 def test_neighbours_against_brute_force(spark):
@@ -294,6 +314,9 @@ def test_quotes(spark):
     df = spark.createDataFrame([(*t, 5, "z") for t in talk], "conv_id long, turn long, role string, text string, th long, path string")
     rows = quotes.link_quotes(df).collect()
     assert len(rows) == len(talk)
+    twice = quotes.link_quotes(df.union(df)).collect()  # repeated rows each stay, with the links that they have alone
+    links = lambda found: sorted(str((r.conv_id, r.turn, r.n_quotes, r.n_linked, r.parent_turn, r.body)) for r in found)
+    assert links(twice) == sorted(links(rows) * 2)
     one = {r.turn: r for r in rows if r.conv_id == 1}
     assert [one[t].parent_turn for t in range(5)] == [None, 0, 1, 0, None]
     assert [one[t].depth for t in range(5)] == [0, 1, 2, 1, 0]
