@@ -5,13 +5,11 @@ Each stage takes (spark, docs, sf_dir) and all that its predecessor kept, writte
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from messagelake.llm import bpe, decontaminate, line_dedup, near_dedup, quality
+from messagelake.llm.common import scratch
 from messagelake.llm.queries import fold, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,10 +34,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by shared shingles of five words; texts unchanged."""
+    """One document, that with the smallest id, of each group linked by shared shingles of five words; texts unchanged. Of
+    rows that share an id each stays or goes by its own text."""
     groups = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, with each result in the folder that the cluster shares."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
