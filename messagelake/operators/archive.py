@@ -253,12 +253,27 @@ def check_types(records: DataFrame, schema: dict[str, str], enums: dict[str, Seq
     return problems(once, rules, ["sha256"])
 
 
+#: What a retired record says, and the fields that belong to a sighting and not to the record.
+RETIRED, SIGHTED = "retired_by_archive_revision", ("observed_at", "sync_run", "iso", "revision_digest")
+
+
+def tombstoned_record(record: Column, export_id: str) -> Column:
+    """A record in JSON with its tombstone, its fields in the order of their names."""
+    fields = F.parse_json(record).cast("map<string,variant>")
+    names = F.array_sort(F.array_union(F.array_except(F.map_keys(fields), F.array(*map(F.lit, SIGHTED))), F.array(F.lit("tombstone"))))
+    tombstone = F.parse_json(F.to_json(F.struct(F.lit(export_id).alias("export_id"), F.lit(RETIRED).alias("reason"))))
+    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.when(k == "tombstone", tombstone).otherwise(F.try_element_at(fields, k)))))
+
+
 def import_bucket(archive: dict[str, DataFrame], stored: dict[str, DataFrame], export_id: str, created_at: int, supersedes: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The tables after a bucket's import, in its order: revisions, which tell whose heads may give way; heads; observations;
-    then what superseded exports carried and this one doesn't is tombstoned; then the ledger of members.
+    then what superseded exports carried and this one doesn't is stored with a tombstone, as a revision of its own that
+    becomes the head; then the ledgers of members and of imports, in which superseded ones name what superseded them.
 
-    archive: records (urn, kind, digest, observed_at), revisions (urn, digest, observed_at), observations. stored: heads
-    (urn, digest, observed_at, tombstoned), revisions, observations, members (export_id, urn). Also gives `outcomes`.
+    archive: records (urn, kind, digest, observed_at, record in JSON), revisions (urn, digest, observed_at), observations,
+    manifest (label, revision, lineage) of one row. stored: heads (urn, digest, observed_at, tombstoned, record), revisions,
+    observations, members (export_id, urn), imports (export_id, label, revision, lineage, imported_at, superseded_by). Also
+    gives `outcomes` and `retired`.
     """
     from . import store
 
@@ -268,11 +283,18 @@ def import_bucket(archive: dict[str, DataFrame], stored: dict[str, DataFrame], e
     members = bucket_members(records.where(F.col("kind").isin(*BUCKETED)), export_id)
     old = stored["members"].where(F.col("export_id").isin(*supersedes)).select("urn").distinct() if supersedes else stored["members"].select("urn").limit(0)
     gone = old.join(members, "urn", "left_anti").select("urn", F.lit(True).alias("_gone"))
-    flagged = after.join(heads.select("urn", F.coalesce("tombstoned", F.lit(False)).alias("_t")), "urn", "left").join(outcomes, "urn", "left").join(gone, "urn", "left")
-    dead = F.coalesce("_gone", F.lit(False)) & ~F.coalesce("_t", F.lit(False))
-    kept_dead = F.coalesce("_t", F.lit(False)) & ~F.coalesce(F.col("outcome").isin("inserted", "updated"), F.lit(False))
-    now = flagged.select("urn", "digest", F.when(dead, F.lit(created_at)).otherwise(F.col("observed_at")).alias("observed_at"), (dead | kept_dead).alias("tombstoned"))
+    before = heads.select("urn", F.coalesce("tombstoned", F.lit(False)).alias("_t"), F.col("record").alias("_r"))
+    now = after.join(before, "urn", "left").join(outcomes, "urn", "left").join(records.select("urn", F.col("record").alias("_n")), "urn", "left").join(gone, "urn", "left")
+    taken = F.coalesce(F.col("outcome").isin("inserted", "updated"), F.lit(False))
+    now = now.withColumns({"record": F.when(taken, F.col("_n")).otherwise(F.col("_r")), "_t": F.coalesce("_t", F.lit(False)) & ~taken})
+    dead = F.coalesce("_gone", F.lit(False)) & ~F.col("_t") & F.col("record").isNotNull()
+    now = now.withColumn("_dead", dead).withColumn("record", F.when(dead, tombstoned_record(F.col("record"), export_id)).otherwise(F.col("record")))
+    now = now.select("urn", F.when(F.col("_dead"), F.concat(F.lit("sha256:"), F.sha2("record", 256))).otherwise(F.col("digest")).alias("digest"), F.when(F.col("_dead"), F.lit(created_at)).otherwise(F.col("observed_at")).alias("observed_at"), (F.col("_dead") | F.col("_t")).alias("tombstoned"), "record", "_dead")
+    retired = now.where("_dead").select("urn", "digest", "observed_at")
+    batch = archive["revisions"].unionByName(records.select("urn", "digest", "observed_at")).unionByName(retired)
+    entry = archive["manifest"].select(F.lit(export_id).alias("export_id"), "label", "revision", "lineage", F.lit(created_at).cast("long").alias("imported_at"), F.lit(None).cast("string").alias("superseded_by"))
+    done = stored["imports"].withColumn("superseded_by", F.when(F.col("export_id").isin(*supersedes), F.lit(export_id)).otherwise(F.col("superseded_by")))
     return {
-        "heads": now, "outcomes": outcomes, "revisions": store.append_revisions(stored["revisions"], archive["revisions"].unionByName(records.select("urn", "digest", "observed_at"))),
-        "observations": store.observe_merge(archive["observations"], stored["observations"]), "members": stored["members"].select("export_id", "urn").unionByName(members).distinct(), "retired": gone.select("urn"),
+        "heads": now.drop("_dead"), "outcomes": outcomes, "revisions": store.append_revisions(stored["revisions"], batch), "observations": store.observe_merge(archive["observations"], stored["observations"]),
+        "members": stored["members"].select("export_id", "urn").unionByName(members).distinct(), "imports": done.unionByName(entry), "retired": retired.select("urn"),
     }

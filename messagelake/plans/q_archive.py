@@ -194,16 +194,53 @@ def a12(spark, sf):
     return out.select("sha256", F.array_join("problems", ",").alias("problems"))
 
 
-@query("a18_a20_import_bucket", with_sql(ORDERS_SQL) + """, h AS (SELECT urn, CASE WHEN urn % 3 = 0 THEN 'old' ELSE kind END AS digest, utc_ms + CASE WHEN urn % 7 = 0 THEN 1 ELSE 0 END AS observed_at FROM om WHERE urn % 4 <> 0)
-  SELECT coalesce(b.urn, h.urn) AS urn, CASE WHEN h.urn IS NULL THEN 'inserted' WHEN b.urn IS NULL THEN 'none' WHEN h.digest = b.kind THEN 'unchanged' WHEN b.urn % 2 = 0 AND b.utc_ms >= h.observed_at THEN 'updated' WHEN b.urn % 2 = 0 THEN 'older' ELSE 'conflict' END AS outcome,
-  b.urn IS NULL AND h.urn % 6 = 1 AS tombstoned FROM (SELECT * FROM om WHERE urn % 5 <> 0) b FULL JOIN h ON h.urn = b.urn""")
+TOMBSTONE = """'sha256:' || sha256('{"kind":"' || kind || '","tombstone":{"export_id":"x2","reason":"retired_by_archive_revision"},"urn":' || urn || '}')"""
+
+
+@query("a18_a20_import_bucket", with_sql(ORDERS_SQL) + f""", h AS (SELECT urn, kind, CASE WHEN urn % 3 = 0 THEN 'old' ELSE kind END AS digest, utc_ms + CASE WHEN urn % 7 = 0 THEN 1 ELSE 0 END AS observed_at FROM om WHERE urn % 4 <> 0),
+  o AS (SELECT coalesce(b.urn, h.urn) AS urn, coalesce(b.kind, h.kind) AS kind, b.kind AS carried, h.digest AS had, h.observed_at AS had_at, b.utc_ms AS at, CASE WHEN h.urn IS NULL THEN 'inserted' WHEN b.urn IS NULL THEN 'none' WHEN h.digest = b.kind THEN 'unchanged' WHEN b.urn % 2 = 0 AND b.utc_ms >= h.observed_at THEN 'updated' WHEN b.urn % 2 = 0 THEN 'older' ELSE 'conflict' END AS outcome,
+    b.urn IS NULL AND h.urn % 6 = 1 AS tombstoned FROM (SELECT * FROM om WHERE urn % 5 <> 0) b FULL JOIN h ON h.urn = b.urn),
+  r AS (SELECT urn, digest FROM h UNION SELECT urn, 'old' FROM om WHERE urn % 2 = 0 UNION SELECT urn, kind FROM om WHERE urn % 5 <> 0 UNION SELECT urn, {TOMBSTONE} FROM o WHERE tombstoned)
+  SELECT urn, outcome, tombstoned, CASE WHEN tombstoned THEN {TOMBSTONE} WHEN outcome IN ('inserted', 'updated') THEN carried ELSE had END AS digest, revisions, 'x2' AS newest, 'x2' AS superseded_by FROM o JOIN (SELECT urn, count(*) AS revisions FROM r GROUP BY urn) n USING (urn)""")
 def a18(spark, sf):
-    m = order_messages(spark, sf)
-    heads = m.where("urn % 4 != 0").select("urn", F.when(F.col("urn") % 3 == 0, "old").otherwise(F.col("kind")).alias("digest"), (F.col("utc_ms") + F.when(F.col("urn") % 7 == 0, 1).otherwise(0)).alias("observed_at"), F.lit(False).alias("tombstoned"))
-    records = m.where("urn % 5 != 0").select("urn", F.lit("messages").alias("kind"), F.col("kind").alias("digest"), F.col("utc_ms").alias("observed_at"))
+    m = order_messages(spark, sf).withColumn("record", F.to_json(F.struct("kind", "urn")))
+    heads = m.where("urn % 4 != 0").select("urn", F.when(F.col("urn") % 3 == 0, "old").otherwise(F.col("kind")).alias("digest"), (F.col("utc_ms") + F.when(F.col("urn") % 7 == 0, 1).otherwise(0)).alias("observed_at"), F.lit(False).alias("tombstoned"), "record")
+    records = m.where("urn % 5 != 0").select("urn", F.lit("messages").alias("kind"), F.col("kind").alias("digest"), F.col("utc_ms").alias("observed_at"), "record")
     known = m.where("urn % 2 = 0").select("urn", F.lit("old").alias("digest"), F.lit(0).cast("long").alias("observed_at"))
     none = spark.createDataFrame([], "urn long, source string, scope string, native_table string, native_row_ids array<string>, native_key string, minted boolean, fingerprint string, adapter_version string, present string, observed_at long")
     members = m.where("urn % 6 = 1").select(F.lit("x1").alias("export_id"), "urn")
-    stored = {"heads": heads, "revisions": heads.select("urn", "digest", "observed_at"), "observations": none, "members": members}
-    out = A.import_bucket({"records": records, "revisions": known, "observations": none}, stored, "x2", 5, ["x1"])
-    return out["heads"].join(out["outcomes"], "urn", "left").select("urn", F.coalesce("outcome", F.lit("none")).alias("outcome"), "tombstoned")
+    imports = spark.createDataFrame([("x1", "2024-01", 1, ["x1"], 1, None)], "export_id string, label string, revision int, lineage array<string>, imported_at long, superseded_by string")
+    manifest = spark.createDataFrame([("2024-01", 2, ["x1", "x2"])], "label string, revision int, lineage array<string>")
+    stored = {"heads": heads, "revisions": heads.select("urn", "digest", "observed_at"), "observations": none, "members": members, "imports": imports}
+    out = A.import_bucket({"records": records, "revisions": known, "observations": none, "manifest": manifest}, stored, "x2", 5, ["x1"])
+    ledger = out["imports"].agg(F.max_by("export_id", "revision").alias("newest"), F.max("superseded_by").alias("superseded_by"))  # one row
+    revisions = out["revisions"].groupBy("urn").agg(F.count("*").alias("revisions"))
+    found = out["heads"].join(out["outcomes"], "urn", "left").join(revisions, "urn").crossJoin(F.broadcast(ledger))
+    return found.select("urn", F.coalesce("outcome", F.lit("none")).alias("outcome"), "tombstoned", "digest", "revisions", "newest", "superseded_by")
+
+
+NESTED = {
+    "$defs": {"at": {"type": "object", "required": ["utc_ms"], "properties": {"utc_ms": {"type": "integer", "minimum": 0}}, "additionalProperties": False}},
+    "type": "object", "required": ["key", "parts"],
+    "properties": {"key": {"type": "integer"}, "status": {"enum": ["F", "O", "P"]}, "sent_at": {"$ref": "#/$defs/at"}, "parts": {"type": "array", "items": {"type": "object", "properties": {"type": {"const": "line"}, "at": {"$ref": "#/$defs/at"}}, "if": {"required": ["flag"]}, "then": {"properties": {"flag": {"type": "string", "pattern": "^[AR]$"}}}}}},
+}
+
+
+@query("a12_nested_schemas", """WITH l AS (SELECT l_orderkey AS k, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS i FROM lineitem),
+  p AS (SELECT o_orderkey AS k, '$.sent_at: lacks utc_ms' AS p FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, '$.status: not among ["F", "O", "P"]' FROM orders WHERE o_orderkey % 11 = 0
+    UNION ALL SELECT k, '$.parts[' || i || '].at.utc_ms: no integer' FROM l WHERE k % 5 = 0 AND i % 3 = 0 UNION ALL SELECT k, '$.parts[' || i || '].at.more: not allowed' FROM l WHERE k % 13 = 0 UNION ALL SELECT k, '$.parts[' || i || '].flag: doesn''t match ^[AR]$' FROM l WHERE flag = 'N')
+  SELECT k AS "key", string_agg(p, ';' ORDER BY p) AS problems FROM p WHERE k IN (SELECT o_orderkey FROM orders) GROUP BY k""")
+def a12_nested(spark, sf):
+    """Orders with their lines as nested records, some broken three levels down, against one compiled schema."""
+    from ..operators import schemas as J
+
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag")).alias("l"))
+    lines = t.groupBy("k").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    part = lambda x, i: F.concat(F.lit('{"type":"line","flag":"'), x["flag"], F.lit('","at":{"utc_ms":'), F.when((F.col("k") % 5 == 0) & (i % 3 == 0), F.lit('"x"')).otherwise(i.cast("string")), F.when(F.col("k") % 13 == 0, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}}"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus").join(lines, "k", "left")
+    status = F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("o_orderstatus"))
+    sent = F.when(F.col("k") % 7 == 0, F.lit("{}")).otherwise(F.lit('{"utc_ms":5}'))
+    body = F.concat(F.lit('{"key":'), F.col("k").cast("string"), F.lit(',"status":"'), status, F.lit('","sent_at":'), sent, F.lit(',"parts":['), F.coalesce(F.array_join(F.transform("lines", part), ","), F.lit("")), F.lit("]}"))
+    raw = o.select("k", body.alias("raw"))
+    found = J.check_schema(raw, NESTED)
+    return found.join(raw.select("k", F.sha2("raw", 256).alias("sha256")), "sha256").select(F.col("k").alias("key"), F.array_join(F.array_sort("problems"), ";").alias("problems"))

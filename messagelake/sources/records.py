@@ -32,18 +32,6 @@ def iter_records(heads: DataFrame, kind: str, source: str | None = None, scope:
     return (out if tombstoned else out.where(~F.coalesce("tombstoned", F.lit(False)))).orderBy("urn")
 
 
-def write_bucket(members: dict[str, DataFrame], path: str, bucket: str, revision: int, manifest: dict) -> str:
-    """Members of one bucket revision and its manifest, in a folder of their own; the manifest is written last."""
-    import json
-
-    where = f"{path.rstrip('/')}/bucket={bucket}/rev={revision}"
-    spark = next(iter(members.values())).sparkSession
-    for name, df in members.items():
-        write_records(df, f"{where}/{name}")
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{where}/manifest")
-    return where
-
-
 def write_feed_batch(journal: DataFrame, path: str, stream: str, after: int, limit: int, max_bytes: int) -> tuple[int, str] | None:
     """The next batch of a stream at a place named by its bounds; None if there is nothing. A batch that is there
     already, from before a crash, stays if it holds the same events; another one is an error."""
