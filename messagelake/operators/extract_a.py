@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.state import kept
+from . import aliases
 
 SOURCE = "whatsapp"
 
@@ -209,15 +210,11 @@ def unambiguous_aliases(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.where("_n = 1").drop("_n"), bad
 
 
-def owner_closure(messages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The owner's addresses: recipients of incoming rows, and what alias pairs add, until it no longer grows."""
-    both = pairs.select(F.col("lid").alias("jid"), F.col("phone").alias("to")).union(pairs.select(F.col("phone").alias("jid"), F.col("lid").alias("to")))
-    now = fresh = kept(messages.where("ZISFROMME = 0 and ZTOJID is not null").select(S.jid("ZTOJID").alias("jid")).distinct())
-    while True:
-        fresh = kept(both.join(fresh, "jid", "left_semi").select(F.col("to").alias("jid")).distinct().join(now, "jid", "left_anti"))
-        if fresh.isEmpty():
-            return now
-        now = now.union(fresh)
+def owner_closure(messages: DataFrame, pairs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
+    """The owner's addresses: recipients of incoming rows, and all that alias pairs join with them. grouped: (member, root)
+    of the pairs where a table of them is kept (aliases.add_aliases)."""
+    seeds = messages.where("ZISFROMME = 0 and ZTOJID is not null").select(S.jid("ZTOJID").alias("jid")).distinct()
+    return kept(aliases.closure(seeds, aliases.groups(pairs, "lid", "phone") if grouped is None else grouped))
 
 
 def identities(native: dict[str, DataFrame], chat_table: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:

@@ -323,12 +323,13 @@ def followed(aliases: DataFrame, heads: DataFrame) -> DataFrame:
     return ends.select("urn", F.when(F.col("on").isNull(), F.col("to")).alias("to"))
 
 
-def resolve(citations: DataFrame, heads: DataFrame, revisions: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve(citations: DataFrame, heads: DataFrame, revisions: DataFrame, aliases: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """The status of citations (urn, digest or null). A urn without a head is followed over single aliases to the end;
     several aliases are ambiguous, and without any, or in a circle, it is unknown. A cited digest that isn't the head's
     decides: revision_superseded if it is stored, else unknown_revision. Else the head is tombstoned, unavailable (a stub)
-    or current. heads: (urn, digest, tombstoned, and stub if there are any)."""
-    ends = followed(aliases, heads).select("urn", F.col("to").alias("_to"), F.lit(True).alias("_via"))
+    or current. heads: (urn, digest, tombstoned, and stub if there are any). ends: what followed() gives, where it is kept
+    between calls."""
+    ends = (followed(aliases, heads) if ends is None else ends).select("urn", F.col("to").alias("_to"), F.lit(True).alias("_via"))
     many = aliases.groupBy(F.col("old_urn").alias("_at")).agg((F.count_distinct("new_urn") > 1).alias("_many"))
     now = citations.select("urn", "digest").join(ends, "urn", "left").withColumn("_at", F.when(F.col("_via"), F.col("_to")).otherwise(F.col("urn")))
     stub = F.coalesce("stub", F.lit(False)) if "stub" in heads.columns else F.lit(False)

@@ -1,9 +1,13 @@
 """Layouts that spare reading: trees of digests under versions and stores, files clustered by the order of pages."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import aliases as A
 from ..plans.clustered import ClusteredTable
 from ..plans.hashtree import TreedTable, tree_compare, tree_diff
+from ..plans.mergeable import MergeTable
+from ..session import table
 from .bindings import ORDERS_SQL, order_messages, with_sql
 from .q_streams import folder
 from .registry import query
@@ -60,3 +64,16 @@ def q7_clustered(spark, sf):
     ends = t.bounds.read().agg(F.min("lo.chat"), F.max("hi.chat")).first()
     one, two = (t.page(5, None, True, (c,)) for c in ends)
     return one.unionByName(two).select("urn", "chat", "utc_ms")
+
+
+@query("x18_alias_groups", """WITH p AS (SELECT o_custkey AS c, o_orderkey AS o, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders)
+  SELECT 'o' || lpad(CAST(o AS VARCHAR), 12, '0') AS member, 'o' || lpad(CAST(min(o) OVER (PARTITION BY c) AS VARCHAR), 12, '0') AS root FROM p QUALIFY count(*) OVER (PARTITION BY c) > 1""")
+def x18_groups(spark, sf):
+    """Each customer's orders as a chain of aliases that comes in two batches, the second joins what the first left apart."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("o"))
+    links = o.withColumn("next", F.lead("o").over(Window.partitionBy("c").orderBy("o"))).where("next is not null")
+    t = MergeTable(spark, folder(spark), A.MEMBERS, ["member"], 8)
+    first = F.pmod(F.xxhash64("o"), F.lit(3)) > 0
+    A.add_aliases(t, links.where(first), "o", "next", number=0)
+    A.add_aliases(t, links.where(~first), "o", "next", number=1)
+    return t.read()

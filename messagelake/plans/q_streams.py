@@ -9,7 +9,7 @@ from ..operators import store
 from ..plans.mergeable import MergeTable
 from ..plans.state import VersionedTable, kept, own_folder
 from ..streaming import streams as T
-from .bindings import OBSERVATIONS_SQL, observations, with_sql
+from .bindings import OBSERVATIONS_SQL, ORDERS_SQL, observations, order_messages, with_sql
 from .registry import query
 
 
@@ -104,3 +104,27 @@ def t9(spark, sf):
     counts = T.stream_counts(log(spark, sf, where).select(F.col("digest").alias("scope")))
     T.run_available(counts, lambda df, i: df.write.mode("overwrite").parquet(f"{where}/out/batch={i}"), f"{where}/checkpoint", "complete")
     return spark.read.parquet(f"{where}/out").groupBy("scope").agg(F.max("n").alias("n"))
+
+
+MOVES_SQL = """c AS (SELECT urn, CASE WHEN urn % 11 = 0 THEN NULL WHEN urn % 7 = 0 THEN 'moved' WHEN kind = 'P' THEN NULL ELSE kind END AS scope FROM om)"""
+
+
+@query("t9_signed_counts", with_sql(ORDERS_SQL, MOVES_SQL) + " SELECT scope, count(*) AS n FROM c WHERE scope IS NOT NULL GROUP BY scope")
+def t9_signed(spark, sf):
+    """Orders come, are edited in place, move to another scope and go again; one scope ends empty."""
+    for k, v in T.STATE_STORE.items():
+        spark.conf.set(k, v)
+    where, none = folder(spark), F.lit(None).cast("string")
+    m = order_messages(spark, sf).select("urn", "kind")
+    deleted, moved = F.col("urn") % 11 == 0, F.col("urn") % 7 == 0
+    now = F.when(moved, "moved").otherwise(F.col("kind"))
+    steps = [
+        m.select("urn", none.alias("before"), F.col("kind").alias("after")),
+        m.where(moved).select("urn", F.col("kind").alias("before"), now.alias("after")).union(m.where(~moved).select("urn", "kind", "kind")),
+        m.where(deleted | (~moved & (F.col("kind") == "P"))).select("urn", now.alias("before"), none.alias("after")),
+    ]
+    for s in steps:  # one after the other: a stream takes files in the order of their times
+        s.coalesce(1).write.mode("append").parquet(f"{where}/changes")
+    counts = MergeTable(spark, f"{where}/counts", T.COUNTS, ["scope", "share"], 4)
+    T.stream_signed_counts(T.file_stream(spark, f"{where}/changes", "urn long, before string, after string", 1), counts, f"{where}/checkpoint")
+    return T.live_counts(counts)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_nfc
 from ..operators.extract_b import FEED
+from ..plans.state import kept
 
 # The columns without which a source can't be read.
 REQUIRED_A = {
@@ -81,10 +85,58 @@ def read_alias_sources(spark: SparkSession, paths: Mapping[str, tuple[str, str,
     return pairs, absent
 
 
-def probe_media(spark: SparkSession, root: str, references: DataFrame) -> DataFrame:
-    """References (path) with sha256 and size of the files of a folder; null where there is none."""
+CHUNK = 4 << 20
+HASHED = "file string, size long, modified timestamp, path string, sha256 string"
+
+
+def _hash_files(batches):
+    """Adds the SHA-256 of each file, read in chunks, so that a file of any size takes a few megabytes; null if it went. A file
+    without a size wasn't listed, as empty ones aren't, and is looked at itself."""
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            fs, at = pafs.FileSystem.from_uri(r.file) if "://" in r.file else (pafs.LocalFileSystem(), r.file)
+            size, modified, h = r.size, r.modified, hashlib.sha256()
+            if size != size or size is None:
+                info = fs.get_file_info(at)
+                if info.type != pafs.FileType.File:
+                    continue
+                size, modified = info.size, pd.Timestamp(info.mtime).tz_convert(None).floor("ms")
+            try:
+                with fs.open_input_stream(at) as f:
+                    while chunk := f.read(CHUNK):
+                        h.update(chunk)
+                out.append((r.file, int(size), modified, r.path, h.hexdigest()))
+            except FileNotFoundError:
+                out.append((r.file, int(size), modified, r.path, None))
+        yield pd.DataFrame(out, columns=["file", "size", "modified", "path", "sha256"])
+
+
+def list_media(spark: SparkSession, root: str) -> DataFrame:
+    """(file, path, size, modified) of all files with content below a folder, path relative to it; none is read."""
+    if root.startswith("file:"):
+        root = "/" + root[5:].lstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.element_at(F.split(F.regexp_replace("path", "^file:/+", "/"), F.regexp_replace(base, "^file:/+", "/"), 2), -1)
-    listed = files.select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-    return references.join(listed, "path", "left")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    base = root.rstrip("/") + "/"
+    return files.select(plain.alias("file"), F.element_at(F.split(plain, F.concat(F.lit("\\Q"), F.lit(base), F.lit("\\E")), 2), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def probe_media(spark: SparkSession, root: str, references: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """References (path) with sha256, size and time of the files of a folder; null where there is none.
+
+    Files that nobody refers to are listed and not read. known: (path, size, modified, sha256) of an earlier probe; a file
+    of the same path, size and time keeps its digest unread. The others are read in chunks, a few files a task.
+    """
+    wanted = kept(list_media(spark, root).join(references.select("path").distinct(), "path", "left_semi"))
+    same = ["path", "size", "modified"]
+    old = wanted.limit(0).select(*same, F.lit(None).cast("string").alias("sha256")) if known is None else known.where("sha256 is not null").select(*same, "sha256").dropDuplicates(same)
+    todo = wanted.join(old, same, "left_anti").select("file", "size", "modified", "path")
+    base = F.lit(("/" + root[5:].lstrip("/") if root.startswith("file:") else root).rstrip("/") + "/")
+    unlisted = references.select("path").where("path != '' and not path rlike '(^|/)[.][.](/|$)'").distinct().join(wanted.select("path"), "path", "left_anti")
+    none = lambda t: F.lit(None).cast(t)
+    todo = kept(todo.unionByName(unlisted.select(F.concat(base, "path").alias("file"), none("long").alias("size"), none("timestamp").alias("modified"), "path")))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-todo.count() // 64))
+    dealt = todo.repartition(tasks, F.xxhash64("file"))
+    digests = wanted.join(old, same).select(*same, "sha256").unionByName(kept(dealt.mapInPandas(_hash_files, HASHED)).select(*same, "sha256"))
+    return references.join(digests.select("path", "sha256", "size", "modified"), "path", "left")

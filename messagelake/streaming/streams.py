@@ -60,6 +60,56 @@ def stream_counts(messages: DataFrame, by: str = "scope") -> DataFrame:
     return messages.groupBy(by).agg(F.count("*").alias("n"))
 
 
+class Counts(StatefulProcessor):
+    """The live rows of a scope's share, kept as one number; at zero nothing is kept."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.n = handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.n.get()[0] if self.n.exists() else 0
+        now = before + sum(int(part["sign"].sum()) for part in rows)
+        if now == 0:
+            self.n.clear()
+        else:
+            self.n.update((now,))
+        if now != before:
+            yield pd.DataFrame([(key[0], int(key[1]), now)], columns=["scope", "share", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+COUNTS = "scope string, share int, n long"
+
+
+def signed(changes: DataFrame, key: str, shares: int = 8) -> DataFrame:
+    """(scope, share, sign) of changes with scopes before and after, null where the row wasn't or isn't there: an edit inside a
+    scope gives nothing. A row always falls into the same share of its scope, so a scope with most rows is in many tasks."""
+    moved = changes.where(~F.col("before").eqNullSafe(F.col("after")))
+    images = F.array(F.struct(F.col("before").alias("scope"), F.lit(-1).alias("sign")), F.struct(F.col("after").alias("scope"), F.lit(1).alias("sign")))
+    one = moved.select(F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"), F.explode(images).alias("i"))
+    return one.select("i.scope", "share", "i.sign").where("scope is not null")
+
+
+def stream_signed_counts(changes: DataFrame, counts: MergeTable, checkpoint: str, key: str = "urn", shares: int = 8, consumer: str = "counts") -> StreamingQuery:
+    """Live counts of a stream of inserts, edits, moves and deletes (key, before, after), in a table of COUNTS keyed by scope
+    and share; scopes at zero leave it. A batch that comes again after a restart is not counted again: state and offsets
+    are one, and the table holds the batch's number. live_counts() sums the shares."""
+    told = signed(changes, key, shares).groupBy("scope", "share").transformWithStateInPandas(Counts(), COUNTS, "update", "none")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = kept(df)
+        counts.merge(df.where("n != 0"), df.where("n = 0").select("scope", "share"), consumer, batch_id)
+
+    return run_available(told, batch, checkpoint, "update")
+
+
+def live_counts(counts: MergeTable) -> DataFrame:
+    """(scope, n)"""
+    return counts.read().groupBy("scope").agg(F.sum("n").alias("n")).where("n != 0")
+
+
 def run_available(df: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Takes what is there, batch by batch, and stops; a consumer's offsets are in its own checkpoint folder."""
     q = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
