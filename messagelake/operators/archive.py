@@ -159,8 +159,38 @@ def lineage(manifests: DataFrame, imports: DataFrame, accepted: DataFrame) -> Da
     return t.select("archive_id", decision.alias("decision"))
 
 
+def _import_order() -> list[Column]:
+    return [F.col("kind") != CATALOGUE, F.col("label"), F.col("revision"), F.col("archive_id")]
+
+
 def order_archives(manifests: DataFrame) -> DataFrame:
-    return manifests.orderBy((F.col("kind") != CATALOGUE), "label", "revision")
+    """The order of imports: the catalogue first, then by label, revision and id."""
+    return manifests.orderBy(*_import_order())
+
+
+def until_conflict(decisions: DataFrame) -> DataFrame:
+    """Decisions (archive_id, kind, label, revision, decision) of an import that stops at its first branch conflict: what comes
+    later in the order of imports is `not_reached`."""
+    t = decisions.withColumn("_at", F.struct(*(c.alias(f"k{k}") for k, c in enumerate(_import_order()))))
+    first = t.where("decision = 'branch_conflict'").agg(F.min("_at").alias("_first"))  # one row
+    later = F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))
+    return t.crossJoin(F.broadcast(first)).withColumn("decision", F.when(later, "not_reached").otherwise(F.col("decision"))).drop("_at", "_first")
+
+
+def adopt(manifests: DataFrame, scopes: DataFrame, mappings: DataFrame, export_set: DataFrame) -> dict[str, DataFrame]:
+    """What a store knows of scopes, mappings and its export set after manifests. A source without a scope takes that of the
+    earliest manifest that has one, a mapping is added once, and the set is taken only where there is none; so manifests
+    may come again. manifests: (export_id, export_set, created_at, account_scopes of (source, scope, label), scope_mappings
+    of (from, to)); scopes: (source, scope, created_at, label, origin); mappings: (from, to); export_set: at most a row."""
+    m = manifests.select("export_id", "export_set", "created_at", "account_scopes", "scope_mappings")
+    s = m.select("created_at", "export_id", F.posexplode("account_scopes").alias("_place", "s")).select("s.*", "created_at", "export_id", "_place")
+    first = s.groupBy("source").agg(F.min_by(F.struct("scope", "created_at", "label", F.concat(F.lit("import:"), "export_id").alias("origin")), F.struct("created_at", "export_id", "_place")).alias("n"))
+    new = first.select("source", "n.*").join(scopes.select("source"), "source", "left_anti")
+    told = m.select(F.explode("scope_mappings").alias("p")).select("p.from", "p.to").distinct()
+    one = m.where("export_set is not null").groupBy().agg(F.min_by("export_set", F.struct("created_at", "export_id")).alias("export_set")).where("export_set is not null")
+    held = export_set.agg(F.max("export_set").alias("_held"))  # one row
+    chosen = one.crossJoin(F.broadcast(held)).where("_held is null").select("export_set")
+    return {"scopes": scopes.unionByName(new.select(*scopes.columns)), "mappings": mappings.select("from", "to").unionByName(told.join(mappings.select("from", "to"), ["from", "to"], "left_anti")), "export_set": export_set.select("export_set").unionByName(chosen)}
 
 
 def retire(old: DataFrame, new: DataFrame, elsewhere: DataFrame) -> DataFrame:

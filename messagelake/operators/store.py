@@ -212,21 +212,20 @@ def observation_problem(v: Column, at: str = "$") -> Column:
     return found
 
 
-def validate_events(events: DataFrame) -> DataFrame:
-    """(seq, problem) of events that no consumer may apply: the rules of their operation on their JSON data."""
-    v = F.try_parse_json("data")
+def event_problem(seq: Column, op: Column, data: Column) -> Column:
+    """What is wrong with an event by the rules of its operation on its JSON data; null if nothing is."""
+    v = F.try_parse_json(data)
     kind = lambda path: F.coalesce(_kind_of(v, path), F.lit("VOID"))
     text = lambda path: F.try_variant_get(v, path, "string")
     number = lambda path: F.try_variant_get(v, path, "long")
-    op = F.col("operation")
     is_op = lambda *names: F.coalesce(op.isin(*names), F.lit(False))
     positive = lambda path: (kind(path) == "BIGINT") & (number(path) >= 1)
     digest = lambda path: F.coalesce(text(path).rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
     keyed = is_op("entity_key") | (is_op("record") & _kind_of(v, "$.entity_id").isNotNull())
-    spans = F.from_json(F.get_json_object("data", "$.ranges"), "array<array<bigint>>")
+    spans = F.from_json(F.get_json_object(data, "$.ranges"), "array<array<bigint>>")
     wrong = F.exists(spans, lambda x: x.isNull() | (F.size(x) != 2) | F.coalesce((x[0] < 1) | (x[0] > x[1]), F.lit(True)))
     rules = [
-        ("bad sequence", F.col("seq").isNull() | (F.col("seq") < 1)), ("data is no object", kind("$") != "OBJECT"), ("sync_run is no string", ~kind("$.sync_run").isin("STRING", "VOID")),
+        ("bad sequence", seq.isNull() | (seq < 1)), ("data is no object", kind("$") != "OBJECT"), ("sync_run is no string", ~kind("$.sync_run").isin("STRING", "VOID")),
         ("unknown operation", ~is_op(*OPERATIONS)), ("no stable id", keyed & ~positive("$.entity_id")),
         ("entity key without urn or digest", is_op("entity_key") & ~(F.coalesce(text("$.urn").startswith("urn:uuid:"), F.lit(False)) & digest("$.revision_digest"))),
         ("entity key time is no number", is_op("entity_key") & _kind_of(v, "$.observed_at").isNotNull() & (kind("$.observed_at") != "BIGINT")),
@@ -242,6 +241,12 @@ def validate_events(events: DataFrame) -> DataFrame:
     problem = F.when(is_op("observation"), observation_problem(v))
     for message, broken in reversed(rules):
         problem = F.when(F.coalesce(broken, F.lit(False)), message).otherwise(problem)
+    return problem
+
+
+def validate_events(events: DataFrame) -> DataFrame:
+    """(seq, problem) of events that no consumer may apply."""
+    problem = event_problem(F.col("seq"), F.col("operation"), F.col("data"))
     return events.select("seq", problem.alias("problem")).where("problem is not null")
 
 
