@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,35 +44,44 @@ def _all(values: Column, good) -> Column:
     return F.coalesce(F.forall(values, lambda x: F.coalesce(good(x), F.lit(False))), F.lit(False))
 
 
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """A table with columns that are computed once: as the item of an array, so that filters don't pull copies of them down."""
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items())))).alias("_one")
+    return df.select("*", one).select(*df.columns, *(F.col(f"_one.{n}").alias(n) for n in made))
+
+
 def manifest_problems(manifests: DataFrame, formats: Sequence[str] = FORMATS, sources: Sequence[str] | None = None, version: str = S.ID_VERSION, raw: str = "raw") -> DataFrame:
     """(archive_id, problem) of manifests (archive_id, raw: JSON text): a row for each rule that one breaks. A manifest that lacks
     something says only that. sources: the sources that scopes may have, all if None."""
-    v = F.col("_v")
-    text, whole, kind = (lambda p: _text(v, p)), (lambda p: _whole(v, p)), (lambda p: _kind(v, p))
+    fields: dict[str, str] = {}
+
+    def field(path: str) -> Column:
+        return F.col(fields.setdefault(path, f"_f{len(fields)}"))
+
+    text, whole, items, kind = (lambda p: field(p)["text"]), (lambda p: field(p)["whole"]), (lambda p: field(p)["items"]), (lambda p: field(p)["kind"])
     no = lambda c: ~F.coalesce(c, F.lit(False))
     lacking = [(f"lacks {k}", kind(f"$.{k}") == "NONE") for k in REQUIRED]
     own, kinds = text("$.export_id"), text("$.kind")
-    revision, supersedes = whole("$.revision"), F.transform(_list(v, "$.supersedes"), lambda x: x.try_cast("string"))
-    line = F.transform(_list(v, "$.lineage"), lambda x: x.try_cast("string"))
+    revision, supersedes = whole("$.revision"), F.transform(items("$.supersedes"), lambda x: x.try_cast("string"))
+    line = F.transform(items("$.lineage"), lambda x: x.try_cast("string"))
     ends = F.try_element_at(line, F.lit(-1)).eqNullSafe(own)
-    counts = F.try_variant_get(v, "$.counts", "map<string,variant>")
     is_feed = F.coalesce((kinds == "delta") | (text("$.archive_format") == formats[1]), F.lit(False))
     feed = is_feed & (kind("$.feed") == "OBJECT")
     after, through, parent = whole("$.feed.after"), whole("$.feed.through"), text("$.feed.parent")
-    requires = F.transform(_list(v, "$.requires"), lambda x: x.try_cast("string"))
+    requires = F.transform(items("$.requires"), lambda x: x.try_cast("string"))
     scope_ok = lambda x: _text(x, "$.scope").isNotNull() & (_text(x, "$.source").isin(*sources) if sources else _text(x, "$.source").isNotNull())
     none = lambda p: kind(p).isin("NONE", "VOID")
     rules = [
         ("export_id is no urn", no(own.startswith("urn:uuid:"))), ("export_set is no urn", no(text("$.export_set").startswith("urn:uuid:"))),
-        ("account_scopes are no sources with scopes", (kind("$.account_scopes") != "NONE") & ~_all(_list(v, "$.account_scopes"), scope_ok)),
-        ("scope_mappings lack from or to", (kind("$.scope_mappings") != "NONE") & ~_all(_list(v, "$.scope_mappings"), lambda x: _text(x, "$.from").isNotNull() & _text(x, "$.to").isNotNull())),
+        ("account_scopes are no sources with scopes", (kind("$.account_scopes") != "NONE") & ~_all(items("$.account_scopes"), scope_ok)),
+        ("scope_mappings lack from or to", (kind("$.scope_mappings") != "NONE") & ~_all(items("$.scope_mappings"), lambda x: _text(x, "$.from").isNotNull() & _text(x, "$.to").isNotNull())),
         ("unknown archive_format", no(text("$.archive_format").isin(*formats))), ("other id_version", ~none("$.id_version") & ~F.coalesce(text("$.id_version").isin("", version), F.lit(False))),
         ("unknown kind", no(kinds.isin(*KINDS))),
         ("bucket lacks a label or a time before its end", F.coalesce(kinds.isin("bucket", "range"), F.lit(False)) & (none("$.bucket.label") | no(whole("$.bucket.start_utc_ms") < whole("$.bucket.end_utc_ms")))),
         ("revision is no positive integer", no(revision >= 1)),
         ("lineage doesn't end with this export", ~ends), ("lineage and revision differ", ends & ~F.size(line).eqNullSafe(revision.cast("int"))),
         ("supersedes what isn't in the lineage", ~_all(supersedes, lambda s: F.array_contains(line, s))), ("later revision supersedes none", (revision > 1) & no(F.size(supersedes) > 0)),
-        ("counts are no numbers", ~_all(F.map_values(counts), lambda c: _whole(c, "$") >= 0)), ("created_at is no integer", kind("$.created_at") != "BIGINT"),
+        ("counts are no numbers", ~_all(F.map_values(F.col("_counts")), lambda c: _whole(c, "$") >= 0)), ("created_at is no integer", kind("$.created_at") != "BIGINT"),
         ("unknown context", ~none("$.context") & no(text("$.context").isin("full", "minimal"))),
         ("delta and feed format go together", is_feed & no((kinds == "delta") & (text("$.archive_format") == formats[1]))), ("lacks feed", is_feed & ~feed),
         ("feed lacks stream or producer", feed & no((text("$.feed.stream") != "") & (text("$.feed.producer") != ""))), ("feed bounds are out of order", feed & no((after >= 0) & (after < through))),
@@ -82,49 +91,46 @@ def manifest_problems(manifests: DataFrame, formats: Sequence[str] = FORMATS, so
         ("feed batches supersede nothing", is_feed & ~((F.coalesce(F.size(supersedes), F.lit(0)) == 0) & revision.eqNullSafe(F.lit(1)))),
     ]
     said = lambda some: F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for m, c in some)), lambda x: x.isNotNull())
-    t = manifests.select("archive_id", F.try_parse_json(raw).alias("_v")).withColumn("_lacks", said(lacking))
-    found = F.when(~F.coalesce(kind("$") == "OBJECT", F.lit(False)), F.array(F.lit("no object"))).when(F.size("_lacks") > 0, F.col("_lacks")).otherwise(said(rules))
+    root = kind("$")
+    v = F.col("_v")
+    got = {name: F.struct(_kind(v, p).alias("kind"), _text(v, p).alias("text"), _whole(v, p).alias("whole"), _list(v, p).alias("items")) for p, name in fields.items()}
+    t = _once(_once(manifests.select("archive_id", raw), _v=F.try_parse_json(raw)), **got, _counts=F.try_variant_get(v, "$.counts", "map<string,variant>"))
+    lacks = said(lacking)
+    found = F.when(v.isNull() | (root != "OBJECT"), F.array(F.lit("no object"))).when(F.size(lacks) > 0, lacks).otherwise(said(rules))
     return t.select("archive_id", F.explode(found).alias("problem"))
 
 
-def json_digest(v: Column) -> Column:
-    """The revision digest of a record in JSON: of its canonical form without what belongs to a sighting. Numbers count in the form
-    that Spark gives them, so 1.50 and 1.5 are one."""
+def json_body(v: Column) -> Column:
+    """The canonical form of a record in JSON without what belongs to a sighting; its SHA-256 is the record's digest. Numbers count in
+    the form that Spark gives them, so 1.50 and 1.5 are one."""
     fields = v.try_cast("map<string,variant>")
     names = F.array_except(F.array_sort(F.map_keys(fields)), F.array(*map(F.lit, (*S.VOLATILE, "iso"))))
-    body = F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.try_element_at(fields, k))))
-    return F.concat(F.lit("sha256:"), F.sha2(S._lower_escapes(body), 256))
-
-
-def _record_problem(v: Column, by_kind: dict[str, dict] | None) -> Column:
-    """What is wrong with a record: its digest, then the first breach of its kind's schema; null if nothing is."""
-    out = F.when(~_text(v, "$.revision_digest").eqNullSafe(json_digest(v)), "digest isn't that of the record")
-    for name, schema in (by_kind or {}).items():
-        out = out.when(_text(v, "$.entity") == name, F.concat(F.lit("schema: "), F.try_element_at(J.Compiler(schema).problems(v), F.lit(1))))
-    return out
+    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.try_element_at(fields, k))))
 
 
 def checked_rows(rows: DataFrame, by_kind: dict[str, dict] | None = None) -> DataFrame:
     """(archive_id, member, line, entity, seq, problem) of the rows of archives, blank lines left out; problem is null for a
     good row. rows: (archive_id, member, line, raw); members are named records/<entity>.jsonl. by_kind: JSON Schemas by
     entity. Nothing is shuffled."""
-    v, entity = F.col("_v"), F.col("entity")
-    t = rows.where(F.length(F.btrim("raw")) > 0).withColumns({"entity": F.regexp_extract("member", r"^records/(.*)\.jsonl$", 1), "_v": F.try_parse_json("raw")})
-    inner = F.try_variant_get(v, "$.record", "variant")
-    data = F.coalesce(_text(v, "$.data"), F.to_json(F.try_variant_get(v, "$.data", "variant")))
-    fits = (_kind(v, "$.record") == "OBJECT") & _text(v, "$.record.urn").eqNullSafe(_text(v, "$.entity_urn")) & _text(v, "$.record.entity").eqNullSafe(_text(v, "$.entity_kind"))
-    revision = (
-        F.when(~fits, "revision's record is another").when(~_text(v, "$.revision_digest").eqNullSafe(json_digest(inner)), "revision's digest isn't that of its record")
-        .when(_kind(v, "$.observed_at") != "BIGINT", "revision's time is no integer").otherwise(_record_problem(inner, by_kind))
-    )
+    v, r, entity = F.col("_v"), F.col("_r"), F.col("entity")
+    t = _once(rows.where(F.length(F.btrim("raw")) > 0).withColumn("entity", F.regexp_extract("member", r"^records/(.*)\.jsonl$", 1)), _v=F.try_parse_json("raw"))
+    t = _once(t.drop("raw"), _r=F.when(entity == "revisions", F.try_variant_get(v, "$.record", "variant")).otherwise(v), seq=F.when(entity == "changes", _whole(v, "$.seq")))
+    t = _once(t, _body=F.when(~entity.isin("changes", "stubs", "source_observations"), json_body(r)), _event=F.when(entity == "changes", F.coalesce(_text(v, "$.data"), F.to_json(F.try_variant_get(v, "$.data", "variant")))))
+    t = _once(t, _signed=_text(r, "$.revision_digest").eqNullSafe(F.concat(F.lit("sha256:"), F.sha2(S._lower_escapes(F.col("_body")), 256))))
+    record = F.when(~F.col("_signed"), "digest isn't that of the record")
+    for name, schema in (by_kind or {}).items():
+        record = record.when(_text(r, "$.entity") == name, F.concat(F.lit("schema: "), F.try_element_at(J.Compiler(schema).problems(r), F.lit(1))))
+    fits = (_kind(r, "$") == "OBJECT") & _text(r, "$.urn").eqNullSafe(_text(v, "$.entity_urn")) & _text(r, "$.entity").eqNullSafe(_text(v, "$.entity_kind"))
+    unlike = ~F.col("_signed") | ~_text(v, "$.revision_digest").eqNullSafe(_text(r, "$.revision_digest"))
     problem = (
         F.when(v.isNull(), "no JSON").when(_kind(v, "$") != "OBJECT", "row is no object")
-        .when(entity == "changes", store.event_problem(_whole(v, "$.seq"), _text(v, "$.operation"), data))
-        .when((entity == "stubs"), F.when(_text(v, "$.urn").isNull() | _text(v, "$.entity").isNull(), "stub lacks urn or entity"))
-        .when(entity == "revisions", revision).when(entity == "source_observations", store.observation_problem(v))
-        .when(~_text(v, "$.entity").eqNullSafe(entity), "row of another entity").otherwise(_record_problem(v, by_kind))
+        .when(entity == "changes", store.event_problem(F.col("seq"), _text(v, "$.operation"), F.col("_event")))
+        .when(entity == "stubs", F.when(_text(v, "$.urn").isNull() | _text(v, "$.entity").isNull(), "stub lacks urn or entity")).when(entity == "source_observations", store.observation_problem(v))
+        .when((entity == "revisions") & ~fits, "revision's record is another").when((entity == "revisions") & unlike, "revision's digest isn't that of its record")
+        .when((entity == "revisions") & (_kind(v, "$.observed_at") != "BIGINT"), "revision's time is no integer")
+        .when((entity != "revisions") & ~_text(v, "$.entity").eqNullSafe(entity), "row of another entity").otherwise(record)
     )
-    return t.select("archive_id", "member", "line", "entity", F.when(entity == "changes", _whole(v, "$.seq")).alias("seq"), problem.alias("problem"))
+    return _once(t, problem=problem).select("archive_id", "member", "line", "entity", "seq", "problem")
 
 
 def count_problems(manifests: DataFrame, checked: DataFrame, members: DataFrame) -> DataFrame:
@@ -172,18 +178,18 @@ def feed_problems(manifests: DataFrame, checked: DataFrame) -> DataFrame:
     return t.where(~F.coalesce(good, F.lit(False))).select("archive_id", F.lit("events aren't the manifest's, each once and in order").alias("problem"))
 
 
-def verify_archives(manifests: DataFrame, rows: DataFrame, members: DataFrame, by_kind: dict[str, dict] | None = None, formats: Sequence[str] = FORMATS, sources: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def verify_archives(manifests: DataFrame, rows: DataFrame, members: DataFrame, by_kind: dict[str, dict] | None = None, formats: Sequence[str] = FORMATS, sources: Sequence[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(report, problems) of many archives. problems: (archive_id, place, line, problem), place being `manifest`, `archive` or a
     member. report: (archive_id, ok, row_problems, reported), the first REPORTED problems by place, line and text.
 
     An archive whose manifest breaks a rule is looked at no further. manifests: (archive_id, raw), one row each; rows:
-    (archive_id, member, line, raw); members: (archive_id, name, sha256). Rows are parsed once: pass them through a
-    checkpoint of checked_rows where that matters more than its space.
+    (archive_id, member, line, raw); members: (archive_id, name, sha256). What is found of each row, without its text, is
+    read three times: keep writes it, such as to a checkpoint, else rows are parsed three times.
     """
     first = manifest_problems(manifests, formats, sources).select("archive_id", F.lit("manifest").alias("place"), F.lit(None).cast("long").alias("line"), "problem")
     bad = first.select("archive_id").distinct()
     good = lambda df: df.join(bad, "archive_id", "left_anti")
-    m, files, checked = good(manifests), good(members), good(checked_rows(rows, by_kind))
+    m, files, checked = good(manifests), good(members), good(keep(checked_rows(rows, by_kind)))
     broken = checked.where("problem is not null").select("archive_id", F.col("member").alias("place"), F.col("line").cast("long").alias("line"), "problem")
     whole = count_problems(m, checked, files).unionByName(member_problems(m, files)).unionByName(feed_problems(m, checked))
     problems = first.unionByName(whole.select("archive_id", F.lit("archive").alias("place"), F.lit(None).cast("long").alias("line"), "problem")).unionByName(broken)

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import q_archive, q_curation, q_extract, q_feed, q_intervals, q_keys, q_layouts, q_more, q_reads, q_routing, q_state, q_store, q_streams  # noqa: E402, F401
+from . import q_archive, q_curation, q_extract, q_feed, q_intervals, q_keys, q_layouts, q_more, q_reads, q_routing, q_state, q_store, q_streams, q_verify  # noqa: E402, F401
