@@ -170,11 +170,11 @@ def _uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(F.lower(variant), F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
-def urn(source: Column | str, scope: Column | str, entity: str, native_key: Column, version: str = ID_VERSION) -> Column:
+def urn(source: Column | str, scope: Column | str, entity: Column | str, native_key: Column, version: str = ID_VERSION) -> Column:
     """urn:uuid of a record: UUIDv5 over version, source, scope, entity type and native key."""
     text = lambda c: c if isinstance(c, Column) else F.lit(c)
-    name = _key([F.lit(version), text(source), text(scope), F.lit(entity), native_key])
-    return F.when(native_key.isNotNull(), F.concat(F.lit("urn:uuid:"), _uuid5(name)))
+    name = _key([F.lit(version), text(source), text(scope), text(entity), native_key])
+    return F.when(native_key.isNotNull() & text(entity).isNotNull(), F.concat(F.lit("urn:uuid:"), _uuid5(name)))
 
 
 def link_urn(person: Column | str, identity: Column | str, version: str = ID_VERSION) -> Column:

@@ -39,6 +39,35 @@ def map_scope(observations: DataFrame, heads: DataFrame, source: Column | str, t
     return t.join(heads.select(F.col("urn").alias("old_urn")), "old_urn", "left_semi").join(heads.select(F.col("urn").alias("new_urn")), "new_urn", "left_anti").where("old_urn != new_urn")
 
 
+#: The type by which the urns of a kind of records are made.
+ENTITY_TYPE = {"identities": "identity", "accounts": "identity", "chats": "chat", "messages": "message", "attachments": "attachment", "message_parts": "event", "events": "event", "chat_memberships": "event", "aliases": "event"}
+
+
+def declare_same_scope(observations: DataFrame, heads: DataFrame, configured: DataFrame, known: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(aliases, skipped): that an account scope is the same account as another. Every record that was seen in the old scope under
+    a native key, and wasn't minted, gets an alias to the urn that it would have in the new one; nothing is rewritten, and an
+    alias that is known isn't made again. skipped: (kind, n) of records whose kind has no urn of its own.
+
+    It is an error if the scopes are one, if the old one has no records, or if records of it have a source that the new
+    one doesn't have. observations: (urn, source, scope, native_key, minted); heads: (urn, kind, source, scope);
+    configured: (source, scope); known: (old_urn, new_urn)."""
+    if old == new:
+        raise ValueError("both scopes are one")
+    of = lambda df, scope: {r.source for r in df.where(F.col("scope") == scope).select("source").distinct().collect()}  # noqa: E731  # few sources
+    have, target = of(heads, old), of(heads, new) | of(configured, new)
+    if not have:
+        raise ValueError(f"no records in scope {old}")
+    if target and not have <= target:
+        raise ValueError(f"scopes of different sources: {sorted(have)} and {sorted(target)}")
+    seen = observations.where((F.col("scope") == old) & ~F.col("minted") & F.col("native_key").isNotNull()).select("urn", "source", "native_key").distinct().join(heads.select("urn", "kind"), "urn")
+    typed = F.create_map(*(F.lit(x) for pair in ENTITY_TYPE.items() for x in pair))
+    t = seen.withColumn("entity", F.try_element_at(typed, F.col("kind"))).withColumn("new_urn", S.urn(F.col("source"), new, F.col("entity"), F.col("native_key")))
+    key = S.composite_key(F.lit("scope_map"), F.col("old_urn"), F.lit(new))
+    pairs = t.where("new_urn is not null and new_urn != urn").select("source", F.col("urn").alias("old_urn"), "new_urn").distinct().join(known.select("old_urn", "new_urn"), ["old_urn", "new_urn"], "left_anti")
+    aliases = pairs.select(S.urn(F.col("source"), old, "event", key).alias("urn"), "source", F.lit(old).alias("scope"), "old_urn", "new_urn", F.lit("scope_map").alias("reason"))
+    return aliases, t.where(~F.col("kind").isin(*ENTITY_TYPE)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def scopes(heads: DataFrame, configured: DataFrame, mappings: DataFrame) -> DataFrame:
     """(scope, source, records, origin, mapped_to): scopes with records and scopes that are only configured."""
     n = heads.groupBy("scope", "source").agg(F.count("*").alias("records"))

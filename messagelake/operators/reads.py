@@ -45,6 +45,17 @@ def sender_set(messages: DataFrame, links: DataFrame, person: str) -> DataFrame:
     return messages.join(own.distinct(), "sender", "left_semi")
 
 
+def senders(links: DataFrame, person: str | None = None, explicit: Sequence[str] = ()) -> DataFrame:
+    """(sender): the explicit ones and a person's confirmed identities. It is an error if there are none: a filter without
+    senders would find nothing without saying why."""
+    named = links.sparkSession.createDataFrame([(s,) for s in explicit], "sender string")
+    own = links.where((F.col("person_urn") == person) & (F.col("state") == "confirmed")).select(F.col("identity_urn").cast("string").alias("sender"))
+    out = named.union(own).distinct()
+    if person is not None and out.isEmpty():
+        raise LookupError(f"person {person} has no linked identities")
+    return out
+
+
 def allowlisted(values: Column, names: Sequence[str]) -> Column:
     """Of a map the named entries that aren't null."""
     return F.map_filter(values, lambda k, v: k.isin(*names) & v.isNotNull())
@@ -227,6 +238,28 @@ def cap_children(df: DataFrame, by: Sequence[str], child: str, n: int = 50) -> D
     return few.groupBy(*by).agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.col(child)))).alias("children"))
 
 
+def hydrate_chats(chats: DataFrame, messages: DataFrame, members: DataFrame, labels: DataFrame, n: int = 50) -> DataFrame:
+    """Chats as listings show them: (urn, chat_kind, label, service, assignment, message_count, last_message_utc_ms, participants
+    of (urn, label), provenance of (source, account_scope)). A chat has its first n participants by urn; ranks come before
+    labels, so of a large chat only those are joined and collected.
+
+    chats: (urn, kind, service, assignment, source, account_scope); messages: (chat_urn, utc_ms); members: (chat_urn,
+    identity_urn); labels: (urn, label)."""
+    wanted = chats.select(F.col("urn").alias("chat_urn"))
+    active = messages.join(wanted, "chat_urn", "left_semi").groupBy("chat_urn").agg(F.count("*").alias("message_count"), F.max("utc_ms").alias("last_message_utc_ms"))
+    order = Window.partitionBy("chat_urn").orderBy("identity_urn")
+    few = members.select("chat_urn", "identity_urn").where("identity_urn is not null").join(wanted, "chat_urn", "left_semi").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    called = labels.select("urn", "label")
+    named = few.join(called.withColumnRenamed("urn", "identity_urn"), "identity_urn", "left")
+    people = named.groupBy("chat_urn").agg(F.array_sort(F.collect_list(F.struct(F.col("identity_urn").alias("urn"), "label"))).alias("participants"))
+    t = chats.join(called, "urn", "left").withColumnRenamed("urn", "chat_urn").join(active, "chat_urn", "left").join(people, "chat_urn", "left")
+    none = F.array().cast("array<struct<urn:string,label:string>>")
+    return t.select(
+        F.col("chat_urn").alias("urn"), F.col("kind").alias("chat_kind"), "label", "service", "assignment", F.coalesce("message_count", F.lit(0)).alias("message_count"), "last_message_utc_ms",
+        F.coalesce(F.col("participants").cast("array<struct<urn:string,label:string>>"), none).alias("participants"), F.struct("source", "account_scope").alias("provenance"),
+    )
+
+
 def attach_children(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
     """Parents with arrays of children; each child table is grouped by the key before it is joined. children: (key, order, row)."""
     for name, df in children.items():
@@ -358,6 +391,22 @@ def render(sender: Column, ms: Column, text: Column, zone: str = "UTC") -> Colum
     return F.concat(F.lit("["), F.coalesce(at, F.lit("?")), F.lit("] "), F.coalesce(sender, F.lit("?")), F.lit(": "), F.coalesce(text, F.lit("")))
 
 
+def render_message(urn: Column, ms: Column, sender: Column, mine: Column, text: Column, kind: Column, attachments: Column, events: Column, truncated: Column, zone: str = "UTC") -> Column:
+    """A message as a reader sees it: time, who, text, then its attachments and reactions, its kind unless it is a plain message,
+    and its urn on a line of its own. attachments: array of (kind, filename, availability); events: array of (kind, emoji), of
+    which reactions are shown; both may be null."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    at = F.coalesce(F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone), "yyyy-MM-dd HH:mm"), F.lit("?"))
+    who = F.when(F.coalesce(mine, F.lit(False)), "me").otherwise(F.coalesce(F.when(sender != "", sender), F.lit("?")))
+    none = F.array().cast("array<string>")
+    files = F.coalesce(F.transform(attachments, lambda a: F.concat(F.lit("[attachment "), blank(a["kind"]), F.lit(" "), blank(a["filename"]), F.lit(" "), blank(a["availability"]), F.lit("]"))), none)
+    shown = F.filter(events, lambda e: F.coalesce(e["kind"].startswith("reaction"), F.lit(False)))
+    reactions = F.coalesce(F.transform(shown, lambda e: F.concat(F.lit("["), e["kind"], F.lit(" "), blank(e["emoji"]), F.lit("]"))), none)
+    own = F.when(kind != "message", F.array(F.concat(F.lit("["), kind, F.lit("]")))).otherwise(none)
+    extras = F.concat(files, reactions, own)
+    return F.concat(at, F.lit("  "), who, F.lit(": "), blank(text), F.when(F.size(extras) > 0, F.concat(F.lit("  "), F.array_join(extras, " "))).otherwise(""), F.when(F.coalesce(truncated, F.lit(False)), " …[truncated]").otherwise(""), F.lit("\n    "), urn)
+
+
 # --- history, people, status
 
 

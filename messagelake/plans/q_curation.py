@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import curation as K
 from ..session import table
-from .bindings import IDENTITIES_SQL, MESSAGES_SQL, ORDERS_SQL, identities, messages, order_messages, with_sql
+from .bindings import IDENTITIES_SQL, MESSAGES_SQL, ORDERS_SQL, SCOPE, identities, messages, order_messages, urn_sql, with_sql
 from .registry import query
 
 OTHER_SCOPE = "00000000-0000-4000-8000-000000000002"
@@ -33,6 +33,25 @@ def k4(spark, sf):
     return K.map_scope(o, m, "conversations", OTHER_SCOPE).agg(F.count("*").alias("n"), F.count_distinct("old_urn").alias("old"), F.count_distinct("new_urn").alias("new"))
 
 
+KEY_SQL = "CAST(to_json([CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)]) AS VARCHAR)"
+SAME_SQL = urn_sql("conversations", "event", f"CAST(to_json(['scope_map', urn, '{OTHER_SCOPE}']) AS VARCHAR)")
+
+
+@query("k4_same_scope", with_sql(MESSAGES_SQL) + f""", t AS (SELECT urn, turn, {urn_sql('conversations', 'message', KEY_SQL).replace(SCOPE, OTHER_SCOPE)} AS new_urn FROM messages WHERE turn % 4 <> 0 AND turn % 3 <> 0 AND turn % 5 <> 0)
+  SELECT {SAME_SQL} AS urn, urn AS old_urn, new_urn FROM t UNION ALL SELECT 'skipped', 'runs', CAST((SELECT count(*) FROM messages WHERE turn % 4 <> 0 AND turn % 3 = 0) AS VARCHAR)""")
+def k4_same(spark, sf):
+    """Turns of one scope as turns of another: minted ones (turn % 4 = 0), ones of a kind without urns (turn % 3 = 0), and aliases
+    that are known (turn % 5 = 0) are left out."""
+    m = messages(spark, sf)
+    key = S.composite_key(F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    o = m.select("urn", "source", F.lit(SCOPE).alias("scope"), key.alias("native_key"), (F.col("turn") % 4 == 0).alias("minted"))
+    heads = m.select("urn", F.when(F.col("turn") % 3 == 0, "runs").otherwise("messages").alias("kind"), "source", F.lit(SCOPE).alias("scope"))
+    known = m.where("turn % 5 = 0").select(F.col("urn").alias("old_urn"), S.urn("conversations", OTHER_SCOPE, "message", key).alias("new_urn"))
+    configured = spark.createDataFrame([("conversations", OTHER_SCOPE)], "source string, scope string")
+    aliases, skipped = K.declare_same_scope(o, heads, configured, known, SCOPE, OTHER_SCOPE)
+    return aliases.select("urn", "old_urn", "new_urn").unionByName(skipped.select(F.lit("skipped").alias("urn"), F.col("kind").alias("old_urn"), F.col("n").cast("string").alias("new_urn")))
+
+
 @query("k5_g7_scopes", with_sql(ORDERS_SQL) + """ SELECT coalesce(a.scope, b.scope) AS scope, coalesce(a.source, b.source) AS source, coalesce(records, 0) AS records, CASE WHEN b.scope IS NULL THEN 'imported' ELSE 'configured' END AS origin, CASE WHEN coalesce(a.scope, b.scope) = 'O' THEN 'F' END AS mapped_to
   FROM (SELECT kind AS scope, source, count(*) AS records FROM om GROUP BY ALL) a FULL JOIN (SELECT 'O' AS scope, r_name AS source FROM region) b ON a.scope = b.scope AND a.source = b.source""")
 def k5(spark, sf):

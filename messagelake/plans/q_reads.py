@@ -135,6 +135,51 @@ def q14(spark, sf):
     return R.cap_children(t, ["chat"], "s_name", 3).select("chat", "total", F.array_join("children", "|").alias("children"))
 
 
+@query("q14_hydrate_chats", with_sql(ORDERS_SQL) + """, mem AS (SELECT DISTINCT chat, 's' || l_suppkey AS who FROM om JOIN lineitem ON l_orderkey = urn WHERE l_suppkey IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY who) AS r FROM mem),
+  p AS (SELECT chat, string_agg(who || '=' || coalesce(s_name, '?'), '|' ORDER BY who) AS participants FROM r LEFT JOIN supplier ON who = 's' || s_suppkey AND s_suppkey % 3 <> 0 WHERE r <= 5 GROUP BY chat), n AS (SELECT chat, count(*) AS n, max(utc_ms) AS ms FROM om GROUP BY chat)
+  SELECT 'c' || c_custkey AS urn, c_mktsegment AS chat_kind, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS label, coalesce(n, 0) AS message_count, ms AS last_message_utc_ms, coalesce(participants, '') AS participants, 'customer/' || c_nationkey AS provenance FROM customer LEFT JOIN n ON n.chat = c_custkey LEFT JOIN p ON p.chat = c_custkey""")
+def q14_chats(spark, sf):
+    """Customers as chats, orders as their messages, suppliers as participants: the first five of each."""
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    chat = F.concat(F.lit("c"), "chat")
+    m = order_messages(spark, sf)
+    parts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("urn"), F.concat(F.lit("s"), "l_suppkey").alias("identity_urn"))
+    members = m.select("urn", chat.alias("chat_urn")).join(parts, "urn").select("chat_urn", "identity_urn")
+    labels = c.where("c_custkey % 4 != 0").select(F.concat(F.lit("c"), "c_custkey").alias("urn"), F.col("c_name").alias("label")).union(s.where("s_suppkey % 3 != 0").select(F.concat(F.lit("s"), "s_suppkey"), "s_name"))
+    null = F.lit(None).cast("string")
+    chats = c.select(F.concat(F.lit("c"), "c_custkey").alias("urn"), F.col("c_mktsegment").alias("kind"), null.alias("service"), null.alias("assignment"), F.lit("customer").alias("source"), F.col("c_nationkey").cast("string").alias("account_scope"))
+    out = R.hydrate_chats(chats, m.select(chat.alias("chat_urn"), "utc_ms"), members, labels, 5)
+    shown = F.array_join(F.transform("participants", lambda p: F.concat(p["urn"], F.lit("="), F.coalesce(p["label"], F.lit("?")))), "|")
+    return out.select("urn", "chat_kind", "label", "message_count", "last_message_utc_ms", shown.alias("participants"), F.concat_ws("/", "provenance.source", "provenance.account_scope").alias("provenance"))
+
+
+@query("q23_render_messages", with_sql(ORDERS_SQL) + """, l AS (SELECT l_orderkey AS urn, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS status FROM lineitem),
+  a AS (SELECT urn, string_agg('[attachment ' || status || ' ' || n || ' ' || flag || ']', ' ' ORDER BY n, flag, status) AS files FROM l WHERE n % 2 = 1 GROUP BY urn),
+  e AS (SELECT urn, string_agg('[reaction ' || CASE WHEN flag = 'N' THEN '' ELSE flag END || ']', ' ' ORDER BY n, flag) AS marks FROM l WHERE n % 2 = 0 AND status = 'O' GROUP BY urn)
+  SELECT om.urn, strftime(make_timestamp(utc_ms * 1000 + 5400000000), '%Y-%m-%d %H:%M') || '  ' || CASE WHEN om.urn % 5 = 0 THEN 'me' WHEN om.urn % 5 = 1 THEN '?' ELSE 'c' || chat END || ': ' || source || CASE WHEN files IS NULL AND marks IS NULL AND kind = 'O' THEN '' ELSE '  ' || concat_ws(' ', files, marks, CASE WHEN kind <> 'O' THEN '[' || kind || ']' END) END
+    || CASE WHEN om.urn % 7 = 0 THEN ' …[truncated]' ELSE '' END || chr(10) || '    ' || om.urn AS line FROM om LEFT JOIN a ON a.urn = om.urn LEFT JOIN e ON e.urn = om.urn""")
+def q23_whole(spark, sf):
+    """Orders as messages whose odd lines are attachments and whose even ones are events, some of them reactions."""
+    m = order_messages(spark, sf)
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("urn"), line.alias("l")).groupBy("urn").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    odd, even = F.filter("lines", lambda x: x["n"] % 2 == 1), F.filter("lines", lambda x: x["n"] % 2 == 0)
+    files = F.transform(odd, lambda x: F.struct(x["status"].alias("kind"), x["n"].alias("filename"), x["flag"].alias("availability")))
+    events = F.transform(even, lambda x: F.struct(F.when(x["status"] == "O", "reaction").otherwise("edit").alias("kind"), F.when(x["flag"] != "N", x["flag"]).alias("emoji")))
+    own = F.col("urn")
+    sender = F.when(own % 5 == 1, F.lit("")).otherwise(F.concat(F.lit("c"), F.col("chat").cast("string")))
+    kind = F.when(F.col("kind") == "O", "message").otherwise(F.col("kind"))
+    text = R.render_message(own.cast("string"), F.col("utc_ms"), sender, own % 5 == 0, F.col("source"), kind, files, events, own % 7 == 0, "+01:30")
+    return m.join(lines, "urn", "left").select("urn", text.alias("line"))
+
+
+@query("p2_person_or_senders", "SELECT user_id, count(*) AS n FROM events WHERE user_id % 10 = 3 OR user_id = 7 GROUP BY user_id")
+def p2_senders(spark, sf):
+    t = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("sender"))
+    links = t.distinct().select(F.col("sender").alias("identity_urn"), F.substring("sender", -1, 1).alias("person_urn"), F.lit("confirmed").alias("state"))
+    return t.join(R.senders(links, "3", ["7"]), "sender", "left_semi").groupBy(F.col("sender").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
 #: Citations of urns with heads (1 to 4 of 5), at the end of a chain of 20 aliases, in a circle, of several aliases, and of none.
 CITED = """SELECT DISTINCT CASE WHEN urn % 10 = 0 THEN urn WHEN urn % 10 = 5 THEN urn WHEN urn % 4 = 1 THEN urn + 20000000 WHEN urn % 4 = 3 AND urn % 3 = 0 THEN urn + 90000000 ELSE urn END AS urn, digest, urn AS own FROM ob"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import store
@@ -14,12 +14,29 @@ def write_records(df: DataFrame, path: str, order: tuple[str, ...] = ("urn", "re
     df.repartitionByRange(*order).sortWithinPartitions(*order).select(body.alias("value")).write.mode("errorifexists").text(path)
 
 
+def numbered(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(file, line, value) of lines, or of those wanted, numbered from 1 in their files. lines, and wanted as rows of it: (file,
+    value, _block, _id) as text_lines gives them. A file's blocks are counted apart and add up, so a large file is read in as
+    many tasks as it has blocks, and only wanted lines meet the counts: a row for each block."""
+    n = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = n.select("file", "_block", "_first", before.alias("_before"))
+    t = (lines if wanted is None else wanted).join(starts, ["file", "_block"])
+    return t.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, _block, _id): lines with the block of the file that they are in, and their place in the task."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+
+
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, errors): lines that are no JSON of the schema, with their file and text."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """(records, errors): lines that are no JSON of the schema come as (file, line, value); blank lines are left out."""
+    raw = text_lines(spark, path)
     parsed = raw.withColumn("r", F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
-    return parsed.where(~bad).select("r.*").drop("_corrupt"), parsed.where(bad).select("file", "value")
+    blank = F.length(F.btrim("value")) == 0
+    bad = (F.col("r").isNull() | F.col("r._corrupt").isNotNull()) & ~blank
+    return parsed.where(~bad & ~blank).select("r.*").drop("_corrupt"), numbered(raw, parsed.where(bad).drop("r"))
 
 
 def iter_records(heads: DataFrame, kind: str, source: str | None = None, scope: str | None = None, tombstoned: bool = False) -> DataFrame:
