@@ -19,6 +19,8 @@ from .common import kept
 LEAF = 4096
 #: Bytes of a text beyond which its pieces of so many characters are encoded by tasks of their own.
 LONG, PIECE = 4 << 20, 1 << 18
+#: Rows that a worker holds as Python objects at once.
+ROWS = 256
 #: Characters on either side of a join that are re-encoded first.
 WINDOW = 32
 
@@ -197,9 +199,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _ids([codec(path).encode(t, leaf) if t else np.zeros(0, np.int64) for t in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        for whole in batches:
+            for batch in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                ids = _ids([codec(path).encode(t, leaf) if t else np.zeros(0, np.int64) for t in batch["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long
@@ -214,9 +217,11 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text that the ids stand for; bytes that are no UTF-8 become U+FFFD. Null ids are none."""
 
-    @F.pandas_udf("string")
-    def decoded(ids):
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
         own = codec(path)
-        return ids.map(lambda x: "" if x is None else own.decode(x.tolist()))
+        few = (ids.slice(k, ROWS).to_pylist() for k in range(0, len(ids), ROWS))
+        parts = [pa.array(["" if x is None else own.decode(x) for x in xs], pa.string()) for xs in few]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return encoded.withColumn(out_col, decoded(F.col(ids_col)))
