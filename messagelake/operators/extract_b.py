@@ -58,8 +58,12 @@ def infer_chat(message: DataFrame, joins: DataFrame, chat: DataFrame) -> DataFra
     the same service first, then the lowest row."""
     lost = message.join(joins.select(F.col("message_id").alias("ROWID")).distinct(), "ROWID", "left_anti").where("ck_chat_id is not null")
     left = lost.select(F.col("ROWID").alias("message_id"), "service", S.ck_identifier("ck_chat_id").alias("tail"))
-    right = chat.select(F.col("ROWID").alias("chat_id"), F.col("chat_identifier").alias("tail"), "service_name")
-    return left.join(right, "tail").groupBy("message_id").agg(F.min_by("chat_id", F.struct(~F.col("service").eqNullSafe(F.col("service_name")), "chat_id")).alias("chat_id"))
+    # a row for each identifier and service, then for each identifier: a message meets one of each, however many chats share it
+    own = chat.groupBy(F.col("chat_identifier").alias("tail"), F.col("service_name").alias("_service")).agg(F.min("ROWID").alias("_own"))
+    lowest = own.groupBy("tail").agg(F.min("_own").alias("_any"))
+    own = own.withColumnRenamed("tail", "_tail")
+    met = left.join(lowest, "tail").join(own, (F.col("tail") == F.col("_tail")) & F.col("service").eqNullSafe(F.col("_service")), "left")
+    return met.groupBy("message_id").agg(F.min("_own").alias("_own"), F.min("_any").alias("_any")).select("message_id", F.coalesce("_own", "_any").alias("chat_id"))
 
 
 def stub_chats(message: DataFrame, joins: DataFrame, inferred: DataFrame, scope: str) -> DataFrame:
