@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from messagelake.operators import extract_b as B
+from messagelake.operators import schemas as J
 
 
 def join_rows(df):
@@ -28,3 +29,14 @@ def test_chats_that_share_an_identifier_are_not_joined_one_by_one(spark):
     found = B.infer_chat(message, spark.createDataFrame([(7, 5)], "chat_id long, message_id long"), chat)
     assert max(join_rows(found)) <= 300
     assert {r.message_id: r.chat_id for r in found.collect()} == {k: 2 if k % 3 == 0 else 1 for k in range(290) if k != 5}
+
+
+def test_a_schema_reads_the_fields_of_each_level_once(spark):
+    schema, value = {"type": "integer", "minimum": 5}, "1"
+    for _ in range(6):
+        schema, value = {"type": "object", "required": ["a"], "properties": {"a": schema}, "additionalProperties": False}, f'{{"a":{value}}}'
+    found = J.check_schema(spark.createDataFrame([(value,), (value.replace("1", "7"),)], "raw string"), schema)
+    assert [r.problems for r in found.collect()] == [["$" + ".a" * 6 + ": minimum 5"]]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    seen = sum("as map<string,variant>" in x for x in plan.toString().replace("cast(", "\ncast(").split("\n"))
+    assert seen <= 6 + 1, "a cast for each object and one for the value"
