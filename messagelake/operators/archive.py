@@ -260,12 +260,13 @@ def member_digest(members: DataFrame, by: Sequence[str]) -> DataFrame:
 def check_observations(observations: DataFrame, raw: str = "raw") -> DataFrame:
     """(sha256, problem) of observations in JSON that lack a field, have one of another type, or an unknown state; equal
     bodies are checked once."""
+    from .schemas import let
     from .store import observation_problem
 
     once = observations.select(F.col(raw).alias("raw")).distinct()
-    v = F.try_parse_json("raw")
-    problem = F.when(v.isNull(), "no JSON").otherwise(observation_problem(v))
-    return once.select(F.sha2("raw", 256).alias("sha256"), problem.alias("problem")).where("problem is not null")
+    problem = let(F.try_parse_json("raw"), lambda v: F.when(v.isNull(), "no JSON").otherwise(observation_problem(v)))
+    # a filter on the problem would work it out twice
+    return once.select(F.sha2("raw", 256).alias("sha256"), F.explode(F.filter(F.array(problem), lambda x: x.isNotNull())).alias("problem"))
 
 
 def check_types(records: DataFrame, schema: dict[str, str], enums: dict[str, Sequence[str]] | None = None, patterns: dict[str, str] | None = None, raw: str = "raw") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from messagelake.operators import archive as A
 from messagelake.operators import extract_b as B
 from messagelake.operators import schemas as J
+from messagelake.operators import store as U
 
 
 def join_rows(df):
@@ -40,3 +42,14 @@ def test_a_schema_reads_the_fields_of_each_level_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan()
     seen = sum("as map<string,variant>" in x for x in plan.toString().replace("cast(", "\ncast(").split("\n"))
     assert seen <= 6 + 1, "a cast for each object and one for the value"
+
+
+def test_observations_and_events_are_parsed_once(spark):
+    rows = spark.createDataFrame([('{"entity_urn":"nothing"}',), ("{broken",)], "raw string")
+    found = A.check_observations(rows)
+    assert {r.problem for r in found.collect()} == {"no JSON", "observation field source missing or no string"}
+    events = spark.createDataFrame([(1, "record", "{}"), (0, "record", "{}"), (3, "none", "x")], "seq long, operation string, data string")
+    bad = U.validate_events(events)
+    assert {(r.seq, r.problem) for r in bad.collect()} == {(0, "bad sequence"), (1, "record of no known kind"), (3, "data is no object")}
+    for df in (found, bad):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
