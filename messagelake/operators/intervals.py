@@ -2,8 +2,11 @@
 
 The work follows the number of intervals, whatever their width: a sweep sees two borders of each. Its windows are over a key
 and a block of 2**bits ids; what a block hands on (running counts, the last value seen, runs that touch its ends) goes through
-windows over blocks of 2**(2 * bits) ids and then through one over the key, so none holds more than 2**bits blocks or twice as
-many distinct ids, and a key with a third of all rows is dealt over many tasks. Ids are longs below 2**62 in size.
+windows over 2**(bits + MORE) blocks and then through one over the key, so none holds more than 2**22 blocks or twice as
+many distinct ids as a block has, and a key with a third of all rows is dealt over many tasks. Ids are longs below 2**62 in size.
+
+What several branches of a sweep read is stored, as plans would else hold it once for each branch, and again in each sweep
+over the result.
 """
 
 from __future__ import annotations
@@ -13,13 +16,25 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 21
+#: Ids of a block, and how many more blocks the next level takes, as powers of 2.
+BITS, MORE = 18, 4
 
 
 def _block(value: Column, bits: int) -> Column:
     return F.shiftright(value, bits)
 
 
+def _levels(bits: int) -> list[int | None]:
+    """By how many bits ids are shifted to blocks, to blocks of blocks, and to the key."""
+    return [bits, 2 * bits + MORE, None]
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    from ..plans.state import stored
+
+    return stored(df)
+
+
 def _met(rows: DataFrame, facts: DataFrame, by: Sequence[str], kind: str = "inner") -> DataFrame:
     """A join on keys that may be null."""
     facts = facts.withColumnsRenamed({c: f"_f_{c}" for c in by})
@@ -33,7 +48,7 @@ def _summed(rows: DataFrame, by: Sequence[str], at: str, names: Sequence[str], b
     """Rows of distinct (*by, at) with `_run_x`, for each of the names, its sum from the key's smallest `at` up to this row."""
     here, wide = [*by, "_b"], [*by, "_w"]
     rows = rows.withColumn("_b", _block(F.col(at), bits))
-    blocks = rows.groupBy(*here).agg(*(F.sum(n).alias(n) for n in names)).withColumn("_w", _block(F.col("_b"), bits))
+    blocks = rows.groupBy(*here).agg(*(F.sum(n).alias(n) for n in names)).withColumn("_w", _block(F.col("_b"), bits + MORE))
     wides = blocks.groupBy(*wide).agg(*(F.sum(n).alias(n) for n in names))
     past = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wides = wides.select(*wide, *(past(Window.partitionBy(*by).orderBy("_w"), n).alias(f"_c_{n}") for n in names))
@@ -49,7 +64,7 @@ def _handed(rows: DataFrame, by: Sequence[str], at: Column, order: Sequence[Colu
     upto=-1, the row before it), in the order of `at` and then of `order`."""
     here, wide = [*by, "_b"], [*by, "_w"]
     rows = rows.withColumn("_at", at).withColumn("_b", _block(F.col("_at"), bits))
-    blocks = rows.groupBy(*here).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_v")).withColumn("_w", _block(F.col("_b"), bits))
+    blocks = rows.groupBy(*here).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_v")).withColumn("_w", _block(F.col("_b"), bits + MORE))
     wides = blocks.groupBy(*wide).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_b"))).alias("_v"))
     last = lambda w, n, x: F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, n))
     wides = wides.select(*wide, last(Window.partitionBy(*by).orderBy("_w"), -1, "_v").alias("_c"))
@@ -63,9 +78,9 @@ def islands(ids: DataFrame, by: Sequence[str], value: str = "id", bits: int = BI
     order = Window.partitionBy(*by, "_block").orderBy(value)
     known = ids.select(*by, value).where(F.col(value).isNotNull()).distinct().withColumn("_block", _block(F.col(value), bits))
     numbered = known.withColumn("_g", F.col(value) - F.row_number().over(order))
-    parts = numbered.groupBy(*by, "_block", "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(*by, "lo", "hi")
+    parts = _stored(numbered.groupBy(*by, "_block", "_g").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(*by, "lo", "hi"))
     edge = (F.col("lo") == F.shiftleft(_block(F.col("lo"), bits), bits)) | (F.col("hi") + 1 == F.shiftleft(_block(F.col("hi") + 1, bits), bits))
-    return parts.where(~edge).unionByName(_chained(parts.where(edge), by, [], [2 * bits, None]))
+    return parts.where(~edge).unionByName(_chained(parts.where(edge), by, [], _levels(bits)[1:]))
 
 
 def _chained(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], shifts: Sequence[int | None]) -> DataFrame:
@@ -86,6 +101,7 @@ def _chained(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str],
         if within:
             last = F.max("_run").over(Window.partitionBy(*by, *within))
             runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == last))
+            runs = _stored(runs) if len(shifts) > 2 and done is None else runs  # all rows; later levels have few
             inner = runs.where(~F.col("_edge")).select(*by, "lo", "hi", *attributes)
             done = inner if done is None else done.unionByName(inner)
             runs = runs.where("_edge")
@@ -95,7 +111,7 @@ def _chained(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str],
 
 def coalesce_runs(intervals: DataFrame, by: Sequence[str], attributes: Sequence[str], bits: int = BITS) -> DataFrame:
     """Adjacent intervals with equal attributes as one. Intervals of a key are disjoint."""
-    return _chained(intervals, by, attributes, [bits, 2 * bits, None])
+    return _chained(intervals, by, attributes, _levels(bits))
 
 
 def _borders(spans: DataFrame, by: Sequence[str], keep: int, cut: int) -> DataFrame:
@@ -109,21 +125,25 @@ def _borders(spans: DataFrame, by: Sequence[str], keep: int, cut: int) -> DataFr
 def _counted(events: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
     """A row for each border, with how many spans of each side hold the ids from it on."""
     names = ("keep", "cut", "keeps", "cuts")
-    summed = events.groupBy(*by, "_at").agg(*(F.sum(n).alias(n) for n in names))
+    summed = _stored(events.groupBy(*by, "_at").agg(*(F.sum(n).alias(n) for n in names)))
     return _summed(summed, by, "_at", ("keep", "cut"), bits)
 
 
-def _sweep(events: DataFrame, by: Sequence[str], wanted: Callable[[Column, Column], Column], bits: int) -> DataFrame:
-    """Maximal ranges of ids where the counts of both sides fulfil a condition."""
-    borders = _counted(events, by, bits)
+def _both(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
+    return _counted(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, bits)
+
+
+def _sweep(borders: DataFrame, by: Sequence[str], wanted: Callable[[Column, Column], Column], bits: int) -> DataFrame:
+    """Maximal ranges of ids where the counts of both sides (_counted) fulfil a condition."""
     now = wanted(F.col("_run_keep"), F.col("_run_cut"))
     was = wanted(F.col("_run_keep") - F.col("keep"), F.col("_run_cut") - F.col("cut"))
     turns = borders.where(now != was).select(*by, F.col("_at").alias("lo"), now.alias("_starts"))
     done = None
-    for shift in (bits, 2 * bits, None):  # starts and ends take turns; one start of a block may end in a later one
+    for shift in _levels(bits):  # starts and ends take turns; one start of a block may end in a later one
         within = [] if shift is None else [F.shiftright("lo", shift)]
         order = Window.partitionBy(*by, *within).orderBy("lo")
         turns = turns.withColumn("_next", F.lead("lo").over(order)).withColumn("_first", F.lag("lo").over(order).isNull())
+        turns = _stored(turns) if done is None else turns  # all rows; later levels have few
         whole = turns.where("_starts and _next is not null").select(*by, "lo", (F.col("_next") - 1).alias("hi"))
         done = whole if done is None else done.unionByName(whole)
         turns = turns.where("(_starts and _next is null) or (not _starts and _first)").select(*by, "lo", "_starts")
@@ -132,22 +152,28 @@ def _sweep(events: DataFrame, by: Sequence[str], wanted: Callable[[Column, Colum
 
 def merge_spans(spans: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """Overlapping and adjacent spans as one: (*by, lo, hi)."""
-    return _sweep(_borders(spans, by, 1, 0), by, lambda keep, cut: keep > 0, bits)
+    return _sweep(_counted(_borders(spans, by, 1, 0), by, bits), by, lambda keep, cut: keep > 0, bits)
 
 
 def subtract_spans(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """What of the spans of a no span of b covers."""
-    return _sweep(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, lambda keep, cut: (keep > 0) & (cut == 0), bits)
+    return _sweep(_both(a, b, by, bits), by, lambda keep, cut: (keep > 0) & (cut == 0), bits)
+
+
+def parted_spans(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(a without b, b without a), counted once."""
+    borders = _stored(_both(a, b, by, bits))
+    return _sweep(borders, by, lambda keep, cut: (keep > 0) & (cut == 0), bits), _sweep(borders, by, lambda keep, cut: (keep == 0) & (cut > 0), bits)
 
 
 def intersect_spans(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
-    return _sweep(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, lambda keep, cut: (keep > 0) & (cut > 0), bits)
+    return _sweep(_both(a, b, by, bits), by, lambda keep, cut: (keep > 0) & (cut > 0), bits)
 
 
 def overlap_totals(a: DataFrame, b: DataFrame, by: Sequence[str], bits: int = BITS) -> DataFrame:
     """(*by, pairs, ids): how many pairs of intervals overlap and in how many ids, from one sweep and without any pair. Where
     a border is, all pairs of intervals that hold it are new but those that held the id before."""
-    borders = _counted(_borders(a, by, 1, 0).unionByName(_borders(b, by, 0, 1)), by, bits)
+    borders = _both(a, b, by, bits)
     big = lambda x: x.cast("decimal(19,0)")
     now = big(F.col("_run_keep")) * big(F.col("_run_cut"))
     old = big(F.col("_run_keep") - F.col("keeps")) * big(F.col("_run_cut") - F.col("cuts"))
@@ -250,10 +276,15 @@ def affine_map(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def translate(spans: DataFrame, mapping: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(local spans of eligible ids, producer spans of unknown ids) of producer spans; the second must be empty."""
-    merged = merge_spans(spans, by)
+    merged = _stored(merge_spans(spans, by))
+    return local_spans(merged, mapping, by), subtract_spans(merged, mapping.select(*by, "lo", "hi"), by)
+
+
+def local_spans(merged: DataFrame, mapping: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Local spans of the eligible ids of disjoint producer spans, whether or not all ids are known."""
     met = overlap_join(merged, mapping, by).where("eligible")
     local = met.select(*by, (F.greatest("lo", "b_lo") + F.col("shift")).alias("lo"), (F.least("hi", "b_hi") + F.col("shift")).alias("hi"))
-    return merge_spans(local, by), subtract_spans(merged, mapping.select(*by, "lo", "hi"), by)
+    return merge_spans(local, by)
 
 
 def contiguous(seq: DataFrame, by: Sequence[str], value: str = "seq") -> DataFrame:

@@ -113,7 +113,7 @@ def c18(spark, sf):
     t = table(spark, sf, "events")
     pairs = t.select((F.col("user_id") % 5).alias("k"), F.col("event_id").alias("producer_id"), (F.col("event_id") + 1000 * (F.floor(F.col("event_id") / 100) % 3)).alias("local_id"), (F.col("event_id") % 7 != 0).alias("eligible"))
     asked = I.islands(pairs.select("k", F.col("producer_id").alias("id")), ["k"])
-    return I.translate(asked, I.affine_map(pairs, ["k"]), ["k"])[0]
+    return I.local_spans(asked, I.affine_map(pairs, ["k"]), ["k"])  # islands are disjoint, and the map is of the same ids
 
 
 @query("w7_contiguous", "SELECT l_orderkey AS k, count(*) = max(l_linenumber) - min(l_linenumber) + 1 AND count(*) = count(DISTINCT l_linenumber) AS contiguous FROM lineitem GROUP BY 1")

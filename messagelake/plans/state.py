@@ -17,6 +17,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in a new folder of the shared one: smaller than a checkpoint, for what several branches of a plan read."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        spark.sparkContext.setCheckpointDir(own_folder(spark, "checkpoint"))
+        top = spark.sparkContext.getCheckpointDir()
+    path = f"{top.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     """A temporary folder of this machine, for sessions of one process; a cluster must name one that it shares."""
     if not spark.sparkContext.master.startswith("local"):

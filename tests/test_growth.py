@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from messagelake.operators import archive as A
 from messagelake.operators import extract_b as B
+from messagelake.operators import intervals as I
 from messagelake.operators import schemas as J
 from messagelake.operators import store as U
 
@@ -53,3 +54,19 @@ def test_observations_and_events_are_parsed_once(spark):
     assert {(r.seq, r.problem) for r in bad.collect()} == {(0, "bad sequence"), (1, "record of no known kind"), (3, "data is no object")}
     for df in (found, bad):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def windows(df):
+    return df._jdf.queryExecution().analyzed().toString().count("Window [")
+
+
+def test_plans_over_intervals_do_not_multiply(spark):
+    ids = spark.range(1, 60).select((F.col("id") % 2).alias("k"), "id")
+    spans, holes = I.islands(ids.where("id % 5 != 0"), ["k"]), I.islands(ids.where("id % 3 = 0 and id % 5 != 0"), ["k"])
+    mapping = I.affine_map(ids.select("k", F.col("id").alias("producer_id"), (F.col("id") + 100).alias("local_id"), (F.col("id") % 3 != 0).alias("eligible")), ["k"])
+    local, rest = I.translate(spans, mapping, ["k"])[0], I.subtract_spans(spans, holes, ["k"])
+    again = I.merge_spans(I.subtract_spans(I.merge_spans(rest, ["k"]), holes, ["k"]), ["k"])
+    assert max(windows(df) for df in (local, rest, again)) <= 12
+    for df, more in ((local, 100), (rest, 0), (again, 0)):
+        found = [x for r in df.collect() for x in range(r.lo - more, r.hi - more + 1)]
+        assert sorted(found) == [x for x in range(1, 60) if x % 5 and x % 3]
