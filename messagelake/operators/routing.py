@@ -158,9 +158,10 @@ def outside(prior: DataFrame, withdrawn: DataFrame) -> DataFrame:
 
 def retained(prior: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """Prior coverage without what is withdrawn, which must lie inside it."""
-    if not outside(prior, withdrawn).isEmpty():
+    rest, beyond = I.parted_spans(prior, withdrawn, ["kind"])
+    if not beyond.isEmpty():
         raise ValueError("withdrawn ranges lie outside the prior coverage")
-    return I.subtract_spans(prior, withdrawn, ["kind"])
+    return rest
 
 
 def finish_coverage(prior: DataFrame, withdrawn: DataFrame, staged: DataFrame, fresh: DataFrame | None = None, at: int | None = None, run: str | None = None) -> dict[str, DataFrame]:

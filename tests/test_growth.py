@@ -1,10 +1,12 @@
 """Work that must follow the rows: what joins put out, how large expressions get, how many rows a window holds."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from messagelake.operators import archive as A
 from messagelake.operators import extract_b as B
 from messagelake.operators import intervals as I
+from messagelake.operators import routing as W
 from messagelake.operators import schemas as J
 from messagelake.operators import store as U
 
@@ -70,3 +72,22 @@ def test_plans_over_intervals_do_not_multiply(spark):
     for df, more in ((local, 100), (rest, 0), (again, 0)):
         found = [x for r in df.collect() for x in range(r.lo - more, r.hi - more + 1)]
         assert sorted(found) == [x for x in range(1, 60) if x % 5 and x % 3]
+
+
+def test_a_window_over_dense_ids_holds_a_block_of_them(spark):
+    ids = spark.range(1 << 20)
+    assert ids.groupBy(I._block(F.col("id"), I.BITS)).count().agg(F.max("count")).first()[0] <= 1 << 18
+    assert [tuple(r) for r in I.islands(ids.withColumn("k", F.lit(1)), ["k"]).collect()] == [(1, 0, (1 << 20) - 1)]
+
+
+def test_retained_and_what_lies_outside_come_from_one_count(spark):
+    span = lambda *rows: spark.createDataFrame(rows, "kind string, lo long, hi long")
+    counted = []
+    was, I._counted = I._counted, lambda *a: counted.append(1) or was(*a)
+    try:
+        assert sorted(map(tuple, W.retained(span(("a", 1, 9), ("b", 4, 4)), span(("a", 3, 4))).collect())) == [("a", 1, 2), ("a", 5, 9), ("b", 4, 4)]
+    finally:
+        I._counted = was
+    assert len(counted) == 1
+    with pytest.raises(ValueError):
+        W.retained(span(("a", 1, 9)), span(("a", 9, 10)))
