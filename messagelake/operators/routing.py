@@ -164,12 +164,12 @@ def retained(prior: DataFrame, withdrawn: DataFrame) -> DataFrame:
     return rest
 
 
-def finish_coverage(prior: DataFrame, withdrawn: DataFrame, staged: DataFrame, fresh: DataFrame | None = None, at: int | None = None, run: str | None = None) -> dict[str, DataFrame]:
-    """absent: what was withdrawn and not seen again; retained: what wasn't withdrawn; coverage: retained and staged. With
+def finish_coverage(prior: DataFrame, withdrawn: DataFrame, staged: DataFrame, fresh: DataFrame | None = None, at: int | None = None, run: str | None = None, absent: bool = True) -> dict[str, DataFrame]:
+    """absent (if asked for): what was withdrawn and not seen again; retained: what wasn't withdrawn; coverage: retained and staged. With
     `fresh` (kind, lo, hi, at, run) also fresh: what is retained counts as seen by this run, at its time."""
     kept = I.subtract_spans(prior, withdrawn, ["kind"])
     covered = I.merge_spans(kept.unionByName(staged), ["kind"])
-    out = {"absent": I.subtract_spans(withdrawn, covered, ["kind"]), "retained": kept, "coverage": covered}
+    out = {"retained": kept, "coverage": covered} | ({"absent": I.subtract_spans(withdrawn, covered, ["kind"])} if absent else {})
     return out if fresh is None else out | {"fresh": resight(kept, fresh, at, run)[0]}
 
 

@@ -91,3 +91,12 @@ def test_retained_and_what_lies_outside_come_from_one_count(spark):
     assert len(counted) == 1
     with pytest.raises(ValueError):
         W.retained(span(("a", 1, 9)), span(("a", 9, 10)))
+
+
+def test_coverage_alone_leaves_out_what_is_absent(spark):
+    span = lambda *rows: spark.createDataFrame(rows, "kind string, lo long, hi long")
+    prior, gone, staged = span(("a", 1, 20)), span(("a", 5, 9)), span(("a", 8, 8), ("a", 30, 31))
+    out = W.finish_coverage(prior, gone, staged, absent=False)
+    assert sorted(out) == ["coverage", "retained"]
+    assert sorted(map(tuple, out["coverage"].collect())) == [("a", 1, 4), ("a", 8, 8), ("a", 10, 20), ("a", 30, 31)]
+    assert sorted(map(tuple, W.finish_coverage(prior, gone, staged)["absent"].collect())) == [("a", 5, 7), ("a", 9, 9)]
