@@ -100,3 +100,25 @@ def test_coverage_alone_leaves_out_what_is_absent(spark):
     assert sorted(out) == ["coverage", "retained"]
     assert sorted(map(tuple, out["coverage"].collect())) == [("a", 1, 4), ("a", 8, 8), ("a", 10, 20), ("a", 30, 31)]
     assert sorted(map(tuple, W.finish_coverage(prior, gone, staged)["absent"].collect())) == [("a", 5, 7), ("a", 9, 9)]
+
+
+def test_rows_are_worked_out_once_to_be_numbered(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = U.sequenced(spark.range(1000).mapInArrow(look, "id long"), ["id"])
+    assert [r.seq - r.id for r in out.collect()] == [1] * 1000 and seen.value == 1000
+
+
+def test_captured_events_are_checked_by_one_job(spark):
+    from messagelake.plans import registry  # noqa: F401  # loads the plans in their order
+    from messagelake.plans.q_feed import _numbered
+
+    good = spark.createDataFrame([("identity_metadata", None, '{"scopes":{},"scope_mappings":[]}')], "operation string, urn string, data string")
+    assert [r.seq for r in _numbered([good]).collect()] == [1]
+    with pytest.raises(ValueError, match="2 captured events are not valid"):
+        _numbered([good, good.withColumn("data", F.lit("{}")), good.withColumn("operation", F.lit("none"))])
