@@ -216,7 +216,7 @@ def trees_for(depth: int, threshold: float) -> int:
 
 
 def _candidates(sets: DataFrame, threshold: float, trees: int, small: int) -> DataFrame:
-    """Edges (a, b) between sets that pairs of alike sets in a node of a tree connect. Sets that the trees deal further
+    """Edges (a, b), some more than once, between sets that pairs of alike sets in a node of a tree connect. Sets that the trees deal further
     than SURE levels get as many trees more as the levels reached need."""
     found, deep, depth = _grown(sets.select(F.explode("roots").alias("path"), "sid"), sets, threshold, small, DEPTH)
     if deep is not None:
@@ -234,7 +234,7 @@ def _grown(level: DataFrame, sets: DataFrame, threshold: float, small: int, most
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         nodes = kept(level.join(sizes, "path"))
         leaf = nodes.where(F.col("size") <= small)
-        pairs = _alike(leaf.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens").repartition("path").sortWithinPartitions("path")).distinct()
+        pairs = _alike(leaf.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens").repartition("path").sortWithinPartitions("path"))
         found = pairs if found is None else found.union(pairs)
         large = nodes.where(F.col("size") > small)
         if large.isEmpty():
@@ -242,7 +242,7 @@ def _grown(level: DataFrame, sets: DataFrame, threshold: float, small: int, most
         near = kept(_near_first(large.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens")))
         share = near.groupBy("path").agg(F.avg(F.col("alike").cast("int")).alias("share"))
         near = near.join(share, "path").withColumn("family", F.lit(depth == most) | (F.col("share") >= 0.5))
-        found = found.union(near.where("(family or alike) and sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct())
+        found = found.union(near.where("(family or alike) and sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")))
         rest = near.where("not family").select("path", "sid")
         if depth == most or rest.isEmpty():
             break
@@ -297,18 +297,33 @@ def _linked(tokens: np.ndarray, sets: list[np.ndarray], percent: int, met: list[
         good = i + 1 + np.flatnonzero(good & (met[0][i + 1 :] != met[0][i]) if met else good)
         if not len(good):
             continue
-        same = np.concatenate([(tokens[good[k : k + 4096]] == tokens[i]).mean(1, dtype=np.float32) for k in range(0, len(good), 4096)])
-        alike = same >= ALIKE
-        for j in good[alike][np.argsort(-same[alike], kind="stable")].tolist():
-            if group[i] != group[j]:
+        same = np.concatenate([(tokens[good[k : k + 4096]] == tokens[i]).sum(1, dtype=np.uint8) for k in range(0, len(good), 4096)])
+        alike = same >= ALIKE * TOKENS
+        left, step = good[alike][np.argsort(-same[alike].astype(np.int64), kind="stable")], 1
+        while len(left):  # a few at first, as the likest mostly connect the rest
+            tried, left = left[:step], left[step:]
+            most = _shared_at_most(sets[i], [sets[j] for j in tried.tolist()])
+            for j in tried[100 * most >= percent * (size[i] + size[tried] - most)].tolist():
+                if group[i] == group[j]:
+                    continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (size[i] + size[j] - both):
                     group[group == group[j]] = group[i]
                     parts -= 1
+            left, step = left[group[left] != group[i]], min(4 * step, 256)
     _, first, back = np.unique(group, return_index=True, return_inverse=True)
     return first[back].tolist()
 
 
+def _shared_at_most(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """A bound for how many items of one set each of the others holds: those with the low bits of one of them."""
+    low = np.uint64((1 << max(16, len(one).bit_length() + 6)) - 1)
+    there = np.zeros(int(low) + 1, bool)
+    there[one & low] = True
+    size = np.array([len(x) for x in others])
+    return np.add.reduceat(there[np.concatenate(others) & low], np.cumsum(size) - size, dtype=np.int64)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, small: int = SMALL, family: int = FAMILY) -> DataFrame:
     """(id_col, n_shingles, component_id, kept, text_hash) of each row: component_id is the smallest id that links reach;
     text_hash is xxhash64 of the text, by which rows that repeat an id are told apart.

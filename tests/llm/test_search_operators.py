@@ -156,6 +156,20 @@ def test_a_family_of_thousands_holds_no_list_of_pairs():
     assert len(set(near_dedup._linked(tokens, sets, 80, [sides, labels]))) == 2
 
 
+def test_alike_sets_without_links_are_told_apart_by_a_bound(monkeypatch):
+    """Sets that look alike on their tokens but share too little were each intersected with all others, one pair at a time."""
+    r = np.random.default_rng(5)
+    base, calls, exact = r.integers(1, 1 << 60, 300).astype(np.uint64), [], np.intersect1d
+    own = lambda share: np.unique(np.concatenate([base[: int(300 * share)], r.integers(1, 1 << 60, 300 - int(300 * share)).astype(np.uint64)]))
+    sets = [own(0.8) for _ in range(60)] + [own(0.97) for _ in range(5)]
+    tokens = near_dedup.minwise(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]).astype(np.uint8)
+    monkeypatch.setattr(np, "intersect1d", lambda *a, **k: calls.append(1) or exact(*a, **k))
+    found = near_dedup._linked(tokens, sets, 80)
+    share = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    brute = near_dedup.clusters(65, *np.array([(i, j) for i in range(65) for j in range(65) if 100 * share[i][j] >= 80 * (len(sets[i]) + len(sets[j]) - share[i][j])]).T)
+    assert found == brute.tolist() and len(set(found)) == 61 and len(calls) < 10
+
+
 def test_whole_groups_go_out_by_bytes():
     t = pa.table({"key": [k // 3 for k in range(30)], "x": ["y" * 1000] * 30})
     got = list(common.whole_groups(iter(t.to_batches(max_chunksize=4)), "key", 1_000_000, 5_000))
