@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "seq bigint, producer string, operation string, urn string, observed_at bigint, data string"
 CHUNK = 1 << 20
+#: Bytes of batches that one task reads, unless its first is larger: small files share tasks, as a task has a cost of its own.
+TASK_BYTES = 4 << 20
 
 
 class BadFeed(ValueError):
@@ -41,9 +43,10 @@ def _hashed(fs: pafs.FileSystem, path: str) -> tuple[int, str]:
 # --- the feed
 
 
-def publish(journal: DataFrame, path: str, producer: str, limit: int = 5000, batches: int = 100, max_bytes: int = 64 << 20) -> int | None:
+def publish(journal: DataFrame, path: str, producer: str, limit: int = 5000, batches: int | None = 100, max_bytes: int = 64 << 20) -> int | None:
     """Writes the next batches of a producer's journal (EVENTS, numbered without gaps) after those there, a file of `limit`
-    numbers each, `batches` files at most; the last number, or None if there is nothing new.
+    numbers each, `batches` files at most; the last number, or None if there is nothing new. Each call reads the heads that are
+    there and the journal once, so who has many batches to write takes batches=None: all that is new in one call.
 
     Tasks write the files under hidden names; the driver, which sees a row for each, moves them to the names that say their
     bounds and then writes each one's head: the batch before and its SHA-256. A batch without a head isn't there yet.
@@ -53,7 +56,8 @@ def publish(journal: DataFrame, path: str, producer: str, limit: int = 5000, bat
     known = chain(fs, top, producer)
     last = known[-1] if known else {"through": 0, "name": None, "sha256": None}
     after, columns = last["through"], [c.split()[0] for c in EVENTS.split(", ")]
-    rows = journal.where(F.col("seq").between(after + 1, after + limit * batches)).withColumn("batch", F.floor((F.col("seq") - after - 1) / limit))
+    new = F.col("seq") > after if batches is None else F.col("seq").between(after + 1, after + limit * batches)
+    rows = journal.where(new).withColumn("batch", F.floor((F.col("seq") - after - 1) / limit))
     for c in columns:
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
     line = F.to_json(F.struct(*columns))
@@ -122,8 +126,17 @@ class FeedBatch(InputPartition):
     sha256: str
 
 
+@dataclass
+class FeedBatches(InputPartition):
+    files: list[FeedBatch]
+
+    @property
+    def through(self) -> int:
+        return self.files[-1].through
+
+
 class FeedReader(DataSourceStreamReader):
-    """Offsets are sequence numbers; a step admits so many batches and bytes, a partition is a batch's file. A gap, a fork, a batch
+    """Offsets are sequence numbers; a step admits so many batches and bytes, a partition is the files of batches that follow one another, up to TASK_BYTES. A gap, a fork, a batch
     that follows another parent than is there, or one that doesn't hold what its head names, is an error of the query."""
 
     def __init__(self, options: dict):
@@ -155,21 +168,31 @@ class FeedReader(DataSourceStreamReader):
             self.at = b["through"]
         return {"seq": self.at}
 
-    def partitions(self, start: dict, end: dict) -> list[FeedBatch]:
+    def partitions(self, start: dict, end: dict) -> list[FeedBatches]:
         self.at = end["seq"]
         _, top = _files(self.path)
-        return [FeedBatch(f"{top}/{b['name']}.jsonl", b["after"], b["through"], b["sha256"]) for b in self._following(start["seq"]) if b["through"] <= end["seq"]]
+        out, size = [], 0
+        for b in self._following(start["seq"]):
+            if b["through"] > end["seq"]:
+                break
+            if not out or size + b["bytes"] > TASK_BYTES:
+                out.append(FeedBatches([]))
+                size = 0
+            size += b["bytes"]
+            out[-1].files.append(FeedBatch(f"{top}/{b['name']}.jsonl", b["after"], b["through"], b["sha256"]))
+        return out
 
-    def read(self, partition: FeedBatch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FeedBatches) -> Iterator[pa.RecordBatch]:
         fs, _ = _files(self.path)
-        with fs.open_input_stream(partition.path) as f:
-            body = f.read()  # a batch has a bound of bytes
-        rows = [json.loads(x) for x in body.splitlines()]
-        if hashlib.sha256(body).hexdigest() != partition.sha256 or [r["seq"] for r in rows] != list(range(partition.after + 1, partition.through + 1)):
-            raise BadFeed(f"{partition.path} doesn't hold what its head names")
         kinds = {"bigint": pa.int64(), "string": pa.string()}
         columns = [c.split() for c in EVENTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in columns], [n for n, _ in columns])
+        for batch in partition.files:
+            with fs.open_input_stream(batch.path) as f:
+                body = f.read()  # a batch has a bound of bytes
+            rows = [json.loads(x) for x in body.splitlines()]
+            if hashlib.sha256(body).hexdigest() != batch.sha256 or [r["seq"] for r in rows] != list(range(batch.after + 1, batch.through + 1)):
+                raise BadFeed(f"{batch.path} doesn't hold what its head names")
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in columns], [n for n, _ in columns])
 
     def commit(self, end: dict) -> None:
         pass

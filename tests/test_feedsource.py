@@ -71,6 +71,29 @@ def test_admission_by_batches_and_bytes(tmp_path, spark):
         assert ends == want
 
 
+def test_many_small_batches_share_tasks_and_one_publication(spark, tmp_path, monkeypatch):
+    """Each batch was read by a task of its own, and each round of a publication read all heads and the whole journal anew."""
+    feed, heads, chain = f"{tmp_path}/feed", [], S.chain
+    monkeypatch.setattr(S, "chain", lambda *a: heads.append(1) or chain(*a))
+    assert S.publish(journal(spark, 995), feed, "p", 10, None) == 995 and len(heads) == 1
+    assert S.publish(journal(spark, 995), feed, "p", 10, None) is None
+    by_rounds = f"{tmp_path}/rounds"
+    while S.publish(journal(spark, 995), by_rounds, "p", 10, 40) is not None:
+        pass
+    assert [open(f"{feed}/{n}").read() for n in sorted(os.listdir(feed))] == [open(f"{by_rounds}/{n}").read() for n in sorted(os.listdir(by_rounds))]
+    reader = S.FeedReader({"path": feed, "producer": "p"})
+    parts = reader.partitions({"seq": 0}, {"seq": 995})
+    assert len(parts) == 1 and [b.through for b in parts[0].files] == [*range(10, 1000, 10), 995]
+    monkeypatch.setattr(S, "TASK_BYTES", 2500)
+    cut = reader.partitions({"seq": 0}, {"seq": 995})
+    size = lambda p: sum(os.path.getsize(f.path) for f in p.files)
+    assert [f for p in cut for f in p.files] == parts[0].files and len(cut) > 20 and max(map(size, cut)) <= 2500
+    assert [s for p in cut for b in reader.read(p) for s in b["seq"].to_pylist()] == list(range(1, 996))
+    table, seen = MergeTable(spark, f"{tmp_path}/consumers", S.CONSUMERS, ["consumer"]), []
+    S.consume(spark, feed, "p", table, "a", "text", f"{tmp_path}/c", lambda df, n: seen.append((df.rdd.getNumPartitions(), sorted(r.seq for r in df.collect()))))
+    assert sum((s for _, s in seen), []) == list(range(1, 996)) and max(n for n, _ in seen) <= 2
+
+
 def members(spark, n):
     t = spark.range(n).select(F.concat(F.lit("u"), F.col("id")).alias("urn"), F.lit("d").alias("revision_digest"), F.when(F.col("id") % 3 == 0, "é").alias("text"))
     return {"messages": t, "events": t.where("text is null").drop("text")}
