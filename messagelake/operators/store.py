@@ -216,10 +216,11 @@ def observation_problem(v: Column, at: str = "$") -> Column:
 
 def event_problem(seq: Column, op: Column, data: Column) -> Column:
     """What is wrong with an event by the rules of its operation on its JSON data, which is parsed once; null if nothing is."""
-    return let(F.try_parse_json(data), lambda v: _event_problem(seq, op, data, v))
+    return let(F.try_parse_json(data), lambda v: parsed_event_problem(seq, op, data, v))
 
 
-def _event_problem(seq: Column, op: Column, data: Column, v: Column) -> Column:
+def parsed_event_problem(seq: Column, op: Column, data: Column, v: Column) -> Column:
+    """The same where the data is parsed already."""
     kind = lambda path: F.coalesce(_kind_of(v, path), F.lit("VOID"))
     text = lambda path: F.try_variant_get(v, path, "string")
     number = lambda path: F.try_variant_get(v, path, "long")

@@ -22,7 +22,12 @@ REPORTED = 5
 
 def _kind(v: Column, path: str) -> Column:
     """The JSON type at a path, `NONE` where there is nothing."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0), F.lit("NONE"))
+    return _type(F.try_variant_get(v, path, "variant"))
+
+
+def _type(x: Column) -> Column:
+    """The JSON type of a value, `NONE` of nothing."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0), F.lit("NONE"))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -39,6 +44,11 @@ def _list(v: Column, path: str) -> Column:
     return F.when(_kind(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
 
 
+def _root(raw: str) -> Column:
+    """The type of a JSON text that is known to be one, as far as it is an object: so its values aren't looked through."""
+    return F.when(F.ltrim(raw, F.lit(" \t\r\n")).startswith("{"), "OBJECT").otherwise("NONE")
+
+
 def _all(values: Column, good) -> Column:
     """Whether every item of a list is good; a list that isn't there is not."""
     return F.coalesce(F.forall(values, lambda x: F.coalesce(good(x), F.lit(False))), F.lit(False))
@@ -91,10 +101,15 @@ def manifest_problems(manifests: DataFrame, formats: Sequence[str] = FORMATS, so
         ("feed batches supersede nothing", is_feed & ~((F.coalesce(F.size(supersedes), F.lit(0)) == 0) & revision.eqNullSafe(F.lit(1)))),
     ]
     said = lambda some: F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for m, c in some)), lambda x: x.isNotNull())
-    root = kind("$")
+    root = _root(raw)
     v = F.col("_v")
-    got = {name: F.struct(_kind(v, p).alias("kind"), _text(v, p).alias("text"), _whole(v, p).alias("whole"), _list(v, p).alias("items")) for p, name in fields.items()}
-    t = _once(_once(manifests.select("archive_id", raw), _v=F.try_parse_json(raw)), **got, _counts=F.try_variant_get(v, "$.counts", "map<string,variant>"))
+    # a value is sought once, its type told once, and it is read only as what it is
+    t = _once(manifests.select("archive_id", raw), _v=F.try_parse_json(raw))
+    t = _once(t, **{f"{name}_x": F.try_variant_get(v, p, "variant") for p, name in fields.items()})
+    t = _once(t, **{f"{name}_k": _type(F.col(f"{name}_x")) for name in fields.values()})
+    is_ = lambda name, type_, as_: F.when(F.col(f"{name}_k") == type_, F.try_variant_get(F.col(f"{name}_x"), "$", as_))
+    got = {name: F.struct(F.col(f"{name}_k").alias("kind"), is_(name, "STRING", "string").alias("text"), is_(name, "BIGINT", "long").alias("whole"), is_(name, "ARRAY", "array<variant>").alias("items")) for name in fields.values()}
+    t = _once(t, **got, _counts=F.try_variant_get(v, "$.counts", "map<string,variant>"))
     lacks = said(lacking)
     found = F.when(v.isNull() | (root != "OBJECT"), F.array(F.lit("no object"))).when(F.size(lacks) > 0, lacks).otherwise(said(rules))
     return t.select("archive_id", F.explode(found).alias("problem"))
@@ -103,9 +118,9 @@ def manifest_problems(manifests: DataFrame, formats: Sequence[str] = FORMATS, so
 def json_body(v: Column) -> Column:
     """The canonical form of a record in JSON without what belongs to a sighting; its SHA-256 is the record's digest. Numbers count in
     the form that Spark gives them, so 1.50 and 1.5 are one."""
-    fields = v.try_cast("map<string,variant>")
-    names = F.array_except(F.array_sort(F.map_keys(fields)), F.array(*map(F.lit, (*S.VOLATILE, "iso"))))
-    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.try_element_at(fields, k))))
+    names = lambda fields: F.array_except(F.array_sort(F.map_keys(fields)), F.array(*map(F.lit, (*S.VOLATILE, "iso"))))
+    body = lambda fields, names: F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.try_element_at(fields, k))))
+    return J.let(v.try_cast("map<string,variant>"), lambda fields: J.let(names(fields), lambda own: body(fields, own)))
 
 
 def checked_rows(rows: DataFrame, by_kind: dict[str, dict] | None = None) -> DataFrame:
@@ -113,18 +128,19 @@ def checked_rows(rows: DataFrame, by_kind: dict[str, dict] | None = None) -> Dat
     good row. rows: (archive_id, member, line, raw); members are named records/<entity>.jsonl. by_kind: JSON Schemas by
     entity. Nothing is shuffled."""
     v, r, entity = F.col("_v"), F.col("_r"), F.col("entity")
-    t = _once(rows.where(F.length(F.btrim("raw")) > 0).withColumn("entity", F.regexp_extract("member", r"^records/(.*)\.jsonl$", 1)), _v=F.try_parse_json("raw"))
+    t = _once(rows.where(F.length(F.btrim("raw")) > 0).withColumn("entity", F.regexp_extract("member", r"^records/(.*)\.jsonl$", 1)), _v=F.try_parse_json("raw"), _root=_root("raw"))
     t = _once(t.drop("raw"), _r=F.when(entity == "revisions", F.try_variant_get(v, "$.record", "variant")).otherwise(v), seq=F.when(entity == "changes", _whole(v, "$.seq")))
-    t = _once(t, _body=F.when(~entity.isin("changes", "stubs", "source_observations"), json_body(r)), _event=F.when(entity == "changes", F.coalesce(_text(v, "$.data"), F.to_json(F.try_variant_get(v, "$.data", "variant")))))
+    t = _once(t, _body=F.when(~entity.isin("changes", "stubs", "source_observations"), json_body(r)), _event=F.when(entity == "changes", F.coalesce(F.try_parse_json(_text(v, "$.data")), F.when(_kind(v, "$.data") != "STRING", F.try_variant_get(v, "$.data", "variant")))))
     t = _once(t, _signed=_text(r, "$.revision_digest").eqNullSafe(F.concat(F.lit("sha256:"), F.sha2(S._lower_escapes(F.col("_body")), 256))))
     record = F.when(~F.col("_signed"), "digest isn't that of the record")
     for name, schema in (by_kind or {}).items():
         record = record.when(_text(r, "$.entity") == name, F.concat(F.lit("schema: "), F.try_element_at(J.Compiler(schema).problems(r), F.lit(1))))
+    data = F.coalesce(_text(v, "$.data"), F.to_json(F.col("_event")))  # read by few rules alone
     fits = (_kind(r, "$") == "OBJECT") & _text(r, "$.urn").eqNullSafe(_text(v, "$.entity_urn")) & _text(r, "$.entity").eqNullSafe(_text(v, "$.entity_kind"))
     unlike = ~F.col("_signed") | ~_text(v, "$.revision_digest").eqNullSafe(_text(r, "$.revision_digest"))
     problem = (
-        F.when(v.isNull(), "no JSON").when(_kind(v, "$") != "OBJECT", "row is no object")
-        .when(entity == "changes", store.event_problem(F.col("seq"), _text(v, "$.operation"), F.col("_event")))
+        F.when(v.isNull(), "no JSON").when(F.col("_root") != "OBJECT", "row is no object")
+        .when(entity == "changes", store.parsed_event_problem(F.col("seq"), _text(v, "$.operation"), data, F.col("_event")))
         .when(entity == "stubs", F.when(_text(v, "$.urn").isNull() | _text(v, "$.entity").isNull(), "stub lacks urn or entity")).when(entity == "source_observations", store.observation_problem(v))
         .when((entity == "revisions") & ~fits, "revision's record is another").when((entity == "revisions") & unlike, "revision's digest isn't that of its record")
         .when((entity == "revisions") & (_kind(v, "$.observed_at") != "BIGINT"), "revision's time is no integer")

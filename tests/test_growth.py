@@ -47,6 +47,21 @@ def test_a_schema_reads_the_fields_of_each_level_once(spark):
     assert seen <= 6 + 1, "a cast for each object and one for the value"
 
 
+def test_archives_are_read_once(spark):
+    """Each type of a manifest's field was told four times, a record was cast for each of its keys, and events were written as text and parsed again."""
+    from messagelake.operators import verify as V
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(1, "m", 1, "{}")], "archive_id int, member string, line int, raw string")
+    assert 0 < plan(V.manifest_problems(rows.select("archive_id", "raw"))).count("schemaOfVariant") < 40
+    v = spark.createDataFrame([('{"b":1,"a":{"x":2},"iso":3}',)], "raw string").select(F.try_parse_json("raw").alias("v"))
+    body = v.select(V.json_body(F.col("v")).alias("b"))
+    assert body.first()["b"] == '{"a":{"x":2},"b":1}' and body._jdf.queryExecution().analyzed().toString().count("map<string,variant>") == 1
+    raw = ['{"seq":1,"operation":"record","data":%s}' % d for d in ('{"entity_id":1}', '"{\\"entity_id\\":1}"', '"x"', "5", "null")] + [" \n[1]", "null"]
+    got = V.checked_rows(spark.createDataFrame([(1, "records/changes.jsonl", k, r) for k, r in enumerate(raw)], rows.schema))
+    assert [r.problem for r in got.orderBy("line").collect()] == ["record of no known kind"] * 2 + ["data is no object"] * 3 + ["row is no object"] * 2
+
+
 def test_observations_and_events_are_parsed_once(spark):
     rows = spark.createDataFrame([('{"entity_urn":"nothing"}',), ("{broken",)], "raw string")
     found = A.check_observations(rows)
