@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "seq bigint, producer string, operation string, urn string, observed_at bigint, data string"
 CHUNK = 1 << 20
+#: Rows of a bucket that a task sorts and writes, about.
+TASK_ROWS = 500_000
 #: Bytes of batches that one task reads, unless its first is larger: small files share tasks, as a task has a cost of its own.
 TASK_BYTES = 4 << 20
 
@@ -325,7 +327,9 @@ def write_bucket(members: dict[str, DataFrame], path: str, bucket: str, revision
         rows = own if rows is None else rows.unionByName(own)
     keys = ["member", *(f"_{k}" for k in range(len(order)))]
     spark.dataSource.register(BucketSink)
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("member", "line")
+    # a number that is named isn't merged: lines shrink much in a shuffle, so partitions merged by that hold too many rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("member", "line")
     dealt.write.format("message_bucket").mode("append").options(path=path, bucket=bucket, revision=str(revision), manifest=json.dumps(manifest)).save()
     return f"{path.rstrip('/')}/bucket={bucket}/rev={revision}"
 

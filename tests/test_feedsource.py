@@ -115,6 +115,15 @@ def test_a_bucket_is_written_once_and_verified(spark, tmp_path):
     assert {(first, "other content"), (second, "missing")} <= got and any(p == "other count" for _, p in got)
 
 
+def test_tasks_of_a_bucket_follow_its_rows(spark, tmp_path, monkeypatch):
+    """Partitions were merged by their bytes in the shuffle, so here one task sorted and wrote all rows."""
+    monkeypatch.setattr(S, "TASK_ROWS", 10)
+    where = S.write_bucket(members(spark, 90), str(tmp_path), "2024-01", 1, {})
+    manifest, _ = S.read_manifest(where)
+    assert manifest["counts"] == {"messages": 90, "events": 60} and 12 <= len(manifest["members"]) <= 17
+    assert max(sum(1 for _ in open(f"{where}/{n}")) for n in manifest["members"]) <= 20 and S.verify_bucket(spark, where).count() == 0
+
+
 def test_a_failed_task_leaves_no_revision(spark, tmp_path):
     broken = members(spark, 50)
     broken["messages"] = broken["messages"].withColumn("text", F.when(F.col("urn") == "u33", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
