@@ -109,6 +109,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file in a small table that one step writes for the next, about.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in partitions by its number of rows, which is known, so a small table isn't written by hundreds of tasks with a few rows
+    each; no task gets more than about FILE_ROWS rows more than it had."""
+    return df.coalesce(max(8, -(-rows // FILE_ROWS)))
+
+
 #: An end of an edge is hot if more than one in so many rows names it; so there are fewer hot ones than this.
 HOT_SHARE = 50_000
 
@@ -131,25 +141,39 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each makes nodes point to smaller neighbours, and the work of a
     round is in proportion to the edges. Nodes without an edge have no row. Goes on until all edges lead to roots; a
-    node that many edges share is broadcast with its smallest neighbour, so its edges don't meet in one task.
+    node that many edges share is broadcast with its smallest neighbour, so its edges don't meet in one task. What a
+    round wrote goes with the next one; the last facts are the result.
     """
-    now = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    spark, folders = edges.sparkSession, []
+
+    def put(df: DataFrame) -> DataFrame:
+        folders.append(scratch(spark, "components"))
+        df.write.parquet(folders[-1])
+        return spark.read.schema(df.schema).parquet(folders[-1])
+
+    def drop() -> None:
+        for folder in folders[:-1]:
+            dropped(spark, folder)
+        del folders[:-1]
+
+    now = put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
-        uses = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
-        uses = uses.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
-        open_ = F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up"))))
-        state = uses.agg(open_.alias("open"), F.coalesce(F.sum("all"), F.lit(0)).alias("total")).first()
+        both = now.select("a", "b", F.lit(1).alias("up")).union(now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        facts = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"), F.sum("up").alias("up"))
+        facts = put(few_files(facts.withColumn("low", F.least("low", "a")), 2 * now.count()))
+        open_ = F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("n") > F.col("up"))))
+        state = facts.agg(open_.alias("open"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
         if not state["open"]:
             break  # every node points to a root, once
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
-        large = spread_join(both, low, "a", "n", state["total"]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = kept(large.distinct())
+        large = spread_join(both.where("up = 0").select("a", "b"), facts.select("a", "low", "n"), "a", "n", state["total"])
+        large = put(few_files(large.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), state["total"]))
         low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = spread_join(large, low, "a", "n", state["total"])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
-        now = kept(small.where("a != b").distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        now = put(few_files(small.where("a != b").distinct(), state["total"]))
+        drop()
+    drop()
+    return facts.select(F.col("a").alias("node"), F.col("low").alias("root"))
 
 
 def before(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:

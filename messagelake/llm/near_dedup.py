@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, kept, steps, text_buffers, whole_groups
+from .common import components, few_files, kept, steps, text_buffers, whole_groups, written
 from .textscan import FOLD, NOT_SPACE, mix, powers, prefix, runs, stretch
 
 #: Minwise tokens of a set, each of 16 bits: the low bytes serve to compare, both to branch.
@@ -20,6 +21,8 @@ TOKENS = 128
 TREES, SURE, MISS = 24, 3, 1 / 60_000
 #: Sets that a node compares exhaustively, at most; larger nodes branch, down to DEPTH levels, or are gathered whole.
 SMALL, DEPTH = 2048, 12
+#: What is known of each large node is broadcast if there are fewer of them than this.
+FEW = 100_000
 #: Share of equal tokens from which two sets are taken for a family: five standard deviations below the threshold.
 ALIKE = 0.62
 #: Distinct sets of a family that are confirmed together; larger families are dealt into blocks that meet in pairs. A set of
@@ -95,21 +98,15 @@ def _tokens(batch: pa.RecordBatch) -> np.ndarray:
     return _bytes(batch["tokens"]).astype(np.uint64) | _bytes(batch["high"]).astype(np.uint64) << np.uint64(8)
 
 
-def _branches(nodes: DataFrame, level: int, chance: float) -> DataFrame:
-    """(path, sid) one level down: a node chooses each token with the chance, alike for all its sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(level))
-        for batch in batches:
-            if batch.num_rows:
-                path = batch["path"].to_numpy().astype(np.int64).view(np.uint64)
-                chosen = mix(path[:, None] ^ each) < np.uint64(chance * 2.0**64)
-                row, token = np.nonzero(chosen)
-                t = _tokens(batch)[row, token]
-                child = mix(mix(path[row] + np.uint64(level)) ^ (t | (token.astype(np.uint64) + np.uint64(1)) << np.uint64(32)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch["sid"].take(pa.array(row))], ["path", "sid"])
-
-    return nodes.mapInArrow(run, "path long, sid binary")
+def _children(batch: pa.RecordBatch, level: int, chance: float) -> pa.ListArray:
+    """The nodes one level down of each row: its node chooses each token with the chance, alike for all its sets."""
+    each = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(level))
+    path = batch["path"].to_numpy().astype(np.int64).view(np.uint64)
+    chosen = mix(path[:, None] ^ each) < np.uint64(chance * 2.0**64)
+    row, token = np.nonzero(chosen)
+    t = _tokens(batch)[row, token]
+    child = mix(mix(path[row] + np.uint64(level)) ^ (t | (token.astype(np.uint64) + np.uint64(1)) << np.uint64(32)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen.sum(1))]).astype(np.int32)), pa.array(child.view(np.int64)))
 
 
 class Union:
@@ -157,18 +154,20 @@ def _alike(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "a binary, b binary")
 
 
-def _near_first(nodes: DataFrame) -> DataFrame:
-    """(path, sid, first, alike): each set of a node beside the node's smallest, and whether the two are alike."""
+def _near_first(nodes: DataFrame, level: int, chance: float, small_side: Callable[[DataFrame], DataFrame], rows: int) -> DataFrame:
+    """(path, sid, first, alike, children): each set of a node beside the node's smallest, whether the two are alike, and the
+    nodes that it goes to if its node branches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 alike = (_bytes(batch["tokens"]) == _bytes(batch["first_tokens"])).sum(1, dtype=np.uint8) >= ALIKE * TOKENS
-                yield pa.RecordBatch.from_arrays([batch["path"], batch["sid"], batch["first"], pa.array(alike)], ["path", "sid", "first", "alike"])
+                yield pa.RecordBatch.from_arrays([batch["path"], batch["sid"], batch["first"], pa.array(alike), _children(batch, level, chance)], ["path", "sid", "first", "alike", "children"])
 
     first = nodes.groupBy("path").agg(F.min(F.struct("sid", "tokens")).alias("low"))
-    first = first.select("path", F.col("low.sid").alias("first"), F.col("low.tokens").alias("first_tokens"))
-    return nodes.join(first, "path").select("path", "sid", "tokens", "first", "first_tokens").mapInArrow(run, "path long, sid binary, first binary, alike boolean")
+    first = small_side(first.select("path", F.col("low.sid").alias("first"), F.col("low.tokens").alias("first_tokens")))
+    beside = nodes.join(first, "path").select("path", "sid", "tokens", "high", "first", "first_tokens")
+    return few_files(beside, rows).mapInArrow(run, "path long, sid binary, first binary, alike boolean, children array<long>")
 
 
 def _more_roots(sets: DataFrame, begin: int, end: int) -> DataFrame:
@@ -226,30 +225,34 @@ def _candidates(sets: DataFrame, threshold: float, trees: int, small: int) -> Da
 
 
 def _grown(level: DataFrame, sets: DataFrame, threshold: float, small: int, most: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """(edges, sets dealt further than SURE levels, levels): small nodes are compared exhaustively. A large node is one
-    family at once if half of its sets are alike its first, or if it is left at the last level: a family is confirmed
+    """(edges, sets dealt further than SURE levels, levels): small nodes of all levels are compared exhaustively, together. A large
+    node is one family at once if half of its sets are alike its first, or if it is left at the last level: a family is confirmed
     on full sets, so what is gathered too much costs time and no link. Other large nodes branch."""
-    found, deep = None, None
+    leaves, edges, deep = [], [], None
     for depth in range(1, most + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        nodes = kept(level.join(sizes, "path"))
-        leaf = nodes.where(F.col("size") <= small)
-        pairs = _alike(leaf.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens").repartition("path").sortWithinPartitions("path"))
-        found = pairs if found is None else found.union(pairs)
-        large = nodes.where(F.col("size") > small)
-        if large.isEmpty():
+        nodes = written(level.join(sizes, "path"), "nodes")
+        leaves.append(nodes.where(F.col("size") <= small).select("path", "sid"))
+        large = nodes.where(F.col("size") > small).select("path", "sid")
+        rows = large.count()
+        if not rows:
             break
-        near = kept(_near_first(large.join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens")))
-        share = near.groupBy("path").agg(F.avg(F.col("alike").cast("int")).alias("share"))
-        near = near.join(share, "path").withColumn("family", F.lit(depth == most) | (F.col("share") >= 0.5))
-        found = found.union(near.where("(family or alike) and sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")))
-        rest = near.where("not family").select("path", "sid")
-        if depth == most or rest.isEmpty():
+        small_side = F.broadcast if rows // small < FEW else lambda df: df
+        large = large.join(sets.select("sid", "tokens", "high"), "sid").select("path", "sid", "tokens", "high")
+        near = written(_near_first(large, depth, 1 / (threshold * TOKENS), small_side, rows), "near")
+        share = near.groupBy("path").agg((F.lit(depth == most) | (F.avg(F.col("alike").cast("int")) >= 0.5)).alias("family"))
+        share = written(few_files(share, rows // small), "families")
+        near = near.join(small_side(share), "path")
+        edges.append(near.where("(family or alike) and sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")))
+        if depth == most or share.where("not family").isEmpty():
             break
+        rest = near.where("not family")
         if depth == SURE:
             deep = rest.select("sid").distinct()
-        level = _branches(rest.join(sets.select("sid", "tokens", "high"), "sid").select("path", "sid", "tokens", "high"), depth, 1 / (threshold * TOKENS)).distinct()
-    return found, deep, depth
+        level = rest.select(F.explode("children").alias("path"), "sid")
+    compared = reduce(DataFrame.union, leaves).join(sets.select("sid", "tokens"), "sid").select("path", "sid", "tokens")
+    # a node's edges lead to the smallest set, so those of several nodes are mostly the same
+    return reduce(DataFrame.union, edges, _alike(compared.repartition("path").sortWithinPartitions("path", "sid"))), deep, depth
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:

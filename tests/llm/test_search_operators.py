@@ -99,6 +99,19 @@ def test_a_node_left_large_loses_no_pair(spark, monkeypatch):
     assert [k for k in range(0, len(texts), 2) if up.find(k) != up.find(k + 1)] == []
 
 
+def test_nodes_of_a_family_tell_one_edge_for_each_set(spark):
+    r = random.Random(8)
+    own = [f"w{k}" for k in range(200)]
+    texts = sorted({" ".join(edited(r, own, 1)) for _ in range(30)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    roots = F.array(*(F.lit(k).cast("long") for k in range(6)))
+    sets = near_dedup._profiles(rows, 4, 6).withColumn("roots", roots).repartition(7, "id").cache()
+    for small in (256, 4):  # one small node for each tree, one large node for each tree
+        edges = {(bytes(x.a), bytes(x.b)) for x in near_dedup._candidates(sets, 0.8, 6, small).collect() if x.a != x.b}
+        smallest = min(bytes(x.sid) for x in sets.select("sid").collect())
+        assert {b for _, b in edges} == {smallest} and len(edges) == len(texts) - 1
+
+
 def test_trees_follow_the_depth_reached():
     assert near_dedup.trees_for(near_dedup.SURE, 0.8) <= near_dedup.TREES
     for depth in range(near_dedup.SURE, near_dedup.DEPTH + 1):
@@ -193,6 +206,17 @@ def test_components_with_a_hub(spark, monkeypatch):
     assert got == {k: up.find(k) for k in {x for p in pairs if p[0] != p[1] for x in p}}
 
 
+def test_components_come_in_few_files(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.range(200).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 5).alias("b")))
+        assert got.rdd.getNumPartitions() <= 8 and {x.node: x.root for x in got.collect()} == {k: k - k % 5 for k in range(200)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
