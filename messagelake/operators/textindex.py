@@ -58,9 +58,9 @@ class TextIndex:
         """Rewrites buckets with many deltas, and drops words from the dictionary that no message holds any more."""
         for t in (self.postings, self.messages):
             t.compact(most_deltas)
-        unused = self.dictionary.read().join(self.postings.read().select("token").distinct(), "token", "left_anti")
+        unused = kept(self.dictionary.read().join(self.postings.read().select("token").distinct(), "token", "left_anti"))
         if not unused.isEmpty():
-            self.dictionary.merge(unused.limit(0), kept(unused))
+            self.dictionary.merge(unused.limit(0), unused)
         self.dictionary.compact(most_deltas)
 
     # --- searching
